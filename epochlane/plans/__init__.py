@@ -1 +1 @@
-
+"""Registered queries: compositions of operators over the given tables, each with its SQL."""
