@@ -1 +1 @@
-
+"""Column functions that Spark lacks."""
