@@ -47,9 +47,9 @@ def thr_mad(spark, d):
     return stages.threshold_mad(_metric(spark, d)).withColumn("threshold", F.round("threshold", 6))
 
 
-@query("thr_quantile", with_e() + f"SELECT {K}, round(quantile_cont(metric, 0.995), 3) AS threshold FROM e GROUP BY {K}")
+@query("thr_quantile", with_e() + f"SELECT {K}, round(quantile_cont(metric, 0.995), 8) AS threshold FROM e GROUP BY {K}")
 def thr_quantile(spark, d):
-    return stages.threshold_quantile(_metric(spark, d)).withColumn("threshold", F.round("threshold", 3))
+    return stages.threshold_quantile(_metric(spark, d)).withColumn("threshold", F.round("threshold", 8))
 
 
 @query("thr_otsu", with_e(t=OTSU_SQL) + f"SELECT {K}, round(threshold, 4) AS threshold FROM t")

@@ -58,6 +58,8 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "draws": (["lineitem"], """
         SELECT config_id, CAST(chain AS INT) AS chain, CAST(row_number() OVER (PARTITION BY config_id, chain ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, value) - 1 AS INT) AS draw, value FROM (
             SELECT concat('D', l_suppkey) AS config_id, l_partkey % 2 AS chain, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice / 10000 AS value FROM {lineitem}) x"""),
+    "param_draws": (["supplier"], """
+        SELECT concat('N', s_nationkey) AS config_id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INT) AS draw, s_acctbal / 12000 AS mu FROM {supplier}"""),
     "scored": (["labels"], """
         SELECT doc_id AS id, doc_id % 7 AS grp, quality AS y, ((doc_id * 37 + quality * 29) % 101) / 101.0E0 AS p FROM {labels}"""),
 }
