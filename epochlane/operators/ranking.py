@@ -112,3 +112,16 @@ def compare(left: DataFrame, right: DataFrame, key: str, cols: list[str], tolera
     at = left.select(key, *[F.col(c).alias(f"a_{c}") for c in cols]).join(right.select(key, *[F.col(c).alias(f"b_{c}") for c in cols]), key, "full")
     stacked = at.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"a_{c}").cast("double").alias("a"), F.col(f"b_{c}").cast("double").alias("b")) for c in cols])).alias("_")).select(key, "_.*")
     return stacked.where((F.abs(F.col("a") - F.col("b")) > tolerance) | (F.col("a").isNull() != F.col("b").isNull()))
+
+
+def running_totals(df: DataFrame, order: list[Column], cols: list[str]) -> DataFrame:
+    """df with before_{col}: the sum of col over all rows earlier in a total order, by ranges as in rank_column."""
+    from epochlane.session import materialise
+
+    parts = materialise(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = parts.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_b_{c}") for c in cols])
+    ahead = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy("_part").agg(*[F.sum(c).alias(c) for c in cols]).select("_part", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_s_{c}") for c in cols])
+    out = local.join(F.broadcast(starts), "_part")
+    return out.withColumns({f"before_{c}": F.col(f"_b_{c}") + F.col(f"_s_{c}") for c in cols}).drop("_part", *[f"_{k}_{c}" for k in "bs" for c in cols])
