@@ -43,15 +43,13 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables made by materialise() that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        root = shared_dir(spark).rstrip("/").removeprefix("file://")
-        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if root in name and "/table-" in name:
-                path = spark._jvm.org.apache.hadoop.fs.Path(name)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
