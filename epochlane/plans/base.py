@@ -12,12 +12,12 @@ N_DAYS, N_POINTS, OVERLAP = 8, 12, 0.5
 SQL_WINDOW_DAY = f"""SELECT trigger_id AS window_id, subject_id, event_date, direction, i AS day_idx,
     CAST(event_date + CAST(CASE WHEN direction = 'before' THEN i - {N_DAYS} ELSE {N_DAYS} - i END AS INT) AS DATE) AS day
     FROM trigger, (SELECT unnest(range({N_DAYS}))::INT AS i) d"""
-SQL_PROFILE = f"""SELECT h.subject_id, h.day, p.point_idx, 100.0 * count(*) FILTER (WHERE h.stage = 2) / count(*) AS pct
-    FROM hypno h JOIN (SELECT subject_id, day, i AS point_idx,
+SQL_PROFILE = f"""SELECT p.subject_id, p.day, p.point_idx, coalesce(100.0 * count(*) FILTER (WHERE h.stage = 2) / nullif(count(h.epoch_idx), 0), 0) AS pct
+    FROM (SELECT subject_id, day, i AS point_idx,
         floor(greatest(0.0, (i + 0.5) * (n / {N_POINTS}.0) - n / {N_POINTS}.0 / (1 - {OVERLAP}) / 2)) AS a,
         floor(least(n, (i + 0.5) * (n / {N_POINTS}.0) + n / {N_POINTS}.0 / (1 - {OVERLAP}) / 2)) AS b
         FROM (SELECT subject_id, day, count(*)::DOUBLE AS n FROM hypno GROUP BY 1, 2), (SELECT unnest(range({N_POINTS}))::INT AS i)) p
-    ON h.subject_id = p.subject_id AND h.day = p.day AND h.epoch_idx >= p.a AND h.epoch_idx < p.b GROUP BY 1, 2, 3"""
+    LEFT JOIN hypno h ON h.subject_id = p.subject_id AND h.day = p.day AND h.epoch_idx >= p.a AND h.epoch_idx < p.b GROUP BY 1, 2, 3"""
 SQL_WP = f"""SELECT w.window_id, w.day_idx, k.point_idx, p.pct FROM window_day w CROSS JOIN (SELECT unnest(range({N_POINTS}))::INT AS point_idx) k
     LEFT JOIN profile p ON p.subject_id = w.subject_id AND p.day = w.day AND p.point_idx = k.point_idx"""
 SQL_ROW = f"SELECT window_id, day_idx * {N_POINTS} + point_idx AS pos, day_idx, point_idx, pct AS value FROM wp"

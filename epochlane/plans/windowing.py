@@ -170,10 +170,10 @@ def profile_combine(spark, d):
 _GRID = [(8, 0.0), (12, 0.25), (12, 0.5), (24, 0.5)]
 
 
-@query("profile_grid", ctes("hypno") + """SELECT h.subject_id, h.day, p.n_points, p.overlap, p.i AS point_idx, round(100.0 * count(*) FILTER (WHERE stage = 2) / count(*), 6) AS pct FROM hypno h
-    JOIN (SELECT *, floor(greatest(0.0, (i + 0.5) * (n / n_points) - n / n_points / (1 - overlap) / 2)) AS a, floor(least(n, (i + 0.5) * (n / n_points) + n / n_points / (1 - overlap) / 2)) AS b
+@query("profile_grid", ctes("hypno") + """SELECT p.subject_id, p.day, p.n_points, p.overlap, p.i AS point_idx, round(coalesce(100.0 * count(*) FILTER (WHERE stage = 2) / nullif(count(h.epoch_idx), 0), 0), 6) AS pct
+    FROM (SELECT *, floor(greatest(0.0, (i + 0.5) * (n / n_points) - n / n_points / (1 - overlap) / 2)) AS a, floor(least(n, (i + 0.5) * (n / n_points) + n / n_points / (1 - overlap) / 2)) AS b
         FROM (SELECT subject_id, day, count(*)::DOUBLE AS n FROM hypno GROUP BY 1, 2), (VALUES (8, 0.0::DOUBLE), (12, 0.25), (12, 0.5), (24, 0.5)) g(n_points, overlap), (SELECT unnest(range(24))::INT AS i) WHERE i < n_points) p
-    ON h.subject_id = p.subject_id AND h.day = p.day AND h.epoch_idx >= p.a AND h.epoch_idx < p.b GROUP BY 1, 2, 3, 4, 5""")
+    LEFT JOIN hypno h ON h.subject_id = p.subject_id AND h.day = p.day AND h.epoch_idx >= p.a AND h.epoch_idx < p.b GROUP BY 1, 2, 3, 4, 5""")
 def profile_grid(spark, d):
     return profiles.grid(view(spark, d, "hypno"), _GRID).withColumn("pct", r6("pct"))
 
