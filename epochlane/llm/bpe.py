@@ -6,10 +6,12 @@ import hashlib
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers.pre_tokenizers import ByteLevel
 
 #: Fixed values of the vocabulary's pre-tokenizer.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -26,6 +28,30 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
 
 
+def library_pieces(text: str) -> list[str]:
+    """The pieces as the tokenizers library cuts them; slower than a pattern."""
+    return [text[a:b] for _, (a, b) in ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str(text)]
+
+
+@cache
+def odd_characters() -> str:
+    """Characters that PIECES and the library class differently, as they know different Unicode versions."""
+    split, odd = regex.compile(PIECES).findall, []
+
+    def differ(codes: list[int]) -> None:
+        text = "".join(f"a{chr(c)}{chr(c)}1" for c in codes)
+        if split(text) != library_pieces(text):
+            if len(codes) == 1:
+                odd.append(chr(codes[0]))
+            else:
+                differ(codes[: len(codes) // 2]), differ(codes[len(codes) // 2 :])
+
+    every = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 1 << 14):
+        differ(every[at : at + (1 << 14)])
+    return "".join(odd)
+
+
 @dataclass
 class Vocabulary:
     """What encoding needs of a vocabulary file."""
@@ -128,12 +154,23 @@ class _Bytes(dict):
 class Codec:
     """Encodes and decodes whole texts."""
 
-    def __init__(self, words: Vocabulary) -> None:
+    def __init__(self, words: Vocabulary, odd: str) -> None:
         self.words = words
-        self.split = regex.compile(PIECES).findall
+        self.pieces = regex.compile(PIECES).findall
+        self.odd = regex.compile("[" + regex.escape(odd) + "]").search if odd else None
+        assert min(odd, default="\u0100") > "\xff", "Latin-1 is taken for known"
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(words.special, key=len, reverse=True))) + ")") if words.special else None
         self.ids, self.bytes = _Ids(words), _Bytes(words)
 
+    def split(self, text: str) -> list[str]:
+        if self.odd:
+            try:
+                text.encode("latin-1")  # none of these is odd, and this is fast
+            except UnicodeEncodeError:
+                if self.odd(text):
+                    return library_pieces(text)
+        return self.pieces(text)
+
     def encode(self, text: str) -> list[str]:
         """The ids of each piece, joined by commas; special tokens of the vocabulary are pieces of their own."""
         if len(self.ids) > MEMO:
@@ -162,10 +199,10 @@ def encode_decode(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> D
     of their partition, so nothing is shuffled; repeated rows give repeated results.
     """
     with open(vocabulary, encoding="utf-8") as f:
-        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+        sent = docs.sparkSession.sparkContext.broadcast((f.read(), odd_characters()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Vocabulary.parse(sent.value))
+        codec = Codec(Vocabulary.parse(sent.value[0]), sent.value[1])
         sha = hashlib.sha256
         for batch in batches:
             out: dict[str, list] = {"n": [], "i": [], "d": [], "ids": []}
