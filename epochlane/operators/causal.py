@@ -104,7 +104,7 @@ def quiet_controls(rows: DataFrame, events: DataFrame, quiet_days: int, ratio: f
     far = event_distance(rows.select(*DAY), events)
     neg = rows.where("label = 0").join(far, DAY).withColumn("quiet", F.col("distance") > quiet_days)
     any_quiet = neg.agg(F.max("quiet").alias("any_quiet"), F.lit(1).alias("one"))
-    neg = neg.withColumn("one", F.lit(1)).join(any_quiet, "one").where("quiet or not any_quiet").withColumn("month", F.trunc("day", "month"))
+    neg = neg.withColumn("one", F.lit(1)).join(F.broadcast(any_quiet), "one").where("quiet or not any_quiet").withColumn("month", F.trunc("day", "month"))
     pos = rows.where("label = 1").groupBy("subject_id", F.trunc("day", "month").alias("month")).agg(F.min("day").alias("first_pos"))
     cap = int(-(-rows.where("label = 1").count() * ratio // 1))
     at = neg.join(pos, ["subject_id", "month"], "left")

@@ -41,7 +41,7 @@ def fit(rows: DataFrame) -> DataFrame:
     real = rows.where(_real().isNotNull())
     stats = real.agg(F.percentile("value", F.lit(0.5)).alias("median"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     mode = real.groupBy("value").count().agg(F.max_by("value", F.struct("count", -F.col("value"))).alias("mode"))
-    return stats.withColumn("_", F.lit(0)).join(mode.withColumn("_", F.lit(0)), "_").drop("_")
+    return stats.withColumn("_", F.lit(0)).join(F.broadcast(mode.withColumn("_", F.lit(0))), "_").drop("_")  # one row each
 
 
 def share_valid(rows: DataFrame) -> Column:

@@ -305,8 +305,7 @@ def _pointwise(spark, d):
     """Log-likelihood of each window's daily means under every draw of mu."""
     v = _periods(spark, d).where("grp = 'daily' and mean is not null").groupBy("window_id").agg(F.count("*").cast("double").alias("n"), F.sum("mean").alias("s"), F.sum(F.col("mean") * F.col("mean")).alias("q"))
     draws = view(spark, d, "param_draws")
-    # a window's sums stand for its values, so one row per window meets each draw: the draws are the operator's own grid
-    both = v.withColumn("_", F.lit(1)).join(draws.withColumn("_", F.lit(1)), "_").drop("_")
+    both = posterior.with_draws(v, draws)
     ll = -F.col("n") / 2 * F.log(F.lit(2 * 3.141592653589793 * 0.25)) - (F.col("q") - 2 * F.col("mu") * F.col("s") + F.col("n") * F.col("mu") * F.col("mu")) / 0.5
     return both.select("config_id", "window_id", "draw", ll.alias("ll"))
 
@@ -344,12 +343,12 @@ def p_lt1(spark, d):
 ITEMS = [f"{g}.{m}" for g in ("daily", "day", "night") for m in ("mean", "range")]
 
 
-@query("config_grid", """WITH m AS (SELECT unnest(range(1, 64))::BIGINT AS mask), n AS (SELECT n_nationkey FROM nation),
-    k AS (SELECT mask FROM m WHERE bit_count(mask) <= 3) SELECT n_nationkey, mask, bit_count(mask)::INT AS n_features, likelihood, n_points, overlap FROM n, k, (VALUES ('student_t'), ('skew_normal')) l(likelihood), (VALUES (24, 0.0::DOUBLE), (24, 0.25), (24, 0.5)) p(n_points, overlap)""")
+@query("config_grid", """WITH m AS (SELECT unnest(range(1, 64))::BIGINT AS mask), n AS (SELECT s_suppkey FROM supplier),
+    k AS (SELECT mask FROM m WHERE bit_count(mask) <= 3) SELECT s_suppkey, mask, bit_count(mask)::INT AS n_features, likelihood, n_points, overlap FROM n, k, (VALUES ('student_t'), ('skew_normal')) l(likelihood), (VALUES (24, 0.0::DOUBLE), (24, 0.25), (24, 0.5)) p(n_points, overlap)""")
 def config_grid(spark, d):
     g = configs.grid(configs.subsets(spark, ITEMS, 3), ["student_t", "skew_normal"], [(24, 0.0), (24, 0.25), (24, 0.5)])
-    g = g.withColumn("_", F.lit(1)).join(table(spark, d, "nation").select("n_nationkey").withColumn("_", F.lit(1)), "_").drop("_")
-    return g.select("n_nationkey", "mask", F.size("features").alias("n_features"), "likelihood", "n_points", "overlap")
+    g = table(spark, d, "supplier").select("s_suppkey").crossJoin(F.broadcast(g))  # the grid's size is in its arguments
+    return g.select("s_suppkey", "mask", F.size("features").alias("n_features"), "likelihood", "n_points", "overlap")
 
 
 @query("grid_zipped", CFG + "SELECT config_id, likelihood, p.n_points, p.overlap FROM config, (VALUES ('normal'), ('beta_constrained')) l(likelihood), (VALUES (12, 0.0::DOUBLE), (12, 0.5), (24, 0.0), (24, 0.5)) p(n_points, overlap)")
@@ -481,7 +480,7 @@ def visit_counts(spark, d):
     e = _results(spark, d).where("eligible")
     at = e.select(F.explode(F.split("feature_kind", r"\+")).alias("feature")).groupBy("feature").agg(F.count("*").alias("visits"))
     n = e.agg(F.count("*").alias("n")).withColumn("_", F.lit(1))
-    return at.withColumn("_", F.lit(1)).join(n, "_").select("feature", "visits", F.round(F.col("visits") / F.col("n"), 6).alias("share"))
+    return at.withColumn("_", F.lit(1)).join(F.broadcast(n), "_").select("feature", "visits", F.round(F.col("visits") / F.col("n"), 6).alias("share"))
 
 
 @query("model_target", SR + "SELECT config_id, round(elpd_loo + 0.1 * e_tau - 2.0 * n_features - ln(n_features::DOUBLE), 6) AS target FROM search_result")

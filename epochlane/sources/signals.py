@@ -24,8 +24,8 @@ def read_files(spark: SparkSession, root: str, subject: str = r"R\d+", stored: i
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for subject_id, day, content, start in zip(*(batch.column(c) for c in ("subject_id", "day", "content", "start")), strict=True):
-                raw = np.frombuffer(content.as_py(), "<i2")
-                x = raw[: len(raw) // stored * stored].reshape(-1, stored)[:, :kept]
+                data = content.as_py()
+                x = np.frombuffer(data[: len(data) // (2 * stored) * 2 * stored], "<i2").reshape(-1, stored)[:, :kept]
                 n = len(x)
                 for c in range(kept):
                     yield pa.RecordBatch.from_pydict({

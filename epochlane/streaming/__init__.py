@@ -1 +1 @@
-
+"""Nothing here yet: no operator of the survey is a stream."""
