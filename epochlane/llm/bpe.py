@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 import regex
@@ -15,9 +15,10 @@ from tokenizers.pre_tokenizers import ByteLevel
 
 #: Fixed values of the vocabulary's pre-tokenizer.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces remembered in one task before its memo is emptied.
-MEMO = 200_000
+#: A Python worker remembers so many pieces, and as many older ones.
+MEMO = 400_000
 NONE = 1 << 62
+ID_MASK = (1 << 20) - 1
 
 
 def byte_letters() -> dict[str, int]:
@@ -28,6 +29,15 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
 
 
+def pair_key(a: int, b: int) -> int:
+    return a << 20 | b
+
+
+def merge_value(rank: int, merged: int) -> int:
+    """A whole number in the order of ranks that holds the merged id too."""
+    return rank << 20 | merged
+
+
 def library_pieces(text: str) -> list[str]:
     """The pieces as the tokenizers library cuts them; slower than a pattern."""
     return [text[a:b] for _, (a, b) in ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str(text)]
@@ -57,7 +67,7 @@ class Vocabulary:
     """What encoding needs of a vocabulary file."""
 
     byte_ids: list[int]
-    merges: dict[tuple[int, int], tuple[int, int]]
+    merges: dict[int, int]
     tokens: dict[int, bytes]
     special: dict[str, int]
 
@@ -69,85 +79,76 @@ class Vocabulary:
         special = {t["content"]: t["id"] for t in data["added_tokens"]}
         tokens = {i: bytes(letters[c] for c in t) for t, i in ids.items()} | {i: t.encode() for t, i in special.items()}
         of_byte = {b: c for c, b in letters.items()}
-        merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in reversed(list(enumerate(pairs)))}
+        merges = {pair_key(ids[a], ids[b]): merge_value(rank, ids[a + b]) for rank, (a, b) in reversed(list(enumerate(pairs)))}
         return cls([ids[of_byte[b]] for b in range(256)], merges, tokens, special)
 
 
-def merge_piece(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+def merge_piece(symbols: list[int], merges: dict[int, int]) -> list[int]:
     """Merge until no pair is mergeable, each time the leftmost pair of the lowest rank.
 
-    Leaf i of the tree holds the rank of the pair that starts at symbol i, each inner
-    node the least rank below it. The root shows whether a pair is left; going down,
-    left first, finds it; a merge changes three leaves and the nodes above them.
-    """
+    merges: pair_key() of two symbols to merge_value() of their merge. Leaf i of the tree holds the
+    value of the pair that starts at symbol i, each inner node the least below it. The root shows
+    whether a pair is left; going down, left first, finds it; a merge changes three leaves and the
+    nodes above them. `symbols` is used up."""
     n = len(symbols)
     if n < 2:
         return symbols
-    size = 1 << (n - 1).bit_length()
+    size, get = 1 << (n - 2).bit_length(), merges.get
     tree = [NONE] * (2 * size)
-    for i in range(n - 1):
-        if found := merges.get((symbols[i], symbols[i + 1])):
-            tree[size + i] = found[0]
+    tree[size : size + n - 1] = [get(a << 20 | b, NONE) for a, b in zip(symbols, symbols[1:], strict=False)]
     for i in range(size - 1, 0, -1):
-        tree[i] = min(tree[2 * i], tree[2 * i + 1])
+        a, b = tree[2 * i], tree[2 * i + 1]
+        tree[i] = a if a <= b else b
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-    def put(leaf: int, rank: int) -> None:
-        leaf += size
-        tree[leaf] = rank
-        while leaf > 1:
-            leaf >>= 1
-            least = min(tree[2 * leaf], tree[2 * leaf + 1])
-            if tree[leaf] == least:
-                break
-            tree[leaf] = least
-
     while (least := tree[1]) != NONE:
         at = 1
         while at < size:
-            at = 2 * at if tree[2 * at] == least else 2 * at + 1
+            at *= 2
+            if tree[at] != least:
+                at += 1
         i = at - size
         j = after[i]
-        symbols[i] = merges[symbols[i], symbols[j]][1]
+        merged = symbols[i] = least & ID_MASK
         k = after[i] = after[j]
         symbols[j] = -1
-        put(j, NONE)
+        h = before[i]
+        changed = [(i, NONE)]
         if k < n:
             before[k] = i
-            put(i, merges[symbols[i], symbols[k]][0] if (symbols[i], symbols[k]) in merges else NONE)
-        else:
-            put(i, NONE)
-        if (h := before[i]) >= 0:
-            put(h, merges[symbols[h], symbols[i]][0] if (symbols[h], symbols[i]) in merges else NONE)
+            changed = [(j, NONE), (i, get(merged << 20 | symbols[k], NONE))]
+        if h >= 0:
+            changed.append((h, get(symbols[h] << 20 | merged, NONE)))
+        for leaf, value in changed:
+            leaf += size
+            tree[leaf] = value
+            while leaf > 1:
+                other = tree[leaf ^ 1]
+                if other < value:
+                    value = other
+                leaf >>= 1
+                if tree[leaf] == value:
+                    break
+                tree[leaf] = value
     return [s for s in symbols if s >= 0]
 
 
-class _Ids(dict):
-    """Piece to its ids, in decimal and joined by commas; computes what it lacks."""
-
-    def __init__(self, words: Vocabulary) -> None:
-        self.words = words
+class Memo(dict):
+    """Values of a function of text, the last MEMO to 2 MEMO different ones remembered.
 
-    def __missing__(self, piece: str) -> str:
-        byte_ids = self.words.byte_ids
-        ids = merge_piece([byte_ids[b] for b in piece.encode()], self.words.merges)
-        out = ",".join(map(str, ids))
-        if len(piece) < 64:
-            self[piece] = out
-        return out
+    A full memo becomes the old one; what is asked for again moves back, the rest goes in the end."""
 
+    def __init__(self, compute: Callable[[str], str | bytes]) -> None:
+        self.compute, self.old = compute, {}
 
-class _Bytes(dict):
-    """Joined ids of a piece to the bytes they decode to."""
-
-    def __init__(self, words: Vocabulary) -> None:
-        self.words = words
-
-    def __missing__(self, joined: str) -> bytes:
-        tokens = self.words.tokens
-        out = b"".join([tokens[int(i)] for i in joined.split(",")])
-        if len(joined) < 200:
-            self[joined] = out
+    def __missing__(self, key: str) -> str | bytes:
+        out = self.old.pop(key, None)
+        if out is None:
+            out = self.compute(key)
+        if len(key) < 256:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
+            self[key] = out
         return out
 
 
@@ -157,37 +158,46 @@ class Codec:
     def __init__(self, words: Vocabulary, odd: str) -> None:
         self.words = words
         self.pieces = regex.compile(PIECES).findall
-        self.odd = regex.compile("[" + regex.escape(odd) + "]").search if odd else None
+        self.odd = frozenset(odd)
         assert min(odd, default="\u0100") > "\xff", "Latin-1 is taken for known"
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(words.special, key=len, reverse=True))) + ")") if words.special else None
-        self.ids, self.bytes = _Ids(words), _Bytes(words)
+        self.ids, self.bytes = Memo(self._encode_piece), Memo(self._decode_ids)
+
+    def _encode_piece(self, piece: str) -> str:
+        byte_ids = self.words.byte_ids
+        return ",".join(map(str, merge_piece([byte_ids[b] for b in piece.encode()], self.words.merges)))
+
+    def _decode_ids(self, joined: str) -> bytes:
+        tokens = self.words.tokens
+        return b"".join([tokens[int(i)] for i in joined.split(",")])
 
     def split(self, text: str) -> list[str]:
         if self.odd:
             try:
                 text.encode("latin-1")  # none of these is odd, and this is fast
             except UnicodeEncodeError:
-                if self.odd(text):
+                if not self.odd.isdisjoint(text):
                     return library_pieces(text)
         return self.pieces(text)
 
     def encode(self, text: str) -> list[str]:
         """The ids of each piece, joined by commas; special tokens of the vocabulary are pieces of their own."""
-        if len(self.ids) > MEMO:
-            self.ids.clear()
-        if len(self.bytes) > MEMO:
-            self.bytes.clear()
         ids = self.ids
         if self.special is None or not any(s in text for s in self.words.special):
-            return [ids[p] for p in self.split(text)]
+            return list(map(ids.__getitem__, self.split(text)))
         out = []
         for k, part in enumerate(self.special.split(text)):
             out += [str(self.words.special[part])] if k % 2 else [ids[p] for p in self.split(part)]
         return out
 
     def decode(self, joined: list[str]) -> str:
-        known = self.bytes
-        return b"".join([known[x] for x in joined]).decode("utf-8", "replace")
+        return b"".join(map(self.bytes.__getitem__, joined)).decode("utf-8", "replace")
+
+
+@lru_cache(maxsize=2)
+def _codec(vocabulary: str, odd: str) -> Codec:
+    """The codec of a Python worker, kept with its memo for the worker's later tasks."""
+    return Codec(Vocabulary.parse(vocabulary), odd)
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
@@ -202,7 +212,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> D
         sent = docs.sparkSession.sparkContext.broadcast((f.read(), odd_characters()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Vocabulary.parse(sent.value[0]), sent.value[1])
+        codec = _codec(*sent.value)
         sha = hashlib.sha256
         for batch in batches:
             out: dict[str, list] = {"n": [], "i": [], "d": [], "ids": []}

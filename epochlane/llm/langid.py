@@ -24,7 +24,7 @@ ROUNDS = 12
 #: A text is rejected when its cosine is under this share of the least one that its centroid's own texts have.
 REJECT_SHARE = 0.25
 #: Texts with fewer letters are never rejected for distance: their few n-grams leave the cosine to chance.
-REJECT_LETTERS = 40
+REJECT_LETTERS = 200
 SLICE = 1 << 20
 UND = "und"
 

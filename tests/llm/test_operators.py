@@ -100,7 +100,7 @@ def test_pieces_cut_every_character_alike(tokenizer):
 
 
 def test_segment_tree_merges_lowest_leftmost():
-    merges = {(1, 1): (0, 2), (2, 1): (1, 3), (2, 2): (2, 4)}
+    merges = {bpe.pair_key(a, b): bpe.merge_value(rank, to) for a, b, rank, to in ((1, 1, 0, 2), (2, 1, 1, 3), (2, 2, 2, 4))}
     assert bpe.merge_piece([1] * 5, merges) == [2, 3]
     assert bpe.merge_piece([1] * 4, merges) == [4]
     assert bpe.merge_piece([9], merges) == [9] and bpe.merge_piece([], merges) == []
