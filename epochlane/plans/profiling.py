@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from epochlane.operators import causal, clean, features
+from epochlane.operators import causal, clean, features, selection
 from epochlane.operators.catalog import DAY
 from epochlane.plans.base import N_DAYS, N_POINTS, profile, rows, window_days, with_profiles
 from epochlane.plans.registry import query
@@ -269,7 +269,7 @@ def feature_store(spark, d):
 
 @query("config_features", with_groups(f=STORE_SQL) + "SELECT 'A' AS config_id, window_id, grp, chunk_idx, metric, round(value, 6) AS value FROM f WHERE (grp, metric) IN (('even', 'mean'), ('odd', 'range')) UNION ALL SELECT 'B', window_id, grp, chunk_idx, metric, round(value, 6) FROM f WHERE (grp, metric) IN (('concat', 'std'))")
 def config_features(spark, d):
-    chosen = spark.createDataFrame([("A", "even", "mean"), ("A", "odd", "range"), ("B", "concat", "std")], "config_id string, grp string, metric string")
+    chosen = selection.as_rows(spark, {"A": ["mean even", "range odd"], "B": {"concat": "std"}})
     return _r(_store(spark, d).join(F.broadcast(chosen), ["grp", "metric"]), "value")
 
 
