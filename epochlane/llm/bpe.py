@@ -46,20 +46,15 @@ def library_pieces(text: str) -> list[str]:
 @cache
 def odd_characters() -> str:
     """Characters that PIECES and the library class differently, as they know different Unicode versions."""
-    split, odd = regex.compile(PIECES).findall, []
+    split = regex.compile(PIECES).findall
 
-    def differ(codes: list[int]) -> None:
+    def differ(codes: list[int]) -> bool:
         text = "".join(f"a{chr(c)}{chr(c)}1" for c in codes)
-        if split(text) != library_pieces(text):
-            if len(codes) == 1:
-                odd.append(chr(codes[0]))
-            else:
-                differ(codes[: len(codes) // 2]), differ(codes[len(codes) // 2 :])
+        return split(text) != library_pieces(text)
 
     every = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
-    for at in range(0, len(every), 1 << 14):
-        differ(every[at : at + (1 << 14)])
-    return "".join(odd)
+    blocks = [every[at : at + 256] for at in range(0, len(every), 256)]
+    return "".join(chr(c) for block in blocks if differ(block) for c in block if differ([c]))
 
 
 @dataclass
