@@ -22,25 +22,34 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1].astype(np.int64)
 
 
-def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
-    """Unsigned 64-bit SimHash of a text's word shingles, repeats included.
+def digests(text: str | None, words_per_shingle: int = 3) -> np.ndarray:
+    """Unsigned 64-bit hashes of a text's word shingles in their order, repeats included.
 
     bytes.split() cuts at exactly space and \\t to \\r, and lower-casing bytes A-Z leaves
-    other letters alone. Fewer words than a shingle: the whole sequence; none: zero."""
+    other letters alone. Fewer words than a shingle: the whole sequence; none: no hash."""
     words = (text or "").encode().translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     k = min(words_per_shingle, len(words))
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     first = np.concatenate(([0], ends[:-1] + 1))[: len(words) - k + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    found = np.array([digest(line[a:b], SEED) for a, b in zip(first, ends[k - 1 :].tolist(), strict=True)], np.uint64)
+    return np.array([digest(line[a:b], SEED) for a, b in zip(first, ends[k - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(found: np.ndarray) -> int:
+    """The unsigned number whose bits are those that more than half of the hashes have set."""
     bytes_ = found.view(np.uint8).reshape(-1, 8)
     counts = np.concatenate([np.bincount(bytes_[:, j], minlength=256) @ BITS for j in range(8)])
     return int(sum(1 << i for i in np.flatnonzero(2 * counts > len(found)).tolist()))
 
 
+def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
+    """Unsigned 64-bit SimHash of a text's word shingles; without words zero."""
+    return majority(digests(text, words_per_shingle))
+
+
 def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint of every whole text as a signed long; null texts count as empty."""
 
