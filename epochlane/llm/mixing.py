@@ -96,9 +96,21 @@ def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, block_rows: int =
     return out.select("doc_id", "mix_source", "block", "slot", "release", "deadline", (F.col("slot") * block_rows + F.col("rank") % block_rows - missing).alias("position"))
 
 
+def places(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS) -> DataFrame:
+    """(_id, slot, position): the first place of each doc_id in the mixture."""
+    first = F.min(F.struct("position", "slot")).alias("_first")
+    return mix(docs, weights).groupBy(F.col("doc_id").alias("_id")).agg(first).select("_id", "_first.slot", "_first.position")
+
+
+def with_places(docs: DataFrame, of: DataFrame, weights: Mapping[str, int] = WEIGHTS) -> DataFrame:
+    """of (doc_id and other columns) with slot and position of each row's doc_id in the mixture of docs."""
+    place = places(docs, weights)
+    return of.join(place, of["doc_id"].eqNullSafe(place["_id"])).drop("_id")
+
+
 def in_mixed_order(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS) -> DataFrame:
     """The rows of docs, all columns, dealt over partitions and sorted by their place in the mixture.
 
     Written files follow in that order. Rows of one doc_id share its first place."""
-    place = mix(docs, weights).groupBy(F.col("doc_id").alias("_id")).agg(F.min("position").alias("_position"))
+    place = places(docs, weights).select("_id", F.col("position").alias("_position"))
     return docs.join(place, docs["doc_id"].eqNullSafe(place["_id"])).repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)
