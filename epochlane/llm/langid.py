@@ -159,6 +159,8 @@ def judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray,
     for at in range(0, len(texts), 64):
         found = [(at + i, *count_ngrams(t)) for i, t in enumerate(texts[at : at + 64]) if t]
         found = [x for x in found if x[2]]
+        for i, _, _ in found:
+            out[i] = False
         if found and model.langs:
             best, cos = model.nearest(weigh(np.stack([x[1] for x in found]), model.idf))
             for (i, _, letters), j, c in zip(found, best.tolist(), cos.tolist(), strict=True):
@@ -173,7 +175,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     A null text or one without a letter is `und` with score 0 and rejected. Another gets the
     language of the nearest centroid; it is rejected if it has REJECT_LETTERS letters or more
     and lies farther out than REJECT_SHARE allows. Without a learned language every text is
-    `und`. The model, of fixed size, is broadcast; nothing is shuffled. Columns of those three
+    `und`, and one with a letter isn't rejected, since there is no distance to judge by. The model, of fixed size, is broadcast; nothing is shuffled. Columns of those three
     names in docs are replaced."""
     docs = docs.drop("lang_pred", "score", "rejected")
     sent = docs.sparkSession.sparkContext.broadcast(model)
