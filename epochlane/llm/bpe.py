@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache, lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -15,8 +17,12 @@ from tokenizers.pre_tokenizers import ByteLevel
 
 #: Fixed values of the vocabulary's pre-tokenizer.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A Python worker remembers so many pieces, and as many older ones.
-MEMO = 400_000
+#: The same for texts of ASCII alone, where the classes are these letters, digits and blanks.
+ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+#: Pieces that a task remembers at least before it lets older ones go, and the letters of one at most.
+MEMO, MEMO_LETTERS = 80_000, 128
+#: Letters of the texts that are cut at a time, and leaves of the largest trees that are merged in step.
+CHUNK, MOST_LEAVES = 1 << 20, 64
 NONE = 1 << 62
 ID_MASK = (1 << 20) - 1
 
@@ -98,7 +104,7 @@ def merge_piece(symbols: list[int], merges: dict[int, int]) -> list[int]:
     while (least := tree[1]) != NONE:
         at = 1
         while at < size:
-            at *= 2
+            at += at
             if tree[at] != least:
                 at += 1
         i = at - size
@@ -106,92 +112,204 @@ def merge_piece(symbols: list[int], merges: dict[int, int]) -> list[int]:
         merged = symbols[i] = least & ID_MASK
         k = after[i] = after[j]
         symbols[j] = -1
-        h = before[i]
-        changed = [(i, NONE)]
         if k < n:
             before[k] = i
-            changed = [(j, NONE), (i, get(merged << 20 | symbols[k], NONE))]
+            tree[size + j] = NONE
+            tree[at] = get(merged << 20 | symbols[k], NONE)
+        else:
+            tree[at] = NONE
+            j = i
+        h = before[i]
         if h >= 0:
-            changed.append((h, get(symbols[h] << 20 | merged, NONE)))
-        for leaf, value in changed:
-            leaf += size
-            tree[leaf] = value
-            while leaf > 1:
-                other = tree[leaf ^ 1]
-                if other < value:
-                    value = other
-                leaf >>= 1
-                if tree[leaf] == value:
-                    break
-                tree[leaf] = value
+            tree[size + h] = get(symbols[h] << 20 | merged, NONE)
+        else:
+            h = i
+        # the nodes above the changed leaves, level by level; neighbours soon share them
+        left, right, at = size + h >> 1, size + j >> 1, at >> 1
+        while at:
+            a, b = tree[at + at], tree[at + at + 1]
+            tree[at] = a if a <= b else b
+            if left != at:
+                a, b = tree[left + left], tree[left + left + 1]
+                tree[left] = a if a <= b else b
+            if right != at:
+                a, b = tree[right + right], tree[right + right + 1]
+                tree[right] = a if a <= b else b
+            left, right, at = left >> 1, right >> 1, at >> 1
     return [s for s in symbols if s >= 0]
 
 
-class Memo(dict):
-    """Values of a function of text, the last MEMO to 2 MEMO different ones remembered.
-
-    A full memo becomes the old one; what is asked for again moves back, the rest goes in the end."""
+class PairTable:
+    """Merge values of pairs as two arrays with open addressing, for many look-ups at a time."""
+
+    def __init__(self, merges: dict[int, int]) -> None:
+        keys = np.fromiter(merges, np.int64, len(merges))
+        values = np.fromiter(merges.values(), np.int64, len(merges))
+        self.bits = max(4, (8 * len(merges)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1), np.full(1 << self.bits, NONE)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] < 0]
+            _, one = np.unique(slot[free], return_index=True)
+            self.keys[slot[free[one]]], self.values[slot[free[one]]] = keys[free[one]], values[free[one]]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The merge values of the pairs a, b; NONE where there is no merge or a symbol is negative."""
+        keys = (a << 20) | b
+        keys[(a < 0) | (b < 0)] = -2
+        slot = self._slot(keys)
+        found = self.keys[slot]
+        out = np.where(found == keys, self.values[slot], NONE)
+        todo = np.flatnonzero((found != keys) & (found >= 0) & (keys >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[slot[todo]]
+            hit = found == keys[todo]
+            out[todo[hit]] = self.values[slot[todo[hit]]]
+            todo = todo[~hit & (found >= 0)]
+        return out
 
-    def __init__(self, compute: Callable[[str], str | bytes]) -> None:
-        self.compute, self.old = compute, {}
 
-    def __missing__(self, key: str) -> str | bytes:
-        out = self.old.pop(key, None)
-        if out is None:
-            out = self.compute(key)
-        if len(key) < 256:
-            if len(self) >= MEMO:
-                self.old = dict(self)
-                self.clear()
-            self[key] = out
-        return out
+def merge_in_step(symbols: np.ndarray, pairs: PairTable) -> np.ndarray:
+    """merge_piece() for many pieces at once: row by row the ids, -1 where nothing is left.
+
+    symbols: a row a piece, its byte ids and then -1; one column more than a power of two, the number
+    of leaves. Each round every unfinished piece goes down its own tree, merges once, and the changed
+    leaves and the nodes above them are set anew."""
+    n, width = symbols.shape
+    size = width - 1
+    depth = size.bit_length() - 1
+    symbols = np.concatenate((symbols, np.full((n, 1), -1)), axis=1)  # column `width` stands for the end
+    tree = np.full((n, 2 * size), NONE)
+    tree[:, size:] = pairs.get(symbols[:, :size].ravel(), symbols[:, 1:width].ravel()).reshape(n, size)
+    for level in range(depth - 1, -1, -1):
+        lo = 1 << level
+        np.minimum(tree[:, 2 * lo : 4 * lo : 2], tree[:, 2 * lo + 1 : 4 * lo : 2], out=tree[:, lo : 2 * lo])
+    after, before = np.tile(np.arange(1, width + 2), (n, 1)), np.tile(np.arange(-1, width), (n, 1))
+    after[:, width] = width
+    rows = np.flatnonzero(tree[:, 1] != NONE)
+    while len(rows):
+        least, at = tree[rows, 1], np.ones(len(rows), np.int64)
+        for _ in range(depth):
+            at *= 2
+            at += tree[rows, at] != least
+        i = at - size
+        j = after[rows, i]
+        k = after[rows, j]
+        merged = least & ID_MASK
+        symbols[rows, i], symbols[rows, j] = merged, -1
+        after[rows, i], before[rows, k] = k, i
+        h = before[rows, i]
+        first = h < 0
+        h[first] = i[first]
+        over = j >= size  # the last symbol starts no pair
+        tree[rows, size + np.where(over, i, j)] = NONE
+        tree[rows, at] = pairs.get(merged, symbols[rows, k])
+        tree[rows[~first], size + h[~first]] = pairs.get(symbols[rows[~first], h[~first]], merged[~first])
+        changed = [at, size + h, size + np.where(over, i, j)]
+        for _ in range(depth):
+            for c in changed:
+                c >>= 1
+                tree[rows, c] = np.minimum(tree[rows, 2 * c], tree[rows, 2 * c + 1])
+        rows = rows[tree[rows, 1] != NONE]
+    return symbols
 
 
 class Codec:
-    """Encodes and decodes whole texts."""
+    """Encodes and decodes whole texts. It remembers pieces, at most MEMO older ones and MEMO and a chunk's new ones."""
 
     def __init__(self, words: Vocabulary, odd: str) -> None:
         self.words = words
-        self.pieces = regex.compile(PIECES).findall
+        self.pieces, self.ascii_pieces = regex.compile(PIECES).findall, re.compile(ASCII_PIECES, re.ASCII).findall
         self.odd = frozenset(odd)
-        assert min(odd, default="\u0100") > "\xff", "Latin-1 is taken for known"
+        assert min(odd, default="\x80") > "\x7f", "ASCII is taken for known"
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(words.special, key=len, reverse=True))) + ")") if words.special else None
-        self.ids, self.bytes = Memo(self._encode_piece), Memo(self._decode_ids)
+        self.pairs, self.byte_ids = PairTable(words.merges), np.array(words.byte_ids)
+        self.forget()
 
-    def _encode_piece(self, piece: str) -> str:
-        byte_ids = self.words.byte_ids
-        return ",".join(map(str, merge_piece([byte_ids[b] for b in piece.encode()], self.words.merges)))
+    def forget(self) -> None:
+        self.known: dict[str, tuple[str, str]] = {}
+        self.old: dict[str, tuple[str, str]] = {}
 
-    def _decode_ids(self, joined: str) -> bytes:
+    def _entry(self, piece: str, ids: list[int]) -> tuple[str, str]:
+        """The ids, joined by commas, and the text that they decode to: whole characters, as every piece is encoded from such."""
         tokens = self.words.tokens
-        return b"".join([tokens[int(i)] for i in joined.split(",")])
+        text = b"".join([tokens[i] for i in ids]).decode("utf-8", "replace")
+        return ",".join(map(str, ids)), piece if text == piece else text  # one object where they are equal
+
+    def learn(self, pieces: set[str]) -> None:
+        """Encodes the pieces that aren't known, those with equally large trees in step."""
+        if len(self.known) > MEMO:
+            self.known, self.old = {}, self.known
+        sizes: dict[int, list[tuple[str, bytes]]] = {}
+        for piece in pieces - self.known.keys():
+            if (found := self.old.get(piece)) is not None:
+                self.known[piece] = found
+                continue
+            data = piece.encode()
+            sizes.setdefault(1 << max(0, len(data) - 2).bit_length(), []).append((piece, data))
+        for size, of in sizes.items():
+            if size > MOST_LEAVES:
+                for piece, data in of:
+                    self.known[piece] = self._entry(piece, merge_piece(self.byte_ids[list(data)].tolist(), self.words.merges))
+                continue
+            raw = np.frombuffer(b"".join([data.ljust(size + 1, b"\0") for _, data in of]), np.uint8).reshape(-1, size + 1)
+            length = np.fromiter((len(data) for _, data in of), np.int64, len(of))
+            done = merge_in_step(np.where(np.arange(size + 1) < length[:, None], self.byte_ids[raw], -1), self.pairs)
+            left = done >= 0
+            flat, end = done[left].tolist(), np.cumsum(left.sum(axis=1)).tolist()
+            for (piece, _), a, b in zip(of, [0, *end[:-1]], end, strict=True):
+                self.known[piece] = self._entry(piece, flat[a:b])
 
     def split(self, text: str) -> list[str]:
-        if self.odd:
-            try:
-                text.encode("latin-1")  # none of these is odd, and this is fast
-            except UnicodeEncodeError:
-                if not self.odd.isdisjoint(text):
-                    return library_pieces(text)
+        if text.isascii():
+            return self.ascii_pieces(text)
+        if not self.odd.isdisjoint(text):
+            return library_pieces(text)
         return self.pieces(text)
 
-    def encode(self, text: str) -> list[str]:
-        """The ids of each piece, joined by commas; special tokens of the vocabulary are pieces of their own."""
-        ids = self.ids
-        if self.special is None or not any(s in text for s in self.words.special):
-            return list(map(ids.__getitem__, self.split(text)))
+    def encode(self, texts: list[str]) -> list[list[tuple[str, str]]]:
+        """For each text and piece the ids, joined by commas, and what they decode to; special tokens of the vocabulary are pieces of their own."""
+        special = self.words.special
+        cut = [[self.split(part) if k % 2 == 0 else part for k, part in enumerate(self.special.split(t))] if self.special is not None and any(s in t for s in special) else [self.split(t)] for t in texts]
+        self.learn({piece for parts in cut for pieces in parts[::2] for piece in pieces})
+        known = self.known
         out = []
-        for k, part in enumerate(self.special.split(text)):
-            out += [str(self.words.special[part])] if k % 2 else [ids[p] for p in self.split(part)]
+        for parts in cut:
+            found = list(map(known.__getitem__, parts[0]))
+            for name, pieces in zip(parts[1::2], parts[2::2], strict=True):
+                found += [self._entry(name, [special[name]]), *map(known.__getitem__, pieces)]
+            out.append(found)
+        for piece in [p for p in known if len(p) > MEMO_LETTERS]:
+            del known[piece]
         return out
 
-    def decode(self, joined: list[str]) -> str:
-        return b"".join(map(self.bytes.__getitem__, joined)).decode("utf-8", "replace")
+    @staticmethod
+    def decode(encoded: list[tuple[str, str]]) -> str:
+        return "".join([x[1] for x in encoded])
+
+
+def chunks(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in runs of about CHUNK letters."""
+    run, n = [], 0
+    for text in texts:
+        run.append(text)
+        n += len(text)
+        if n >= CHUNK:
+            yield run
+            run, n = [], 0
+    if run:
+        yield run
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _codec(vocabulary: str, odd: str) -> Codec:
-    """The codec of a Python worker, kept with its memo for the worker's later tasks."""
+    """The codec of a Python worker; its vocabulary, of fixed size, is kept for the worker's later tasks."""
     return Codec(Vocabulary.parse(vocabulary), odd)
 
 
@@ -206,23 +324,24 @@ def encode_decode(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> D
     with open(vocabulary, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast((f.read(), odd_characters()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(*sent.value)
         sha = hashlib.sha256
         for batch in batches:
             out: dict[str, list] = {"n": [], "i": [], "d": [], "ids": []}
-            for text in batch.column("text"):
-                parts = codec.encode(text.as_py() or "")
-                ids = ",".join(parts)
-                out["n"].append(ids.count(",") + 1 if ids else 0)
-                out["i"].append(sha(ids.encode()).hexdigest())
-                out["d"].append(sha(codec.decode(parts).encode()).hexdigest())
-                if with_ids:
-                    out["ids"].append([int(x) for x in ids.split(",")] if ids else [])
+            for run in chunks([t.as_py() or "" for t in batch.column("text")]):
+                for parts in codec.encode(run):
+                    ids = ",".join([x[0] for x in parts])
+                    out["n"].append(ids.count(",") + 1 if ids else 0)
+                    out["i"].append(sha(ids.encode()).hexdigest())
+                    out["d"].append(sha(codec.decode(parts).encode()).hexdigest())
+                    if with_ids:
+                        out["ids"].append([int(x) for x in ids.split(",")] if ids else [])
             cols = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(out["n"], pa.int64()), "ids_sha256": pa.array(out["i"], pa.string()), "decoded_sha256": pa.array(out["d"], pa.string())}
             if with_ids:
                 cols["ids"] = pa.array(out["ids"], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(cols)
+        codec.forget()  # an idle worker holds no memo
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
