@@ -18,14 +18,17 @@ from epochlane.session import materialise
 BINS = 1 << 14
 #: Most training texts of one language; the centroids are fitted on these.
 SAMPLE_PER_LANG = 800
+#: The languages learned are the values of lang with most texts, so many at most; this bounds the model's size.
+MOST_LANGS = 200
 #: Centroids of one language.
 CENTROIDS = 4
-ROUNDS = 12
-#: A text is rejected when its cosine is under this share of the least one that its centroid's own texts have.
-REJECT_SHARE = 0.25
-#: Texts with fewer letters are never rejected for distance: their few n-grams leave the cosine to chance.
-REJECT_LETTERS = 200
-SLICE = 1 << 20
+ROUNDS = 8
+#: A text is rejected when its cosine is under REJECT_SHARE of the REJECT_QUANTILE point of the cosines
+#: of training texts that have about as many letters: short texts have few n-grams and lie farther out.
+REJECT_SHARE, REJECT_QUANTILE = 0.5, 0.01
+#: Lengths in letters where a new class of lengths begins.
+LENGTHS = [16, 32, 64, 128, 256, 512, 1024]
+SLICE = 1 << 16
 UND = "und"
 
 _LETTERS: list[np.ndarray] = []
@@ -66,12 +69,12 @@ def count_ngrams(text: str) -> tuple[np.ndarray, int]:
 
 @dataclass
 class Model:
-    """idf by class; one row of `centroids` and one floor each for each entry of `langs`."""
+    """idf by class of n-grams; one row of `centroids` for each entry of `langs`; one floor for each class of lengths."""
 
     idf: np.ndarray = field(default_factory=lambda: np.ones(BINS, np.float32))
     centroids: np.ndarray = field(default_factory=lambda: np.zeros((0, BINS), np.float32))
     langs: list[str] = field(default_factory=list)
-    floors: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    floors: np.ndarray = field(default_factory=lambda: np.zeros(len(LENGTHS) + 1, np.float32))
 
     def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each row the best centroid and its cosine; ties go to the first language by name."""
@@ -87,70 +90,150 @@ def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return rows / np.where(norm > 0, norm, 1)
 
 
-def cluster(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means with farthest-first starts: centroids, and the least cosine in each."""
-    starts = [int((vectors @ vectors.mean(axis=0)).argmax())]
-    while len(starts) < min(k, len(vectors)):
-        nearest = (vectors @ vectors[starts].T).max(axis=1)
-        if nearest.min() > 0.999:
-            break
-        starts.append(int(nearest.argmin()))
-    at = vectors[starts].copy()
-    for _ in range(rounds):
-        own = (vectors @ at.T).argmax(axis=1)
-        for j in range(len(at)):
-            if (own == j).any():
-                mean = vectors[own == j].mean(axis=0)
-                at[j] = mean / max(float(np.linalg.norm(mean)), 1e-9)
-    cos = vectors @ at.T
-    own = cos.argmax(axis=1)
-    return at, np.array([cos[own == j, j].min() if (own == j).any() else 1.0 for j in range(len(at))], np.float32)
+def length_class(letters) -> np.ndarray:
+    return np.searchsorted(LENGTHS, letters, side="right")
+
+
+class Rows:
+    """Texts of one language as n-gram classes and their counts, made dense a block at a time."""
+
+    def __init__(self, at: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray) -> None:
+        self.at, self.counts, self.idf = at, counts, idf
+
+    def blocks(self, only: np.ndarray | None = None, size: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row numbers, their TF-IDF vectors)."""
+        rows = np.arange(len(self.at)) if only is None else only
+        for lo in range(0, len(rows), size):
+            own = rows[lo : lo + size]
+            dense = np.zeros((len(own), BINS), np.float32)
+            for i, r in enumerate(own.tolist()):
+                dense[i, self.at[r]] = self.counts[r]
+            yield own, weigh(dense, self.idf)
+
+    def mean(self, only: np.ndarray) -> np.ndarray:
+        return sum(x.sum(axis=0) for _, x in self.blocks(only)) / len(only)
+
+    def along(self, only: np.ndarray, direction: np.ndarray) -> np.ndarray:
+        return np.concatenate([x @ direction for _, x in self.blocks(only)])
+
+    def halves(self, only: np.ndarray, steps: int = 4) -> tuple[np.ndarray, np.ndarray] | None:
+        """Two halves of some rows, cut at the median along their direction of largest spread; None for equal rows."""
+        mean = self.mean(only)
+        direction = next(self.blocks(only[self.along(only, mean).argsort(kind="stable")[:1]]))[1][0] - mean
+        for _ in range(steps):
+            far = self.along(only, direction) - mean @ direction
+            norm = np.linalg.norm(far)
+            if norm < 1e-4:
+                return None
+            direction = sum((far[i : i + len(x), None] * x).sum(axis=0) for i, (_, x) in zip(range(0, len(only), 64), self.blocks(only), strict=True)) - far.sum() * mean
+            direction /= max(float(np.linalg.norm(direction)), 1e-12)
+        order = self.along(only, direction).argsort(kind="stable")
+        return only[np.sort(order[: len(order) // 2])], only[np.sort(order[len(order) // 2 :])]
+
+
+def cluster(rows: Rows, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means: at most k centroids, and each row's cosine to the nearest.
+
+    It starts from the means of groups: the largest is halved until there are k. So outliers
+    don't take a centroid of their own."""
+    groups, whole = [np.arange(len(rows.at))], []
+    while groups and len(groups) + len(whole) < k:
+        groups.sort(key=len)
+        largest = groups.pop()
+        parts = rows.halves(largest) if len(largest) >= 2 else None
+        if parts is None:
+            whole.append(largest)
+        else:
+            groups += parts
+    unit = lambda m: m / max(float(np.linalg.norm(m)), 1e-9)
+    at = np.stack([unit(rows.mean(g)) for g in sorted([*groups, *whole], key=lambda g: int(g[0]))])
+    for last in [False] * rounds + [True]:
+        sums, n, best = np.zeros_like(at), np.zeros(len(at)), []
+        for _, x in rows.blocks():
+            cos = x @ at.T
+            own = cos.argmax(axis=1)
+            best.append(cos.max(axis=1))
+            for j in np.unique(own).tolist():
+                sums[j] += x[own == j].sum(axis=0)
+                n[j] += (own == j).sum()
+        if not last:
+            at = np.stack([unit(s) if c else old for s, c, old in zip(sums, n, at, strict=True)])
+    return at[n > 0], np.concatenate(best)
+
+
+def reject_floors(letters: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """The least cosine that isn't rejected in each class of lengths; a class without a text takes the next shorter one's."""
+    of, out = length_class(letters), np.zeros(len(LENGTHS) + 1, np.float32)
+    for c in range(len(out)):
+        own = cosines[of == c]
+        out[c] = REJECT_SHARE * np.quantile(own, REJECT_QUANTILE) if len(own) else out[c - 1] if c else 0
+    return out
 
 
 def held_out(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
 
 
+def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of texts with a letter in docs (text), and for each class of n-grams how many of them hold it.
+
+    Each task counts its own texts; the driver gets one number a class."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(BINS + 1, np.int64)  # the last is the number of texts
+        for batch in batches:
+            for text in batch.column("text"):
+                counts, letters = count_ngrams(text.as_py())
+                if letters:
+                    df[:BINS] += counts > 0
+                    df[BINS] += 1
+        on = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(on, pa.int32()), pa.array(df[on])], names=["at", "n"])
+
+    out = np.zeros(BINS + 1, np.int64)
+    for at, n in docs.select("text").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n")).collect():
+        out[at] = n
+    return int(out[BINS]), out[:BINS]
+
+
 def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, centroids: int = CENTROIDS) -> Model:
-    """A model from at most sample_per_lang texts of each language, of rows that aren't held out.
+    """A model of the MOST_LANGS languages with most texts, from rows that aren't held out.
 
-    docs: doc_id, text, lang. Rows with null text or lang, or no letter, teach nothing. The
-    sample are the rows whose hashed doc_id comes first, thinned by a threshold before any
-    sort. Each language's centroids are one task's work over its bounded sample; the driver
-    gets idf (BINS numbers) and the centroids. No labelled row: a model without languages."""
+    docs: doc_id, text, lang. Rows with null text or lang, or no letter, teach nothing. Document
+    frequencies cover all the others. Centroids are fitted on at most sample_per_lang texts of
+    each language, the rows whose hashed doc_id comes first, thinned by a threshold before any
+    sort; one task has one language's. The driver gets idf (BINS numbers), the centroids, and
+    length and cosine of each sampled text. No labelled row: a model without languages."""
     known = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null").where(~F.coalesce(held_out("doc_id"), F.lit(False)))
-    n = known.select("lang").groupBy("lang").agg(F.count("*").alias("n"))
+    total, df = document_frequencies(known)
+    if not total:
+        return Model()
+    idf = np.log((1 + total) / (1 + df)).astype(np.float32) + np.float32(0.1)
+    n = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
     order = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 40))
-    thin = known.withColumn("_o", order).join(F.broadcast(n.select("lang", (F.lit(float(1 << 40)) * F.least(F.lit(1.0), F.lit(1.5 * sample_per_lang + 200) / F.col("n"))).alias("_most"))), "lang").where("_o <= _most")
+    least = n.select("lang", (F.lit(float(1 << 40)) * F.least(F.lit(1.0), F.lit(1.5 * sample_per_lang + 200) / F.col("n"))).alias("_most"))
+    thin = known.withColumn("_o", order).join(F.broadcast(least), "lang").where("_o <= _most")  # MOST_LANGS rows
     ranked = thin.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_o", "doc_id"))).where(F.col("_k") <= sample_per_lang)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, at, values = [], [], []
+            langs, at, values, size = [], [], [], []
             for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
                 counts, letters = count_ngrams(text.as_py())
                 if letters:
                     on = np.flatnonzero(counts)
-                    langs.append(lang.as_py()), at.append(on.astype(np.int32)), values.append(counts[on].astype(np.int32))
-            yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "at": pa.array(at, pa.list_(pa.int32())), "n": pa.array(values, pa.list_(pa.int32()))})
+                    langs.append(lang.as_py()), at.append(on.astype(np.int32)), values.append(counts[on].astype(np.int32)), size.append(letters)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "letters": pa.array(size, pa.int64()), "at": pa.array(at, pa.list_(pa.int32())), "n": pa.array(values, pa.list_(pa.int32()))})
 
-    sample = materialise(ranked.select("lang", "text").mapInArrow(featurise, "lang string, at array<int>, n array<int>"))
-    total = sample.count()
-    if not total:
-        return Model()
-    idf = np.full(BINS, np.log(1 + total), np.float32)
-    for at, df in sample.select(F.explode("at").alias("at")).groupBy("at").count().collect():
-        idf[at] = np.log((1 + total) / (1 + df)) + 0.1
+    sample = materialise(ranked.select("lang", "text").mapInArrow(featurise, "lang string, letters long, at array<int>, n array<int>"))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros((len(group), BINS), np.float32)
-        for i, (at, n) in enumerate(zip(group["at"], group["n"], strict=True)):
-            counts[i, at] = n
-        mid, floor = cluster(weigh(counts, idf), centroids)
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "j": range(len(mid)), "v": [m.tolist() for m in mid], "floor": floor.astype(float)})
+        mid, cos = cluster(Rows(group["at"].tolist(), group["n"].tolist(), idf), centroids)
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "mid": [m.tolist() for m in mid], "letters": [group["letters"].tolist(), *[[]] * (len(mid) - 1)], "cos": [cos.astype(float).tolist(), *[[]] * (len(mid) - 1)]})
 
-    rows = sorted(sample.groupBy("lang").applyInPandas(one, "lang string, j int, v array<float>, floor double").collect(), key=lambda r: (r["lang"], r["j"]))
-    return Model(idf, np.array([r["v"] for r in rows], np.float32), [r["lang"] for r in rows], np.array([r["floor"] for r in rows], np.float32))
+    rows = sorted(sample.groupBy("lang").applyInPandas(one, "lang string, mid array<float>, letters array<long>, cos array<double>").collect(), key=lambda r: r["lang"])
+    floors = reject_floors(*(np.concatenate([np.array(r[c], float) for r in rows]) for c in ("letters", "cos")))
+    return Model(idf, np.array([r["mid"] for r in rows], np.float32), [r["lang"] for r in rows], floors)
 
 
 def judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -163,9 +246,9 @@ def judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray,
             out[i] = False
         if found and model.langs:
             best, cos = model.nearest(weigh(np.stack([x[1] for x in found]), model.idf))
-            for (i, _, letters), j, c in zip(found, best.tolist(), cos.tolist(), strict=True):
-                langs[i], score[i] = model.langs[j], min(1.0, max(0.0, c))
-                out[i] = letters >= REJECT_LETTERS and c < REJECT_SHARE * model.floors[j]
+            floors = model.floors[length_class([x[2] for x in found])].tolist()
+            for (i, _, _), j, c, floor in zip(found, best.tolist(), cos.tolist(), floors, strict=True):
+                langs[i], score[i], out[i] = model.langs[j], min(1.0, max(0.0, c)), c < floor
     return langs, score, out
 
 
@@ -173,10 +256,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs (any columns, text among them) with lang_pred, score and rejected, row by row.
 
     A null text or one without a letter is `und` with score 0 and rejected. Another gets the
-    language of the nearest centroid; it is rejected if it has REJECT_LETTERS letters or more
-    and lies farther out than REJECT_SHARE allows. Without a learned language every text is
-    `und`, and one with a letter isn't rejected, since there is no distance to judge by. The model, of fixed size, is broadcast; nothing is shuffled. Columns of those three
-    names in docs are replaced."""
+    language of the nearest centroid; it is rejected if it lies farther from it than texts of
+    its length do, see REJECT_SHARE. Without a learned language every text is `und`, and one
+    with a letter isn't rejected, since there is no distance to judge by. The model is
+    broadcast, at most MOST_LANGS * CENTROIDS * BINS numbers; nothing is shuffled. Columns of
+    those three names in docs are replaced."""
     docs = docs.drop("lang_pred", "score", "rejected")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
