@@ -48,7 +48,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
+    return exact_dedup.duplicates(table(spark, sf_dir, "documents")).drop("keep_points")
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
