@@ -26,7 +26,7 @@ class CuckooFilter:
         n = max(16, len(keys))
         while True:
             made = cls.empty(n)
-            if all(made.insert(k) for k in keys.tolist()):
+            if made.insert_many(keys):
                 return made
             n *= 2
 
@@ -61,6 +61,24 @@ class CuckooFilter:
                 return True
         return False
 
+    def insert_many(self, keys: np.ndarray) -> bool:
+        """Keys that find a free slot in their first or second bucket go in together, the rest one by one."""
+        mark = (keys >> np.uint64(48)).astype(np.int64)
+        mark[mark == 0] = 1
+        at = (keys & np.uint64(self.mask)).astype(np.int64)
+        for _ in range(2):
+            order = np.argsort(at, kind="stable")
+            own = at[order]
+            start = np.flatnonzero(np.concatenate((np.ones(min(1, len(own)), bool), own[1:] != own[:-1])))
+            place = np.arange(len(own)) - np.repeat(start, np.diff(np.append(start, len(own))))
+            taken = self.table[own] != 0
+            fits = place < SLOTS - taken.sum(axis=1)
+            slots = np.argsort(taken, axis=1, kind="stable")[np.flatnonzero(fits), place[fits]]
+            self.table[own[fits], slots] = mark[order[fits]]
+            left = order[~fits]
+            keys, mark, at = keys[left], mark[left], (at[left] ^ mark[left] * 0x5BD1E995) & self.mask
+        return all(self.insert(k) for k in keys.tolist())
+
     def delete(self, key: int) -> bool:
         """Takes out one copy of a key that was inserted."""
         mark, i, j = self._places(key)
