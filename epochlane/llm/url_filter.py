@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epochlane.operators.graph import connected_components
+from epochlane.operators.skew import join_spread
 from epochlane.session import materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules up to this many are written into the expression; more go through a join on host suffixes.
 INLINE_RULES = 256
 SALTS = 16
+#: Entities that occur in URLs; the ampersand's come last, as they start the others.
+ENTITIES = {"&quot;": '"', "&#34;": '"', "&apos;": "'", "&#39;": "'", "&lt;": "<", "&gt;": ">", "&#47;": "/", "&#x2F;": "/", "&#x2f;": "/", "&#58;": ":", "&#x3A;": ":", "&#61;": "=", "&#x3D;": "=", "&#63;": "?", "&#x3F;": "?", "&#38;": "&", "&#x26;": "&", "&amp;": "&"}
 
 Rule = tuple[str, str]
 
@@ -44,13 +47,12 @@ def _with_rule_inline(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def _with_rule_joined(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     table = df.sparkSession.createDataFrame([(*_split(r), r, v) for r, v in rules], "_host string, _path string, rule string, rule_verdict string")
-    at = df.withColumn("_row", F.monotonically_increasing_id())
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     near = df.select("host", "path").distinct().withColumn("_host", F.explode(F.array_distinct(suffixes)))
     hit = near.join(table, "_host").where(F.col("path").startswith(F.col("_path")))
     best = hit.groupBy("host", "path").agg(F.max(F.struct(F.length("rule"), "rule", "rule_verdict")).alias("b")).select("host", "path", "b.rule", "b.rule_verdict")
-    return at.drop("_row").join(best, ["host", "path"], "left")
+    return df.join(best, ["host", "path"], "left")
 
 
 def with_rule(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -58,9 +60,13 @@ def with_rule(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
     A rule is host + path, as in "example.org/es/"; it fits its host and every
     subdomain when the path starts with the rule's path. Rules are code, not data:
-    their number doesn't grow with the pages.
+    their number doesn't grow with the pages. Of equal rules an allow wins.
     """
-    return _with_rule_inline(df, rules) if len(rules) <= INLINE_RULES else _with_rule_joined(df, rules)
+    said: dict[str, str] = {}
+    for rule, verdict in rules:
+        said[rule] = "allow" if "allow" in (verdict, said.get(rule)) else verdict
+    once = list(said.items())
+    return _with_rule_inline(df, once) if len(once) <= INLINE_RULES else _with_rule_joined(df, once)
 
 
 def normal_form(url: Column) -> Column:
@@ -71,16 +77,61 @@ def normal_form(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(host_of(url), F.regexp_replace(path_of(url), "/+$", ""), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute of a tag, quoted or bare; empty where there is none."""
+    pattern = rf"""(?is)(?<![\w-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+
+
+def unescaped(text: Column) -> Column:
+    for entity, sign in ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    return text
+
+
+def without_dots(path: Column) -> Column:
+    """A path with its segments . and .. carried out."""
+    def step(kept: Column, segment: Column) -> Column:
+        return F.when(segment == ".", kept).when(segment == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.concat(kept, F.array(segment)))
+
+    parts = F.split(path, "/")
+    # the first segment is what stands before the leading slash, and stays
+    walked = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.slice(parts, 1, 1), step)
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(walked, "/")).otherwise(path)
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """The absolute URL that a link target names on the page url; null for other schemes, and for
+    targets that are empty or a fragment of the page itself."""
+    scheme, base, path = F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), path_of(url)
+    folder = F.concat(F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1), F.lit("/"))
+    own, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*([?][^#]*)?", 1)
+    absolute = target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+    return (
+        F.when(base == "", F.when(absolute & target.contains("://"), target))
+        .when(absolute, F.when(target.contains("://"), target))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when((target == "") | target.startswith("#"), F.lit(None))
+        .when(target.startswith("?"), F.concat(base, path, rest))
+        .when(target.startswith("/"), F.concat(base, without_dots(own), rest))
+        .otherwise(F.concat(base, without_dots(F.concat(folder, own)), rest))
+    )
+
+
 def link_targets(url: Column, html: Column) -> Column:
-    """Array of absolute URLs that a page's canonical link and refresh redirect name; may be empty.
+    """Array of absolute URLs that a page's canonical links and refresh redirects name; may be empty.
+
+    A link is canonical if `canonical` is one of the words of its rel. Entities in targets are
+    decoded; relative targets are taken from the page's own URL."""
+    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
+
+    def target(tag: Column) -> Column:
+        canonical = tag.rlike(r"(?i)^<link") & F.array_contains(F.split(F.trim(F.lower(attribute(tag, "rel"))), r"\s+"), "canonical")
+        refresh = tag.rlike(r"(?i)^<meta") & (F.lower(F.trim(attribute(tag, "http-equiv"))) == "refresh")
+        to = F.regexp_extract(unescaped(attribute(tag, "content")), r"""(?is)^[\s\d.]*[;,]?\s*url\s*=\s*["']?([^"']*)""", 1)
+        return F.btrim(F.when(canonical, unescaped(attribute(tag, "href"))).when(refresh, to), F.lit(" \t\n\f\r"))
 
-    Targets that start with / take the page's scheme and host; other relative ones are ignored."""
-    head = F.coalesce(html, F.lit(""))
-    tags = F.regexp_extract_all(head, F.lit(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>|<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"), F.lit(1))
-    named = F.transform(tags, lambda t: F.regexp_extract(t, r"(?is)(?:\bhref\s*=\s*[\"']?|;\s*url\s*=\s*[\"']?)([^\"'\s>]+)", 1))
-    base = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    full = F.transform(named, lambda t: F.when(t.startswith("//"), F.concat(F.lit("http:"), t)).when(t.startswith("/"), F.concat(base, t)).otherwise(t))
-    return F.filter(full, lambda t: t.contains("://"))
+    return F.array_compact(F.transform(F.filter(F.transform(tags, target), lambda t: t.isNotNull()), lambda t: resolved(t, url)))
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
@@ -112,7 +163,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         (F.coalesce("b", F.lit(False)) | F.coalesce(F.col("rule_verdict") == "block", F.lit(False))).alias("b"))
     per_node = materialise(per_node)
     decided = per_node.groupBy("alias_group").agg(F.max("a").alias("allowed"), F.max("b").alias("blocked"))
-    spread = per_node.select("node", "alias_group").join(decided, "alias_group").where("allowed or blocked")
+    spread = join_spread(per_node.select("node", "alias_group"), materialise(decided), ["alias_group"], "node").where("allowed or blocked")
     spread = spread.select(F.col("node").alias("form"), "alias_group", "allowed", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     out = own.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(spread, ["form", "salt"], "left")
     method = F.when(F.col("allowed"), "allow").when(F.col("allowed") == False, "block").otherwise("allow")  # noqa: E712
