@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epochlane.operators.graph import connected_components
+from epochlane.operators.skew import join_spread
 from epochlane.session import materialise
 
 SEED = 42
@@ -71,16 +73,27 @@ def embed(fp: Column) -> Column:
     return F.shiftleft(a.bitwiseAND(b), 1).bitwiseOR(a.bitwiseOR(b))
 
 
-def grid_masks(most_bits: int = MOST_BITS) -> list[int]:
-    """Of most_bits + 2 groups of segments at least two have distance 0 between linked vectors,
-    so linked vectors share a cell of the grid over some two groups: one mask for each two."""
-    n = most_bits + 2
+def grid_masks(most_bits: int = MOST_BITS, groups: int | None = None) -> list[int]:
+    """Masks of the grids over the embedded segments: linked vectors share a cell of one grid at least.
+
+    Of `groups` groups of segments, at most most_bits have a distance above 0 between linked
+    vectors, so the others are equal: one grid for each choice of groups - most_bits of them."""
+    n = groups or most_bits + 2
     edges = [2 * round(32 * i / n) for i in range(n + 1)]
     masks = [((1 << edges[i + 1]) - (1 << edges[i])) for i in range(n)]
-    both = [a | b for a, b in combinations(masks, 2)]
+    both = [sum(chosen) for chosen in combinations(masks, n - most_bits)]
     return [m - (1 << 64) if m >= 1 << 63 else m for m in both]
 
 
+def fine_enough(n: int, most_bits: int = MOST_BITS) -> int:
+    """The number of groups that leaves about one of n random fingerprints, or fewer, in a cell: a
+    segment of two bits tells 1.5 bits apart. More fingerprints take more grids, of smaller cells."""
+    groups = most_bits + 2
+    while 1.5 * 32 * (groups - most_bits) / groups < math.log2(max(2, n)) and groups < 16:
+        groups += 1
+    return groups
+
+
 def links(fps: DataFrame) -> DataFrame:
     """(src, dst): edges over distinct fingerprints whose components are those of the relation
     "differs in MOST_BITS or fewer bits".
@@ -91,10 +104,9 @@ def links(fps: DataFrame) -> DataFrame:
     value is within one bit of both, so each sends itself to its 65 such midpoints and every
     midpoint links its senders to their least. That is linear, and exact with no cap."""
     cells = fps.select("fp", embed(F.col("fp")).alias("e")).select(
-        "fp", "e", F.posexplode(F.array(*[F.col("e").bitwiseAND(F.lit(m)) for m in grid_masks()])).alias("grid", "cell"))
-    full = materialise(cells.groupBy("grid", "cell").agg(F.count("*").alias("n"), F.max("fp").alias("top"), F.min("fp").alias("low")).where("n > 1"))
-    crowd = cells.join(full, ["grid", "cell"]).select("fp", "e", "grid", "cell", "n")
-    crowd = materialise(crowd)
+        "fp", "e", F.posexplode(F.array(*[F.col("e").bitwiseAND(F.lit(m)) for m in grid_masks(groups=fine_enough(fps.count()))])).alias("grid", "cell"))
+    full = materialise(cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1"))
+    crowd = materialise(join_spread(cells, full.select("grid", "cell", "n"), ["grid", "cell"], "fp").select("fp", "e", "grid", "cell", "n"))
     few = crowd.where(F.col("n") <= CELL_MOST)
     a, b = (few.select("grid", "cell", F.col("fp").alias(x), F.col("e").alias(f"e_{x}")) for x in ("src", "dst"))
     near = (F.bit_count(F.col("e_src").bitwiseXOR(F.col("e_dst"))) <= MOST_BITS) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= MOST_BITS)
@@ -121,5 +133,5 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     named = groups.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = materialise(named)
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = materialise(named.join(ids, "component").select("fp", "component_id"))
-    return of_doc.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = materialise(join_spread(named.select("fp", "component"), materialise(ids), ["component"], "fp").select("fp", "component_id"))
+    return join_spread(of_doc, of_fp, ["fp"], "doc_id").select("doc_id", "fp", "component_id")

@@ -270,6 +270,14 @@ def test_exact(docs, empty):
     assert kept.columns == docs.columns and kept.count() == len(groups)
 
 
+def test_of_rows_that_repeat_an_id_the_longest_stays(spark):
+    rows = [(1, "ab"), (1, "a  b     "), (1, " a  b    "), (2, "ab"), (None, "x y"), (None, "xy"), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in exact_dedup.keep_one(df).collect()) == Counter([(1, " a  b    "), (None, "x y"), (3, "")])
+    got = exact_dedup.duplicates(df.repartition(5), runs=6, ways=4).where("doc_id = 2").first()
+    assert (got["keep_id"], got["group_size"], got["kept"], got["keep_points"]) == (1, 4, False, 9)
+
+
 # --- 7
 
 
@@ -346,10 +354,19 @@ def test_lines(docs, empty, monkeypatch):
     assert clean(docs, index) == brute_lines(texts(docs))
     assert sum(n for (_, _, dropped, _), n in clean(docs, index).items() if dropped) == 6
     assert line_dedup.clean(empty, line_dedup.build(empty)).count() == 0
-    monkeypatch.setattr(line_dedup, "FILTER_BYTES", 0)  # without filters
+    monkeypatch.setattr(line_dedup, "PAIRS_PER_PART", 2)  # every shard in several parts
     assert clean(docs, index) == brute_lines(texts(docs))
 
 
+def test_lines_of_null_ids_count_once_and_go(spark, docs):
+    held = lambda index: {(bytes(r["key"]), r["n_docs"]) for r in index.refs.collect()}
+    null = docs.where("doc_id is null").withColumn("text", F.lit("A line of more than forty letters without an id"))
+    index = line_dedup.build(docs)
+    once = line_dedup.insert(index, null)
+    assert held(line_dedup.insert(once, null)) == held(once) != held(index)
+    assert held(line_dedup.delete(once, null)) == held(line_dedup.build(docs.where("doc_id is not null")))
+
+
 def test_lines_inserted_and_deleted_again(spark, docs):
     first, later = docs.where("doc_id < 23"), docs.where("doc_id >= 23")
     index = line_dedup.insert(line_dedup.build(first), later)
