@@ -23,8 +23,9 @@ def day_mask(window_days: DataFrame, points: DataFrame, missing: DataFrame, arti
     return at.select("window_id", "day_idx", (F.col("_bad").isNull() & F.coalesce("_full", F.lit(False))).alias("valid"))
 
 
-def apply_mask(points: DataFrame, mask: DataFrame) -> DataFrame:
-    return points.join(mask, ["window_id", "day_idx"]).withColumn("value", F.when(F.col("valid"), F.col("value"))).drop("valid")
+def apply_mask(points: DataFrame, mask: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """points with null in `cols` on the days that mask (window_id, day_idx, valid) doesn't hold valid."""
+    return points.join(mask, ["window_id", "day_idx"]).withColumns({c: F.when(F.col("valid"), F.col(c)) for c in cols or ["value"]}).drop("valid")
 
 
 def min_valid_days(mask: DataFrame, least: int = 6) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from epochlane.functions.special import lgamma, normal_cdf
-from epochlane.operators import changepoint, configs, density, posterior, ranking
+from epochlane.operators import changepoint, clean, configs, density, features, posterior, profiles, ranking, search
 from epochlane.operators.graph import connected_components
-from epochlane.plans.base import with_profiles
+from epochlane.plans.base import SQL_WINDOW_DAY, window_days, with_profiles
 from epochlane.plans.profiling import PERIOD_SQL, PM1_SQL, _mask, _periods, masked
 from epochlane.plans.registry import query
 from epochlane.session import materialise
@@ -130,7 +130,20 @@ _dens("logpdf_iib", lambda: density.interval_inflated_beta(F.col("u"), F.lit(0.2
 _dens("logpdf_zib", lambda: density.zero_inflated_beta(F.col("u"), F.lit(0.1), F.lit(2.0), F.lit(5.0)), f"CASE WHEN u <= 1e-6 THEN ln(0.1::DOUBLE) ELSE ln(0.9::DOUBLE) + {BETA} END", "u")
 
 
-@query("logpdf_skewnormal")
+def cdf_sql(x: str) -> str:
+    """The standard normal distribution function in SQL, by the series and the tail of functions.special.erf."""
+    a = f"(abs({x}) / sqrt(2::DOUBLE))"
+    series = f"2 / sqrt(pi()) * list_sum(list_transform(range(0, 41), lambda k: (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * pow({a}, 2 * k + 1) * exp(-lgamma((k + 1)::DOUBLE)) / (2 * k + 1)))"
+    tail = f"1 - exp(-{a} * {a}) / ({a} * sqrt(pi())) * (1 - 1 / (2 * {a} * {a}) + 3 / (4 * {a} ** 4) - 15 / (8 * {a} ** 6))"
+    return f"(0.5 * (1 + sign({x}) * CASE WHEN {a} <= 3 THEN {series} WHEN {a} > 6 THEN 1 ELSE {tail} END))"
+
+
+def skew_sql(y: str, m: str, s: str, alpha: str) -> str:
+    cdf = cdf_sql(f"({alpha} * (({y} - ({m})) / ({s})))")
+    return f"(ln(2::DOUBLE) + {NORM.format(s=s, y=y, m=m)} + ln(greatest({cdf}, 1e-300)))"
+
+
+@query("logpdf_skewnormal", DENS + f"SELECT window_id, day_idx, grp, round(CASE WHEN y IS NULL THEN 0 ELSE {skew_sql('y', '-0.2', '0.4::DOUBLE', '1.5::DOUBLE')} END, 5) AS ll FROM v")
 def logpdf_skewnormal(spark, d):
     return _periods(spark, d).select("window_id", "day_idx", "grp", F.round(density.skew_normal(F.col("mean"), F.lit(-0.2), F.lit(0.4), F.lit(1.5)), 5).alias("ll"))
 
@@ -207,9 +220,20 @@ def loo_exact(spark, d):
     return _r(changepoint.loo_exact(_values(spark, d), KEYS, 5), "elpd", n=4)
 
 
-@query("drop_worst_rounds")
+def _rounds_sql(n: int) -> dict[str, str]:
+    """Leave-one-out densities and the worst window of each round, over what the rounds before left."""
+    out = {"vv": "SELECT grp, window_id, day_idx AS c, y FROM v WHERE y IS NOT NULL"}
+    for r in range(n):
+        left = " UNION ALL ".join(f"SELECT grp, window_id FROM worst{j}" for j in range(r))
+        out[f"vv{r}"] = "SELECT * FROM vv" + (f" WHERE (grp, window_id) NOT IN ({left})" if r else "")
+        out[f"loo{r}"] = LOO_SQL.replace("FROM vv ", f"FROM vv{r} ").replace("FROM vv)", f"FROM vv{r})").replace("JOIN vv x", f"JOIN vv{r} x")
+        out[f"worst{r}"] = f"SELECT grp, {r} AS round, arg_min(window_id, (round(elpd, 9), window_id)) AS window_id, min(elpd) AS elpd FROM loo{r} GROUP BY 1"
+    return out
+
+
+@query("drop_worst_rounds", tau_sql(**_rounds_sql(3)) + "SELECT grp, round, window_id, round(elpd, 4) AS elpd FROM (" + " UNION ALL ".join(f"SELECT * FROM worst{r}" for r in range(3)) + ")")
 def drop_worst_rounds(spark, d):
-    return changepoint.drop_worst(_values(spark, d), KEYS, 5, 3)
+    return _r(changepoint.drop_worst(_values(spark, d), KEYS, 5, 3), "elpd", n=4)
 
 
 @query("influential_events", tau_sql(vv="SELECT grp, window_id, day_idx AS c, y FROM v WHERE y IS NOT NULL", loo=LOO_SQL) + "SELECT grp, window_id, subject_id, event_date, round(elpd, 4) AS elpd FROM (SELECT loo.*, avg(elpd) OVER (PARTITION BY grp) - 2 * stddev_pop(elpd) OVER (PARTITION BY grp) AS cut FROM loo) x JOIN trigger ON trigger_id = window_id WHERE elpd < cut")
@@ -233,33 +257,190 @@ def g_prior_scale(spark, d):
     return view(spark, d, "search_result").select("config_id", changepoint.g_prior_scale(n, "unit_information").alias("unit_information"), F.round(changepoint.g_prior_scale(n, "hyper_g_n"), 6).alias("hyper_g_n"), changepoint.g_prior_scale(n, "fixed", 10.0).alias("fixed"))
 
 
-@query("search_all")
+GRID = [(n, o) for n in (12, 24, 36, 48) for o in (0.0, 0.25, 0.5)]
+FEATURE = ["n_points", "overlap", "grp", "metric"]
+
+
+def _grid_features(spark, d):
+    """(n_points, overlap, window_id, chunk_idx, grp, metric, y, u): the long features of every profile of the grid."""
+    choices = F.array(*[F.struct(F.lit(n).alias("n_points"), F.lit(o).alias("overlap")) for n, o in GRID])
+    slots = window_days(spark, d).select("window_id", "day_idx", "subject_id", "day", F.explode(choices).alias("_g")).select("window_id", "day_idx", "subject_id", "day", "_g.*")
+    slots = slots.withColumn("point_idx", F.explode(F.sequence(F.lit(0), F.col("n_points") - 1)))
+    at = slots.join(profiles.grid(view(spark, d, "hypno"), GRID), ["subject_id", "day", "n_points", "overlap", "point_idx"], "left").withColumnRenamed("pct", "value")
+    scaled = clean.min_max(at, ["window_id", "n_points", "overlap"], low=-1.0, high=1.0, constant=0.0)
+    grp = F.array(F.lit("daily"), F.when(2 * F.col("point_idx") < F.col("n_points"), "day").otherwise("night"))
+    per = scaled.withColumn("grp", F.explode(grp)).groupBy("n_points", "overlap", "window_id", "day_idx", "grp").agg(F.avg("value").alias("mean"), (F.max("value") - F.min("value")).alias("range"))
+    return _with_unit(features.long_features(per, ["mean", "range"], ["n_points", "overlap", "window_id", "day_idx", "grp"]))
+
+
+def _with_unit(long):
+    """Means run over [-1, 1] and ranges over [0, 2]; u is either on [0, 1]."""
+    u = F.when(F.col("metric") == "mean", (F.col("value") + 1) / 2).otherwise(F.col("value") / 2)
+    return long.withColumnsRenamed({"day_idx": "chunk_idx"}).withColumns({"y": F.col("value"), "u": u}).drop("value")
+
+
+GRID_SQL = {
+    "g": "SELECT * FROM (VALUES " + ", ".join(f"({n}, {o}::DOUBLE)" for n, o in GRID) + ") g(n_points, overlap)",
+    "pg": """SELECT p.subject_id, p.day, p.n_points, p.overlap, p.i AS point_idx, coalesce(100.0 * count(*) FILTER (WHERE stage = 2) / nullif(count(h.epoch_idx), 0), 0) AS pct
+        FROM (SELECT *, floor(greatest(0.0, (i + 0.5) * (n / n_points) - n / n_points / (1 - overlap) / 2)) AS a, floor(least(n, (i + 0.5) * (n / n_points) + n / n_points / (1 - overlap) / 2)) AS b
+            FROM (SELECT subject_id, day, count(*)::DOUBLE AS n FROM hypno GROUP BY 1, 2), g, (SELECT unnest(range(48))::INT AS i) WHERE i < n_points) p
+        LEFT JOIN hypno h ON h.subject_id = p.subject_id AND h.day = p.day AND h.epoch_idx >= p.a AND h.epoch_idx < p.b GROUP BY 1, 2, 3, 4, 5""",
+    "rg": "SELECT w.window_id, w.day_idx, g.n_points, g.overlap, i AS point_idx, pct AS value FROM window_day w CROSS JOIN g CROSS JOIN (SELECT unnest(range(48))::INT AS i) k LEFT JOIN pg ON pg.subject_id = w.subject_id AND pg.day = w.day AND pg.n_points = g.n_points AND pg.overlap = g.overlap AND pg.point_idx = i WHERE i < g.n_points",
+    "sg": "SELECT *, CASE WHEN value IS NULL THEN NULL WHEN max(value) OVER w > min(value) OVER w THEN -1.0 + 2.0 * (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) ELSE 0 END AS x FROM rg WINDOW w AS (PARTITION BY window_id, n_points, overlap)",
+    "fg": """SELECT n_points, overlap, window_id, day_idx AS c, grp, metric, y, CASE WHEN metric = 'mean' THEN (y + 1) / 2 ELSE y / 2 END AS u FROM (
+        SELECT n_points, overlap, window_id, day_idx, grp, unnest(['mean', 'range']) AS metric, unnest([avg(x), max(x) - min(x)]) AS y FROM (
+            SELECT *, unnest(['daily', CASE WHEN 2 * point_idx < n_points THEN 'day' ELSE 'night' END]) AS grp FROM sg) e GROUP BY n_points, overlap, window_id, day_idx, grp) z""",
+}
+
+
+def _beta_sql(p: str, least: float = 0.0) -> str:
+    size = f"greatest({p}s / {p}n * (1 - {p}s / {p}n) / greatest({p}q / {p}n - ({p}s / {p}n) ** 2, 1e-6) - 1, 0.1)"
+    a, b = f"greatest({p}s / {p}n * {size}, {least}::DOUBLE)", f"greatest((1 - {p}s / {p}n) * {size}, {least}::DOUBLE)"
+    return f"CASE WHEN {p}n > 0 THEN {p}n * (lgamma({a} + {b}) - lgamma({a}) - lgamma({b})) + ({a} - 1) * {p}l + ({b} - 1) * {p}m ELSE 0 END"
+
+
+def _share_sql(n: str, share: str) -> str:
+    return f"CASE WHEN {n} > 0 THEN ({n}) * ln({share}) ELSE 0 END"
+
+
+_NORMAL = "-n / 2 * (ln(2 * pi() * greatest({q} / n - ({s} / n) ** 2, 1e-6)) + 1)"
+_V = "greatest(aq / an - (as_ / an) ** 2, 1e-6)"
+_BN = "(0.1 + (q - s * s / n) / 2 + n * (s / n) ** 2 / (2 * (1 + n)))"
+CLOSED_SQL = {
+    "normal": _NORMAL.format(q="q", s="s"), "normal_marginal": f"lgamma(2 + n / 2) - lgamma(2::DOUBLE) + 2 * ln(0.1::DOUBLE) - (2 + n / 2) * ln({_BN}) - 0.5 * ln(1 + n) - n / 2 * ln(2 * pi())",
+    "lognormal": _NORMAL.format(q="ag", s="al") + " - al",
+    "gamma": f"n * (as_ / an * as_ / an / {_V} * ln(as_ / an / {_V}) - lgamma(as_ / an * as_ / an / {_V})) + (as_ / an * as_ / an / {_V} - 1) * al - as_ / an / {_V} * as_",
+    "beta": _beta_sql("a").replace("as /", "as_ /"), "beta_constrained": _beta_sql("a", 1.0).replace("as /", "as_ /"),
+    "zero_inflated_beta": f"{_share_sql('an - pn', '(an - pn) / n')} + {_share_sql('pn', 'pn / n')} + {_beta_sql('p')}",
+    "interval_inflated_beta": f"{_share_sql('an - ln_', '(an - ln_) / n / (1 - 0.9)')} + {_share_sql('ln_', 'ln_ / n')} + {_beta_sql('l').replace('ln ', 'ln_ ').replace('ln)', 'ln_)')}",
+}
+
+
+def score_sql(src: str, keys: str, kinds: list[str]) -> dict[str, str]:
+    """st, mo, sc: sums, moments and scores (keys, likelihood, tau, ll) of src (keys, window_id, c, y, u)."""
+    part = lambda p, cond: ", ".join(f"coalesce(sum({v}) FILTER (WHERE {cond}), 0) AS {n}" for n, v in ((f"{p}n" if p != "l" else "ln_", "1.0::DOUBLE"), (f"{p}s" if p != "a" else "as_", "x"), (f"{p}q", "x * x"), (f"{p}l", "ln(x)"), (f"{p}m", "ln(1 - x)")))
+    skew = "least(greatest(round((c3 / n - 3 * s / n * q / n + 2 * (s / n) ** 3) / pow(var, 1.5), 6), -0.9), 0.9)"
+    closed = [k for k in kinds if k in CLOSED_SQL]
+    ll = {k: f"CASE WHEN n > 0 THEN {CLOSED_SQL[k]} ELSE 0 END" for k in closed}
+    rows = [f"SELECT {keys}, tau, unnest([{', '.join(repr(k) for k in closed)}]) AS likelihood, unnest([{', '.join(ll.values())}]) AS ll FROM st"] if closed else []
+    t = "lgamma(2.5::DOUBLE) - lgamma(2.0::DOUBLE) - 0.5 * ln(4 * pi()) - ln(t_scale) - 2.5 * ln(1 + ((y - mean) / t_scale) ** 2 / 4)"
+    each = {"student_t": t, "skew_normal": skew_sql("y", "xi", "omega", "alpha")}
+    for k in [k for k in kinds if k in each]:
+        rows.append(f"SELECT {keys}, tau, '{k}' AS likelihood, {each[k]} AS ll FROM (SELECT *, CASE WHEN c < tau - 1 THEN 1 ELSE 2 END AS r FROM {src}, taus WHERE y IS NOT NULL) z JOIN mo USING ({keys}, tau, r)")
+    return {
+        "taus": "SELECT unnest(range(2, 9))::INT AS tau",
+        "st": f"""SELECT {keys}, tau, CASE WHEN c < tau - 1 THEN 1 ELSE 2 END AS r, count(y)::DOUBLE AS n, coalesce(sum(y), 0) AS s, coalesce(sum(y * y), 0) AS q, coalesce(sum(y * y * y), 0) AS c3, coalesce(sum(ln(x) * ln(x)), 0) AS ag,
+            {part('a', 'u IS NOT NULL')}, {part('p', 'u > 1e-6')}, {part('l', 'u < 0.9')} FROM (SELECT *, CASE WHEN u IS NOT NULL THEN least(greatest(u, 1e-6), 1 - 1e-6) END AS x FROM {src}), taus GROUP BY ALL""",
+        "mo": f"""SELECT *, mean - omega * delta * sqrt(2 / pi()) AS xi, delta / sqrt(1 - delta * delta) AS alpha FROM (SELECT *, sqrt(var / (1 - 2 * delta * delta / pi())) AS omega FROM (
+            SELECT *, sign(g) * sqrt(pi() / 2 * pow(abs(g), 2.0 / 3) / (pow(abs(g), 2.0 / 3) + pow((4 - pi()) / 2, 2.0 / 3))) AS delta FROM (
+                SELECT *, {skew} AS g, sqrt(var / 2) AS t_scale FROM (SELECT *, s / n AS mean, greatest(q / n - (s / n) ** 2, 1e-6) AS var FROM st WHERE n > 0) a) b) c) d""",
+        "sc": f"SELECT {keys}, likelihood, tau, sum(ll) AS ll FROM (" + " UNION ALL ".join(rows) + ") GROUP BY ALL",
+    }
+
+
+def summary_sql(items: str, keys: str, config_keys: str) -> dict[str, str]:
+    """out: search.score_configs() of items by the scores in sc."""
+    return {
+        "lc": f"SELECT {config_keys}, tau, sum(ll) AS ll, count(ll) AS k FROM {items} JOIN sc USING ({keys}, likelihood) GROUP BY {config_keys}, tau",
+        "pc": f"SELECT *, exp(ll - top) / sum(exp(ll - top)) OVER (PARTITION BY {config_keys}) AS p FROM (SELECT *, max(ll) OVER (PARTITION BY {config_keys}) AS top FROM lc)",
+        "ec": f"""SELECT {config_keys}, max(k) AS n_scored, max(top) + ln(sum(exp(ll - top))) - ln(count(*)) AS log_evidence, sum(p * tau) AS e_tau, sqrt(greatest(sum(p * tau * tau) - sum(p * tau) ** 2, 0)) AS sd_tau,
+            arg_max(tau, (round(p, 9), -tau)) AS map_tau, max(p) AS p_map FROM pc GROUP BY {config_keys}""",
+        "out": f"""SELECT {config_keys}, n_features, coalesce(n_scored, 0) AS n_scored, CASE WHEN n_scored = n_features THEN 'ok' ELSE 'error' END AS status, CASE WHEN n_scored = n_features THEN round(log_evidence, 4) END AS log_evidence,
+            CASE WHEN n_scored = n_features THEN round(e_tau, 5) END AS e_tau, CASE WHEN n_scored = n_features THEN round(sd_tau, 5) END AS sd_tau, CASE WHEN n_scored = n_features THEN map_tau END AS map_tau, CASE WHEN n_scored = n_features THEN round(p_map, 5) END AS p_map
+            FROM (SELECT {config_keys}, count(*) AS n_features FROM {items} GROUP BY {config_keys}) n LEFT JOIN ec USING ({config_keys})""",
+    }
+
+
+OUT = ["n_features", "n_scored", "status", "log_evidence", "e_tau", "sd_tau", "map_tau", "p_map"]
+SEARCHED = ["student_t", "skew_normal", "beta", "beta_constrained"]
+
+
+def _scored(out, config_keys):
+    return _r(_r(out, "log_evidence", n=4), "e_tau", "sd_tau", "p_map", n=5).select(*config_keys, *OUT)
+
+
+def _items(spark, d):
+    """(config_id, n_points, overlap, grp, metric, likelihood): the features that each configuration asks for."""
+    part = lambda c: F.when(F.col(c) != "", F.struct(F.split(c, "=")[0].alias("metric"), F.split(c, "=")[1].alias("likelihood")))
+    parts = F.explode(F.array_compact(F.array(part("mean_part"), part("range_part"))))
+    at = view(spark, d, "config").select("config_id", F.col("n_points").cast("int").alias("n_points"), "overlap", F.split("block", ":")[0].alias("grp"), parts.alias("_"))
+    return at.select("config_id", "n_points", "overlap", "grp", "_.*")
+
+
+ITEMS_SQL = """SELECT config_id, n_points, overlap, grp, split_part(part, '=', 1) AS metric, split_part(part, '=', 2) AS likelihood FROM (
+    SELECT config_id, n_points::INT AS n_points, overlap, split_part(block, ':', 1) AS grp, unnest([mean_part, range_part]) AS part FROM config) x WHERE part <> ''"""
+GRID_KEYS = ", ".join(FEATURE)
+
+
+@query("tau_likelihoods", with_profiles(s=PM1_SQL, p=PERIOD_SQL, fl="SELECT window_id, day_idx AS c, grp, metric, y, CASE WHEN metric = 'mean' THEN (y + 1) / 2 ELSE y / 2 END AS u FROM (SELECT window_id, day_idx, grp, unnest(['mean', 'range']) AS metric, unnest([mean, range]) AS y FROM p) x",
+    **score_sql("fl", "grp, metric", [*CLOSED_SQL, "student_t", "skew_normal"])) + "SELECT grp, metric, likelihood, tau, round(ll, 4) AS ll FROM sc")
+def tau_likelihoods(spark, d):
+    """Every likelihood of both metrics of the day parts, fitted at every tau."""
+    long = _with_unit(features.long_features(_periods(spark, d), ["mean", "range"], ["window_id", "day_idx", "grp"]))
+    return _r(search.tau_scores(long, ["grp", "metric"], [*search.closed_forms(), *search.by_value()], 2, 8), "ll", n=4)
+
+
+@query("search_all", ctes("hypno", "trigger", "config", window_day=SQL_WINDOW_DAY, **GRID_SQL, items=ITEMS_SQL, **score_sql("fg", GRID_KEYS, SEARCHED), **summary_sql("items", GRID_KEYS, "config_id")) +
+    "SELECT *, row_number() OVER (ORDER BY status DESC, log_evidence DESC, config_id) AS rank FROM out")
 def search_all(spark, d):
-    """Every (profile group, metric) scored at once: long features, tau profile, summary."""
-    long = _periods(spark, d).select("window_id", F.col("day_idx").alias("chunk_idx"), "grp", F.explode(F.array(F.struct(F.lit("mean").alias("metric"), F.col("mean").alias("value")), F.struct(F.lit("range").alias("metric"), F.col("range").alias("value")))).alias("_")).select("window_id", "chunk_idx", "grp", "_.*")
-    keys = ["grp", "metric"]
-    return changepoint.tau_summary(changepoint.tau_profile(long, keys, 2, 8), keys, 4)
+    """Every configuration of the table over all windows: its profile's long features, scored once each, then ranked."""
+    scores = materialise(search.tau_scores(_grid_features(spark, d), FEATURE, SEARCHED, 2, 8))
+    out = _scored(search.score_configs(_items(spark, d), scores, FEATURE, ["config_id"], 4), ["config_id"])
+    return ranking.rank_column(out, [F.desc("status"), F.desc("log_evidence"), F.asc("config_id")])
+
 
+#: The scenario of run_variant and the models of confirmatory: (metric, likelihood) pairs of the whole day.
+VARIANT = [("mean", "student_t"), ("range", "beta_constrained")]
+PRESETS = {
+    "mean_range": (VARIANT, 0.5), "mean_range_interval": ([("mean", "student_t"), ("range", "interval_inflated_beta")], 0.5), "mean_skew": ([("mean", "skew_normal")], 0.5), "range_plain": ([("range", "beta")], 0.5),
+    **{f"range_{name}_{o}": ([("range", lik)], o) for name, lik in (("constrained", "beta_constrained"), ("zero", "zero_inflated_beta")) for o in (0.0, 0.25, 0.5)},
+}
+CONFIRMED = ["student_t", "skew_normal", "beta", "beta_constrained", "zero_inflated_beta", "interval_inflated_beta"]
+CONF_KEYS = ["stratum", "masked", "overlap", "grp", "metric"]
+PRESET_ROWS = [(tag, o, metric, lik) for tag, (parts, o) in PRESETS.items() for metric, lik in parts]
 
-@query("run_variant")
+
+@query("run_variant", masked(s=PM1_SQL, p=PERIOD_SQL, fl="SELECT p.window_id, p.day_idx AS c, grp, metric, CASE WHEN valid THEN y END AS y, CASE WHEN valid THEN CASE WHEN metric = 'mean' THEN (y + 1) / 2 ELSE y / 2 END END AS u FROM (SELECT window_id, day_idx, grp, unnest(['mean', 'range']) AS metric, unnest([mean, range]) AS y FROM p) p JOIN mask ON p.window_id = mask.window_id AND p.day_idx = mask.day_idx",
+    items="SELECT grp, metric, likelihood FROM (VALUES ('daily'), ('day'), ('night')) g(grp), (VALUES " + ", ".join(str(x) for x in VARIANT) + ") m(metric, likelihood)", **score_sql("fl", "grp, metric", [x[1] for x in VARIANT]), **summary_sql("items", "grp, metric", "grp")) + "SELECT * FROM out")
 def run_variant(spark, d):
-    """Mask, features and tau table of one scenario."""
-    from epochlane.operators import clean
+    """Mask, features, likelihoods and tau table of one scenario, for each part of the day."""
+    long = features.long_features(clean.apply_mask(_periods(spark, d), _mask(spark, d), ["mean", "range"]), ["mean", "range"], ["window_id", "day_idx", "grp"])
+    scores = search.tau_scores(_with_unit(long), ["grp", "metric"], [x[1] for x in VARIANT], 2, 8)
+    items = spark.createDataFrame([(g, *x) for g in ("daily", "day", "night") for x in VARIANT], "grp string, metric string, likelihood string")
+    return _scored(search.score_configs(items, scores, ["grp", "metric"], ["grp"], 4), ["grp"])
+
 
-    v = _periods(spark, d).select("grp", "window_id", "day_idx", F.col("mean").alias("value"))
-    kept = clean.apply_mask(v, _mask(spark, d)).withColumnRenamed("day_idx", "chunk_idx")
-    return changepoint.tau_summary(changepoint.tau_profile(kept, KEYS, 2, 8), KEYS, 4)
+CONF_SRC = """SELECT st.stratum, mk.masked, f.overlap, f.grp, f.metric, f.window_id, f.c, CASE WHEN NOT mk.masked OR valid THEN y END AS y, CASE WHEN NOT mk.masked OR valid THEN u END AS u
+    FROM fg f JOIN mask ON f.window_id = mask.window_id AND f.c = mask.day_idx JOIN trigger t ON t.trigger_id = f.window_id JOIN (VALUES ('full'), ('before_only')) st(stratum) ON st.stratum = 'full' OR t.direction = 'before', (VALUES (true), (false)) mk(masked)
+    WHERE f.n_points = 24 AND f.grp = 'daily'"""
+CONF_ITEMS = "SELECT tag, stratum, masked, overlap, 'daily' AS grp, metric, likelihood FROM (VALUES " + ", ".join(f"('{t}', {o}::DOUBLE, '{m}', '{k}')" for t, o, m, k in PRESET_ROWS) + ") p(tag, overlap, metric, likelihood), (VALUES ('full'), ('before_only')) st(stratum), (VALUES (true), (false)) mk(masked)"
+
+
+def _strata(spark, d):
+    t = view(spark, d, "trigger").select(F.col("trigger_id").alias("window_id"), F.explode(F.when(F.col("direction") == "before", F.array(F.lit("full"), F.lit("before_only"))).otherwise(F.array(F.lit("full")))).alias("stratum"))
+    return t
+
+
+@query("confirmatory", masked(**GRID_SQL, fc=CONF_SRC, items=CONF_ITEMS, **score_sql("fc", ", ".join(CONF_KEYS), CONFIRMED), **summary_sql("items", ", ".join(CONF_KEYS), "tag, stratum, masked")) + "SELECT * FROM out")
+def confirmatory(spark, d):
+    """A fixed list of models in every stratum, with the day mask on and off, scored in one job; error rows stay."""
+    f = _grid_features(spark, d).where("n_points = 24 and grp = 'daily'")
+    at = f.join(_mask(spark, d).withColumnRenamed("day_idx", "chunk_idx"), ["window_id", "chunk_idx"]).join(_strata(spark, d), "window_id").withColumn("masked", F.explode(F.array(F.lit(True), F.lit(False))))
+    at = at.withColumns({c: F.when(~F.col("masked") | F.col("valid"), F.col(c)) for c in ("y", "u")})
+    items = spark.createDataFrame([(t, s, m, o, "daily", metric, k) for t, o, metric, k in PRESET_ROWS for s in ("full", "before_only") for m in (True, False)], "tag string, stratum string, masked boolean, overlap double, grp string, metric string, likelihood string")
+    scores = search.tau_scores(at, CONF_KEYS, CONFIRMED, 2, 8)
+    keys = ["tag", "stratum", "masked"]
+    return _scored(search.score_configs(items, materialise(scores), CONF_KEYS, keys, 4), keys)
 
 
 CONF_SQL = """SELECT st.stratum, grp, mk.masked, count(*) AS n_values, round(avg(CASE WHEN NOT mk.masked OR valid THEN y END), 6) AS mean FROM v JOIN mask ON v.window_id = mask.window_id AND v.day_idx = mask.day_idx JOIN trigger t ON t.trigger_id = v.window_id
     JOIN (VALUES ('full'), ('before_only')) st(stratum) ON st.stratum = 'full' OR t.direction = 'before', (VALUES (true), (false)) mk(masked) GROUP BY 1, 2, 3"""
 
 
-@query("confirmatory", masked(s=PM1_SQL, p=PERIOD_SQL, v="SELECT window_id, day_idx, grp, mean AS y FROM p") + CONF_SQL)
-def confirmatory(spark, d):
+@query("confirmatory_means", masked(s=PM1_SQL, p=PERIOD_SQL, v="SELECT window_id, day_idx, grp, mean AS y FROM p") + CONF_SQL)
+def confirmatory_means(spark, d):
     """Every stratum, with the day mask on and off."""
-    t = view(spark, d, "trigger").select(F.col("trigger_id").alias("window_id"), F.explode(F.when(F.col("direction") == "before", F.array(F.lit("full"), F.lit("before_only"))).otherwise(F.array(F.lit("full")))).alias("stratum"))
-    v = _periods(spark, d).join(_mask(spark, d), ["window_id", "day_idx"]).join(t, "window_id").withColumn("masked", F.explode(F.array(F.lit(True), F.lit(False))))
+    v = _periods(spark, d).join(_mask(spark, d), ["window_id", "day_idx"]).join(_strata(spark, d), "window_id").withColumn("masked", F.explode(F.array(F.lit(True), F.lit(False))))
     return v.groupBy("stratum", "grp", "masked").agg(F.count("*").alias("n_values"), F.round(F.avg(F.when(~F.col("masked") | F.col("valid"), F.col("mean"))), 6).alias("mean"))
 
 
@@ -331,7 +512,7 @@ def ppc_mean(spark, d):
     return drawn.groupBy("grp", "regime").agg(F.avg("value").alias("observed"), F.avg("drawn").alias("replicated"), F.count("*").alias("n"))
 
 
-@query("p_lt1")
+@query("p_lt1", DR + f", m AS (SELECT config_id, avg(value) AS m, stddev_samp(value) AS s FROM draws GROUP BY 1) SELECT config_id, round({cdf_sql('((1 - m) / s)')}, 6) AS p_lt1 FROM m")
 def p_lt1(spark, d):
     s = view(spark, d, "draws").groupBy("config_id").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
     return s.select("config_id", F.round(normal_cdf((F.lit(1.0) - F.col("m")) / F.col("s")), 6).alias("p_lt1"))
