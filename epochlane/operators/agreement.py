@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,18 @@ def align(ref: DataFrame, auto: DataFrame, keys: list[str], ref_offset: int, aut
     return a.join(b, [*keys, "epoch_idx"])
 
 
+def with_next(stages: DataFrame, ref_offset: int, auto_offset: int) -> DataFrame:
+    """(pair, day, epoch_idx, y_true, y_pred): each subject's stages aligned with the next subject's of the same day.
+
+    The last subject meets the first, so every subject counts on either side. pair: "S0-S1"."""
+    w = Window.partitionBy(F.lit(0)).orderBy("subject_id")  # a row a subject
+    names = stages.select("subject_id").distinct()
+    other = names.select("subject_id", F.coalesce(F.lead("subject_id").over(w), F.min("subject_id").over(Window.partitionBy(F.lit(0)))).alias("_other")).withColumn("pair", F.concat("subject_id", F.lit("-"), "_other"))
+    ref = stages.join(other, "subject_id").select("pair", "day", "epoch_idx", "stage")
+    auto = stages.join(other.select("pair", F.col("_other").alias("subject_id")), "subject_id").select("pair", "day", "epoch_idx", "stage")
+    return align(ref, auto, ["pair", "day"], ref_offset, auto_offset)
+
+
 def confusion(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return pairs.groupBy(*(keys or []), "y_true", "y_pred").agg(F.count("*").alias("n"))
 

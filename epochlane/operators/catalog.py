@@ -30,6 +30,16 @@ def availability(needed: DataFrame, catalog: DataFrame) -> DataFrame:
     return needed.join(catalog.select(*DAY).distinct().withColumn("_has", F.lit(True)), DAY, "left").withColumn("available", F.coalesce("_has", F.lit(False))).drop("_has")
 
 
+def require(needed: DataFrame, catalog: DataFrame, show: int = 5) -> DataFrame:
+    """needed as it is; a ValueError that names some of the missing days if any is (strict mode)."""
+    gone = availability(required(needed), catalog).where("not available")
+    n = gone.count()
+    if n:
+        first = ", ".join(f"{r['subject_id']} {r['day']}" for r in gone.orderBy(*DAY).limit(show).collect())
+        raise ValueError(f"{n} days are missing: {first}")
+    return needed
+
+
 def complete_windows(window_days: DataFrame, catalog: DataFrame) -> DataFrame:
     """The window days of windows that lack no day."""
     bad = window_days.join(catalog.select(*DAY).distinct(), DAY, "left_anti").select("window_id").distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochlane.operators.ranking import rank_column
+
 DAY = ["subject_id", "day"]
 FAR = 1_000_000_000
 
@@ -100,7 +102,7 @@ def quiet_controls(rows: DataFrame, events: DataFrame, quiet_days: int, ratio: f
     rows: subject_id, day, label. Candidates are negatives more than quiet_days from any event,
     or all negatives if none is. Those of a positive's subject and month come first, in the
     order of the first such positive, then the rest by subject and day; ceil(ratio * positives)
-    are taken. The cap is a feature of the sampling; each partition sends at most that many."""
+    are taken, by rank, so no task holds them all. The cap is a feature of the sampling."""
     far = event_distance(rows.select(*DAY), events)
     neg = rows.where("label = 0").join(far, DAY).withColumn("quiet", F.col("distance") > quiet_days)
     any_quiet = neg.agg(F.max("quiet").alias("any_quiet"), F.lit(1).alias("one"))
@@ -108,4 +110,5 @@ def quiet_controls(rows: DataFrame, events: DataFrame, quiet_days: int, ratio: f
     pos = rows.where("label = 1").groupBy("subject_id", F.trunc("day", "month").alias("month")).agg(F.min("day").alias("first_pos"))
     cap = int(-(-rows.where("label = 1").count() * ratio // 1))
     at = neg.join(pos, ["subject_id", "month"], "left")
-    return at.orderBy(F.col("first_pos").isNull(), "first_pos", "subject_id", "day").limit(cap).select(*DAY)
+    ranked = rank_column(at, [F.col("first_pos").isNull(), F.col("first_pos"), F.col("subject_id"), F.col("day")], "_rank")
+    return ranked.where(F.col("_rank") <= cap).select(*DAY)

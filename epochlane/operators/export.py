@@ -31,3 +31,40 @@ def metadata(window_days: DataFrame, epochs: DataFrame) -> DataFrame:
 
 def summary(meta: DataFrame) -> DataFrame:
     return meta.agg(F.count("*").alias("n_windows"), F.count_if("exported").alias("n_exported"), F.sum("n_missing").alias("n_missing_days"), F.max("n_missing").alias("most_missing"))
+
+
+def write_step(df: DataFrame, path: str, number: int, name: str) -> str:
+    """A pipeline step's rows as Parquet at {path}/{number}-{name}, which is returned."""
+    to = f"{path.rstrip('/')}/{number:02d}-{name}"
+    df.write.mode("overwrite").parquet(to)
+    return to
+
+
+def legend(df: DataFrame, meanings: dict[str, str]) -> DataFrame:
+    """(column, type, meaning) of df's columns in their order; a column without a meaning has an empty one."""
+    rows = [(i, c, kind, meanings.get(c, "")) for i, (c, kind) in enumerate(df.dtypes)]
+    return df.sparkSession.createDataFrame(rows, "position int, column string, type string, meaning string")
+
+
+def write_results(df: DataFrame, path: str, meanings: dict[str, str], score: str = "elpd_loo") -> DataFrame:
+    """Results as CSV with a header, their legend and a summary as JSON, under path; the summary is returned.
+
+    summary: rows, ok rows, and the best, mean and worst score of the ok ones."""
+    to = path.rstrip("/")
+    df.write.mode("overwrite").option("header", "true").csv(f"{to}/results")
+    legend(df, meanings).coalesce(1).write.mode("overwrite").json(f"{to}/legend")
+    ok = F.when(F.col("status") == "ok", F.col(score))
+    out = df.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "ok").alias("n_ok"), F.max(ok).alias("best"), F.avg(ok).alias("mean"), F.min(ok).alias("worst"))
+    out.write.mode("overwrite").json(f"{to}/summary")
+    return out
+
+
+def error_matrix(pairs: DataFrame, classes: int = 3) -> DataFrame:
+    """One row a true class, a column n0, n1, ... a predicted one, and the class's share of right ones."""
+    cols = [F.count_if(F.col("y_pred") == c).alias(f"n{c}") for c in range(classes)]
+    return pairs.groupBy("y_true").agg(*cols, F.avg((F.col("y_pred") == F.col("y_true")).cast("double")).alias("right"))
+
+
+def sample_head(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows in an order: a report's look at a table."""
+    return df.orderBy(*order).limit(n)

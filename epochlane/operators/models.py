@@ -90,15 +90,17 @@ METRICS = {
 }
 
 
-def knn(train: DataFrame, test: DataFrame, k: int, metric: str = "euclidean", weights: str = "uniform", rows_per_block: int = 2000) -> DataFrame:
+def knn(train: DataFrame, test: DataFrame, k: int, metric: str = "euclidean", weights: str = "uniform", rows_per_block: int = 2000, apart: str | None = None) -> DataFrame:
     """(id, pred): the label with most (or, by 1 / distance, heaviest) votes of the k nearest train rows.
 
-    train: id, v (array), label; test: id, v. Ties in distance go to the smaller id, in votes to the
+    train: id, v (array), label; test: id, v. Rows with the same value of column `apart` in both, a
+    fold for instance, are no neighbours. Ties in distance go to the smaller id, in votes to the
     smaller label. Blocks of test rows meet blocks of train rows; each pair sends k candidates a row."""
     n, m = (max(1, -(-df.count() // rows_per_block)) for df in (train, test))
     block = lambda df, col, size: df.withColumn(col, F.pmod(F.xxhash64("id"), F.lit(size)).cast("int"))
-    a = block(test, "tb", m).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(*[F.col(c).alias(c) for c in ("tb", "rb", "id", "v")])
-    b = block(train, "rb", n).withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select(*[F.col(c).alias(c) for c in ("tb", "rb", "id", "v", "label")])
+    extra = [apart] if apart else []
+    a = block(test, "tb", m).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(*[F.col(c).alias(c) for c in ("tb", "rb", "id", "v", *extra)])
+    b = block(train, "rb", n).withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select(*[F.col(c).alias(c) for c in ("tb", "rb", "id", "v", "label", *extra)])
 
     def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -106,8 +108,11 @@ def knn(train: DataFrame, test: DataFrame, k: int, metric: str = "euclidean", we
         right = right.sort_values("id")
         x, y = (np.array(s.tolist(), float) for s in (left["v"], right["v"]))
         dist = METRICS[metric](x, y)
+        if apart:
+            dist[left[apart].to_numpy()[:, None] == right[apart].to_numpy()] = np.inf
         best = np.argsort(dist, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"id": np.repeat(left["id"].to_numpy(), best.shape[1]), "other": right["id"].to_numpy()[best].reshape(-1), "label": right["label"].to_numpy()[best].reshape(-1), "dist": np.take_along_axis(dist, best, 1).reshape(-1)})
+        out = pd.DataFrame({"id": np.repeat(left["id"].to_numpy(), best.shape[1]), "other": right["id"].to_numpy()[best].reshape(-1), "label": right["label"].to_numpy()[best].reshape(-1), "dist": np.take_along_axis(dist, best, 1).reshape(-1)})
+        return out[np.isfinite(out["dist"])]
 
     found = a.groupBy("tb", "rb").cogroup(b.groupBy("tb", "rb")).applyInPandas(near, "id long, other long, label int, dist double")
     top = found.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy("dist", "other"))).where(F.col("_k") <= k)

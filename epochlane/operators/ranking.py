@@ -46,6 +46,31 @@ def rank_column(results: DataFrame, order: list[Column], name: str = "rank", n_r
     return local.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_k") + F.col("_start")).cast("long")).drop("_part", "_k", "_start")
 
 
+def rank_within(results: DataFrame, key: str, order: list[Column], name: str = "place") -> DataFrame:
+    """results with 1, 2, ... in a total order inside each value of key, however few values there are.
+
+    The whole table is ranked by key and order; a value's first rank, one row a value, is taken off."""
+    from epochlane.session import materialise
+
+    at = materialise(rank_column(results, [F.asc(key), *order], "_rank"))
+    first = at.groupBy(F.col(key).alias("_key")).agg(F.min("_rank").alias("_first"))
+    return at.join(first, F.col(key).eqNullSafe(F.col("_key"))).withColumn(name, F.col("_rank") - F.col("_first") + 1).drop("_rank", "_first", "_key")
+
+
+def fail_fast(results: DataFrame) -> DataFrame:
+    """(config_id, early, passed): the reasons that the sampler's own marks give, before anything is scored.
+
+    early: empty for those that pass; only they need go on to pointwise scores."""
+    checks = [(F.col("status") != "ok", "status"), (F.col("n_divergences") > 0, "divergences"), (F.col("r_hat_max") > 1.05, "r_hat"), (F.col("ess_min_bulk") < 200, "ess")]
+    early = F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in checks]))
+    return results.select("config_id", early.alias("early")).withColumn("passed", F.size("early") == 0)
+
+
+def passed_only(pointwise: DataFrame, results: DataFrame) -> DataFrame:
+    """The pointwise rows (config_id, ...) of configurations that fail_fast() lets pass."""
+    return pointwise.join(fail_fast(results).where("passed").select("config_id"), "config_id", "left_semi")
+
+
 def best_first(col: str = "elpd_norm") -> list[Column]:
     return [F.desc("eligible"), F.desc_nulls_last(col), F.asc("config_id")]
 
@@ -88,13 +113,26 @@ def density_histogram(df: DataFrame, col: str, low: float, high: float, bins: in
 
 
 def permute(df: DataFrame, keys: list[str], id_col: str, value: str, seed: int) -> DataFrame:
-    """df with `value` permuted among the rows of a key, the same for the same seed."""
-    order = Window.partitionBy(*keys)
-    at = df.withColumn("_i", F.row_number().over(order.orderBy(id_col)))
-    src = df.select(*keys, F.row_number().over(order.orderBy(F.xxhash64(F.lit(seed), id_col), id_col)).alias("_i"), F.col(value).alias("_v"))
+    """df with `value` permuted among the rows of a key, or among all rows for no key; the same for the same seed.
+
+    Rows in the order of their ids take the values in the order of the ids' hashes."""
+    drawn = [F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), F.col(id_col)]
+    if keys:
+        order = Window.partitionBy(*keys)
+        at = df.withColumn("_i", F.row_number().over(order.orderBy(id_col)))
+        src = df.select(*keys, F.row_number().over(order.orderBy(*drawn)).alias("_i"), F.col(value).alias("_v"))
+    else:
+        at = rank_column(df, [F.col(id_col)], "_i")
+        src = rank_column(df, drawn, "_i").select("_i", F.col(value).alias("_v"))
     return at.join(src, [*keys, "_i"]).withColumn(value, F.col("_v")).drop("_i", "_v")
 
 
+def changes(was: DataFrame, now: DataFrame, id_col: str, value: str, keys: list[str]) -> DataFrame:
+    """(keys, n, n_changed): rows, and rows whose value isn't what it was."""
+    both = was.select(*keys, id_col, F.col(value).alias("_was")).join(now.select(id_col, value), id_col)
+    return both.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(~F.col(value).eqNullSafe(F.col("_was"))).alias("n_changed"))
+
+
 def running_best(history: DataFrame, keys: list[str], order: list[str], window: int) -> DataFrame:
     """history (.., config_id, score) with best so far, rows since it rose, share of configs first seen in the
     last `window`, and the running 10, 50 and 90 % points over it."""

@@ -55,30 +55,40 @@ def threshold_otsu(metric: DataFrame, bins: int = 256, keys: list[str] = CHANNEL
     return h.groupBy(*keys).agg(F.max_by("mid", F.struct(F.round(between, 6), -F.col("bin"))).alias("threshold"))
 
 
+def _histogram_mode(metric: DataFrame, keys: list[str], bins: int = 200, among: int = 150) -> DataFrame:
+    """(keys, centre): the middle of the first fullest of the lower `among` of `bins` equal bins."""
+    span = metric.groupBy(*keys).agg(F.min("metric").alias("lo"), F.max("metric").alias("hi"))
+    at = metric.join(span, keys).withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("metric") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(F.lit(0)))
+    h = at.groupBy(*keys, "bin", "lo", "hi").agg(F.count("*").alias("n")).where(F.col("bin") < among)
+    mid = F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / bins
+    return h.groupBy(*keys).agg(F.max_by(mid, F.struct("n", -F.col("bin"))).alias("centre"))
+
+
 def threshold_envelope(metric: DataFrame, levels: int = 49, keys: list[str] = CHANNEL) -> DataFrame:
-    """Drop the c percent farthest from the median, c = 1 .. levels, and keep the c whose rest has the
-    excess kurtosis nearest 0; the threshold is the largest value kept.
+    """Drop the c percent farthest from the median, c = 1 .. levels, as long as the threshold lies above the
+    values' mode, and take the c whose rest has the excess kurtosis nearest 0.
 
-    Ranked once; running power sums give every level's moments, so levels cost no further pass."""
-    mid = metric.groupBy(*keys).agg(F.percentile("metric", F.lit(0.5)).alias("mid"), F.count("*").alias("n"))
+    A level's threshold is the middle between the largest value kept and the smallest dropped. A key
+    with too few different values keeps them all: its threshold is the largest. Ranked once; running
+    power sums give every level's moments, so levels cost no further pass."""
+    mid = metric.groupBy(*keys).agg(F.percentile("metric", F.lit(0.5)).alias("mid"), F.count("*").alias("n"), F.max("metric").alias("most"))
     far = metric.join(mid, keys).withColumn("far", F.abs(F.col("metric") - F.col("mid"))).withColumn("x", F.col("metric") - F.col("mid"))
-    w = Window.partitionBy(*keys).orderBy("far", "metric", "epoch_idx").rowsBetween(Window.unboundedPreceding, 0)
-    run = far.select(*keys, "n", "metric", F.count("*").over(w).alias("k"), *[F.sum(F.col("x") ** i).over(w).alias(f"p{i}") for i in (1, 2, 3, 4)], F.max("metric").over(w).alias("top"))
-    cuts = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(levels)), lambda c: F.struct((F.col("n") - F.floor(F.col("n") * c / 100)).alias("k"), c.alias("c")))))
-    level = mid.select(*keys, cuts.alias("_")).select(*keys, "_.k", "_.c")
-    at = run.join(level, [*keys, "k"])
+    order = Window.partitionBy(*keys).orderBy("far", "metric", "epoch_idx")
+    w, rest = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
+    run = far.select(*keys, F.count("*").over(w).alias("k"), *[F.sum(F.col("x") ** i).over(w).alias(f"p{i}") for i in (1, 2, 3, 4)], ((F.max("metric").over(w) + F.min("metric").over(rest)) / 2).alias("cut"))
+    level = mid.select(*keys, "n", F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("c")).withColumn("k", F.col("n") - F.ceil((F.col("n") - 1) * F.col("c") / 100))
+    at = run.join(level, [*keys, "k"]).join(_histogram_mode(metric, keys), keys)
     m = F.col("p1") / F.col("k")
     m2 = F.col("p2") / F.col("k") - m * m
     m4 = F.col("p4") / F.col("k") - 4 * m * F.col("p3") / F.col("k") + 6 * m * m * F.col("p2") / F.col("k") - 3 * m * m * m * m
-    at = at.withColumn("kurt", F.when(m2 > 1e-9, F.round(F.abs(m4 / (m2 * m2) - 3), 6)))
-    return at.where("kurt is not null").groupBy(*keys).agg(F.min_by("top", F.struct("kurt", "c")).alias("threshold"))
+    lowest = F.min("cut").over(Window.partitionBy(*keys).orderBy("c").rowsBetween(Window.unboundedPreceding, -1))
+    at = at.withColumn("kurt", F.when(m2 > 1e-9, F.round(F.abs(m4 / (m2 * m2) - 3), 6))).withColumn("_on", F.coalesce(lowest > F.col("centre"), F.lit(True)))
+    best = at.where("_on and kurt is not null and cut is not null").groupBy(*keys).agg(F.min_by("cut", F.struct("kurt", "c")).alias("cut"))
+    return mid.select(*keys, "most").join(best, keys, "left").select(*keys, F.coalesce("cut", "most").alias("threshold"))
 
 
-def _mixture_split(x: np.ndarray, rounds: int = 100) -> float:
-    """Where two fitted normal components are equally likely, on a fine grid between their means."""
-    x = np.sort(x[np.isfinite(x)])
-    if len(x) < 4 or x[0] == x[-1]:
-        return float(np.median(x)) if len(x) else float("nan")
+def _mixture(x: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means, variances and shares of two normal components fitted to x."""
     mean, var, share = np.quantile(x, [0.25, 0.75]), np.full(2, x.var()), np.full(2, 0.5)
     floor = 1e-6 * x.var() + 1e-12
     for _ in range(rounds):
@@ -88,16 +98,41 @@ def _mixture_split(x: np.ndarray, rounds: int = 100) -> float:
         n = r.sum(axis=0) + 1e-12
         mean, share = (r * x[:, None]).sum(axis=0) / n, n / n.sum()
         var = (r * (x[:, None] - mean) ** 2).sum(axis=0) / n + floor
+    return mean, var, share
+
+
+def _mixture_split(x: np.ndarray) -> float:
+    """Where two fitted normal components are equally likely, on a fine grid between their means."""
+    x = np.sort(x[np.isfinite(x)])
+    if len(x) < 4 or x[0] == x[-1]:
+        return float(np.median(x)) if len(x) else float("nan")
+    mean, var, share = _mixture(x)
     lo, hi = mean.argmin(), mean.argmax()
     at = np.linspace(mean[lo], mean[hi], 2048)
     log = lambda j: np.log(share[j]) - 0.5 * np.log(var[j]) - 0.5 * (at - mean[j]) ** 2 / var[j]
     return float(at[np.abs(log(lo) - log(hi)).argmin()])
 
 
-def threshold_mixture(metric: DataFrame, keys: list[str] = CHANNEL) -> DataFrame:
+def _mixture_middle(x: np.ndarray) -> float:
+    """The middle between the largest value of the lower and the smallest of the higher of two fitted normal
+    components; where one has no value, the halves at the median take their place."""
+    x = np.sort(x[np.isfinite(x)])
+    if len(x) < 2 or x[0] == x[-1]:
+        return float(np.median(x)) if len(x) else float("nan")
+    mean, var, share = _mixture(x)
+    log = np.log(share) - 0.5 * np.log(var) - 0.5 * (x[:, None] - mean) ** 2 / var
+    low = log.argmax(axis=1) == mean.argmin()
+    if low.all() or not low.any():
+        low = x <= np.median(x)
+        if low.all():
+            low = np.arange(len(x)) < len(x) // 2
+    return float((x[low].max() + x[~low].min()) / 2)
+
+
+def threshold_mixture(metric: DataFrame, keys: list[str] = CHANNEL, split: Callable[[np.ndarray], float] = _mixture_split) -> DataFrame:
     """Threshold from a two-component normal mixture, fitted per key; a key's epochs are one day of one channel."""
     def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, _mixture_split(g["metric"].to_numpy(float)))])
+        return pd.DataFrame([(*key, split(g["metric"].to_numpy(float)))])
 
     schema = ", ".join(f"{k} {dict(metric.dtypes)[k]}" for k in keys) + ", threshold double"
     return metric.groupBy(*keys).applyInPandas(fit, schema)
@@ -201,26 +236,45 @@ def clean(stages: DataFrame) -> DataFrame:
     return no_single_between(no_single_between(at, 0, 1, 2), 1, 2, 2)
 
 
-def delta_threshold(power: DataFrame, cycle: int, keys: list[str] = CHANNEL) -> DataFrame:
-    """(keys, cycle, threshold): mixture split of each cycle's delta values up to their 99th percentile."""
-    at = power.withColumn("cycle", F.floor(F.col("epoch_idx") / cycle))
-    top = at.groupBy(*keys, "cycle").agg(F.percentile("delta", F.lit(0.99)).alias("_top"))
-    kept = at.join(top, [*keys, "cycle"]).where(F.col("delta") <= F.col("_top")).withColumn("metric", F.col("delta"))
-    return threshold_mixture(kept, [*keys, "cycle"])
+def half(position: Column, n: Column, cycles: int = 2) -> Column:
+    """Which of `cycles` equal stretches of n values the 0-based position is in; what is left over is in none."""
+    size = F.greatest(F.floor(n / cycles), F.lit(1))
+    return F.when(position < size * cycles, F.floor(position / size)).cast("int")
+
+
+def delta_threshold(power: DataFrame, cycles: int = 2, keys: list[str] = CHANNEL) -> DataFrame:
+    """(keys, cycle, threshold): mixture boundary of the delta values of each half of a day, up to their 99th percentile.
+
+    power: (keys, epoch_idx, delta) of epochs without artifacts. The percentile is the day's."""
+    top = power.groupBy(*keys).agg(F.percentile("delta", F.lit(0.99)).alias("_top"))
+    kept = power.join(top, keys).where(F.col("delta") <= F.col("_top")).withColumn("metric", F.col("delta"))
+    day = Window.partitionBy(*keys)
+    at = kept.withColumn("cycle", half(F.row_number().over(day.orderBy("epoch_idx")) - 1, F.count("*").over(day), cycles)).where("cycle is not null")
+    return threshold_mixture(at, [*keys, "cycle"], _mixture_middle)
+
 
+def score(samples: DataFrame, length: int, rate: float, delta: tuple[float, float], theta: tuple[float, float], done: DataFrame | None = None, channels: DataFrame | None = None) -> DataFrame:
+    """Stage codes of all subject-days of `samples` that aren't in `done`: the whole job in one plan.
 
-def score(samples: DataFrame, length: int, rate: float, delta: tuple[float, float], theta: tuple[float, float], done: DataFrame | None = None) -> DataFrame:
-    """Stage codes of all subject-days of `samples` that aren't in `done`: the whole job in one plan."""
+    channels: (subject_id, day, channel) to use; all if not given. Delta is smoothed twice and has a
+    threshold for each half of the day; the ratio is smoothed, loses its baseline, and has one from the
+    envelope. Where a half has no threshold it takes the day's other one."""
     if done is not None:
         samples = samples.join(done.select(*DAY).distinct(), DAY, "left_anti")
+    if channels is not None:
+        samples = samples.join(channels.select(*CHANNEL).distinct(), CHANNEL, "left_semi")
     eps = epochs(samples, length)
     metric = artifact_metric(eps)
     bad = artifact_mask(metric, select_threshold(threshold_mixture(metric), threshold_otsu(metric)))
     power = band_power(eps, *delta, rate).withColumnRenamed("power", "delta")
     power = band_power(power, *theta, rate).withColumn("ratio", F.coalesce(F.col("power") / F.nullif("delta", F.lit(0.0)), F.lit(0.0))).drop("power", "samples")
-    power = smooth5(baseline_remove(smooth5(power, "delta", times=2), "delta"), "ratio")
+    power = baseline_remove(smooth5(smooth5(power, "delta", times=2), "ratio"), "ratio")
     good = power.join(bad.where("not artifact"), [*DAY, "epoch_idx"], "left_semi")
-    d = threshold_otsu(good.withColumn("metric", F.col("delta"))).withColumnRenamed("threshold", "_d")
-    r = threshold_otsu(good.withColumn("metric", F.col("ratio"))).withColumnRenamed("threshold", "_r")
-    staged = stage_rule(power.join(d, CHANNEL).join(r, CHANNEL), F.col("_d"), F.col("_r"))
+    by_half = delta_threshold(good)
+    d = by_half.groupBy(*CHANNEL).agg(F.max(F.when(F.col("cycle") == 0, F.col("threshold"))).alias("_d0"), F.max(F.when(F.col("cycle") == 1, F.col("threshold"))).alias("_d1"))
+    r = threshold_envelope(good.withColumn("metric", F.col("ratio"))).withColumnRenamed("threshold", "_r")
+    day = Window.partitionBy(*CHANNEL)
+    at = power.withColumn("_half", 2 * F.row_number().over(day.orderBy("epoch_idx")) > F.count("*").over(day)).join(d, CHANNEL).join(r, CHANNEL)
+    threshold = F.when(F.col("_half"), F.coalesce("_d1", "_d0")).otherwise(F.coalesce("_d0", "_d1"))
+    staged = stage_rule(at, threshold, F.col("_r"))
     return clean(stage_fill(staged.join(bad, [*DAY, "epoch_idx"], "left").withColumn("artifact", F.coalesce("artifact", F.lit(False))))).select(*DAY, "epoch_idx", "stage")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from epochlane.operators import agreement, folds, metrics, models, windows
+from epochlane.operators import agreement, export, folds, metrics, models, windows
 
 from epochlane.plans.profiling import _labelled, _V, causal_sql
 from epochlane.plans.registry import query
@@ -119,18 +119,18 @@ def regression_metrics(spark, d):
     return _r(_r(out, "mape", "bias", "mse", "mae", n=4), "r2", n=5)
 
 
-PAIR_SQL = "SELECT a.day, a.epoch_idx, a.stage AS t, b.stage AS p FROM hypno a JOIN hypno b ON a.subject_id = 'S0' AND b.subject_id = 'S1' AND a.day = b.day AND a.epoch_idx = b.epoch_idx"
+NEXT_SQL = "SELECT subject_id, coalesce(lead(subject_id) OVER (ORDER BY subject_id), min(subject_id) OVER ()) AS other FROM (SELECT DISTINCT subject_id FROM hypno)"
+PAIR_SQL = f"SELECT a.subject_id || '-' || n.other AS pair, a.day, a.epoch_idx, a.stage AS t, b.stage AS p FROM hypno a JOIN ({NEXT_SQL}) n ON a.subject_id = n.subject_id JOIN hypno b ON b.subject_id = n.other AND a.day = b.day AND a.epoch_idx = b.epoch_idx"
 
 
 def _pairs(spark, d):
-    h = view(spark, d, "hypno")
-    a, b = (h.where(F.col("subject_id") == s).drop("subject_id") for s in ("S0", "S1"))
-    return agreement.align(a, b, ["day"], 0, 0)
+    """Every subject's epochs beside the next one's of the same day."""
+    return agreement.with_next(view(spark, d, "hypno"), 0, 0)
 
 
-@query("confusion", ctes("hypno", x=PAIR_SQL) + "SELECT day, t AS y_true, p AS y_pred, count(*) AS n FROM x GROUP BY 1, 2, 3")
+@query("confusion", ctes("hypno", x=PAIR_SQL) + "SELECT pair, day, t AS y_true, p AS y_pred, count(*) AS n FROM x GROUP BY 1, 2, 3, 4")
 def confusion(spark, d):
-    return agreement.confusion(_pairs(spark, d), ["day"])
+    return agreement.confusion(_pairs(spark, d), ["pair", "day"])
 
 
 @query("kappa", ctes("hypno", x=PAIR_SQL) + """, m AS (SELECT a.t, b.p, a.n * b.m / (SELECT count(*) FROM x) AS e FROM (SELECT t, count(*) AS n FROM x GROUP BY 1) a, (SELECT p, count(*) AS m FROM x GROUP BY 1) b)
@@ -146,6 +146,11 @@ def stage_agreement(spark, d):
     return _r(agreement.per_class(agreement.confusion(_pairs(spark, d))), "precision", "recall", "f1")
 
 
+@query("error_matrix", ctes("hypno", x=PAIR_SQL) + "SELECT t AS y_true, count(*) FILTER (WHERE p = 0) AS n0, count(*) FILTER (WHERE p = 1) AS n1, count(*) FILTER (WHERE p = 2) AS n2, round(avg((t = p)::INT), 6) AS right FROM x GROUP BY 1".replace(" AS right", ' AS "right"'))
+def error_matrix(spark, d):
+    return _r(export.error_matrix(_pairs(spark, d)), "right")
+
+
 @query("score_by_position", ctes("trigger", "hypno", w="SELECT trigger_id, position, subject_id, CAST(event_date + CAST(-position - 2 + i AS INT) AS DATE) AS day FROM trigger, (SELECT unnest(range(3))::INT AS i), (SELECT unnest(range(-4, 5))::INT AS position)",
     r="SELECT subject_id, day, count(*) FILTER (WHERE stage = 2) / count(*) AS share FROM hypno GROUP BY 1, 2") + "SELECT position, count(*) AS n, round(avg(share), 6) AS mean_share FROM w JOIN r ON w.subject_id = r.subject_id AND w.day = r.day GROUP BY 1")
 def score_by_position(spark, d):
@@ -169,11 +174,12 @@ def _vecs(spark, d):
 
 
 @query("knn", """WITH f AS (SELECT vec_id, embedding::DOUBLE[] AS v, (label = 0)::INT AS y, (row_number() OVER (ORDER BY md5('42:' || vec_id), vec_id) - 1) % 5 AS fold FROM embeddings),
-    n AS (SELECT a.vec_id, b.y, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS k FROM f a JOIN f b ON a.fold = 0 AND b.fold <> 0)
-    SELECT vec_id AS id, (2 * sum(y) > 5)::INT AS pred FROM n WHERE k <= 5 GROUP BY 1""")
+    n AS (SELECT a.vec_id, a.fold, b.y, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS k FROM f a JOIN f b ON a.fold <> b.fold)
+    SELECT vec_id AS id, fold::INT AS fold, (2 * sum(y) > 5)::INT AS pred FROM n WHERE k <= 5 GROUP BY 1, 2""")
 def knn(spark, d):
-    f = _vecs(spark, d).select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.col("target").alias("label"), "fold")
-    return models.knn(f.where("fold <> 0"), f.where("fold = 0"), 5)
+    """Each row's label by its five nearest rows of the other folds."""
+    f = _vecs(spark, d).select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.col("target").alias("label"), F.col("fold").cast("int").alias("fold"))
+    return models.knn(f, f, 5, apart="fold").join(f.select("id", "fold"), "id").select("id", "fold", "pred")
 
 
 def _ml(spark, d):
@@ -222,11 +228,12 @@ def grid_search(spark, d):
 
 @query("random_search")
 def random_search(spark, d):
-    """Two of the grid's options, drawn by a hash of their names."""
-    import hashlib
+    """Options drawn from ranges: logarithmic regularisation and share of l1, by a seed."""
+    import random
 
-    options = [(f"reg={r},l1={a}", lambda r=r, a=a: models.logistic(r, a)) for r in (0.003, 0.01, 0.03, 0.1) for a in (0.0, 0.5, 1.0)]
-    return models.search(_ml(spark, d), sorted(options, key=lambda o: hashlib.md5(o[0].encode()).hexdigest())[:2], 3)
+    draw = random.Random(42)
+    points = [(round(10 ** draw.uniform(-3, 0), 6), round(draw.uniform(0, 1), 3)) for _ in range(4)]
+    return models.search(_ml(spark, d), [(f"reg={r},l1={a}", lambda r=r, a=a: models.logistic(r, a)) for r, a in points], 3)
 
 
 @query("pca")
@@ -237,11 +244,16 @@ def pca(spark, d):
 
 @query("quality_model")
 def quality_model(spark, d):
-    """Channel quality from statistics of each channel-day, by a small perceptron."""
+    """Channel quality from statistics of each channel-day, by a small perceptron that has not seen the day."""
     stats = view(spark, d, "signal_raw").groupBy("subject_id", "day", "channel").agg(F.avg("sample").alias("m"), F.stddev_pop("sample").alias("s"), F.max("sample").alias("x"))
     at = stats.join(view(spark, d, "channel_quality"), ["subject_id", "day", "channel"]).withColumn("f", F.array(F.col("m") / 50, F.col("s") / 50, F.col("x") / 300)).withColumn("good", (F.col("predicted_class") < 2).cast("int"))
-    v = models.vectors(at, "f", "good")
-    return models.perceptron([3, 4, 2]).fit(v).transform(v).select("subject_id", "day", "channel", F.col("prediction").cast("int").alias("predicted_class"))
+    at = at.withColumn("fold", F.pmod(F.crc32(F.concat_ws(":", "subject_id", F.col("day").cast("string"))), F.lit(3)).cast("int"))
+    v = materialise(models.vectors(at, "f", "good"))
+    return models.out_of_fold(v, lambda: models.perceptron([3, 4, 2]), 3).select("subject_id", "day", "channel", "fold", F.col("y").cast("int").alias("y"), F.col("pred").cast("int").alias("predicted_class"))
+
+
+#: Most subjects that risk_model gives an indicator each.
+SUBJECTS = 500
 
 
 @query("risk_model")
@@ -254,10 +266,12 @@ def risk_model(spark, d):
 
     rows, _ = _labelled(spark, d)
     rows = folds.design(folds.temporal(rows, "day"), _V, F.col("role") == "train")
-    rows = rows.withColumn("subject", F.substring("subject_id", 2, 1).cast("double"))
     sets = {"null": [], "calendar": ["dom"], "full": ["dom", *_V], "no_shape": ["dom", "mean", "std"]}
     rows = materialise(rows.withColumn("dom", F.dayofmonth("day") / 31.0))
-    base = [(F.col("subject") == s).cast("double") for s in range(4)]
+    names = [r[0] for r in rows.select("subject_id").distinct().orderBy("subject_id").limit(SUBJECTS + 1).collect()]
+    if len(names) > SUBJECTS:
+        raise ValueError(f"more than {SUBJECTS} subjects: one indicator each is too many columns")
+    base = [(F.col("subject_id") == s).cast("double") for s in names]
     out = []
     for name, cols in sets.items():
         v = models.vectors(rows.withColumn("f", F.array(*base, *[F.col(c).cast("double") for c in cols])), "f", "label")
@@ -267,7 +281,7 @@ def risk_model(spark, d):
     return reduce(DataFrame.unionByName, out)
 
 
-@query("stage_rem_error", ctes("hypno", x=PAIR_SQL) + "SELECT day, count(*) FILTER (WHERE t = 2) * 5 / 60.0 AS rem_true, count(*) FILTER (WHERE p = 2) * 5 / 60.0 AS rem_pred FROM x GROUP BY 1")
+@query("stage_rem_error", ctes("hypno", x=PAIR_SQL) + "SELECT pair, day, count(*) FILTER (WHERE t = 2) * 5 / 60.0 AS rem_true, count(*) FILTER (WHERE p = 2) * 5 / 60.0 AS rem_pred FROM x GROUP BY 1, 2")
 def stage_rem_error(spark, d):
     """Minutes of stage 2 in either coding, epochs of five seconds."""
-    return _pairs(spark, d).groupBy("day").agg((F.count_if(F.col("y_true") == 2) * 5 / 60.0).alias("rem_true"), (F.count_if(F.col("y_pred") == 2) * 5 / 60.0).alias("rem_pred"))
+    return _pairs(spark, d).groupBy("pair", "day").agg((F.count_if(F.col("y_true") == 2) * 5 / 60.0).alias("rem_true"), (F.count_if(F.col("y_pred") == 2) * 5 / 60.0).alias("rem_pred"))

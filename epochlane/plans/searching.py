@@ -483,16 +483,16 @@ def ess(spark, d):
 
 
 def _pointwise(spark, d):
-    """Log-likelihood of each window's daily means under every draw of mu."""
-    v = _periods(spark, d).where("grp = 'daily' and mean is not null").groupBy("window_id").agg(F.count("*").cast("double").alias("n"), F.sum("mean").alias("s"), F.sum(F.col("mean") * F.col("mean")).alias("q"))
+    """Log-likelihood of each window's means of each part of the day under every draw of mu; config_id names both."""
+    v = _periods(spark, d).where("mean is not null").groupBy("grp", "window_id").agg(F.count("*").cast("double").alias("n"), F.sum("mean").alias("s"), F.sum(F.col("mean") * F.col("mean")).alias("q"))
     draws = view(spark, d, "param_draws")
     both = posterior.with_draws(v, draws)
     ll = -F.col("n") / 2 * F.log(F.lit(2 * 3.141592653589793 * 0.25)) - (F.col("q") - 2 * F.col("mu") * F.col("s") + F.col("n") * F.col("mu") * F.col("mu")) / 0.5
-    return both.select("config_id", "window_id", "draw", ll.alias("ll"))
+    return both.select(F.concat("config_id", F.lit(":"), "grp").alias("config_id"), "window_id", "draw", ll.alias("ll"))
 
 
-@query("waic", with_profiles("param_draws", s=PM1_SQL, p=PERIOD_SQL, v="SELECT window_id, count(mean) AS n, sum(mean) AS sm, sum(mean * mean) AS q FROM p WHERE grp = 'daily' AND mean IS NOT NULL GROUP BY 1",
-    ll="SELECT config_id, window_id, draw, -n / 2.0 * ln(2 * pi() * 0.25) - (q - 2 * mu * sm + n * mu * mu) / 0.5 AS ll FROM v, param_draws",
+@query("waic", with_profiles("param_draws", s=PM1_SQL, p=PERIOD_SQL, v="SELECT grp, window_id, count(mean) AS n, sum(mean) AS sm, sum(mean * mean) AS q FROM p WHERE mean IS NOT NULL GROUP BY 1, 2",
+    ll="SELECT config_id || ':' || grp AS config_id, window_id, draw, -n / 2.0 * ln(2 * pi() * 0.25) - (q - 2 * mu * sm + n * mu * mu) / 0.5 AS ll FROM v, param_draws",
     e="SELECT config_id, window_id, m + ln(avg(exp(ll - m))) AS lppd, var_samp(ll) AS pw FROM (SELECT *, max(ll) OVER (PARTITION BY config_id, window_id) AS m FROM ll) x GROUP BY config_id, window_id, m") + "SELECT config_id, round(sum(lppd), 4) AS lppd, round(sum(pw), 4) AS p_waic, round(sum(lppd) - sum(pw), 4) AS elpd_waic FROM e GROUP BY 1")
 def waic(spark, d):
     return _r(posterior.waic(_pointwise(spark, d)), "lppd", "p_waic", "elpd_waic", n=4)
@@ -593,6 +593,13 @@ def eligibility(spark, d):
     return _results(spark, d).select("config_id", "eligible", F.array_join("reasons", ";").alias("reasons"))
 
 
+@query("fail_fast", SR + """SELECT config_id, concat_ws(';', CASE WHEN status <> 'ok' THEN 'status' END, CASE WHEN n_divergences > 0 THEN 'divergences' END, CASE WHEN r_hat_max > 1.05 THEN 'r_hat' END, CASE WHEN ess_min_bulk < 200 THEN 'ess' END) AS early,
+    status = 'ok' AND n_divergences = 0 AND r_hat_max <= 1.05 AND ess_min_bulk >= 200 AS passed FROM search_result""")
+def fail_fast(spark, d):
+    """What is rejected before the expensive scores, and why."""
+    return ranking.fail_fast(view(spark, d, "search_result")).select("config_id", F.array_join("early", ";").alias("early"), "passed")
+
+
 @query("record_checks", SR + """SELECT config_id, problem FROM (SELECT config_id, unnest([CASE WHEN e_tau < 2 OR e_tau > 8 THEN 'e_tau out of range' END, CASE WHEN r_hat_max < 1 THEN 'r_hat under 1' END, CASE WHEN n_events <= 0 THEN 'no events' END,
     CASE WHEN status = 'ok' AND elpd_loo IS NULL THEN 'ok without elpd' END, CASE WHEN pareto_k_max > 0.85 THEN 'large pareto k' END]) AS problem FROM search_result) x WHERE problem IS NOT NULL""")
 def record_checks(spark, d):
@@ -620,7 +627,7 @@ def top_gated(spark, d):
 @query("tau_table", SR + EL + "SELECT config_id, round(e_tau)::INT AS map_tau, eligible, row_number() OVER (PARTITION BY round(e_tau) ORDER BY elpd_norm DESC NULLS LAST, config_id) AS place FROM e WHERE status = 'ok'")
 def tau_table(spark, d):
     r = _results(spark, d).where("status = 'ok'").withColumn("map_tau", F.round("e_tau").cast("int"))
-    return r.select("config_id", "map_tau", "eligible", F.row_number().over(Window.partitionBy("map_tau").orderBy(F.desc_nulls_last("elpd_norm"), "config_id")).cast("long").alias("place"))
+    return ranking.rank_within(r.select("config_id", "map_tau", "eligible", "elpd_norm"), "map_tau", [F.desc_nulls_last("elpd_norm"), F.asc("config_id")]).drop("elpd_norm")
 
 
 @query("likelihood_pivot", SR + "SELECT n_points, overlap, " + ", ".join(f"max(elpd_loo) FILTER (WHERE family = '{f}') AS {f}" for f in ("beta", "beta_constrained", "normal", "zero_inflated_beta")) + " FROM search_result GROUP BY 1, 2")
@@ -710,11 +717,21 @@ def search_summary(spark, d):
     return _results(spark, d).groupBy("family").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "ok").alias("n_ok"), F.count_if("eligible").alias("n_eligible"), F.max(F.when(F.col("eligible"), F.col("elpd_norm"))).alias("best"), F.count_if(F.col("pareto_k_max") >= 0.7).alias("n_bad_k"))
 
 
-@query("permute_within")
+@query("permute_within", ctes("trigger") + """, a AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY trigger_id) AS i FROM trigger), b AS (SELECT subject_id, event_date, row_number() OVER (PARTITION BY subject_id ORDER BY md5('42:' || trigger_id), trigger_id) AS i FROM trigger)
+    SELECT a.trigger_id, a.subject_id, b.event_date, a.direction FROM a JOIN b ON a.subject_id = b.subject_id AND a.i = b.i""")
 def permute_within(spark, d):
     return ranking.permute(view(spark, d, "trigger"), ["subject_id"], "trigger_id", "event_date", 42)
 
 
+@query("permute_global", ctes("trigger") + """, a AS (SELECT *, row_number() OVER (ORDER BY trigger_id) AS i FROM trigger), b AS (SELECT direction, row_number() OVER (ORDER BY md5('42:' || trigger_id), trigger_id) AS i FROM trigger)
+    SELECT a.subject_id, count(*) AS n, count(*) FILTER (WHERE a.direction <> b.direction) AS n_changed FROM a JOIN b USING (i) GROUP BY 1""")
+def permute_global(spark, d):
+    """Directions permuted over all events: how many events of each subject changed theirs."""
+    was = view(spark, d, "trigger")
+    now = ranking.permute(was, [], "trigger_id", "direction", 42)
+    return ranking.changes(was, now, "trigger_id", "direction", ["subject_id"])
+
+
 @query("null_arms")
 def null_arms(spark, d):
     """The real events and one arm of permuted dates per seed."""

@@ -57,9 +57,20 @@ def thr_otsu(spark, d):
     return stages.threshold_otsu(_metric(spark, d)).withColumn("threshold", F.round("threshold", 4))
 
 
-@query("thr_envelope")
+ENVELOPE_SQL = {
+    "xm": f"SELECT *, metric - mid AS x, abs(metric - mid) AS far FROM (SELECT {K}, epoch_idx, metric, quantile_cont(metric, 0.5) OVER w AS mid, count(*) OVER w AS n, min(metric) OVER w AS lo, max(metric) OVER w AS hi FROM e WINDOW w AS (PARTITION BY {K})) a",
+    "cm": f"""SELECT {K}, arg_max(lo + (bin + 0.5) * (hi - lo) / 200, (m, -bin)) AS centre FROM (
+        SELECT {K}, lo, hi, CASE WHEN hi > lo THEN least(floor((metric - lo) / (hi - lo) * 200), 199) ELSE 0 END AS bin, count(*) AS m FROM xm GROUP BY ALL) a WHERE bin < 150 GROUP BY {K}""",
+    "rm": f"""SELECT {K}, n, count(*) OVER w AS k, sum(x) OVER w AS p1, sum(x ** 2) OVER w AS p2, sum(x ** 3) OVER w AS p3, sum(x ** 4) OVER w AS p4,
+        (max(metric) OVER w + min(metric) OVER (PARTITION BY {K} ORDER BY far, metric, epoch_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) / 2 AS cut FROM xm WINDOW w AS (PARTITION BY {K} ORDER BY far, metric, epoch_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "lm": f"""SELECT *, coalesce(min(cut) OVER (PARTITION BY {K} ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > centre, true) AS on_, CASE WHEN m2 > 1e-9 THEN round(abs(m4 / (m2 * m2) - 3), 6) END AS kurt FROM (
+        SELECT {K}, c, cut, centre, p2 / k - (p1 / k) ** 2 AS m2, p4 / k - 4 * p1 / k * p3 / k + 6 * (p1 / k) ** 2 * p2 / k - 3 * (p1 / k) ** 4 AS m4 FROM rm JOIN cm USING ({K}), (SELECT unnest(range(1, 50)) AS c) WHERE k = n - ceil((n - 1) * c / 100.0)) a""",
+}
+
+
+@query("thr_envelope", with_e(**ENVELOPE_SQL) + f"SELECT {K}, round(coalesce(arg_min(cut, (kurt, c)) FILTER (WHERE on_ AND kurt IS NOT NULL AND cut IS NOT NULL), first(hi)), 6) AS threshold FROM (SELECT DISTINCT {K}, hi FROM xm) h LEFT JOIN lm USING ({K}) GROUP BY {K}")
 def thr_envelope(spark, d):
-    return stages.threshold_envelope(_metric(spark, d))
+    return stages.threshold_envelope(_metric(spark, d)).withColumn("threshold", F.round("threshold", 6))
 
 
 @query("thr_gmm")
@@ -67,10 +78,13 @@ def thr_gmm(spark, d):
     return stages.threshold_mixture(_metric(spark, d))
 
 
-@query("thr_select", with_e(o=OTSU_SQL, m=MAD_SQL) + f"SELECT {K}, round(CASE WHEN channel = 0 THEN o.threshold ELSE m.threshold END, 4) AS threshold FROM o JOIN m USING ({K})")
+@query("thr_select", with_e(o=OTSU_SQL, m=MAD_SQL, x=f"SELECT {K}, count(*) AS n FROM e GROUP BY {K}") + f"SELECT {K}, round(CASE WHEN x.n >= 8 THEN o.threshold ELSE m.threshold END, 4) AS threshold FROM o JOIN m USING ({K}) JOIN x USING ({K})")
 def thr_select(spark, d):
+    """Otsu's threshold on every channel with at least eight epochs, else the deviation's."""
     m = _metric(spark, d)
-    return stages.select_threshold(stages.threshold_otsu(m.where("channel = 0")), stages.threshold_mad(m)).withColumn("threshold", F.round("threshold", 4))
+    enough = m.groupBy(*stages.CHANNEL).agg(F.count("*").alias("n"))
+    first = stages.threshold_otsu(m).join(enough, stages.CHANNEL).withColumn("threshold", F.when(F.col("n") >= 8, F.col("threshold"))).drop("n")
+    return stages.select_threshold(first, stages.threshold_mad(m)).withColumn("threshold", F.round("threshold", 4))
 
 
 @query("artifact_mask", with_e(m=MAD_SQL, x="SELECT e.subject_id, e.day, epoch_idx, channel, metric > threshold AS o FROM e JOIN m USING (subject_id, day, channel)") +
@@ -153,9 +167,14 @@ def stage_clean(spark, d):
 
 @query("thr_delta")
 def thr_delta(spark, d):
-    return stages.delta_threshold(_metric(spark, d).withColumnRenamed("metric", "delta"), 4)
+    return stages.delta_threshold(_metric(spark, d).withColumnRenamed("metric", "delta"))
 
 
 @query("score_stages")
 def score_stages(spark, d):
-    return stages.score(view(spark, d, "signal_raw"), LEN, float(LEN), (1.0, 3.0), (3.0, 4.0))
+    """The whole job over all days, on the channels that their quality admits."""
+    from epochlane.functions.dates import channel_decision
+
+    quality = view(spark, d, "channel_quality")
+    good = channel_decision(quality.select(*stages.CHANNEL), quality, [0, 1], 0.3).where("good")
+    return stages.score(view(spark, d, "signal_raw"), LEN, float(LEN), (1.0, 3.0), (3.0, 4.0), channels=good)

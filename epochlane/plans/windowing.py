@@ -101,14 +101,13 @@ def complete_windows(spark, d):
     return catalog.complete_windows(window_days(spark, d), view(spark, d, "hypno_local")).select("window_id", "day_idx", "day")
 
 
-@query("align_hypno", ctes("hypno") + """SELECT a.day, a.epoch_idx - 2 AS epoch_idx, a.stage AS y_true, b.stage AS y_pred FROM hypno a JOIN hypno b
-    ON a.day = b.day AND a.subject_id = 'S0' AND b.subject_id = 'S1' AND a.epoch_idx - 2 = b.epoch_idx - 1 WHERE a.epoch_idx >= 2""")
+@query("align_hypno", ctes("hypno") + """SELECT a.subject_id || '-' || n.other AS pair, a.day, a.epoch_idx - 2 AS epoch_idx, a.stage AS y_true, b.stage AS y_pred FROM hypno a
+    JOIN (SELECT subject_id, coalesce(lead(subject_id) OVER (ORDER BY subject_id), min(subject_id) OVER ()) AS other FROM (SELECT DISTINCT subject_id FROM hypno)) n ON a.subject_id = n.subject_id
+    JOIN hypno b ON a.day = b.day AND b.subject_id = n.other AND a.epoch_idx - 2 = b.epoch_idx - 1 WHERE a.epoch_idx >= 2""")
 def align_hypno(spark, d):
-    h = view(spark, d, "hypno")
-    ref, auto = (h.where(F.col("subject_id") == s).drop("subject_id") for s in ("S0", "S1"))
-    from epochlane.operators.agreement import align
+    from epochlane.operators.agreement import with_next
 
-    return align(ref, auto, ["day"], 2, 1)
+    return with_next(view(spark, d, "hypno"), 2, 1)
 
 
 @query("min_event_distance", ctes("hypno", "trigger") + """SELECT d.subject_id, d.day, coalesce(min(abs(date_diff('day', t.event_date, d.day))), 1000000000)::INT AS distance
@@ -205,9 +204,10 @@ def coverage_warnings(spark, d):
     return export.metadata(window_days(spark, d), view(spark, d, "hypno_local")).where("n_missing > 2").select("window_id", "n_missing")
 
 
-@query("export_profiles")
+@query("export_profiles", with_profiles("hypno_local", ok="SELECT window_id FROM window_day w LEFT JOIN (SELECT DISTINCT subject_id, day FROM hypno_local) l ON w.subject_id = l.subject_id AND w.day = l.day GROUP BY 1 HAVING count(*) FILTER (WHERE l.day IS NULL) = 0")
+    + "SELECT window_id, " + ", ".join(f"round(coalesce(max(value) FILTER (WHERE pos = {i}), 0), 6) AS p{i}" for i in range(N_DAYS * N_POINTS)) + " FROM r WHERE window_id IN (SELECT window_id FROM ok) GROUP BY window_id")
 def export_profiles(spark, d):
     """Windows, availability, complete ones only, profiles, zero-padded matrix."""
     w = catalog.complete_windows(window_days(spark, d), view(spark, d, "hypno_local"))
-    p = profiles.of_windows(w, profile(spark, d), N_POINTS).selectExpr("window_id", f"day_idx * {N_POINTS} + point_idx AS pos", "pct AS value")
+    p = profiles.of_windows(w, profile(spark, d), N_POINTS).selectExpr("window_id", f"day_idx * {N_POINTS} + point_idx AS pos", "round(pct, 6) AS value")
     return export.matrix(p, N_DAYS * N_POINTS, 0.0)

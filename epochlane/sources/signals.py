@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from epochlane.operators.ranking import rank_column
+
+
 def read_files(spark: SparkSession, root: str, subject: str = r"R\d+", stored: int = 8, kept: int = 4) -> DataFrame:
     """(subject_id, day, channel, sample_idx, sample) from {root}/{YYYY_MM_DD}/**/*.dat on any file system.
 
@@ -38,9 +41,10 @@ def read_files(spark: SparkSession, root: str, subject: str = r"R\d+", stored: i
 def read_matrix(spark: SparkSession, path: str, columns: int) -> DataFrame:
     """(window_id, pos, value) from a headerless CSV matrix, one window a line; nan and empty are null.
 
-    A line's number is its window_id: its place among the lines of its file, files in name order of Spark's reading."""
+    window_id: the line's number from 0, over files in name order; a file may be read in several blocks."""
     names = [f"c{i}" for i in range(columns)]
-    raw = spark.read.csv(path, schema=", ".join(f"{c} string" for c in names)).withColumn("window_id", F.monotonically_increasing_id())
+    raw = spark.read.csv(path, schema=", ".join(f"{c} string" for c in names)).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    raw = rank_column(raw, [F.col("_file"), F.col("_block"), F.col("_line")], "_n").withColumn("window_id", F.col("_n") - 1)
     value = lambda c: F.expr(f"try_cast({c} as double)")
     long = raw.select("window_id", F.posexplode(F.array(*[F.when(~F.isnan(value(c)), value(c)) for c in names])).alias("pos", "value"))
     return long

@@ -19,3 +19,10 @@ def test_matrix(spark, tmp_path):
     (tmp_path / "m.csv").write_text("1,nan,3\n,2,0\n")
     got = signals.read_matrix(spark, str(tmp_path / "m.csv"), 3).orderBy("window_id", "pos").collect()
     assert [r["value"] for r in got] == [1.0, None, 3.0, None, 2.0, 0.0]
+
+
+def test_matrix_of_several_files(spark, tmp_path):
+    for name, first in (("b.csv", 100), ("a.csv", 0)):
+        (tmp_path / name).write_text("".join(f"{first + i},\n" for i in range(100)))
+    got = signals.read_matrix(spark, str(tmp_path), 2).where("pos = 0").collect()
+    assert {r["window_id"]: r["value"] for r in got} == {i: float(i) for i in range(200)}
