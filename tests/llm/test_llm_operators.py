@@ -417,6 +417,7 @@ def test_cuckoo_filter():
 def test_top_k(spark, per_shard, monkeypatch):
     monkeypatch.setattr(topk, "ROWS_PER_SHARD", per_shard)
     monkeypatch.setattr(topk, "QUERIES_PER_BLOCK", 3)
+    monkeypatch.setattr(topk, "ROOTS_PER_BUNDLE", 2)
     random.seed(8)
     rows = [(i, [random.choice([0.5, -0.25, random.gauss(0, 1)]) for _ in range(6)], 0) for i in range(200)]
     rows += [(300, None, 0), (301, [1.0, None] * 3, 0), (302, [float("nan")] * 6, 0), (303, [float("inf")] * 6, 0), (None, [1.0] * 6, 0), (400, [1.0, 2.0], 0), (450, [3.0, 1.0], 0), (500, [], 0)]
@@ -435,6 +436,38 @@ def test_top_k(spark, per_shard, monkeypatch):
     assert topk.top_k(df.where("false"), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+def test_top_k_of_repeated_rows_and_large_values(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS_PER_SHARD", 10)
+    random.seed(9)
+    rows = [(i, [1e18, 1.0]) for i in range(0, 30, 10)] + [(i, [-1e18, 2.0]) for i in range(1, 30, 10)] + [(i, [3.0 * (i % 4), 1e12]) for i in range(40, 80)]
+    rows += [(100, [1.5, 2.5])] * 7 + [(101 + i, [1.5, 2.5]) for i in range(60)] + [(500, []), (550, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    cut = lambda x: max(-(2**63), min(2**63 - 1, x))
+    whole = [(i, [cut(int(np.floor(256 * x))) for x in v]) for i, v in rows]
+    for q in sorted({i for i, _ in rows if i % 50 == 0}):
+        v = dict(whole)[q]
+        best = sorted((-cut(sum(a * b for a, b in zip(v, w, strict=True))), i) for i, w in whole if i != q and len(w) == len(v))[:5]
+        assert got[q] == [(-s, i) for s, i in best], q
+
+
+def test_cells_hold_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS_PER_SHARD", 25)
+    rng = np.random.default_rng(2)
+    middles = rng.normal(0, 30, (12, 4))
+    rows = [(i, (middles[i % 12] + rng.normal(0, 0.5, 4)).tolist()) for i in range(600)]
+    cells = topk.Cells(np.array([v for _, v in rows]), 12)
+    own = cells.of(np.array([v for _, v in rows]))
+    assert cells.n == 12 and np.mean([len(set(own[i::12])) for i in range(12)]) < 4  # of 12 cells
+    assert set(own) == set(range(12))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 3).orderBy("query_id", "rank").collect()]
+    w = np.floor(256 * np.array([v for _, v in rows])).astype(int)
+    assert got == [(q, k + 1, i) for q in range(0, 600, 50) for k, (_, i) in enumerate(sorted((-int(w[q] @ w[i]), i) for i in range(600) if i != q)[:3])]
+
+
 # --- 10
 
 
