@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochlane.operators.ranking import quantile
+
 ROW = ["window_id"]
 
 
@@ -40,7 +42,7 @@ def _real(c: str = "value") -> Column:
 def fit(rows: DataFrame) -> DataFrame:
     """One row: median, mean and mode (smallest of the most frequent) of all values that are neither null nor 0."""
     real = rows.where(_real().isNotNull())
-    stats = real.agg(F.percentile("value", F.lit(0.5)).alias("median"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    stats = real.agg(F.lit(quantile(real, "value", 0.5)).cast("double").alias("median"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     mode = real.groupBy("value").count().agg(F.max_by("value", F.struct("count", -F.col("value"))).alias("mode"))
     return stats.withColumn("_", F.lit(0)).join(F.broadcast(mode.withColumn("_", F.lit(0))), "_").drop("_")  # one row each
 

@@ -31,17 +31,42 @@ def grid(features: DataFrame, likelihoods: list[str], profiles: list[tuple[int,
     return at.select(*features.columns, "likelihood", "_p.n_points", "_p.overlap")
 
 
-def distances(configs: DataFrame, most: int, among: int | None = None) -> DataFrame:
+def _without(items: Column, most: int) -> Column:
+    """Array of (dropped, left): the sorted items with none, one or two of them dropped, up to `most`."""
+    drop = lambda gone: F.filter(items, lambda x, k: ~F.array_contains(gone, k))
+    entry = lambda n, left: F.struct(F.lit(n).alias("dropped"), left.alias("left"))
+    at = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1)).otherwise(F.array().cast("array<int>"))
+    out = [F.array(entry(0, items))]
+    if most >= 1:
+        out.append(F.transform(at, lambda i: entry(1, drop(F.array(i)))))
+    if most >= 2:
+        out.append(F.flatten(F.transform(at, lambda i: F.transform(F.filter(at, lambda j: j > i), lambda j: entry(2, drop(F.array(i, j)))))))
+    return F.concat(*out)
+
+
+def distances(configs: DataFrame, most: int) -> DataFrame:
     """(a, b, distance) for pairs of configurations at most `most` apart: profile, and differing feature items.
 
-    configs: config_id, n_points, overlap, items (array). Pairs meet through a shared profile or a shared
-    item; two that share neither are at least 3 apart, so most may be 2 at most."""
+    configs: config_id, n_points, overlap, items (array of different ones). Two sets that differ in
+    d items are equal once each has dropped what only it holds, so pairs meet by what is left, those of
+    one profile apart from the others: what meets is nearly what comes out. most may be 2 at most."""
     if most > 2:
-        raise ValueError("configurations that share nothing are not compared")
-    c = configs.select("config_id", F.struct("n_points", "overlap").alias("p"), "items")
-    a, b = (c.select(*[F.col(x).alias(f"{s}_{x}") for x in c.columns]) for s in "ab")
+        raise ValueError("sets are compared by dropping at most two items")
+    c = configs.select("config_id", F.struct("n_points", "overlap").alias("p"), F.array_sort("items").alias("items"))
+
+    def side(name: str, drops: int) -> DataFrame:
+        at = c.withColumn("_w", F.explode(_without(F.col("items"), drops)))
+        return at.select(F.col("_w.left").alias("left"), *[F.col(x).alias(f"{name}_{x}") for x in ("config_id", "p", "items")], F.col("_w.dropped").alias(f"{name}_dropped"))
+
+    def meet(drops: int, same: bool) -> DataFrame:
+        on = F.col("a_left") == F.col("b_left")
+        on = on & (F.col("a_p") == F.col("b_p")) if same else on & (F.col("a_p") != F.col("b_p"))
+        a, b = (side(x, drops).withColumnRenamed("left", f"{x}_left") for x in "ab")
+        return a.join(b, on).where("a_config_id < b_config_id").where(F.col("a_dropped") + F.col("b_dropped") <= drops)
+
+    # the same item set in another profile is one step, so there one item less may differ
+    pairs = meet(most, True)
+    if most >= 1:
+        pairs = pairs.unionByName(meet(most - 1, False))
     apart = F.when(F.col("a_p") != F.col("b_p"), 1).otherwise(0) + F.size(F.array_except("a_items", "b_items")) + F.size(F.array_except("b_items", "a_items"))
-    same = a.join(b, F.col("a_p") == F.col("b_p")).where("a_config_id < b_config_id")
-    ai, bi = a.withColumn("item", F.explode("a_items")), b.withColumn("item", F.explode("b_items"))
-    shared = ai.join(bi, "item").where("a_config_id < b_config_id").drop("item")
-    return same.unionByName(shared).select(F.col("a_config_id").alias("a"), F.col("b_config_id").alias("b"), apart.alias("distance")).where(F.col("distance") <= most).distinct()
+    return pairs.select(F.col("a_config_id").alias("a"), F.col("b_config_id").alias("b"), apart.alias("distance")).where(F.col("distance") <= most).distinct()

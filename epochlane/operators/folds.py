@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epochlane.operators.ranking import rank_column
+from epochlane.operators.ranking import quantile, rank_column
 
 
 def shuffled(id_col: str, seed: int) -> Column:
@@ -56,9 +56,9 @@ def time_series(df: DataFrame, order: list[str], splits: int = 5) -> DataFrame:
 
 
 def grouped(df: DataFrame, group: str, k: int) -> DataFrame:
-    """Groups in order, dealt in turn to k folds; groups are few, rows may be many."""
-    g = df.select(group).distinct().withColumn("fold", ((F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(group)) - 1) % k).cast("int"))
-    return df.join(F.broadcast(g), group)
+    """Groups in order, dealt in turn to k folds; both groups and rows may be many."""
+    g = rank_column(df.select(group).distinct(), [F.asc(group)], "_r").select(F.col(group).alias("_group"), ((F.col("_r") - 1) % k).cast("int").alias("fold"))
+    return df.join(g, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def temporal(df: DataFrame, date: str, share: float = 0.8) -> DataFrame:
@@ -73,10 +73,10 @@ def temporal(df: DataFrame, date: str, share: float = 0.8) -> DataFrame:
 def design(df: DataFrame, features: list[str], train: Column) -> DataFrame:
     """Features filled with the train median, less the train mean, over the train sample deviation (1 where 0).
 
-    Mean and deviation are those of the filled train rows; two aggregates over train rows, one row each."""
+    Medians are exact, by ranks; mean and deviation, of the filled train rows, are one row."""
     on = df.where(train)
-    mid = on.agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m_{c}") for c in features]).withColumn("_", F.lit(0))
-    fill = lambda at: at.withColumn("_", F.lit(0)).join(F.broadcast(mid), "_").withColumns({c: F.coalesce(c, f"_m_{c}") for c in features}).drop("_", *[f"_m_{c}" for c in features])
+    mid = {c: quantile(on, c, 0.5) for c in features}
+    fill = lambda at: at.withColumns({c: F.coalesce(c, F.lit(mid[c]).cast("double")) for c in features})
     stats = fill(on).agg(*[F.avg(c).alias(f"_a_{c}") for c in features], *[F.stddev_samp(c).alias(f"_s_{c}") for c in features]).withColumn("_", F.lit(0))
     out = fill(df).withColumn("_", F.lit(0)).join(F.broadcast(stats), "_")
     sd = lambda c: F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0)

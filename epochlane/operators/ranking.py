@@ -46,6 +46,22 @@ def rank_column(results: DataFrame, order: list[Column], name: str = "rank", n_r
     return local.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_k") + F.col("_start")).cast("long")).drop("_part", "_k", "_start")
 
 
+def quantile(df: DataFrame, col: str, share: float) -> float | None:
+    """The exact quantile of a column's values, between neighbours by their distance; None for no value.
+
+    By ranks over ranges, so no task gathers all values; the driver gets two of them."""
+    from epochlane.session import materialise
+
+    ranked = materialise(rank_column(df.where(F.col(col).isNotNull()).select(col), [F.asc(col)], "_rank"))
+    n = ranked.count()
+    if not n:
+        return None
+    at = share * (n - 1)
+    near = {r["_rank"]: r[col] for r in ranked.where(F.col("_rank").isin(int(at) + 1, int(at) + 2)).collect()}
+    low = near[int(at) + 1]
+    return low + (near.get(int(at) + 2, low) - low) * (at - int(at))
+
+
 def rank_within(results: DataFrame, key: str, order: list[Column], name: str = "place") -> DataFrame:
     """results with 1, 2, ... in a total order inside each value of key, however few values there are.
 
