@@ -23,6 +23,14 @@ def subsets(spark: SparkSession, items: list[str], most: int) -> DataFrame:
     return masks.select(F.col("id").alias("mask"), chosen.alias("features"))
 
 
+def with_subsets(df: DataFrame, items: list[str], most: int) -> DataFrame:
+    """df with mask and features: each row once for every non-empty choice of up to `most` of the items."""
+    masks = F.filter(F.sequence(F.lit(1).cast("long"), F.lit((1 << len(items)) - 1).cast("long")), lambda m: F.bit_count(m) <= most)
+    at = df.withColumn("mask", F.explode(masks))
+    chosen = F.array_compact(F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) > 0, F.lit(x)) for i, x in enumerate(items)]))
+    return at.withColumn("features", chosen)
+
+
 def grid(features: DataFrame, likelihoods: list[str], profiles: list[tuple[int, float]], zipped: bool = True) -> DataFrame:
     """features with every likelihood and every (n_points, overlap), or every pair of the two lists' entries."""
     pairs = profiles if zipped else [(n, o) for n in dict.fromkeys(p[0] for p in profiles) for o in dict.fromkeys(p[1] for p in profiles)]

@@ -8,19 +8,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CONFIG = ["config_id"]
-#: Most draws that with_draws() sends to every task.
-MOST_DRAWS = 200_000
+#: Draws of one block of with_draws(), about.
+DRAWS_PER_BLOCK = 25_000
 
 
 def with_draws(values: DataFrame, draws: DataFrame) -> DataFrame:
     """Every row of values with every draw: the table of likelihoods to evaluate.
 
-    Up to MOST_DRAWS draws are broadcast. More are cut into blocks by hash, each row of values
-    repeated per block, so rows and draws meet by block and no side is sent whole."""
-    n = draws.count()
-    if n <= MOST_DRAWS:
-        return values.crossJoin(F.broadcast(draws))
-    blocks = -(-n // MOST_DRAWS) * 8
+    Draws are cut into blocks by hash, eight at least, each row of values repeated per block, so
+    rows and draws meet by block and no side is sent whole."""
+    blocks = max(8, -(-draws.count() // DRAWS_PER_BLOCK))
     cut = draws.withColumn("_block", F.pmod(F.xxhash64(*draws.columns), F.lit(blocks)))
     return values.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(cut, "_block").drop("_block")
 

@@ -8,6 +8,7 @@ from epochlane.operators import causal, clean, features, selection
 from epochlane.operators.catalog import DAY
 from epochlane.plans.base import N_DAYS, N_POINTS, profile, rows, window_days, with_profiles
 from epochlane.plans.registry import query
+from epochlane.session import materialise
 from epochlane.sources.adapt import view
 
 N = N_DAYS * N_POINTS
@@ -416,8 +417,8 @@ EV_SQL = "SELECT DISTINCT subject_id, event_date FROM trigger WHERE direction =
 
 def _labelled(spark, d):
     events = view(spark, d, "trigger").where("direction = 'before'")
-    days = _values(spark, d)
-    return days.join(causal.next_day_label(days.select(*DAY), events), DAY), events
+    days = materialise(_values(spark, d))
+    return materialise(days.join(causal.next_day_label(days.select(*DAY), events), DAY)), events
 
 
 @query("quiet_controls", causal_sql(ev=EV_SQL, lab=LABEL_SQL) + QC_SQL)

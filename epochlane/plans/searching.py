@@ -527,13 +527,18 @@ ITEMS = [f"{g}.{m}" for g in ("daily", "day", "night") for m in ("mean", "range"
 @query("config_grid", """WITH m AS (SELECT unnest(range(1, 64))::BIGINT AS mask), n AS (SELECT s_suppkey FROM supplier),
     k AS (SELECT mask FROM m WHERE bit_count(mask) <= 3) SELECT s_suppkey, mask, bit_count(mask)::INT AS n_features, likelihood, n_points, overlap FROM n, k, (VALUES ('student_t'), ('skew_normal')) l(likelihood), (VALUES (24, 0.0::DOUBLE), (24, 0.25), (24, 0.5)) p(n_points, overlap)""")
 def config_grid(spark, d):
-    g = configs.grid(configs.subsets(spark, ITEMS, 3), ["student_t", "skew_normal"], [(24, 0.0), (24, 0.25), (24, 0.5)])
-    g = table(spark, d, "supplier").select("s_suppkey").crossJoin(F.broadcast(g))  # the grid's size is in its arguments
+    """The grid of every supplier's models."""
+    g = configs.grid(configs.with_subsets(table(spark, d, "supplier").select("s_suppkey"), ITEMS, 3), ["student_t", "skew_normal"], [(24, 0.0), (24, 0.25), (24, 0.5)])
     return g.select("s_suppkey", "mask", F.size("features").alias("n_features"), "likelihood", "n_points", "overlap")
 
 
-@query("grid_zipped", CFG + "SELECT config_id, likelihood, p.n_points, p.overlap FROM config, (VALUES ('normal'), ('beta_constrained')) l(likelihood), (VALUES (12, 0.0::DOUBLE), (12, 0.5), (24, 0.0), (24, 0.5)) p(n_points, overlap)")
+@query("grid_zipped", CFG + "SELECT config_id, likelihood, p.n_points, p.overlap FROM config, (VALUES ('normal'), ('beta_constrained')) l(likelihood), (VALUES (12, 0.0::DOUBLE), (24, 0.5)) p(n_points, overlap)")
 def grid_zipped(spark, d):
+    return configs.grid(view(spark, d, "config").select("config_id"), ["normal", "beta_constrained"], [(12, 0.0), (24, 0.5)])
+
+
+@query("grid_product", CFG + "SELECT config_id, likelihood, p.n_points, p.overlap FROM config, (VALUES ('normal'), ('beta_constrained')) l(likelihood), (VALUES (12, 0.0::DOUBLE), (12, 0.5), (24, 0.0), (24, 0.5)) p(n_points, overlap)")
+def grid_product(spark, d):
     return configs.grid(view(spark, d, "config").select("config_id"), ["normal", "beta_constrained"], [(12, 0.0), (24, 0.5)], zipped=False)
 
 
