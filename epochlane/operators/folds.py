@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epochlane.operators.ranking import quantile, rank_column
+from epochlane.operators.ranking import quantile, rank_column, rank_within
 
 
 def shuffled(id_col: str, seed: int) -> Column:
@@ -45,6 +45,18 @@ def shuffle_split(df: DataFrame, id_col: str, splits: int, test_share: float, se
     return at.withColumn("test", h < int(test_share * (1 << 32)))
 
 
+def stratified_shuffle_split(df: DataFrame, id_col: str, label: str, splits: int, test_share: float, seed: int = 42) -> DataFrame:
+    """(.., split, test): each split draws floor(test_share * n) rows of each label on its own.
+
+    Ranks inside a label come from a ranking of the whole table, so a label's rows meet in no one task."""
+    at = df.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col("split").cast("string"), F.lit(":"), F.col(id_col).cast("string")))
+    at = at.withColumn("_o", drawn).withColumn("_g", F.concat_ws(":", F.col("split").cast("string"), F.coalesce(F.col(label).cast("string"), F.lit("\0"))))
+    ranked = rank_within(at, "_g", [F.asc("_o"), F.asc(id_col)], "_k")
+    size = at.groupBy(F.col("_g").alias("_s")).agg(F.floor(F.count("*") * test_share).alias("_n"))
+    return ranked.join(size, F.col("_g") == F.col("_s")).withColumn("test", F.col("_k") <= F.col("_n")).drop("_o", "_g", "_s", "_k", "_n")
+
+
 def time_series(df: DataFrame, order: list[str], splits: int = 5) -> DataFrame:
     """(.., split, role): split i trains on the rows before its test block of n // (splits + 1) rows; later rows are left out."""
     n = df.count()

@@ -73,6 +73,21 @@ def rank_within(results: DataFrame, key: str, order: list[Column], name: str = "
     return at.join(first, F.col(key).eqNullSafe(F.col("_key"))).withColumn(name, F.col("_rank") - F.col("_first") + 1).drop("_rank", "_first", "_key")
 
 
+def model_prior(kind: str, n_features: Column, n_observations: Column | None = None, weight: float = 0.69) -> Column:
+    """Log prior of a model by its number of features: uniform; inverse; bic, half a log of the observations
+    for each; lambda, a constant for each."""
+    p = F.greatest(n_features, F.lit(1)).cast("double")
+    if kind == "uniform":
+        return F.lit(0.0)
+    if kind == "inverse":
+        return -F.log(p)
+    if kind == "bic":
+        return -0.5 * p * F.log(F.greatest(n_observations, F.lit(1)).cast("double"))
+    if kind == "lambda":
+        return -weight * p
+    raise ValueError(f"unknown prior {kind}")
+
+
 def fail_fast(results: DataFrame) -> DataFrame:
     """(config_id, early, passed): the reasons that the sampler's own marks give, before anything is scored.
 

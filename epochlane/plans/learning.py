@@ -50,6 +50,12 @@ def folds_shuffle(spark, d):
     return folds.shuffle_split(_scored(spark, d).select("id"), "id", 3, 0.2)
 
 
+@query("folds_stratified_shuffle", SC + """, s AS (SELECT id, y, split, row_number() OVER (PARTITION BY split, y ORDER BY md5('42:' || split || ':' || id), id) AS k, count(*) OVER (PARTITION BY split, y) AS n FROM scored, (SELECT unnest(range(3))::INT AS split))
+    SELECT id, split, k <= floor(n * 0.2) AS test FROM s""")
+def folds_stratified_shuffle(spark, d):
+    return folds.stratified_shuffle_split(_scored(spark, d).select("id", "y"), "id", "y", 3, 0.2).select("id", "split", "test")
+
+
 @query("folds_time", ctes("trigger") + """, r AS (SELECT trigger_id, row_number() OVER (ORDER BY event_date, trigger_id) AS r, count(*) OVER () AS n FROM trigger)
     SELECT trigger_id, split, CASE WHEN r <= n - (5 - split) * (n // 6) THEN 'train' ELSE 'test' END AS role FROM r, (SELECT unnest(range(5))::INT AS split) WHERE r <= n - (4 - split) * (n // 6)""")
 def folds_time(spark, d):

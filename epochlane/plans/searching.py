@@ -683,6 +683,15 @@ def model_target(spark, d):
     return view(spark, d, "search_result").select("config_id", F.round(t, 6).alias("target"))
 
 
+@query("model_priors", SR + """, k AS (SELECT config_id, unnest(['uniform', 'inverse', 'bic', 'lambda']) AS prior, unnest([0.0::DOUBLE, -ln(greatest(n_features, 1)), -0.5 * greatest(n_features, 1) * ln(greatest(n_events, 1)), -0.69 * greatest(n_features, 1)]) AS log_prior FROM search_result)
+    SELECT config_id, prior, round(log_prior, 6) AS log_prior FROM k""")
+def model_priors(spark, d):
+    """The log priors of every model, by each kind."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("prior"), ranking.model_prior(k, F.col("n_features"), F.col("n_events")).alias("log_prior")) for k in ("uniform", "inverse", "bic", "lambda")])
+    at = view(spark, d, "search_result").select("config_id", F.explode(kinds).alias("_"))
+    return at.select("config_id", "_.prior", F.round("_.log_prior", 6).alias("log_prior"))
+
+
 HIST = "SELECT o_custkey % 20 AS chain, o_orderkey, 'C' || (o_custkey % 300) AS config_id, o_totalprice / 1000 AS score FROM orders"
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from epochlane.operators import catalog, export, profiles, windows
 from epochlane.plans.base import N_DAYS, N_POINTS, profile, rows, window_days, window_profile, with_profiles
 from epochlane.plans.registry import query
+from epochlane.session import shared_dir
+from epochlane.sources import signals
 from epochlane.sources.adapt import ctes, view
 
 r6 = lambda c: F.round(c, 6)
@@ -90,6 +94,24 @@ def stratum(spark, d):
     return parts[0].union(parts[1]).union(parts[2])
 
 
+@query("stratum_flags", ctes("trigger") + """, s AS (SELECT 'before_only' AS stratum, event_date FROM trigger WHERE direction = 'before' UNION ALL SELECT 'full', event_date FROM trigger UNION ALL SELECT 'drop_date', event_date FROM trigger WHERE event_date <> DATE '2024-01-12')
+    SELECT stratum, count(*) AS n, bool_or(event_date = DATE '2024-01-12') AS has_date FROM s GROUP BY 1""")
+def stratum_flags(spark, d):
+    """Whether each stratum holds events of the date that one of them drops."""
+    t = view(spark, d, "trigger")
+    parts = [windows.stratum(t, n, "2024-01-12").select(F.lit(n).alias("stratum"), "event_date") for n in ("before_only", "full", "drop_date")]
+    return parts[0].union(parts[1]).union(parts[2]).groupBy("stratum").agg(F.count("*").alias("n"), F.bool_or(F.col("event_date") == F.lit("2024-01-12").cast("date")).alias("has_date"))
+
+
+@query("read_profile_matrix", with_profiles() + "SELECT dense_rank() OVER (ORDER BY window_id) - 1 AS window_id, pos, round(value, 6) AS value FROM r")
+def read_profile_matrix(spark, d):
+    """The profile matrix written as text, a line a window, and read again."""
+    path = f"{shared_dir(spark).rstrip('/')}/matrix-{uuid.uuid4().hex}"
+    wide = export.matrix(rows(spark, d).withColumn("value", r6("value")), N_DAYS * N_POINTS)
+    wide.orderBy("window_id").drop("window_id").write.csv(path)
+    return signals.read_matrix(spark, path, N_DAYS * N_POINTS).withColumn("value", r6("value"))
+
+
 @query("join_profiles", with_profiles() + "SELECT window_id, day_idx, point_idx, round(pct, 6) AS pct FROM wp")
 def join_profiles(spark, d):
     return window_profile(spark, d).withColumn("pct", r6("pct"))
