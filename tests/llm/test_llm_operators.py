@@ -308,14 +308,13 @@ def test_repeated_strings(spark, docs, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("piece, rows", [(1 << 15, 300), (100, 400_000)])
-def test_repeats_across_cut_pieces_and_many_tasks(spark, monkeypatch, piece, rows):
-    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
-    monkeypatch.setattr(suffix_dedup, "ROWS_PER_TASK", rows)
+@pytest.mark.parametrize("per_task", [300, 400_000])
+def test_repeats_of_periods_and_edges_over_many_tasks(spark, monkeypatch, per_task):
+    monkeypatch.setattr(suffix_dedup, "ROWS_PER_TASK", per_task)
     random.seed(6)
     word = lambda n: "".join(random.choice("abcde fg\n") for _ in range(n))
     shared, period = word(900), word(30)
-    # a repeat longer than a piece, periods in one text and in two, near copies, and a part of a period
+    # long periods in one text and in two, near copies, and a part of a period
     rows = [word(70) + "z" * 1500 + word(40), "z" * 700, period * 20 + word(20), word(33) + period * 15, shared, shared[:400] + "Q" + shared[401:], word(9) + shared[150:820] + word(9), word(400), ("ab" * 300) + word(60)]
     rows += [shared[:300] + word(5) + shared[300:], None, "", shared[10:205], shared[10:210]]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
