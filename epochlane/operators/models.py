@@ -82,6 +82,21 @@ def principal_components(df: DataFrame, k: int) -> tuple[DataFrame, list[float]]
     return out, model.explainedVariance.toArray().tolist()
 
 
+def components_for(explained: list[float], share: float) -> int:
+    """How many leading components hold at least `share` of the variance; all if none does."""
+    held = np.cumsum(explained) >= share - 1e-12
+    return int(held.argmax()) + 1 if held.any() else len(explained)
+
+
+def principal_components_for(df: DataFrame, share: float, most: int) -> tuple[DataFrame, list[float]]:
+    """principal_components() with as many of up to `most` components as hold `share` of the variance.
+
+    The axes of fewer components are the leading ones of more, so one fit decides and the rest is cut."""
+    out, explained = principal_components(df, most)
+    k = components_for(explained, share)
+    return out.withColumn("components", F.slice("components", 1, k)), explained[:k]
+
+
 METRICS = {
     "euclidean": lambda a, b: np.sqrt(np.maximum((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1), 0)),
     "manhattan": lambda a, b: np.stack([np.abs(b - x).sum(1) for x in a]),

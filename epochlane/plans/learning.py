@@ -248,6 +248,14 @@ def pca(spark, d):
     return out.select("vec_id", F.posexplode("components").alias("component", "value")).withColumn("value", F.round("value", 6))
 
 
+@query("pca_share")
+def pca_share(spark, d):
+    """As many components as hold 30 % of the variance, of at most 32."""
+    at = materialise(models.vectors(table(spark, d, "embeddings").where("embedding is not null"), "embedding", "label"))
+    out, _ = models.principal_components_for(at, 0.3, 32)
+    return out.select("vec_id", F.posexplode("components").alias("component", "value")).withColumn("value", F.round("value", 6))
+
+
 @query("quality_model")
 def quality_model(spark, d):
     """Channel quality from statistics of each channel-day, by a small perceptron that has not seen the day."""

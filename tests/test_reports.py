@@ -38,6 +38,12 @@ def test_ranks_inside_few_groups(spark):
     assert got == {0: 1, 8: 1, 6: 2, 4: 3, 2: 4, 7: 1, 5: 2, 3: 3, 1: 4}
 
 
+def test_components_that_hold_a_share():
+    from epochlane.operators import models
+
+    assert [models.components_for([0.5, 0.3, 0.1], x) for x in (0.2, 0.5, 0.6, 0.8, 0.95)] == [1, 1, 2, 2, 3]
+
+
 def test_middle_between_two_components():
     import numpy as np
 
