@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers.pre_tokenizers import ByteLevel
 
+from epochlane.llm.workers import tidy
+
 #: Fixed values of the vocabulary's pre-tokenizer.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts of ASCII alone, where the classes are these letters, digits and blanks.
@@ -345,4 +347,4 @@ def encode_decode(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> D
         codec.forget()  # an idle worker holds no memo
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(tidy(encode), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from epochlane.llm.workers import tidy
 from epochlane.session import materialise
 
 #: Hashed n-gram classes.
@@ -191,7 +192,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(on, pa.int32()), pa.array(df[on])], names=["at", "n"])
 
     out = np.zeros(BINS + 1, np.int64)
-    for at, n in docs.select("text").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n")).collect():
+    for at, n in docs.select("text").mapInArrow(tidy(count), "at int, n long").groupBy("at").agg(F.sum("n")).collect():
         out[at] = n
     return int(out[BINS]), out[:BINS]
 
@@ -225,7 +226,7 @@ def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, centroids: int
                     langs.append(lang.as_py()), at.append(on.astype(np.int32)), values.append(counts[on].astype(np.int32)), size.append(letters)
             yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "letters": pa.array(size, pa.int64()), "at": pa.array(at, pa.list_(pa.int32())), "n": pa.array(values, pa.list_(pa.int32()))})
 
-    sample = materialise(ranked.select("lang", "text").mapInArrow(featurise, "lang string, letters long, at array<int>, n array<int>"))
+    sample = materialise(ranked.select("lang", "text").mapInArrow(tidy(featurise), "lang string, letters long, at array<int>, n array<int>"))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         mid, cos = cluster(Rows(group["at"].tolist(), group["n"].tolist(), idf), centroids)
@@ -270,7 +271,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score), pa.array(out)], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
 
     new = StructType().add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *new.fields]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, *new.fields]))
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
@@ -281,4 +282,4 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(~judge(sent.value, batch.column("text").to_pylist())[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from epochlane.operators.graph import connected_components
 from epochlane.operators.skew import join_spread
+from epochlane.llm.workers import tidy
 from epochlane.session import materialise
 
 SEED = 42
@@ -60,7 +61,7 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
             fps = [fingerprint(t.as_py(), words_per_shingle) for t in batch.column("text")]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 
 
 def embed(fp: Column) -> Column:
