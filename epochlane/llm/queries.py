@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochlane.llm import bpe, exact_dedup, langid, line_dedup, mixing, sharding, simhash, suffix_dedup, topk, url_filter
+from epochlane.llm import bpe, exact_dedup, langid, line_dedup, mixing, resampling, sharding, simhash, suffix_dedup, topk, url_filter
 from epochlane.sources.tables import table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -72,6 +72,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_bpe": op2_bpe,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_top_k": op9_top_k,
     "op10_sharding": op10_sharding,
+    "op12_resampling": op12_resampling,
 }
 
 ORACLES: dict[str, str] = {
