@@ -8,20 +8,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochlane.llm import bpe, exact_dedup, langid, line_dedup, mixing, resampling, sharding, simhash, suffix_dedup, topk, url_filter
+from epochlane.llm import alignment, bpe, exact_dedup, jaccard, langid, line_dedup, mixing, resampling, sharding, simhash, suffix_dedup, topk, url_filter
 from epochlane.sources.tables import table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
-def vocabulary_path() -> str:
-    """Where the public vocabulary file is; EPOCHLANE_VOCABULARY names another place."""
-    if found := os.environ.get("EPOCHLANE_VOCABULARY"):
+def _public(name: str, variable: str) -> str:
+    if found := os.environ.get(variable):
         return found
     import public_tokenizers
 
-    return str(public_tokenizers.path(VOCABULARY))
+    return str(public_tokenizers.path(name))
+
+
+def vocabulary_path() -> str:
+    """Where the public vocabulary file is; EPOCHLANE_VOCABULARY names another place."""
+    return _public(VOCABULARY, "EPOCHLANE_VOCABULARY")
+
+
+def pieces_path() -> str:
+    """Where the second tokenizer's public model is; EPOCHLANE_PIECES names another place."""
+    return _public(PIECES, "EPOCHLANE_PIECES")
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,10 +81,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_tokens(table(spark, sf_dir, "documents"), vocabulary_path(), pieces_path())
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_bpe": op2_bpe,
@@ -87,7 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_top_k": op9_top_k,
     "op10_sharding": op10_sharding,
+    "op11_alignment": op11_alignment,
     "op12_resampling": op12_resampling,
+    "op13_jaccard": op13_jaccard,
 }
 
 ORACLES: dict[str, str] = {
