@@ -41,3 +41,39 @@ def logsumexp(x: Column, over=None) -> Column:
     values = F.collect_list(x) if over is None else F.collect_list(x).over(over)
     top = F.array_max(values)
     return top + F.log(F.aggregate(values, F.lit(0.0), lambda a, v: a + F.exp(v - top)))
+
+
+#: Coefficients of a rational approximation of the normal quantile (relative error under 1.2e-9):
+#: numerator and denominator in the middle, then in the tails, which begin at TAIL.
+QUANTILE_MIDDLE = ([-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239], [-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0])
+QUANTILE_TAIL = ([-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783], [0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0])
+TAIL = 0.02425
+
+
+def _horner(x: Column, coefficients: list[float]) -> Column:
+    total = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        total = total * x + c
+    return total
+
+
+def normal_quantile(u: Column) -> Column:
+    """The value that a standard normal stays under with probability u, 0 < u < 1."""
+    q = u - 0.5
+    middle = q * _horner(q * q, QUANTILE_MIDDLE[0]) / _horner(q * q, QUANTILE_MIDDLE[1])
+    t = F.sqrt(-2 * F.log(F.least(u, 1 - u)))
+    tail = _horner(t, QUANTILE_TAIL[0]) / _horner(t, QUANTILE_TAIL[1])
+    return F.when(F.abs(q) <= 0.5 - TAIL, middle).otherwise(-F.signum(q) * tail)
+
+
+def t4_quantile(u: Column) -> Column:
+    """The same for a student-t of four degrees of freedom, in closed form."""
+    a = F.sqrt(4 * u * (1 - u))
+    return F.signum(u - 0.5) * 2 * F.sqrt(F.greatest(F.cos(F.acos(F.least(a, F.lit(1.0))) / 3) / a - 1, F.lit(0.0)))
+
+
+def hashed_uniform(*keys: Column) -> Column:
+    """A uniform number in (0, 1) that depends on the keys alone, not on partitions or the order of rows:
+    the first 32 bits of the md5 of the keys joined by colons."""
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", *[k.cast("string") for k in keys])), 1, 8), 16, 10)
+    return (h.cast("double") + 0.5) / 4294967296.0

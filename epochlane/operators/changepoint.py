@@ -95,14 +95,6 @@ def drop_worst(values: DataFrame, keys: list[str], tau: int, rounds: int) -> Dat
     return history
 
 
-def density_profile(parts: DataFrame, low: float, high: float, n: int) -> DataFrame:
-    """(.., regime, x, density): normal densities on a grid from (.., regime, mu, sigma)."""
-    from epochlane.operators.density import normal
-
-    x = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(low) + i * F.lit((high - low) / (n - 1))))
-    return parts.withColumn("x", x).withColumn("density", F.exp(normal(F.col("x"), F.col("mu"), F.col("sigma"))))
-
-
 def g_prior_scale(n: Column, kind: str, g: float | None = None) -> Column:
     """Variance factor of the mean's prior: g fixed; unit information g = n; hyper-g/n at its prior mode g = n / 3."""
     return {"fixed": F.lit(g), "unit_information": n.cast("double"), "hyper_g_n": n / 3.0}[kind]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochlane.functions.special import normal_quantile
+from epochlane.session import materialise
+
 CONFIG = ["config_id"]
 #: Draws of one block of with_draws(), about.
 DRAWS_PER_BLOCK = 25_000
@@ -49,25 +50,74 @@ def bfmi(draws: DataFrame) -> DataFrame:
     return at.groupBy(*CONFIG, "chain").agg((F.avg("_s") / F.nullif(F.var_pop("value"), F.lit(0.0))).alias("bfmi"))
 
 
+#: Lags that one pass over the draws takes.
+LAGS = 32
+
+
+def _half_chains(draws: DataFrame) -> DataFrame:
+    """(config_id, half, pos, value): both halves of every chain, all of the length that the shortest chain allows."""
+    at = draws.withColumn("_n", F.count("*").over(Window.partitionBy(*CONFIG, "chain")))
+    least = at.groupBy(*CONFIG).agg(F.floor(F.min("_n") / 2).alias("_h"))
+    at = at.join(least, CONFIG).withColumn("half", F.when(F.col("draw") < F.col("_h"), 0).when(F.col("draw") >= F.col("_n") - F.col("_h"), 1)).where("half is not null")
+    pos = F.when(F.col("half") == 0, F.col("draw")).otherwise(F.col("draw") - F.col("_n") + F.col("_h"))
+    return at.select(*CONFIG, (2 * F.col("chain") + F.col("half")).alias("half"), pos.alias("pos"), "value", F.col("_h").alias("n"))
+
+
+def _series(draws: DataFrame) -> DataFrame:
+    """(config_id, kind, half, pos, n, x): the normal scores of the values' ranks (bulk), and whether a value is at most
+    the 5 % and the 95 % quantile (low, high)."""
+    at = _half_chains(draws)
+    order, whole = Window.partitionBy(*CONFIG).orderBy("value"), Window.partitionBy(*CONFIG)
+    rank = F.rank().over(order) + (F.count("*").over(Window.partitionBy(*CONFIG, "value")) - 1) / 2
+    at = at.withColumns({"_r": rank, "_s": F.count("*").over(whole)})
+    at = at.withColumn("_u", (F.col("_r") - 0.375) / (F.col("_s") + 0.25))
+    cuts = at.groupBy(*CONFIG).agg(*[F.percentile("value", F.lit(p)).alias(c) for p, c in ((0.05, "_low"), (0.95, "_high"))])
+    at = at.join(cuts, CONFIG)
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("x")) for k, v in (("bulk", normal_quantile(F.col("_u"))), ("low", (F.col("value") <= F.col("_low")).cast("double")), ("high", (F.col("value") <= F.col("_high")).cast("double")))])
+    return at.select(*CONFIG, "half", "pos", "n", F.explode(kinds).alias("_")).select(*CONFIG, "half", "pos", "n", "_.kind", "_.x")
+
+
 def ess(draws: DataFrame) -> DataFrame:
-    """Effective sample size by Geyer's initial positive pairs of autocorrelations, summed over chains.
-
-    A chain is a bounded series; each is one group."""
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        x = g.sort_values("draw")["value"].to_numpy(float)
-        n = len(x)
-        x = x - x.mean()
-        if n < 4 or not x.any():
-            size = float(n)
-        else:
-            f = np.fft.rfft(x, 2 * n)
-            rho = np.fft.irfft(f * np.conj(f))[:n] / (x @ x)
-            pairs = rho[0 : n - 1 : 2] + rho[1:n:2]
-            stop = np.flatnonzero(pairs <= 0)
-            size = n / max(2 * pairs[: stop[0] if len(stop) else len(pairs)].sum() - 1, 1e-9)
-        return pd.DataFrame({"config_id": [g["config_id"].iloc[0]], "chain": [g["chain"].iloc[0]], "ess": [min(size, float(n))]})
-
-    return draws.groupBy(*CONFIG, "chain").applyInPandas(one, "config_id string, chain int, ess double").groupBy(*CONFIG).agg(F.sum("ess").alias("ess"))
+    """(config_id, n, ess_bulk, ess_tail): effective sample sizes over the halves of all chains.
+
+    Autocorrelations come from both the variance inside and between half chains, in pairs of lags up to the first
+    negative pair, each at most the one before. Bulk: of normal scores; tail: the lesser of those of the two tails' marks.
+    A pass over the draws takes LAGS lags; only series whose pairs are all positive so far take part in the next.
+    Configurations with fewer than four draws a half chain, or constant ones, have null."""
+    keys = [*CONFIG, "kind"]
+    chain = Window.partitionBy(*keys, "half")
+    at = materialise(_series(draws).where("n >= 4").withColumn("x", F.col("x") - F.avg("x").over(chain)).withColumn("_m", F.lit(0.0)))
+    means = _series(draws).where("n >= 4").groupBy(*keys, "half").agg(F.avg("x").alias("m"), F.max("n").alias("n"))
+    between = materialise(means.groupBy(*keys).agg(F.var_samp("m").alias("between"), F.count("*").alias("halves"), F.max("n").alias("n")))
+    pairs, first = None, 0
+    while True:
+        order = chain.orderBy("pos")
+        steps = range(first, first + LAGS)
+        led = at.select(*keys, "half", "n", "x", *[F.lead("x", t).over(order).alias(f"x{t}") if t else F.col("x").alias("x0") for t in steps])
+        per = led.groupBy(*keys, "half").agg(F.max("n").alias("n"), *[(F.sum(F.col("x") * F.col(f"x{t}")) / F.max("n")).alias(f"c{t}") for t in steps])
+        lags = F.array(*[F.struct(F.lit(t).alias("lag"), F.coalesce(f"c{t}", F.lit(0.0)).alias("c")) for t in steps])
+        cov = per.select(*keys, "n", F.explode(lags).alias("_")).where("_.lag < n").groupBy(*keys, "n", F.col("_.lag").alias("lag")).agg(F.avg("_.c").alias("c"))
+        found = cov.select(*keys, "lag", "c")
+        both = materialise(found if pairs is None else pairs.unionByName(found))
+        pairs = both
+        zero = pairs.where("lag = 0").select(*keys, F.col("c").alias("c0")).join(between, keys)
+        within = F.col("c0") * F.col("n") / (F.col("n") - 1)
+        total = F.col("c0") + F.coalesce("between", F.lit(0.0))
+        rho = pairs.join(zero, keys).where("c0 > 1e-12").withColumn("rho", F.when(F.col("lag") == 0, 1.0).otherwise(1 - (within - F.col("c")) / total))
+        two = materialise(rho.groupBy(*keys, "halves", "n", F.floor(F.col("lag") / 2).alias("k")).agg(F.sum("rho").alias("p"), F.count("*").alias("_both")).where("_both = 2"))
+        stop = two.groupBy(*keys).agg(F.min(F.when(F.round("p", 9) < 0, F.col("k"))).alias("stop"), F.max("k").alias("last"), F.max("n").alias("n"))
+        more = stop.where(f"stop is null and 2 * last + 3 < n and last >= {(first + LAGS) // 2 - 1}").select(*keys)
+        if more.isEmpty():
+            break
+        at, first = materialise(at.join(more, keys, "left_semi")), first + LAGS
+    kept = two.join(stop.select(*keys, "stop"), keys).where("stop is null or k < stop")
+    least = F.min("p").over(Window.partitionBy(*keys).orderBy("k"))
+    sums = kept.withColumn("p", least).groupBy(*keys, "halves", "n").agg((2 * F.sum("p") - 1).alias("tau"))
+    size = F.col("halves") * F.col("n")
+    each = sums.select(*keys, size.alias("n"), F.least(size / F.greatest("tau", F.lit(1e-9)), size * F.log10(size)).alias("ess"))
+    of = lambda *kinds: F.min(F.when(F.col("kind").isin(*kinds), F.col("ess")))
+    out = each.groupBy(*CONFIG).agg(F.max("n").alias("n"), of("bulk").alias("ess_bulk"), of("low", "high").alias("ess_tail"))
+    return draws.select(*CONFIG).distinct().join(out, CONFIG, "left")
 
 
 def waic(ll: DataFrame) -> DataFrame:
@@ -78,31 +128,25 @@ def waic(ll: DataFrame) -> DataFrame:
     return per.groupBy(*CONFIG).agg(F.sum("lppd").alias("lppd"), F.sum("p").alias("p_waic"), (F.sum("lppd") - F.sum("p")).alias("elpd_waic"))
 
 
-def psis_loo(ll: DataFrame) -> DataFrame:
-    """(config_id, window_id, elpd, pareto_k): importance-sampling leave-one-out with a smoothed tail.
-
-    The tail, the largest min(0.2 S, 3 sqrt S) ratios, is fitted with a generalised Pareto by
-    probability-weighted moments; one event's draws of one configuration are one group."""
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        lw = -g["ll"].to_numpy(float)
-        lw = lw - lw.max()
-        s, k = len(lw), float("nan")
-        m = int(min(0.2 * s, 3 * np.sqrt(s)))
-        if m >= 5:
-            order = np.argsort(lw, kind="stable")
-            tail, cut = order[-m:], np.exp(lw[order[-m - 1]])
-            x = np.sort(np.exp(lw[tail]) - cut)
-            a0, a1 = x.mean(), (x * (m - np.arange(1, m + 1)) / (m - 1)).mean()
-            if a0 > 0 and a0 - 2 * a1 > 0:
-                k = 2 - a0 / (a0 - 2 * a1)
-                sigma = 2 * a0 * a1 / (a0 - 2 * a1)
-                q = (np.arange(1, m + 1) - 0.5) / m
-                fitted = sigma / k * ((1 - q) ** -k - 1) if abs(k) > 1e-9 else -sigma * np.log1p(-q)
-                lw[tail] = np.minimum(np.log(np.maximum(cut + fitted, 1e-300)), 0.0)
-        w = np.exp(lw - lw.max())
-        v = g["ll"].to_numpy(float)
-        elpd = np.log((w / w.sum() * np.exp(v - v.max())).sum()) + v.max()
-        return pd.DataFrame({"config_id": [g["config_id"].iloc[0]], "window_id": [g["window_id"].iloc[0]], "elpd": [elpd], "pareto_k": [k]})
-
-    out = ll.groupBy(*CONFIG, "window_id").applyInPandas(one, "config_id string, window_id long, elpd double, pareto_k double")
-    return out.withColumn("pareto_k", F.when(~F.isnan("pareto_k"), F.col("pareto_k"))).withColumn("influential", F.coalesce(F.col("pareto_k") > 0.7, F.lit(False)))
+def psis_loo(ll: DataFrame, keys: list[str] = CONFIG) -> DataFrame:
+    """(keys, window_id, elpd, pareto_k, influential): importance-sampling leave-one-out with a smoothed tail.
+
+    ll: (keys, window_id, draw, ll). The tail, the largest min(0.2 S, 3 sqrt S) ratios of S draws, is fitted with a
+    generalised Pareto by probability-weighted moments; with under five there, or where moments give none, nothing is smoothed and
+    pareto_k is null. All steps are windows over the draws of one event, which share one sort."""
+    event = Window.partitionBy(*keys, "window_id")
+    w = F.col("w")
+    at = ll.withColumn("w", -F.col("ll") - F.max(-F.col("ll")).over(event))
+    at = at.withColumns({"r": F.row_number().over(event.orderBy("w", "draw")), "S": F.count("*").over(event)})
+    at = at.withColumn("m", F.floor(F.least(0.2 * F.col("S"), 3 * F.sqrt("S")))).withColumn("j", F.col("r") - F.col("S") + F.col("m"))
+    at = at.withColumn("cut", F.max(F.when(F.col("j") == 0, F.exp(w))).over(event)).withColumn("x", F.when(F.col("j") > 0, F.exp(w) - F.col("cut")))
+    at = at.withColumns({"a0": F.sum("x").over(event) / F.nullif("m", F.lit(0)), "a1": F.sum(F.col("x") * (F.col("m") - F.col("j")) / F.nullif(F.col("m") - 1, F.lit(0))).over(event) / F.nullif("m", F.lit(0))})
+    ok = (F.col("m") >= 5) & (F.col("a0") > 0) & (F.col("a0") - 2 * F.col("a1") > 0)
+    d = F.col("a0") - 2 * F.col("a1")
+    at = at.withColumns({"k": F.when(ok, 2 - F.col("a0") / d), "sigma": F.when(ok, 2 * F.col("a0") * F.col("a1") / d), "p": (F.col("j") - 0.5) / F.nullif("m", F.lit(0))})
+    k, p = F.col("k"), F.col("p")
+    fitted = F.when(F.abs(k) > 1e-9, F.col("sigma") / k * (F.pow(1 - p, -k) - 1)).otherwise(-F.col("sigma") * F.log1p(-p))
+    at = at.withColumn("w", F.when(ok & (F.col("j") > 0), F.least(F.log(F.greatest(F.col("cut") + fitted, F.lit(1e-300))), F.lit(0.0))).otherwise(w))
+    at = at.withColumn("top", F.max("ll").over(event))
+    out = at.groupBy(*keys, "window_id").agg((F.log(F.sum(F.exp(F.col("w") + F.col("ll") - F.col("top"))) / F.sum(F.exp("w"))) + F.max("top")).alias("elpd"), F.max("k").alias("pareto_k"))
+    return out.withColumn("influential", F.coalesce(F.col("pareto_k") > 0.7, F.lit(False)))

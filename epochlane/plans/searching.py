@@ -243,14 +243,6 @@ def influential_events(spark, d):
     return loo.join(view(spark, d, "trigger"), F.col("window_id") == F.col("trigger_id")).select("grp", "window_id", "subject_id", "event_date", F.round("elpd", 4).alias("elpd"))
 
 
-@query("density_profile", tau_sql(m="SELECT grp, CASE WHEN day_idx < 4 THEN 1 ELSE 2 END AS regime, avg(y) AS mu, stddev_pop(y) AS sigma FROM v WHERE y IS NOT NULL GROUP BY 1, 2") + f"SELECT grp, regime, round(-1 + i * 2.0 / 20, 6) AS x, round(exp({NORM.format(s='sigma', y='(-1 + i * 2.0 / 20)', m='mu')}), 5) AS density FROM m, (SELECT unnest(range(21)) AS i)")
-def density_profile(spark, d):
-    v = _values(spark, d).where("value is not null").withColumn("regime", changepoint.regime(F.col("chunk_idx"), F.lit(5)))
-    parts = v.groupBy("grp", "regime").agg(F.avg("value").alias("mu"), F.stddev_pop("value").alias("sigma"))
-    out = changepoint.density_profile(parts, -1.0, 1.0, 21)
-    return out.select("grp", "regime", F.round("x", 6).alias("x"), F.round("density", 5).alias("density"))
-
-
 @query("g_prior_scale", ctes("search_result") + "SELECT config_id, n_events::DOUBLE AS unit_information, round(n_events / 3.0, 6) AS hyper_g_n, 10.0::DOUBLE AS fixed FROM search_result")
 def g_prior_scale(spark, d):
     n = F.col("n_events")
@@ -477,11 +469,6 @@ def bfmi(spark, d):
     return _r(posterior.bfmi(view(spark, d, "draws")), "bfmi")
 
 
-@query("ess")
-def ess(spark, d):
-    return posterior.ess(view(spark, d, "draws"))
-
-
 def _pointwise(spark, d):
     """Log-likelihood of each window's means of each part of the day under every draw of mu; config_id names both."""
     v = _periods(spark, d).where("mean is not null").groupBy("grp", "window_id").agg(F.count("*").cast("double").alias("n"), F.sum("mean").alias("s"), F.sum(F.col("mean") * F.col("mean")).alias("q"))
@@ -498,20 +485,6 @@ def waic(spark, d):
     return _r(posterior.waic(_pointwise(spark, d)), "lppd", "p_waic", "elpd_waic", n=4)
 
 
-@query("psis_loo")
-def psis_loo(spark, d):
-    return posterior.psis_loo(_pointwise(spark, d))
-
-
-@query("ppc_mean")
-def ppc_mean(spark, d):
-    """Replicated mean of each group and regime: a normal per value with the regime's moments, seeded."""
-    v = _values(spark, d).where("value is not null").withColumn("regime", changepoint.regime(F.col("chunk_idx"), F.lit(5)))
-    parts = v.groupBy("grp", "regime").agg(F.avg("value").alias("mu"), F.stddev_pop("value").alias("sigma"))
-    drawn = v.join(F.broadcast(parts), ["grp", "regime"]).withColumn("drawn", F.col("mu") + F.col("sigma") * F.randn(7))
-    return drawn.groupBy("grp", "regime").agg(F.avg("value").alias("observed"), F.avg("drawn").alias("replicated"), F.count("*").alias("n"))
-
-
 @query("p_lt1", DR + f", m AS (SELECT config_id, avg(value) AS m, stddev_samp(value) AS s FROM draws GROUP BY 1) SELECT config_id, round({cdf_sql('((1 - m) / s)')}, 6) AS p_lt1 FROM m")
 def p_lt1(spark, d):
     s = view(spark, d, "draws").groupBy("config_id").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
