@@ -21,11 +21,11 @@ from epochlane.session import discard, materialise
 
 WORDS, PERCENT = 4, 85
 #: Counters of the table by which n-grams are ordered, rare ones first. It decides how fast, never what is found.
-COUNTERS, PARTS = 1 << 20, 256
+COUNTERS, PARTS = 1 << 19, 128
 #: Bits of the maps that let rows pass which a join needs; more entries let more rows pass than needed.
 BITS = 1 << 24
-#: Keys by which similar documents meet at first, to be put into groups.
-KEYS = 6
+#: Keys by which similar documents meet at first, to be put into groups, and how often a document must meet a leader to be compared with it.
+KEYS, MEETINGS = 6, 3
 SHORT = 64
 
 _U = np.uint64
@@ -107,7 +107,7 @@ def classes(docs: DataFrame, k: int) -> np.ndarray:
         total = sum(np.frombuffer(x.as_py(), np.int64) for x in rows["n"])
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([total.tobytes()], pa.binary())})
 
-    sent = docs.select("text").mapInArrow(tidy(count), "part int, n binary").withColumn("salt", F.spark_partition_id() % 64)
+    sent = docs.select("text").mapInArrow(tidy(count), "part int, n binary").withColumn("salt", F.spark_partition_id() % 8)
     once = sent.groupBy("part", "salt").applyInArrow(add, "part int, n binary")
     total = np.zeros((PARTS, width), np.int64)
     for r in once.groupBy("part").applyInArrow(add, "part int, n binary").collect():
@@ -176,52 +176,78 @@ def _on(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (bits[place >> 6] >> (place & 63).astype(np.uint64) & _U(1)).astype(bool)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, h), written: the whole sets of wanted (node, digest, least), where least is the doc_id of a text that has it."""
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int, kind: type = np.uint64) -> DataFrame:
+    """(node, h), written: the whole sets of wanted (node, digest, least), where least is the doc_id of a text that has it.
+
+    h: the n-grams' hashes in ascending order as bytes, cut to numbers of `kind`. Other texts stay where they are."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
     sent = docs.sparkSession.sparkContext.broadcast(bit_map(wanted, place("least")))  # BITS bits
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(_sets(batch.column("text").filter(pa.array(_on(sent.value, batch.column("at").to_numpy()))), k))
-            yield pa.RecordBatch.from_pydict({"digest": pa.array([_digest(f) for f in found], pa.binary()), "h": _lists([f.view(np.int64) for f in found])})
+            cut = [np.sort(f.astype(kind)).tobytes() for f in found]
+            yield pa.RecordBatch.from_pydict({"digest": pa.array([_digest(f) for f in found], pa.binary()), "h": pa.array(cut, pa.binary())})
+
+    rows = docs.select(place("doc_id").alias("at"), "text").mapInArrow(tidy(read), "digest binary, h binary")
+    return materialise(rows.dropDuplicates(["digest"]).join(wanted.select("node", "digest"), "digest").select("node", "h"))
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many numbers two lists share, repeats counted."""
+    (a, n), (b, m) = (np.unique(v, return_counts=True) for v in (x, y))
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
 
-    rows = docs.select(place("doc_id").alias("at"), "text").mapInArrow(tidy(read), "digest binary, h array<long>")
-    return materialise(rows.join(wanted.select("node", "digest"), "digest").select("node", "h").dropDuplicates(["node"]))
 
+def compared(pairs: DataFrame, sets: DataFrame, percent: int, kind: type = np.uint64) -> DataFrame:
+    """(src, dst), written: the pairs whose sets, as sets_of() gives them, are linked.
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(src, dst), written: the pairs whose whole sets are linked."""
+    Cut hashes share no less than whole ones, so of them no linked pair is lost."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             on = []
             for x, y in zip(batch.column("a"), batch.column("b"), strict=True):
-                both = np.sort(np.concatenate((x.values.to_numpy(), y.values.to_numpy())))
-                common = int((both[1:] == both[:-1]).sum())
-                on.append(100 * common >= percent * (len(both) - common))
+                x, y = (np.frombuffer(v.as_buffer(), kind) for v in (x, y))
+                common = _common(x, y)
+                on.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["src", "dst"]).filter(pa.array(on, pa.bool_()))
 
     at = pairs.select("src", "dst").join(sets.select(F.col("node").alias("dst"), F.col("h").alias("b")), "dst")
-    both = join_spread(at, sets.select(F.col("node").alias("src"), F.col("h").alias("a")), ["src"], "dst")
+    both = at.join(sets.select(F.col("node").alias("src"), F.col("h").alias("a")), "src")
     return materialise(both.select("src", "dst", "a", "b").mapInArrow(tidy(check), "src long, dst long"))
 
 
+def linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(src, dst), written: the pairs of nodes (node, digest, least) whose whole sets are linked.
+
+    Sixteen bits of each hash come first, as most pairs share too few of those; the whole sets of the pairs left decide."""
+    few = pairs
+    for kind in (np.uint16, np.uint64):
+        ends = few.select(F.col("src").alias("node")).union(few.select("dst")).distinct()
+        sets = sets_of(docs, nodes.select("node", "digest", "least").join(ends, "node"), k, kind)
+        few = compared(few, sets, percent, kind)
+        discard(sets)
+    return few
+
+
 def first_pairs(keys: DataFrame) -> DataFrame:
-    """(src, dst) of nodes (node, keys): each node with two leaders of each of its keys, those of the least and greatest hash."""
+    """(src, dst) of nodes (node, keys): each node with the leaders of its keys, those of the least and greatest hash, that
+    it meets MEETINGS times or more."""
     cells = keys.select("node", F.explode("keys").alias("key"))
     h = F.xxhash64("node")
     lead = cells.groupBy("key").agg(F.min_by("node", h).alias("x"), F.max_by("node", h).alias("y")).where("x <> y")
     met = join_spread(cells, materialise(lead), ["key"], "node")
-    return met.select("node", F.explode(F.array("x", "y")).alias("lead")).where("node <> lead").select(F.greatest("node", "lead").alias("src"), F.least("node", "lead").alias("dst")).distinct()
+    met = met.select("node", F.explode(F.array("x", "y")).alias("lead")).where("node <> lead").select(F.greatest("node", "lead").alias("src"), F.least("node", "lead").alias("dst"))
+    return met.groupBy("src", "dst").agg(F.count("*").alias("n")).where(F.col("n") >= MEETINGS).select("src", "dst")
 
 
 def shared_tokens(sig: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(token, node, grp, n, pos), written: n-grams of prefixes that occur in more than one group, by their place in the prefix.
+    """(token, node, grp, n, pos), written: n-grams of prefixes that occur in more than one row, by their place in the prefix.
 
     Most n-grams of a prefix are in one text alone: those that aren't set a bit of a map each, and only rows on it are joined."""
-    text = F.xxhash64("digest").alias("t")
-    many = sig.select(text, F.explode("prefix").alias("token")).groupBy("token").agg(F.min("t").alias("x"), F.max("t").alias("y")).where("x <> y")
+    many = sig.select("row", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("row").alias("x"), F.max("row").alias("y")).where("x <> y")
     sent = sig.sparkSession.sparkContext.broadcast(bit_map(many, F.shiftrightunsigned("token", 20).bitwiseAND(F.lit(BITS - 1))))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,11 +258,7 @@ def shared_tokens(sig: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"node": batch.column("row").take(pa.array(row[on])), "pos": pa.array(on - (first[:-1] - first[0])[row[on]], pa.int32()), "token": pa.array(tokens[on])})
 
     rows = sig.select("row", "prefix").mapInArrow(tidy(keep), "node long, pos int, token long")
-    rows = materialise(rows.join(nodes.select("node", "grp", "n"), "node"))
-    groups = rows.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("token")
-    found = materialise(rows.join(groups, "token").select("token", "node", "grp", "n", "pos"))
-    discard(rows)
-    return found
+    return materialise(rows.join(nodes.select("node", "grp", "n"), "node").select("token", "node", "grp", "n", "pos"))
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -267,15 +289,13 @@ def qualifying(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def bounded(found: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, grp, n, common) of those rows of found (node, grp) where the union of the group's sets holds enough of the
-    node's set to be linked with a member; common: how much it holds.
-
-    sets: the sets of found's nodes and of all members of its groups."""
-    groups = found.select("grp").distinct()
-    union = nodes.select("node", "grp").join(groups, "grp").join(sets, "node").select("grp", F.explode("h").alias("token")).distinct()
-    own = found.join(sets, "node").select("node", "grp", F.explode("h").alias("token"))
-    held = own.join(union, ["grp", "token"]).groupBy("node", "grp").agg(F.count("*").alias("common"))
-    return held.join(nodes.select("node", "n"), "node").where(100 * F.col("common") >= percent * F.col("n")).select("node", "grp", "n", "common")
+    """Those rows of found (node, grp) where the union of the group's sets holds enough of the node's set to be linked
+    with a member. sets: the whole sets of found's nodes and of all members of its groups."""
+    tokens = F.explode(F.sequence(F.lit(1), F.length("h"), F.lit(8)))
+    each = sets.where(F.length("h") > 0).select("node", "h", tokens.alias("i")).select("node", F.substring("h", F.col("i"), F.lit(8)).alias("token"))
+    union = nodes.select("node", "grp").join(found.select("grp").distinct(), "grp").join(each, "node").select("grp", "token").distinct()
+    held = found.join(each, "node").join(union, ["grp", "token"]).groupBy("node", "grp").agg(F.count("*").alias("common"))
+    return held.join(nodes.select("node", "n"), "node").where(100 * F.col("common") >= percent * F.col("n")).select("node", "grp")
 
 
 def opened(found: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
@@ -304,33 +324,30 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
     have no n-gram and are linked with nothing: each row is its own component. Repeated rows give repeated results; a null doc_id gets its
     component's, null if there's no other; no rows give no rows.
 
-    Equal sets count once. Sets that share a key meet its two leaders, and the components of the links found are
-    the groups. Then every set is compared, by its prefix, with the matrix of tokens and groups; the groups left must hold
-    enough of the set in their union; only those that do are opened: first at the member that shares most of the
+    Equal sets count once. Sets that share keys meet leaders, and the components of the links found are the groups. Then
+    every set is compared, by its prefix, with the matrix of tokens and groups. A group of one is compared at once; others must
+    hold enough of the set in their union, and only those that do are opened: first at the member that shares most of the
     prefix, then, where that one isn't linked either way by now, at every member that may be linked."""
     sig = materialise(signatures(docs, k, percent))
     reps = materialise(sig.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min("n").alias("n")))
     keys = sig.select(F.col("row").alias("node"), "keys").join(reps.select("node"), "node")
     pairs = materialise(first_pairs(keys))
-    ends = lambda df: df.select(F.col("src").alias("node")).union(df.select("dst"))
-    sets = sets_of(docs, reps.join(ends(pairs).distinct(), "node"), k)
-    nodes = _joined(reps.withColumn("grp", F.col("node")), linked(pairs, sets, percent))
+    nodes = _joined(reps.withColumn("grp", F.col("node")), linked(docs, reps, pairs, k, percent))
 
     shared = shared_tokens(sig, nodes)
-    found = materialise(qualifying(shared, percent))
-    asked = nodes.join(found.select("node").union(nodes.join(found.select("grp").distinct(), "grp", "left_semi").select("node")).distinct(), "node", "left_semi")
-    more = sets_of(docs, asked.join(sets, "node", "left_anti"), k)
-    sets = sets.union(more)
-    held = materialise(bounded(found, nodes, sets, percent))
-    size = nodes.groupBy("grp").agg(F.count("*").alias("members"), F.min("node").alias("only"), F.min("n").alias("m"))
-    held = materialise(held.join(size, "grp"))
-    alone = held.where("members = 1").where(100 * F.col("common") >= percent * (F.col("n") + F.col("m") - F.col("common"))).select(F.col("node").alias("src"), F.col("only").alias("dst"))
-    inside = materialise(opened(held.where("members > 1"), shared, percent))
-    best = inside.groupBy("src", "grp").agg(F.max_by("dst", F.struct("hits", "dst")).alias("dst"))
-    nodes = _joined(nodes, alone.union(linked(best, sets, percent)))
+    size = nodes.groupBy("grp").agg(F.count("*").alias("members"), F.min("node").alias("only"))
+    found = materialise(qualifying(shared, percent).join(size, "grp"))
+    alone = found.where("members = 1").select(F.col("node").alias("src"), F.col("only").alias("dst"))
+    several = found.where("members > 1").select("node", "grp")
+    asked = several.select("node").union(nodes.join(several.select("grp").distinct(), "grp", "left_semi").select("node")).distinct()
+    held = materialise(bounded(several, nodes, sets_of(docs, nodes.join(asked, "node"), k), percent))
+    inside = materialise(opened(held, shared, percent))
+    best = inside.groupBy("src", "grp").agg(F.max_by("dst", F.struct("hits", "dst")).alias("dst")).select("src", "dst")
+    nodes = _joined(nodes, linked(docs, nodes, materialise(alone.union(best)), k, percent))
     of = lambda c, x: nodes.select(F.col("node").alias(c), F.col("grp").alias(x))
-    rest = inside.select("src", "dst").join(of("src", "x"), "src").join(of("dst", "y"), "dst").where("x <> y")
-    nodes = _joined(nodes, linked(rest, sets, percent))
+    rest = materialise(inside.select("src", "dst").join(of("src", "x"), "src").join(of("dst", "y"), "dst").where("x <> y").select("src", "dst"))
+    if not rest.isEmpty():
+        nodes = _joined(nodes, linked(docs, nodes, rest, k, percent))
 
     ids = materialise(nodes.groupBy("grp").agg(F.min("least").alias("component_id")))
     of_digest = materialise(join_spread(nodes.select("node", "grp", "digest"), ids, ["grp"], "node").select("digest", "component_id"))
