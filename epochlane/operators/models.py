@@ -49,24 +49,6 @@ def cv_scores(df: DataFrame, make: Callable[[], Estimator], k: int) -> DataFrame
     return fold_metrics(out_of_fold(df, make, k), ["fold"])
 
 
-def search(df: DataFrame, options: Iterable[tuple[str, Callable[[], Estimator]]], k: int) -> DataFrame:
-    """(params, accuracy, macro_recall, accuracy_std) of every option by cross-validation on the same folds."""
-    parts = [cv_scores(df, make, k).agg(F.avg("accuracy").alias("accuracy"), F.avg("macro_recall").alias("macro_recall"), F.stddev_pop("accuracy").alias("accuracy_std")).withColumn("params", F.lit(name)) for name, make in options]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def learning_curve(df: DataFrame, make: Callable[[], Estimator], shares: list[float], id_col: str) -> DataFrame:
-    """(share, n_train, accuracy) on fold 0 for growing shares of the other rows, drawn by hash."""
-    df = materialise(df)
-    test, rest = df.where("fold = 0"), df.where("fold <> 0")
-    out = []
-    for s in shares:
-        train = rest.where(F.pmod(F.xxhash64(id_col), F.lit(1000)) < int(1000 * s))
-        scored = make().fit(train).transform(test)
-        out.append(scored.agg(F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("accuracy")).withColumns({"share": F.lit(s), "n_train": F.lit(train.count())}))
-    return reduce(DataFrame.unionByName, out)
-
-
 def principal_components(df: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
     """df with `components`, the k first of the centred features, and their shares of variance.
 

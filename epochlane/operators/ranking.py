@@ -194,3 +194,30 @@ def running_totals(df: DataFrame, order: list[Column], cols: list[str]) -> DataF
     starts = parts.groupBy("_part").agg(*[F.sum(c).alias(c) for c in cols]).select("_part", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_s_{c}") for c in cols])
     out = local.join(F.broadcast(starts), "_part")
     return out.withColumns({f"before_{c}": F.col(f"_b_{c}") + F.col(f"_s_{c}") for c in cols}).drop("_part", *[f"_{k}_{c}" for k in "bs" for c in cols])
+
+
+def slices(results: DataFrame, params: list[str], score: str) -> DataFrame:
+    """(param_1, param_2, value_1, value_2, score, best, n): for every pair of params the best
+    score of each pair of values, with all other params at the values of the best row (nulls equal nulls).
+
+    Rows are grouped by all params once; a row then stands for every pair whose other params are the best
+    row's, so all pairs come from one pass. The best row: of the highest score, then of the least params."""
+    per = results.groupBy(*params).agg(F.max(score).alias("score"), F.count("*").alias("n"))
+    best = per.orderBy(F.desc_nulls_last("score"), *params).limit(1)
+    best = best.select(*[F.col(c).alias(f"_b_{c}") for c in params], F.col("score").alias("_top")).withColumn("_", F.lit(1))
+    at = per.withColumn("_", F.lit(1)).join(F.broadcast(best), "_")  # one row
+    same = {c: F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in params}
+    pairs = []
+    for i, a in enumerate(params):
+        for b in params[i + 1 :]:
+            others = F.lit(True)
+            for c in params:
+                others = others & same[c] if c not in (a, b) else others
+            pairs.append(F.when(others, F.struct(F.lit(a).alias("param_1"), F.lit(b).alias("param_2"), F.col(a).cast("string").alias("value_1"), F.col(b).cast("string").alias("value_2"))))
+    return at.select(F.explode(F.array_compact(F.array(*pairs))).alias("p"), "score", (F.col("score") == F.col("_top")).alias("best"), "n").select("p.*", "score", "best", "n")
+
+
+def varying(results: DataFrame, params: list[str]) -> list[str]:
+    """Those of params that every row has: a parameter that some grids don't share is skipped in slices()."""
+    seen = results.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in params]).first()
+    return [c for c in params if not seen[c]]

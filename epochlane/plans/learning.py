@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epochlane.operators import agreement, export, folds, metrics, models, windows
+from epochlane.operators import agreement, export, folds, metrics, mixed_effects, models, ranking, stacked, windows
 
 from epochlane.plans.profiling import _labelled, _V, causal_sql
 from epochlane.plans.registry import query
@@ -165,13 +167,27 @@ def score_by_position(spark, d):
     return w.join(share, ["subject_id", "day"]).groupBy("position").agg(F.count("*").alias("n"), F.round(F.avg("share"), 6).alias("mean_share"))
 
 
-@query("param_slices", ctes("search_result") + """, s AS (SELECT family, feature_kind, n_points, overlap, max(elpd_loo) AS score FROM search_result WHERE elpd_loo IS NOT NULL GROUP BY ALL), b AS (SELECT * FROM s ORDER BY score DESC, family, feature_kind, n_points, overlap LIMIT 1)
-    SELECT s.n_points, s.overlap, s.score, s.score = b.score AS best FROM s, b WHERE s.family = b.family AND s.feature_kind = b.feature_kind""")
+#: Parameters of the result table.
+SLICED = ["family", "feature_kind", "n_points", "overlap"]
+
+
+def slices_sql() -> str:
+    """Every pair of parameters with the others at the best row's values."""
+    from itertools import combinations
+
+    parts = []
+    for a, b in combinations(SLICED, 2):
+        rest = " AND ".join(f"s.{c} IS NOT DISTINCT FROM b.{c}" for c in SLICED if c not in (a, b))
+        parts.append(f"SELECT '{a}' AS param_1, '{b}' AS param_2, s.{a}::VARCHAR AS value_1, s.{b}::VARCHAR AS value_2, s.score, s.score = b.score AS best, s.n FROM s, b WHERE {rest}")
+    by = ", ".join(SLICED)
+    return ctes("search_result") + f""", s AS (SELECT {by}, max(elpd_loo) AS score, count(*) AS n FROM search_result WHERE elpd_loo IS NOT NULL GROUP BY {by}),
+        b AS (SELECT * FROM s ORDER BY score DESC, {by} LIMIT 1) """ + " UNION ALL ".join(parts)
+
+
+@query("param_slices", slices_sql())
 def param_slices(spark, d):
-    """Scores over two parameters with the others at the best row's values."""
-    s = view(spark, d, "search_result").where("elpd_loo is not null").groupBy("family", "feature_kind", "n_points", "overlap").agg(F.max("elpd_loo").alias("score"))
-    b = s.orderBy(F.desc("score"), "family", "feature_kind", "n_points", "overlap").limit(1).select(F.col("family").alias("bf"), F.col("feature_kind").alias("bk"), F.col("score").alias("bs"))
-    return s.join(F.broadcast(b), F.col("family").eqNullSafe(F.col("bf")) & F.col("feature_kind").eqNullSafe(F.col("bk"))).select("n_points", "overlap", "score", (F.col("score") == F.col("bs")).alias("best"))
+    """Scores over every pair of parameters with all others at the best row's values."""
+    return ranking.slices(view(spark, d, "search_result").where("elpd_loo is not null"), SLICED, "elpd_loo")
 
 
 def _vecs(spark, d):
@@ -217,29 +233,46 @@ def cv_predict(spark, d):
     return models.out_of_fold(_ml(spark, d), models.logistic, 5).select("vec_id", "fold", "y", "pred")
 
 
+def _stack(spark, d, k=3):
+    """Vectors with a target of two classes, in an order by hash and dealt into k folds."""
+    e = table(spark, d, "embeddings").where("embedding is not null")
+    e = e.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"), (F.col("label") == 0).cast("int").alias("y"))
+    return materialise(stacked.ranked_folds(e, "vec_id", k))
+
+
+def _options(regs, l1s):
+    return [stacked.Model(f"reg={r},l1={a}", r, a) for r in regs for a in l1s]
+
+
 @query("learning_curve")
 def learning_curve(spark, d):
-    return models.learning_curve(_ml(spark, d), models.logistic, [0.25, 0.5, 1.0], "vec_id")
+    """Growing shares of every fold's training rows, each the beginning of the next, with training and test scores."""
+    return stacked.curve(_stack(spark, d), stacked.Model("reg=0.01,l1=0.0"), [0.1, 0.325, 0.55, 0.775, 1.0], 3)
 
 
 @query("validation_curve")
 def validation_curve(spark, d):
-    return models.search(_ml(spark, d), [(f"depth={k}", lambda k=k: models.tree(k)) for k in (2, 4)], 3)
+    """Training and test scores of every fold over a range of one parameter."""
+    return stacked.validated(_stack(spark, d), _options((0.0001, 0.001, 0.01, 0.1, 1.0), (0.0,)), 3)[0].drop("n_train", "n_test")
+
+
+@query("cv_validate")
+def cv_validate(spark, d):
+    """Every fold's training and test scores of one model; the folds are fitted together, in so many passes and seconds."""
+    found, fitted = stacked.validated(_stack(spark, d, 5), [stacked.Model("reg=0.01,l1=0.0")], 5)
+    return found.withColumns({"passes": F.lit(fitted.passes), "fit_seconds": F.lit(round(fitted.seconds, 3))})
 
 
 @query("grid_search")
 def grid_search(spark, d):
-    return models.search(_ml(spark, d), [(f"reg={r},l1={a}", lambda r=r, a=a: models.logistic(r, a)) for r in (0.01, 0.1) for a in (0.0, 1.0)], 3)
+    """All options of a grid on the same folds, fitted together: means and deviations of five metrics, and training scores."""
+    return stacked.search(_stack(spark, d), _options((0.001, 0.01, 0.1), (0.0, 0.5, 1.0)), 3)
 
 
 @query("random_search")
 def random_search(spark, d):
-    """Options drawn from ranges: logarithmic regularisation and share of l1, by a seed."""
-    import random
-
-    draw = random.Random(42)
-    points = [(round(10 ** draw.uniform(-3, 0), 6), round(draw.uniform(0, 1), 3)) for _ in range(4)]
-    return models.search(_ml(spark, d), [(f"reg={r},l1={a}", lambda r=r, a=a: models.logistic(r, a)) for r, a in points], 3)
+    """The same for options drawn by a hash from a finer grid."""
+    return stacked.search(_stack(spark, d), stacked.sampled(_options([round(10 ** (-k / 4), 6) for k in range(13)], (0.0, 0.25, 0.5, 0.75, 1.0)), 8, 42), 3)
 
 
 @query("pca")
@@ -266,33 +299,24 @@ def quality_model(spark, d):
     return models.out_of_fold(v, lambda: models.perceptron([3, 4, 2]), 3).select("subject_id", "day", "channel", "fold", F.col("y").cast("int").alias("y"), F.col("pred").cast("int").alias("predicted_class"))
 
 
-#: Most subjects that risk_model gives an indicator each.
-SUBJECTS = 500
+#: The risk model's variants: the features that each has, and whether subjects and months have effects.
+VARIANTS = {"null": ([], False), "calendar": ([], True), "full": (_V, True), "no_shape": (["mean", "std"], True)}
 
 
 @query("risk_model")
 def risk_model(spark, d):
-    """Next-day risk by ridge logistic regression, scored on the last fifth of dates; the variants differ in their columns."""
-    from functools import reduce
-
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.sql import DataFrame
-
+    """Next-day risk by logistic regression with effects of subjects and months, scored on the last fifth of dates."""
     rows, _ = _labelled(spark, d)
     rows = folds.design(folds.temporal(rows, "day"), _V, F.col("role") == "train")
-    sets = {"null": [], "calendar": ["dom"], "full": ["dom", *_V], "no_shape": ["dom", "mean", "std"]}
-    rows = materialise(rows.withColumn("dom", F.dayofmonth("day") / 31.0))
-    names = [r[0] for r in rows.select("subject_id").distinct().orderBy("subject_id").limit(SUBJECTS + 1).collect()]
-    if len(names) > SUBJECTS:
-        raise ValueError(f"more than {SUBJECTS} subjects: one indicator each is too many columns")
-    base = [(F.col("subject_id") == s).cast("double") for s in names]
-    out = []
-    for name, cols in sets.items():
-        v = models.vectors(rows.withColumn("f", F.array(*base, *[F.col(c).cast("double") for c in cols])), "f", "label")
-        fit = models.logistic(0.1).fit(v.where("role = 'train'"))
-        p = fit.transform(v.where("role = 'test'")).select(F.col("y").cast("int").alias("y"), F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
-        out.append(metrics.brier_log(p).withColumn("variant", F.lit(name)))
-    return reduce(DataFrame.unionByName, out)
+    rows = materialise(rows.select("role", "subject_id", F.month("day").alias("month"), F.array(*[F.col(c).cast("double") for c in _V]).alias("x"), "label"))
+    fixed, own = mixed_effects.fit(rows.where("role = 'train'"), [[c in cols for c in _V] for cols, _ in VARIANTS.values()], [cal for _, cal in VARIANTS.values()])
+    scored = materialise(mixed_effects.predict(rows.where("role = 'test'"), fixed, own, list(VARIANTS)))
+    parts = []
+    for name in VARIANTS:  # four at most
+        p = scored.where(F.col("variant") == name)
+        one = [metrics.brier_log(p), metrics.roc_auc(p), metrics.pr_auc(p), metrics.ece(p), p.agg(F.count("*").alias("n_test"))]
+        parts.append(reduce(lambda a, b: a.crossJoin(b), one).withColumn("variant", F.lit(name)))  # of one row each
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("stage_rem_error", ctes("hypno", x=PAIR_SQL) + "SELECT pair, day, count(*) FILTER (WHERE t = 2) * 5 / 60.0 AS rem_true, count(*) FILTER (WHERE p = 2) * 5 / 60.0 AS rem_pred FROM x GROUP BY 1, 2")
