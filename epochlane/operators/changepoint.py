@@ -75,8 +75,9 @@ def loo_exact(values: DataFrame, keys: list[str], tau: int) -> DataFrame:
     v = F.col("value")
     at = values.where(v.isNotNull()).withColumn("regime", regime(F.col("chunk_idx"), F.lit(tau)))
     own = at.groupBy(*keys, "window_id", "regime").agg(F.count("*").cast("double").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
-    w = Window.partitionBy(*keys, "regime")
-    rest = own.select(*keys, "window_id", "regime", *[F.col(c).alias(f"own_{c}") for c in "nsq"], *[(F.sum(c).over(w) - F.col(c)).alias(f"r{c}") for c in "nsq"]).where("rn > 0")
+    total = own.groupBy(*keys, "regime").agg(*[F.sum(c).alias(f"all_{c}") for c in "nsq"])
+    both = own.join(total, [*keys, "regime"])
+    rest = both.select(*keys, "window_id", "regime", *[F.col(c).alias(f"own_{c}") for c in "nsq"], *[(F.col(f"all_{c}") - F.col(c)).alias(f"r{c}") for c in "nsq"]).where("rn > 0")
     mu = F.col("rs") / F.col("rn")
     var = F.greatest(F.col("rq") / F.col("rn") - mu * mu, F.lit(MIN_SIGMA**2))
     ll = -F.col("own_n") / 2 * F.log(2 * math.pi * var) - (F.col("own_q") - 2 * mu * F.col("own_s") + F.col("own_n") * mu * mu) / (2 * var)

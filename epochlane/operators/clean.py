@@ -170,3 +170,16 @@ def z_score_columns(rows: DataFrame) -> DataFrame:
     """Standardised per position over all windows: aggregates per position, joined back."""
     stats = rows.groupBy("pos").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
     return rows.join(F.broadcast(stats), "pos").withColumn("value", F.when(F.col("_s") > 0, (F.col("value") - F.col("_m")) / F.col("_s")).otherwise(F.col("value") - F.col("_m"))).drop("_m", "_s")
+
+
+def exclude(rows: DataFrame, listed: DataFrame, key: str = "window_id") -> DataFrame:
+    """rows without the samples that are listed; both have column key.
+
+    A listed sample that isn't there is an error, and so is a list that leaves nothing."""
+    bad, there = listed.select(key).distinct(), rows.select(key).distinct()
+    if not bad.join(there, key, "left_anti").isEmpty():
+        raise ValueError("a listed sample is not among the samples")
+    left = rows.join(bad, key, "left_anti")
+    if left.isEmpty():
+        raise ValueError("all samples are excluded")
+    return left

@@ -78,3 +78,53 @@ def distances(configs: DataFrame, most: int) -> DataFrame:
         pairs = pairs.unionByName(meet(most - 1, False))
     apart = F.when(F.col("a_p") != F.col("b_p"), 1).otherwise(0) + F.size(F.array_except("a_items", "b_items")) + F.size(F.array_except("b_items", "a_items"))
     return pairs.select(F.col("a_config_id").alias("a"), F.col("b_config_id").alias("b"), apart.alias("distance")).where(F.col("distance") <= most).distinct()
+
+
+#: Each metric's default likelihood, mean and deviation of its location's prior, deviation of its scale's prior,
+#: and the likelihoods that it may have.
+DEFAULTS = {
+    "mean": ("student_t", 0.0, 1.5, 1.0, ["student_t", "lognormal", "normal", "skew_normal"]),
+    "range": ("lognormal", -0.3, 1.0, 0.7, ["beta", "beta_constrained", "normal", "lognormal", "interval_inflated_beta", "zero_inflated_beta"]),
+    "std": ("lognormal", -0.7, 1.0, 0.7, ["student_t", "lognormal", "gamma"]),
+    "skewness": ("student_t", 0.0, 2.5, 1.5, ["student_t"]),
+    "kurtosis": ("student_t", 0.0, 3.0, 2.0, ["student_t"]),
+    "shape_shift": ("lognormal", -2.0, 1.0, 0.5, ["lognormal", "gamma"]),
+}
+SETTINGS = ("likelihood", "mu", "mu_sigma", "sigma", "g_prior")
+
+
+def resolved(items: DataFrame, g_prior: str = "none") -> DataFrame:
+    """items with a setting for each of SETTINGS and valid: what an item says itself, else its metric's default.
+
+    items: metric and override (a map of texts, of any of SETTINGS, null or empty for none). g_prior is set for all metrics alike, unless an
+    item says otherwise. valid: whether the metric is known and may have the likelihood; unknown metrics have only what they say."""
+    spark = items.sparkSession
+    rows = [(m, {"likelihood": k, "mu": str(mu), "mu_sigma": str(ms), "sigma": str(s), "g_prior": g_prior}, allowed) for m, (k, mu, ms, s, allowed) in DEFAULTS.items()]
+    known = F.broadcast(spark.createDataFrame(rows, "metric string, _default map<string, string>, _allowed array<string>"))  # a row a metric
+    none = F.create_map().cast("map<string, string>")
+    at = items.join(known, "metric", "left")
+    said = F.map_filter(F.coalesce("override", none), lambda k, v: v.isNotNull())
+    at = at.withColumn("_all", F.map_concat(F.map_filter(F.coalesce("_default", none), lambda k, v: ~F.array_contains(F.map_keys(said), k)), said))
+    at = at.withColumns({c: F.col("_all")[c] for c in SETTINGS})
+    return at.withColumn("valid", F.coalesce(F.array_contains("_allowed", F.col("likelihood")), F.lit(False))).drop("_all", "_default", "_allowed")
+
+
+def shared_chunks(features: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_chunks, valid): how many chunks a configuration's metrics have; valid if that's one number.
+
+    features: (keys, metric, chunk_idx). The shape shift, which has one less, counts only where there is no other metric."""
+    width = features.groupBy(*keys, "metric").agg(F.countDistinct("chunk_idx").alias("w"))
+    other = F.when(F.col("metric") != "shape_shift", F.col("w"))
+    shift = F.when(F.col("metric") == "shape_shift", F.col("w"))
+    at = width.groupBy(*keys).agg(F.max(other).alias("_o"), F.min(other).alias("_p"), F.max(shift).alias("_s"), F.min(shift).alias("_t"))
+    return at.select(*keys, F.coalesce("_o", "_s").alias("n_chunks"), F.when(F.col("_o").isNotNull(), F.col("_o") == F.col("_p")).otherwise(F.col("_s") == F.col("_t")).alias("valid"))
+
+
+def variants(features: DataFrame, profiles: list[tuple[int, float]]) -> DataFrame:
+    """features with the grid variants: (variant, metric, likelihood, n_chunks, n_points, overlap).
+
+    constrained: range with a constrained beta or a normal, a chunk a day; shift: the shape shift alone, lognormal or gamma; half_day: mean by
+    a student-t and range by a constrained beta in two chunks a day. Profiles are zipped pairs."""
+    rows = [("constrained", "range", k, 8) for k in ("beta_constrained", "normal")] + [("shift", "shape_shift", k, 7) for k in ("lognormal", "gamma")] + [("half_day", "mean", "student_t", 16), ("half_day", "range", "beta_constrained", 16)]
+    opts = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(m).alias("metric"), F.lit(k).alias("likelihood"), F.lit(c).alias("n_chunks"), F.lit(n).alias("n_points"), F.lit(float(o)).alias("overlap")) for v, m, k, c in rows for n, o in profiles])
+    return features.select(*features.columns, F.explode(opts).alias("_")).select(*features.columns, "_.*")

@@ -68,3 +68,28 @@ def error_matrix(pairs: DataFrame, classes: int = 3) -> DataFrame:
 def sample_head(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """The first n rows in an order: a report's look at a table."""
     return df.orderBy(*order).limit(n)
+
+
+def exported_rows(meta: DataFrame, samples: DataFrame, order: str = "window_id") -> DataFrame:
+    """meta's exported rows with row_index, their place in an exported matrix.
+
+    samples: the matrix; its number of rows must be that of the exported ones, else it's an error that names both."""
+    from epochlane.operators.ranking import rank_column
+
+    out = rank_column(meta.where("exported"), [F.asc(order)], "_r").withColumn("row_index", F.col("_r") - 1).drop("_r")
+    n, m = out.count(), samples.count()
+    if n != m:
+        raise ValueError(f"{n} rows of the metadata are exported, but the matrix has {m}")
+    return out
+
+
+def read_metadata(spark, path: str, samples: DataFrame) -> DataFrame:
+    """The exported rows of a metadata file (CSV with a header, columns exported and row_index), checked against the matrix."""
+    meta = spark.read.option("header", "true").option("inferSchema", "true").csv(path)
+    if "exported" not in meta.columns:
+        raise ValueError(f"{path} has no column exported")
+    out = meta.where(F.lower(F.col("exported").cast("string")).isin("true", "1"))
+    n, m = out.count(), samples.count()
+    if n != m:
+        raise ValueError(f"{n} rows of the metadata are exported, but the matrix has {m}")
+    return out

@@ -149,9 +149,10 @@ def permute(df: DataFrame, keys: list[str], id_col: str, value: str, seed: int)
     Rows in the order of their ids take the values in the order of the ids' hashes."""
     drawn = [F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), F.col(id_col)]
     if keys:
-        order = Window.partitionBy(*keys)
-        at = df.withColumn("_i", F.row_number().over(order.orderBy(id_col)))
-        src = df.select(*keys, F.row_number().over(order.orderBy(*drawn)).alias("_i"), F.col(value).alias("_v"))
+        of = df.withColumn("_of", F.concat_ws("\1", *keys))
+        at = rank_within(of, "_of", [F.asc(id_col)], "_i")
+        src = rank_within(of, "_of", drawn, "_i").select("_of", "_i", F.col(value).alias("_v"))
+        return at.join(src, ["_of", "_i"]).withColumn(value, F.col("_v")).select(*df.columns)
     else:
         at = rank_column(df, [F.col(id_col)], "_i")
         src = rank_column(df, drawn, "_i").select("_i", F.col(value).alias("_v"))
@@ -221,3 +222,65 @@ def varying(results: DataFrame, params: list[str]) -> list[str]:
     """Those of params that every row has: a parameter that some grids don't share is skipped in slices()."""
     seen = results.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in params]).first()
     return [c for c in params if not seen[c]]
+
+
+#: Weights and gates of the log-target: with an information criterion, and the older form without.
+TARGET = {"elpd": 1.0, "p_tau": 0.2, "map": 0.05, "conc": 0.05, "complexity": 0.05, "r_hat_gate": 1.05, "r_hat": 40.0, "ess_least": 100.0, "ess": 0.15, "bfmi_least": 0.3, "bfmi": 25.0}
+TARGET_LEGACY = {"p_tau": 8.0, "map": 2.0, "conc": 1.0, "ess": 0.002, "complexity": 0.08, "r_hat_gate": 1.01, "r_hat": 50.0, "ess_least": 100.0, "ess_penalty": 5.0}
+
+
+def log_target(weights: dict[str, float] | None = None, legacy: dict[str, float] | None = None) -> Column:
+    """A model's score on a log scale, higher is better; null for a rejected one: with divergences, or whose elpd is missing
+    though it has an information criterion.
+
+    From columns ic_computed, elpd, p_tau, map_prob, conc, r_hat_max, ess_bulk, ess_tail, bfmi, n_divergences, n_blocks. With a criterion
+    elpd counts most and each gate takes off in proportion to how far it is missed; without, the older form of tau's
+    probabilities and the sample size. Missing p_tau, map_prob and conc are 0, a missing r_hat_max 1."""
+    w, v = TARGET | (weights or {}), TARGET_LEGACY | (legacy or {})
+    log = lambda c: F.log(F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(1e-12)))
+    p, m, conc, r = F.col("p_tau"), F.col("map_prob"), F.coalesce("conc", F.lit(0.0)), F.coalesce("r_hat_max", F.lit(1.0))
+    blocks = F.greatest(F.coalesce("n_blocks", F.lit(1)) - 1, F.lit(0)).cast("double")
+    over = F.when(r > w["r_hat_gate"], w["r_hat"] * (r - w["r_hat_gate"])).otherwise(0.0)
+    short = w["ess"] * F.greatest(F.lit(0.0), w["ess_least"] - F.coalesce(F.least("ess_bulk", "ess_tail"), F.lit(0.0)))
+    energy = F.when(F.col("bfmi") < w["bfmi_least"], w["bfmi"] * (w["bfmi_least"] - F.col("bfmi"))).otherwise(0.0)
+    new = w["elpd"] * F.col("elpd") + w["p_tau"] * log(p) + w["map"] * log(m) + w["conc"] * conc - w["complexity"] * blocks - over - short - energy
+    gate = F.when(r > v["r_hat_gate"], v["r_hat"] * (r - v["r_hat_gate"])).otherwise(0.0) + F.when(F.coalesce(F.col("ess_bulk") < v["ess_least"], F.lit(True)), v["ess_penalty"]).otherwise(0.0)
+    old = v["p_tau"] * log(p) + v["map"] * log(m) + v["conc"] * conc + v["ess"] * F.coalesce(F.log(F.greatest("ess_bulk", F.lit(1.0))), F.lit(0.0)) - v["complexity"] * blocks - gate
+    return F.when(F.coalesce("n_divergences", F.lit(0)) > 0, F.lit(None).cast("double")).when(F.coalesce("ic_computed", F.lit(False)), new).otherwise(old)
+
+
+def with_priors(parts: DataFrame, kinds: tuple[str, ...] = ("uniform", "inverse", "bic", "lambda")) -> DataFrame:
+    """parts once for each kind of model prior, with target, log_prior and their sum log_posterior."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("prior"), model_prior(k, F.col("n_blocks"), F.col("n_observations")).alias("log_prior")) for k in kinds]))
+    at = parts.withColumn("target", log_target()).withColumn("_p", each)
+    return at.select(*parts.columns, "target", "_p.prior", "_p.log_prior", (F.col("target") + F.col("_p.log_prior")).alias("log_posterior"))
+
+
+def stop_reasons(history: DataFrame, key: str, order: list[str], window: int = 50, patience: int = 30, tolerance: float = 0.1, least_new: float = 0.1) -> DataFrame:
+    """(key, order, old_mean, new_mean, reason): for each record of a search whether it would stop there, and why.
+
+    history: key, order, config_id, score. The last `window` records, those there are, are cut in the middle; reasons in this order: no better
+    score for `patience` records; both means at most tolerance apart (from four scores on); fewer than least_new of the records
+    with a model not seen before. The first record never stops. Windows hold `window` records at most."""
+    w = Window.partitionBy(key).orderBy(*order)
+    last = w.rowsBetween(-(window - 1), 0)
+    best = F.max("score").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    at = history.withColumns({"_i": F.row_number().over(w), "_new": (F.row_number().over(Window.partitionBy(key, "config_id").orderBy(*order)) == 1).cast("double"), "_rise": F.col("score") > F.coalesce(best, F.lit(float("-inf"))) + 1e-12})
+    at = at.withColumns({"_since": F.col("_i") - F.coalesce(F.last(F.when(F.col("_rise"), F.col("_i")), ignorenulls=True).over(w), F.lit(0)), "_all": F.collect_list("score").over(last), "_share": F.avg("_new").over(last)})
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(a), F.lit(0))
+    half = F.floor(F.size("_all") / 2).cast("int")
+    at = at.withColumns({"old_mean": mean(F.slice("_all", F.lit(1), half)), "new_mean": mean(F.slice("_all", half + 1, F.size("_all")))})
+    reason = F.when(F.col("_since") >= patience, "no_improvement").when((F.size("_all") >= 4) & (F.round(F.abs(F.col("new_mean") - F.col("old_mean")), 9) <= tolerance), "stabilized").when(F.round("_share", 9) < least_new, "saturated")
+    return at.select(key, *order, "old_mean", "new_mean", F.when(F.col("_i") > 1, reason).alias("reason"))
+
+
+def best_params(results: DataFrame, params: list[str], score: str) -> DataFrame:
+    """(param, value, score): the parameters of the best row, the least of equals; no row if none has a score."""
+    best = results.where(F.col(score).isNotNull()).orderBy(F.desc(score), *params).limit(1)
+    return best.select(F.explode(F.array(*[F.struct(F.lit(c).alias("param"), F.col(c).cast("string").alias("value")) for c in params])).alias("_"), F.col(score).alias("score")).select("_.param", "_.value", "score")
+
+
+def param_grid(results: DataFrame, params: list[str]) -> DataFrame:
+    """(param, n_values, values): how many values each parameter has, and those in order, joined by commas."""
+    at = results.select(F.explode(F.array(*[F.struct(F.lit(c).alias("param"), F.col(c).cast("string").alias("value")) for c in params])).alias("_")).select("_.*").distinct()
+    return at.groupBy("param").agg(F.count("value").alias("n_values"), F.array_join(F.sort_array(F.collect_list("value")), ",").alias("values"))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: The words that selections are made of.
 METRIC_WORDS = frozenset(["range", "mean", "std", "skewness", "kurtosis", "shape_shift"])
 GROUP_WORDS = frozenset(["all", "odd", "even", "concat", "daily", "day", "night"])
+#: The groups that have a shape shift.
+SHIFT_GROUPS = frozenset(["all", "odd", "even"])
 #: Another word for a group.
 SAME_GROUP = {"single": "all"}
 #: Number of chunks and groups of the named presets, each with mean and range.
@@ -42,6 +44,8 @@ def parse(selection: Mapping[str, str | Iterable[str]] | Iterable[str]) -> list[
         g = SAME_GROUP.get(g, g)
         if g not in GROUP_WORDS or m not in METRIC_WORDS:
             raise ValueError(f"unknown feature {group} {metric}")
+        if m == "shape_shift" and g not in SHIFT_GROUPS:
+            raise ValueError(f"{g} has no shape shift")
         out[g, m] = None
     return list(out)
 

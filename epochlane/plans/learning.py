@@ -187,7 +187,8 @@ def slices_sql() -> str:
 @query("param_slices", slices_sql())
 def param_slices(spark, d):
     """Scores over every pair of parameters with all others at the best row's values."""
-    return ranking.slices(view(spark, d, "search_result").where("elpd_loo is not null"), SLICED, "elpd_loo")
+    at = view(spark, d, "search_result").where("elpd_loo is not null")
+    return ranking.slices(at, ranking.varying(at, SLICED), "elpd_loo")
 
 
 def _vecs(spark, d):

@@ -238,9 +238,10 @@ def drop_worst_rounds(spark, d):
 
 @query("influential_events", tau_sql(vv="SELECT grp, window_id, day_idx AS c, y FROM v WHERE y IS NOT NULL", loo=LOO_SQL) + "SELECT grp, window_id, subject_id, event_date, round(elpd, 4) AS elpd FROM (SELECT loo.*, avg(elpd) OVER (PARTITION BY grp) - 2 * stddev_pop(elpd) OVER (PARTITION BY grp) AS cut FROM loo) x JOIN trigger ON trigger_id = window_id WHERE elpd < cut")
 def influential_events(spark, d):
-    w = Window.partitionBy("grp")
-    loo = changepoint.loo_exact(_values(spark, d), KEYS, 5).withColumn("_cut", F.avg("elpd").over(w) - 2 * F.stddev_pop("elpd").over(w)).where("elpd < _cut")
-    return loo.join(view(spark, d, "trigger"), F.col("window_id") == F.col("trigger_id")).select("grp", "window_id", "subject_id", "event_date", F.round("elpd", 4).alias("elpd"))
+    loo = materialise(changepoint.loo_exact(_values(spark, d), KEYS, 5))
+    cut = loo.groupBy("grp").agg((F.avg("elpd") - 2 * F.stddev_pop("elpd")).alias("_cut"))
+    low = loo.join(cut, "grp").where("elpd < _cut")
+    return low.join(view(spark, d, "trigger"), F.col("window_id") == F.col("trigger_id")).select("grp", "window_id", "subject_id", "event_date", F.round("elpd", 4).alias("elpd"))
 
 
 @query("g_prior_scale", ctes("search_result") + "SELECT config_id, n_events::DOUBLE AS unit_information, round(n_events / 3.0, 6) AS hyper_g_n, 10.0::DOUBLE AS fixed FROM search_result")
@@ -253,15 +254,26 @@ GRID = [(n, o) for n in (12, 24, 36, 48) for o in (0.0, 0.25, 0.5)]
 FEATURE = ["n_points", "overlap", "grp", "metric"]
 
 
-def _grid_features(spark, d):
-    """(n_points, overlap, window_id, chunk_idx, grp, metric, y, u): the long features of every profile of the grid."""
-    choices = F.array(*[F.struct(F.lit(n).alias("n_points"), F.lit(o).alias("overlap")) for n, o in GRID])
-    slots = window_days(spark, d).select("window_id", "day_idx", "subject_id", "day", F.explode(choices).alias("_g")).select("window_id", "day_idx", "subject_id", "day", "_g.*")
-    slots = slots.withColumn("point_idx", F.explode(F.sequence(F.lit(0), F.col("n_points") - 1)))
-    at = slots.join(profiles.grid(view(spark, d, "hypno"), GRID), ["subject_id", "day", "n_points", "overlap", "point_idx"], "left").withColumnRenamed("pct", "value")
-    scaled = clean.min_max(at, ["window_id", "n_points", "overlap"], low=-1.0, high=1.0, constant=0.0)
+def _grid_features(spark, d, choices=GRID, groups=("daily", "day", "night")):
+    """(n_points, overlap, window_id, chunk_idx, grp, metric, y, u): the long features of every profile of the choices.
+
+    Every profile of a day is reduced to count, sum, least and greatest value of its parts first: scaling by a window's
+    ends is linear, so the mean and the range of scaled values follow from those, and windows that share days share that work."""
     grp = F.array(F.lit("daily"), F.when(2 * F.col("point_idx") < F.col("n_points"), "day").otherwise("night"))
-    per = scaled.withColumn("grp", F.explode(grp)).groupBy("n_points", "overlap", "window_id", "day_idx", "grp").agg(F.avg("value").alias("mean"), (F.max("value") - F.min("value")).alias("range"))
+    at = ["subject_id", "day", "n_points", "overlap", "grp"]
+    parts = profiles.grid(view(spark, d, "hypno"), list(choices)).withColumn("grp", F.explode(grp))
+    parts = materialise(parts.groupBy(*at).agg(F.avg("pct").alias("mean"), F.min("pct").alias("low"), F.max("pct").alias("high")))
+    options = F.array(*[F.struct(F.lit(n).alias("n_points"), F.lit(o).alias("overlap")) for n, o in choices])
+    slots = window_days(spark, d).select("window_id", "day_idx", "subject_id", "day", F.explode(options).alias("_g")).select("window_id", "day_idx", "subject_id", "day", "_g.*")
+    profile = ["window_id", "n_points", "overlap"]
+    slots = slots.withColumn("grp", F.explode(F.array(*[F.lit(g) for g in dict.fromkeys(("daily", *groups))])))
+    both = slots.join(parts, at, "left")
+    whole = Window.partitionBy(*profile)
+    ends = {"_a": F.min("low").over(whole), "_b": F.max("high").over(whole)}
+    width = F.col("_b") - F.col("_a")
+    both = both.withColumns(ends).where(F.col("grp").isin(*groups))
+    scaled = lambda v: F.when(F.col("mean").isNull(), F.lit(None).cast("double")).when(width > 0, v).otherwise(0.0)
+    per = both.select("n_points", "overlap", "window_id", "day_idx", "grp", scaled(2 * (F.col("mean") - F.col("_a")) / width - 1).alias("mean"), scaled(2 * (F.col("high") - F.col("low")) / width).alias("range"))
     return _with_unit(features.long_features(per, ["mean", "range"], ["n_points", "overlap", "window_id", "day_idx", "grp"]))
 
 
@@ -416,7 +428,7 @@ def _strata(spark, d):
 @query("confirmatory", masked(**GRID_SQL, fc=CONF_SRC, items=CONF_ITEMS, **score_sql("fc", ", ".join(CONF_KEYS), CONFIRMED), **summary_sql("items", ", ".join(CONF_KEYS), "tag, stratum, masked")) + "SELECT * FROM out")
 def confirmatory(spark, d):
     """A fixed list of models in every stratum, with the day mask on and off, scored in one job; error rows stay."""
-    f = _grid_features(spark, d).where("n_points = 24 and grp = 'daily'")
+    f = _grid_features(spark, d, [x for x in GRID if x[0] == 24], ("daily",))
     at = f.join(_mask(spark, d).withColumnRenamed("day_idx", "chunk_idx"), ["window_id", "chunk_idx"]).join(_strata(spark, d), "window_id").withColumn("masked", F.explode(F.array(F.lit(True), F.lit(False))))
     at = at.withColumns({c: F.when(~F.col("masked") | F.col("valid"), F.col(c)) for c in ("y", "u")})
     items = spark.createDataFrame([(t, s, m, o, "daily", metric, k) for t, o, metric, k in PRESET_ROWS for s in ("full", "before_only") for m in (True, False)], "tag string, stratum string, masked boolean, overlap double, grp string, metric string, likelihood string")
@@ -649,13 +661,6 @@ def visit_counts(spark, d):
     return at.withColumn("_", F.lit(1)).join(F.broadcast(n), "_").select("feature", "visits", F.round(F.col("visits") / F.col("n"), 6).alias("share"))
 
 
-@query("model_target", SR + "SELECT config_id, round(elpd_loo + 0.1 * e_tau - 2.0 * n_features - ln(n_features::DOUBLE), 6) AS target FROM search_result")
-def model_target(spark, d):
-    """elpd with a small tau term, a penalty per feature and an inverse prior on their number."""
-    t = F.col("elpd_loo") + 0.1 * F.col("e_tau") - 2.0 * F.col("n_features") - F.log("n_features")
-    return view(spark, d, "search_result").select("config_id", F.round(t, 6).alias("target"))
-
-
 @query("model_priors", SR + """, k AS (SELECT config_id, unnest(['uniform', 'inverse', 'bic', 'lambda']) AS prior, unnest([0.0::DOUBLE, -ln(greatest(n_features, 1)), -0.5 * greatest(n_features, 1) * ln(greatest(n_events, 1)), -0.69 * greatest(n_features, 1)]) AS log_prior FROM search_result)
     SELECT config_id, prior, round(log_prior, 6) AS log_prior FROM k""")
 def model_priors(spark, d):
@@ -719,7 +724,12 @@ def permute_global(spark, d):
     return ranking.changes(was, now, "trigger_id", "direction", ["subject_id"])
 
 
-@query("null_arms")
+def _arms_sql() -> str:
+    arm = "SELECT a.trigger_id, a.subject_id, b.event_date, a.direction, 'shuffled' AS arm, {0}::INT AS seed FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY trigger_id) AS i FROM trigger) a JOIN (SELECT subject_id, event_date, row_number() OVER (PARTITION BY subject_id ORDER BY md5('{0}:' || trigger_id), trigger_id) AS i FROM trigger) b ON a.subject_id = b.subject_id AND a.i = b.i"
+    return "SELECT *, 'real' AS arm, NULL::INT AS seed FROM trigger UNION ALL " + " UNION ALL ".join(arm.format(s) for s in (1, 2, 3))
+
+
+@query("null_arms", ctes("trigger") + _arms_sql())
 def null_arms(spark, d):
     """The real events and one arm of permuted dates per seed."""
     t = view(spark, d, "trigger")
