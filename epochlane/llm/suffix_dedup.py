@@ -25,9 +25,9 @@ SPAN = 1 << 16
 ROWS_PER_TASK = 400_000
 #: Starts of the stretches that runs are compared by.
 PART = 16
-#: Bytes that stand for the core that stretches share, and of a string of LENGTH bytes with its core so replaced:
-#: three words, so names of triples order such strings as a whole.
-CORE, SHORT = 9, 9 + PART - 1
+#: Bytes that stand for the core that stretches share, and of a string of LENGTH bytes with its core so replaced: more
+#: than three words, so the sort names triples of words and then, by recursion, triples of those names.
+CORE, SHORT = 16, 16 + PART - 1
 
 
 #: Columns that name a text.
@@ -187,7 +187,7 @@ def undecided(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
     sure = rows.join(each.where("many").select("h", "k", "core", "v"), ["h", "k", "core", "v"]).select("h", "p", F.col("lo").alias("s"), (F.col("lo") + F.col("n") + LENGTH - 1).alias("e"))
     left = "substring(piece, cast(s as int) + 1, cast(top - s as int))"
     right = f"substring(piece, cast(top as int) + {LENGTH - PART + 2}, cast(s + n - 1 - top as int) + {PART - 1})"
-    some = pieces.join(open_, ["h", "p"]).select("h", "p", "s", F.expr(f"concat({left}, substring(core, 1, {CORE}), {right})").alias("piece"))
+    some = pieces.join(open_, ["h", "p"]).select("h", "p", "s", F.expr(f"concat({left}, core, {right})").alias("piece"))
     return sure, some
 
 
@@ -299,8 +299,8 @@ def repeated_starts(pieces: DataFrame, n: int, length: int = LENGTH) -> DataFram
     of words, one of eight by the start's remainder; its words are counted modulo 3.
     1. The sampled suffixes, those whose word number is 1 or 2 modulo 3, get names by sorting
        their triples of words (24 bytes).
-    2. Their strings of names are sorted in the same way: names of three names (72 bytes), and of
-       three of those (216 bytes), so the sampled suffixes are in order as far as length needs.
+    2. Their strings of names are sorted in the same way, by recursion: names of three names (72 bytes), and of
+       three of those (216 bytes), as far as length needs; strings with names for cores need the first of these.
     3. The others are merged in: suffixes of classes 0 and 1 are ordered by (word, name of the
        next), of classes 0 and 2 by (word, word, name of the one after), of classes 1 and 2 by name.
     4. In each order neighbours' prefixes of length bytes are compared, by 128-bit fingerprints.
