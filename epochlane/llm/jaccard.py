@@ -20,8 +20,9 @@ from epochlane.operators.skew import join_spread
 from epochlane.session import discard, materialise
 
 WORDS, PERCENT = 4, 85
-#: Counters of the table by which n-grams are ordered, rare ones first. It decides how fast, never what is found.
-COUNTERS, PARTS = 1 << 19, 128
+#: Counters a document of the table by which n-grams are ordered, rare ones first, their least and greatest number, and those
+#: of a row of it. The table decides how fast, never what is found.
+COUNTERS, LEAST_COUNTERS, MOST_COUNTERS, WIDTH = 16, 1 << 16, 1 << 26, 1 << 12
 #: Bits of the maps that let rows pass which a join needs; more entries let more rows pass than needed.
 BITS = 1 << 24
 #: Keys by which similar documents meet at first, to be put into groups, and how often a document must meet a leader to be compared with it.
@@ -84,40 +85,34 @@ def _digest(found: np.ndarray) -> bytes:
 
 
 def classes(docs: DataFrame, k: int) -> np.ndarray:
-    """A number from 0 to 255 for each of COUNTERS classes of n-grams, higher for classes that occur more often.
+    """A number from 0 to 255 for each class of n-grams, higher for classes that occur more often.
 
-    A task sends its counters in PARTS rows, which are added up in two steps; the driver gets the
-    sums, COUNTERS numbers at any size."""
-    width = COUNTERS // PARTS
+    There are about COUNTERS classes a document, MOST_COUNTERS at most, so that a common n-gram stands out at every size. A
+    task sends its counters in rows of WIDTH, which are added up in two steps; the driver gets the sums."""
+    size = 1 << min(max(COUNTERS * docs.count() - 1, LEAST_COUNTERS - 1).bit_length(), MOST_COUNTERS.bit_length() - 1)
+    parts, top = size // WIDTH, np.iinfo(np.uint16).max
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(size, np.uint32)
         for batch in batches:
-            some: list[np.ndarray] = []
-            for found in _sets(batch.column("text"), k):
-                some.append(found)
-                if len(some) == 256:
-                    total += _counted(some)
-                    some = []
-            if some:
-                total += _counted(some)
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "n": pa.array([x.tobytes() for x in total.reshape(PARTS, width)], pa.binary())})
+            for run in words.runs(batch.column("text"), words.NOT_BLANK):
+                at, n = np.unique(np.concatenate(shingles(run, k) or [np.zeros(0, np.uint64)]) & _U(size - 1), return_counts=True)
+                total[at.astype(np.int64)] += n.astype(np.uint32)
+        for part, x in enumerate(np.minimum(total, top).astype(np.uint16).reshape(parts, WIDTH)):
+            if x.any():
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([x.tobytes()], pa.binary())})
 
     def add(key: tuple, rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in rows["n"])
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([total.tobytes()], pa.binary())})
+        total = sum(np.frombuffer(x.as_py(), np.uint16).astype(np.int64) for x in rows["n"])
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([np.minimum(total, top).astype(np.uint16).tobytes()], pa.binary())})
 
     sent = docs.select("text").mapInArrow(tidy(count), "part int, n binary").withColumn("salt", F.spark_partition_id() % 8)
     once = sent.groupBy("part", "salt").applyInArrow(add, "part int, n binary")
-    total = np.zeros((PARTS, width), np.int64)
-    for r in once.groupBy("part").applyInArrow(add, "part int, n binary").collect():
-        total[r["part"]] = np.frombuffer(r["n"], np.int64)
-    flat = total.reshape(-1)
-    return np.clip(np.floor(2 * np.log2(np.maximum(flat / max(1.0, flat.mean()), 1))), 0, 255).astype(np.uint8)
-
-
-def _counted(some: list[np.ndarray]) -> np.ndarray:
-    return np.bincount((np.concatenate(some) & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+    total = np.zeros((parts, WIDTH), np.uint16)
+    for r in once.groupBy("part").applyInArrow(add, "part int, n binary").toLocalIterator():
+        total[r["part"]] = np.frombuffer(r["n"], np.uint16)
+    flat = total.reshape(-1).astype(np.float32)
+    return np.clip(np.floor(2 * np.log2(np.maximum(flat / max(1.0, float(flat.mean())), 1))), 0, 255).astype(np.uint8)
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -126,26 +121,29 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(row, doc_id, digest, n, keys, prefix) of every row: the size and digest of its set, keys by which similar
-    ones meet, and so many of its n-grams, rare classes first, that linked sets share one of them."""
-    sent = docs.sparkSession.sparkContext.broadcast(classes(docs, k))  # COUNTERS bytes
+    """(row, doc_id, digest, n, common, keys, prefix) of every row: the size and digest of its set, how many in a thousand of
+    its n-grams are of common classes, keys by which similar sets meet, and so many of its n-grams, rare classes first,
+    that linked sets share one of them."""
+    sent = docs.sparkSession.sparkContext.broadcast(classes(docs, k))  # MOST_COUNTERS bytes at most
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = sent.value
         for batch in batches:
-            digests, sizes, keys, prefixes = [], [], [], []
+            digests, sizes, common, keys, prefixes = [], [], [], [], []
             for found in _sets(batch.column("text"), k):
                 n = len(found)
                 digests.append(_digest(found))
                 sizes.append(n)
                 keys.append(_keys(found).view(np.int64) if n else np.zeros(0, np.int64))
-                in_order = found[np.argsort(rank[(found & _U(COUNTERS - 1)).astype(np.int64)], kind="stable")]
+                own = rank[(found & _U(len(rank) - 1)).astype(np.int64)]
+                common.append(1000 * int(np.count_nonzero(own)) // max(n, 1))
+                in_order = found[np.argsort(own, kind="stable")]
                 prefixes.append(in_order[: n - least_overlap(n, percent) + 1].view(np.int64))
-            yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "doc_id": batch.column("doc_id"), "digest": pa.array(digests, pa.binary()), "n": pa.array(sizes, pa.int64()), "keys": _lists(keys), "prefix": _lists(prefixes)})
+            yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "doc_id": batch.column("doc_id"), "digest": pa.array(digests, pa.binary()), "n": pa.array(sizes, pa.int64()), "common": pa.array(common, pa.int32()), "keys": _lists(keys), "prefix": _lists(prefixes)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return rows.mapInArrow(tidy(sign), f"row long, doc_id {kind}, digest binary, n long, keys array<long>, prefix array<long>")
+    return rows.mapInArrow(tidy(sign), f"row long, doc_id {kind}, digest binary, n long, common int, keys array<long>, prefix array<long>")
 
 
 def _keys(found: np.ndarray) -> np.ndarray:
@@ -233,11 +231,13 @@ def linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent:
 
 
 def first_pairs(keys: DataFrame) -> DataFrame:
-    """(src, dst) of nodes (node, keys): each node with the leaders of its keys, those of the least and greatest hash, that
-    it meets MEETINGS times or more."""
-    cells = keys.select("node", F.explode("keys").alias("key"))
+    """(src, dst) of nodes (node, common, keys): each node with the two leaders of its keys that it meets MEETINGS times or more.
+
+    One leader has the largest share of common n-grams: of near copies of a text those with the fewest changes, which are
+    linked with most others. The other has the least hash."""
+    cells = keys.select("node", "common", F.explode("keys").alias("key"))
     h = F.xxhash64("node")
-    lead = cells.groupBy("key").agg(F.min_by("node", h).alias("x"), F.max_by("node", h).alias("y")).where("x <> y")
+    lead = cells.groupBy("key").agg(F.max_by("node", F.struct("common", h)).alias("x"), F.min_by("node", h).alias("y"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = join_spread(cells, materialise(lead), ["key"], "node")
     met = met.select("node", F.explode(F.array("x", "y")).alias("lead")).where("node <> lead").select(F.greatest("node", "lead").alias("src"), F.least("node", "lead").alias("dst"))
     return met.groupBy("src", "dst").agg(F.count("*").alias("n")).where(F.col("n") >= MEETINGS).select("src", "dst")
@@ -330,7 +330,7 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
     prefix, then, where that one isn't linked either way by now, at every member that may be linked."""
     sig = materialise(signatures(docs, k, percent))
     reps = materialise(sig.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min("n").alias("n")))
-    keys = sig.select(F.col("row").alias("node"), "keys").join(reps.select("node"), "node")
+    keys = sig.select(F.col("row").alias("node"), "common", "keys").join(reps.select("node"), "node")
     pairs = materialise(first_pairs(keys))
     nodes = _joined(reps.withColumn("grp", F.col("node")), linked(docs, reps, pairs, k, percent))
 
