@@ -169,27 +169,29 @@ def spans(values: DataFrame, keys: list[str], kinds: list[str]) -> DataFrame:
     return out
 
 
-def _pdf(kind: Column, x: Column, p: str) -> Column:
-    """The density of a likelihood at x with parameters in struct column p; the inflated part of an
-    interval-inflated beta comes on top of its beta."""
-    a, b, share = (F.col(f"{p}.{c}") for c in ("a", "b", "share"))
-    beta = F.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + (a - 1) * F.log(x) + (b - 1) * F.log(1 - x))
+def _pdf(x: Column) -> Column:
+    """The density of column likelihood at x with parameters a, b, share, alpha and norm, what doesn't depend on x of a gamma's
+    or a beta's logarithm; the inflated part of an interval-inflated beta comes on top of its beta."""
+    kind, a, b, share = (F.col(c) for c in ("likelihood", "a", "b", "share"))
+    log = F.col("norm") + (a - 1) * F.log(x)
     return (
-        F.when(kind == "normal", F.exp(density.normal(x, a, b))).when(kind == "student_t", F.exp(density.student_t(x, F.lit(search.NU), a, b))).when(kind == "skew_normal", F.exp(density.skew_normal(x, a, b, F.col(f"{p}.alpha"))))
-        .when(kind == "lognormal", F.exp(density.lognormal(x, a, b))).when(kind == "gamma", F.exp(density.gamma(x, a, b)))
-        .when(kind == "interval_inflated_beta", (1 - share) * beta + F.when(x >= search.THRESHOLD, share / (1 - search.THRESHOLD)).otherwise(0.0)).otherwise(beta))
+        F.when(kind == "normal", F.exp(density.normal(x, a, b))).when(kind == "student_t", F.exp(density.student_t(x, F.lit(search.NU), a, b))).when(kind == "skew_normal", F.exp(density.skew_normal(x, a, b, F.col("alpha"))))
+        .when(kind == "lognormal", F.exp(density.lognormal(x, a, b))).when(kind == "gamma", F.exp(log - b * x))
+        .otherwise((1 - share) * F.exp(log + (b - 1) * F.log(1 - x)) + F.when((kind == "interval_inflated_beta") & (x >= search.THRESHOLD), share / (1 - search.THRESHOLD)).otherwise(0.0)))
 
 
 def density_profiles(values: DataFrame, keys: list[str], kinds: list[str], low: int, high: int, points: int = 50) -> DataFrame:
-    """(keys, likelihood, tau, x, before, after): the fitted densities on both sides of the likeliest changepoint.
+    """(keys, likelihood, tau, i, x, before, after): the fitted densities on both sides of the likeliest changepoint.
 
     Each likelihood has a grid of its own over its values, `points` equal steps of it."""
     sums = materialise(search.regime_sums(values, keys, low, high))
     post = posteriors(search.tau_scores(values, keys, kinds, low, high), keys)
-    params = parameters(sums, keys, kinds)
     at = [*keys, "likelihood", "tau"]
-    side = lambda r: params.where(F.col("regime") == r).select(*at, F.struct("a", "b", "share", "alpha").alias(f"p{r}"))
-    both = materialise(best_tau(post, keys).join(side(1), at, "left").join(side(2), at, "left").join(spans(values, keys, kinds), [*keys, "likelihood"]))
-    grid = both.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.col("first") + (F.col("last") - F.col("first")) * F.col("i") / (points - 1))
-    kind, x = F.col("likelihood"), F.col("x")
-    return grid.select(*at, "i", "x", F.when(F.col("p1").isNotNull(), _pdf(kind, x, "p1")).alias("before"), F.when(F.col("p2").isNotNull(), _pdf(kind, x, "p2")).alias("after"))
+    a, b = F.col("a"), F.col("b")
+    norm = F.when(F.col("likelihood") == "gamma", a * F.log(b) - lgamma(a)).when(F.col("likelihood").isin("beta", "beta_constrained", "interval_inflated_beta", "zero_inflated_beta"), lgamma(a + b) - lgamma(a) - lgamma(b)).otherwise(0.0)
+    params = materialise(best_tau(post, keys).join(parameters(sums, keys, kinds), at).withColumn("norm", norm))
+    fitted = params.join(spans(values, keys, kinds), [*keys, "likelihood"])
+    grid = fitted.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.col("first") + (F.col("last") - F.col("first")) * F.col("i") / (points - 1))
+    grid = grid.withColumn("pdf", _pdf(F.col("x")))
+    side = lambda r: F.max(F.when(F.col("regime") == r, F.col("pdf")))
+    return grid.groupBy(*at, "i").agg(F.max("x").alias("x"), side(1).alias("before"), side(2).alias("after"))
