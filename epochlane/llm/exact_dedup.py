@@ -49,8 +49,8 @@ def duplicates(docs: DataFrame, runs: int = RUNS, ways: int = WAYS) -> DataFrame
 
     Texts are equal when they are after normalised(). Of equal texts the row with the most
     code points stays, then the smallest doc_id (null last). Null texts count as empty and
-    all empty ones are equal. Rows that repeat the doc_id that stays are kept with it; keep_points
-    are the code points of the row that stays. Extra
+    all empty ones are equal. Rows that repeat the doc_id that stays are kept with it where they have as many code
+    points; keep_points are those of the row that stays. Extra
     columns are ignored; an empty table gives an empty table.
 
     Each run first reduces its own copies, so a text that fills a third of the table is cut
@@ -66,7 +66,7 @@ def duplicates(docs: DataFrame, runs: int = RUNS, ways: int = WAYS) -> DataFrame
     keeper = level.select(*KEY, F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (-F.col("best.points")).alias("keep_points"))
     of_run = materialise(first.select("run", *KEY).join(keeper, KEY))
     out = rows.join(of_run, ["run", *KEY])
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "keep_points")
+    return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "keep_points")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

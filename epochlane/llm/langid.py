@@ -19,8 +19,8 @@ from epochlane.session import materialise
 BINS = 1 << 14
 #: Most training texts of one language; the centroids are fitted on these.
 SAMPLE_PER_LANG = 800
-#: The languages learned are the values of lang with most texts, so many at most; this bounds the model's size.
-MOST_LANGS = 200
+#: Languages that a model may have unless fit() is told otherwise; this bounds its size.
+MOST_LANGS = 1000
 #: Centroids of one language.
 CENTROIDS = 4
 ROUNDS = 8
@@ -197,8 +197,9 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     return int(out[BINS]), out[:BINS]
 
 
-def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, centroids: int = CENTROIDS) -> Model:
-    """A model of the MOST_LANGS languages with most texts, from rows that aren't held out.
+def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, centroids: int = CENTROIDS, most_langs: int = MOST_LANGS) -> Model:
+    """A model of all languages, from rows that aren't held out; more than most_langs of them are an error, as the model
+    is sent to every task.
 
     docs: doc_id, text, lang. Rows with null text or lang, or no letter, teach nothing. Document
     frequencies cover all the others. Centroids are fitted on at most sample_per_lang texts of
@@ -210,10 +211,12 @@ def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, centroids: int
     if not total:
         return Model()
     idf = np.log((1 + total) / (1 + df)).astype(np.float32) + np.float32(0.1)
-    n = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    n = materialise(known.groupBy("lang").agg(F.count("*").alias("n")))
+    if (languages := n.count()) > most_langs:
+        raise ValueError(f"{languages} languages are more than most_langs = {most_langs}")
     order = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 40))
     least = n.select("lang", (F.lit(float(1 << 40)) * F.least(F.lit(1.0), F.lit(1.5 * sample_per_lang + 200) / F.col("n"))).alias("_most"))
-    thin = known.withColumn("_o", order).join(F.broadcast(least), "lang").where("_o <= _most")  # MOST_LANGS rows
+    thin = known.withColumn("_o", order).join(F.broadcast(least), "lang").where("_o <= _most")  # most_langs rows at most
     ranked = thin.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_o", "doc_id"))).where(F.col("_k") <= sample_per_lang)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,11 +233,11 @@ def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, centroids: int
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         mid, cos = cluster(Rows(group["at"].tolist(), group["n"].tolist(), idf), centroids)
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "mid": [m.tolist() for m in mid], "letters": [group["letters"].tolist(), *[[]] * (len(mid) - 1)], "cos": [cos.astype(float).tolist(), *[[]] * (len(mid) - 1)]})
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "mid": [m.astype(np.float32).tobytes() for m in mid], "letters": [group["letters"].tolist(), *[[]] * (len(mid) - 1)], "cos": [cos.astype(float).tolist(), *[[]] * (len(mid) - 1)]})
 
-    rows = sorted(sample.groupBy("lang").applyInPandas(one, "lang string, mid array<float>, letters array<long>, cos array<double>").collect(), key=lambda r: r["lang"])
+    rows = sorted(sample.groupBy("lang").applyInPandas(one, "lang string, mid binary, letters array<long>, cos array<double>").collect(), key=lambda r: r["lang"])
     floors = reject_floors(*(np.concatenate([np.array(r[c], float) for r in rows]) for c in ("letters", "cos")))
-    return Model(idf, np.array([r["mid"] for r in rows], np.float32), [r["lang"] for r in rows], floors)
+    return Model(idf, np.stack([np.frombuffer(r["mid"], np.float32) for r in rows]), [r["lang"] for r in rows], floors)
 
 
 def judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -260,7 +263,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     language of the nearest centroid; it is rejected if it lies farther from it than texts of
     its length do, see REJECT_SHARE. Without a learned language every text is `und`, and one
     with a letter isn't rejected, since there is no distance to judge by. The model is
-    broadcast, at most MOST_LANGS * CENTROIDS * BINS numbers; nothing is shuffled. Columns of
+    broadcast, at most most_langs * CENTROIDS * BINS numbers; nothing is shuffled. Columns of
     those three names in docs are replaced."""
     docs = docs.drop("lang_pred", "score", "rejected")
     sent = docs.sparkSession.sparkContext.broadcast(model)

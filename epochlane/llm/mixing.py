@@ -113,4 +113,5 @@ def in_mixed_order(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS) -> Dat
 
     Written files follow in that order. Rows of one doc_id share its first place."""
     place = places(docs, weights).select("_id", F.col("position").alias("_position"))
-    return docs.join(place, docs["doc_id"].eqNullSafe(place["_id"])).repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)
+    rows = docs.select(F.col("doc_id").alias("_of"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # names of docs can't clash in there
+    return rows.join(place, F.col("_of").eqNullSafe(F.col("_id"))).repartitionByRange("_position").sortWithinPartitions("_position").select("_row.*")
