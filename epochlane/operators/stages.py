@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochlane.session import materialise
+
 DAY = ["subject_id", "day"]
 CHANNEL = [*DAY, "channel"]
 MAD_SCALE = 1.4826
@@ -278,3 +280,21 @@ def score(samples: DataFrame, length: int, rate: float, delta: tuple[float, floa
     threshold = F.when(F.col("_half"), F.coalesce("_d1", "_d0")).otherwise(F.coalesce("_d0", "_d1"))
     staged = stage_rule(at, threshold, F.col("_r"))
     return clean(stage_fill(staged.join(bad, [*DAY, "epoch_idx"], "left").withColumn("artifact", F.coalesce("artifact", F.lit(False))))).select(*DAY, "epoch_idx", "stage")
+
+
+def write_stages(samples: DataFrame, path: str, length: int, rate: float, delta: tuple[float, float], theta: tuple[float, float], channels: DataFrame | None = None) -> int:
+    """The whole job over the subject-days of samples that aren't at path yet, written there; how many those are.
+
+    Days are partitions of their own: a run that is repeated, or goes on after a stop, replaces only days that it computes,
+    and computes none that is there. Days that give no stage are computed again each time."""
+    spark = samples.sparkSession
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm)
+    done = None
+    if there:
+        done = materialise(spark.read.parquet(path).select("subject_id", F.col("day").cast("date").alias("day")).distinct())
+    found = materialise(score(samples, length, rate, delta, theta, done, channels))
+    n = found.select(*DAY).distinct().count()
+    if n:
+        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*DAY).parquet(path)
+    return n
