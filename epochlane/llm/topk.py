@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from epochlane.session import materialise
 
 ROWS_PER_SHARD = 4096
-QUERIES_PER_BLOCK = 4096
-#: Roots that one block of queries is held against in one task.
-ROOTS_PER_BUNDLE = 4096
+#: Queries that a copy of a tree serves, and roots that they are held against at once: half a million pairs.
+QUERIES_PER_BLOCK = 16_384
+ROOTS_PER_BUNDLE = 32
 #: The space is cut into cells by a sample of at most so many rows, into at most so many cells a length of vectors.
 SAMPLE, MOST_CELLS = 20_000, 1024
 #: Shards of the largest bounds that a query visits before the others.
@@ -219,21 +219,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
     first = run(queries.withColumn("floor", lowest))
     known = queries.join(floors(first), "id", "left").withColumn("floor", F.coalesce("floor", lowest))
 
-    def bound(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({c: [] for c in ("id", "dim", "v", "block", "targets")}).astype({"id": "int64", "dim": "int32", "v": object, "block": "int32", "targets": object})
-        q = _matrix(left["v"]).astype(np.float64)
-        reach = upper_bounds(q, np.array(right["centre"].tolist(), float).reshape(len(right), -1), right["radius"].to_numpy(float))
-        good = reach >= left["floor"].to_numpy(float)[:, None] * (1 - 1e-9 * np.sign(left["floor"].to_numpy(float)))[:, None]
-        cell, part = right["cell"].to_numpy(), right["part"].to_numpy()
-        good &= (cell != left["cell"].to_numpy()[:, None]) | (part != left["part"].to_numpy()[:, None])
-        targets = [[{"bound": float(reach[i, j]), "cell": int(cell[j]), "part": int(part[j])} for j in np.flatnonzero(g).tolist()] for i, g in enumerate(good)]
-        return pd.DataFrame({"id": left["id"], "dim": left["dim"], "v": left["v"], "block": left["block"], "targets": targets})[["id", "dim", "v", "block", "targets"]]
+    def bound(left: pa.Table, right: pa.Table) -> pa.Table:
+        # pairs stay in arrays; a group has QUERIES_PER_BLOCK times ROOTS_PER_BUNDLE of them, about
+        grid = lambda c, n: c.combine_chunks().flatten().to_numpy().reshape(n, -1).astype(np.float64)
+        own = {c: left[c].to_numpy() for c in ("floor", "cell", "part")}
+        good = np.zeros((len(left), len(right)), bool)
+        reach, cell, part = np.zeros(good.shape), right["cell"].to_numpy(), right["part"].to_numpy()
+        if good.size:
+            reach = upper_bounds(grid(left["v"], len(left)), grid(right["centre"], len(right)), right["radius"].to_numpy())
+            floor = own["floor"].astype(float)
+            good = reach >= (floor * (1 - 1e-9 * np.sign(floor)))[:, None]
+            good &= (cell != own["cell"][:, None]) | (part != own["part"][:, None])
+        _, j = np.nonzero(good)
+        each = pa.StructArray.from_arrays([pa.array(reach[good]), pa.array(cell[j], pa.int32()), pa.array(part[j], pa.int32())], names=["bound", "cell", "part"])
+        targets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(good.sum(axis=1)))), pa.int32()), each)
+        return left.select(["id", "dim", "v", "block"]).append_column("targets", targets)
 
     roots = trees.select(*keys, "centre", "radius", F.pmod(F.xxhash64(*keys), F.lit(bundles)).cast("int").alias("bundle"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     sent = known.withColumn("bundle", F.explode(F.sequence(F.lit(0), F.lit(bundles - 1))))
     group = ["dim", "block", "bundle"]
-    reach = materialise(sent.groupBy(*group).cogroup(roots.groupBy(*group)).applyInPandas(bound, "id long, dim int, v array<long>, block int, targets array<struct<bound: double, cell: int, part: int>>"))
+    reach = materialise(sent.groupBy(*group).cogroup(roots.groupBy(*group)).applyInArrow(bound, "id long, dim int, v array<long>, block int, targets array<struct<bound: double, cell: int, part: int>>"))
     best = F.reverse(F.array_sort("targets"))
     to = lambda df: df.withColumn("_t", F.explode("_targets")).select("id", "v", "dim", "_t.cell", "_t.part", "block", "floor")
     near = run(to(reach.withColumn("_targets", F.slice(best, 1, NEAR)).join(known.select("id", "floor").distinct(), "id")))
