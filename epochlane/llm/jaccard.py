@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -61,8 +62,16 @@ def word_hashes(run: words.Run) -> np.ndarray:
     return out
 
 
-def shingles(run: words.Run, k: int) -> list[np.ndarray]:
-    """The distinct hashes of each text's runs of k words, ascending; of a text with fewer words the whole sequence's."""
+class Grams(NamedTuple):
+    """Runs of so many words; as bags, a repeated one counts each time: its repetitions are n-grams of their own."""
+
+    words: int
+    bags: bool = False
+
+
+def shingles(run: words.Run, grams: Grams) -> list[np.ndarray]:
+    """The distinct hashes of each text's n-grams, ascending; of a text with fewer words than one the whole sequence's."""
+    k = grams.words
     h, n = word_hashes(run), run.words_of_text()
     ends = np.cumsum(n)
     chains = [h]
@@ -72,10 +81,15 @@ def shingles(run: words.Run, k: int) -> list[np.ndarray]:
     for last, c in zip(ends.tolist(), n.tolist(), strict=True):
         width = min(c, k)
         out.append(np.unique(chains[width - 1][last - c : last - width + 1]) if c else h[:0])
+        if grams.bags and len(out[-1]) < c - width + 1:
+            every = np.sort(chains[width - 1][last - c : last - width + 1])
+            first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+            turn = np.arange(len(every)) - np.repeat(first, np.diff(np.append(first, len(every))))
+            out[-1] = np.unique(np.where(turn > 0, _mix(every + turn.astype(np.uint64) * _M1), every))
     return out
 
 
-def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+def _sets(texts: pa.Array, k: Grams) -> Iterator[np.ndarray]:
     for run in words.runs(texts, words.NOT_BLANK):
         yield from shingles(run, k)
 
@@ -84,7 +98,7 @@ def _digest(found: np.ndarray) -> bytes:
     return hashlib.md5(found.tobytes()).digest()
 
 
-def classes(docs: DataFrame, k: int) -> np.ndarray:
+def classes(docs: DataFrame, k: Grams) -> np.ndarray:
     """A number from 0 to 255 for each class of n-grams, higher for classes that occur more often.
 
     There are about COUNTERS classes a document, MOST_COUNTERS at most, so that a common n-gram stands out at every size. A
@@ -120,7 +134,7 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def signatures(docs: DataFrame, k: Grams, percent: int) -> DataFrame:
     """(row, doc_id, digest, n, common, keys, prefix) of every row: the size and digest of its set, how many in a thousand of
     its n-grams are of common classes, keys by which similar sets meet, and so many of its n-grams, rare classes first,
     that linked sets share one of them."""
@@ -174,7 +188,7 @@ def _on(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (bits[place >> 6] >> (place & 63).astype(np.uint64) & _U(1)).astype(bool)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, k: int, kind: type = np.uint64) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, k: Grams, kind: type = np.uint64) -> DataFrame:
     """(node, h), written: the whole sets of wanted (node, digest, least), where least is the doc_id of a text that has it.
 
     h: the n-grams' hashes in ascending order as bytes, cut to numbers of `kind`. Other texts stay where they are."""
@@ -217,7 +231,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int, kind: type = np.ui
     return materialise(both.select("src", "dst", "a", "b").mapInArrow(tidy(check), "src long, dst long"))
 
 
-def linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: Grams, percent: int) -> DataFrame:
     """(src, dst), written: the pairs of nodes (node, digest, least) whose whole sets are linked.
 
     Sixteen bits of each hash come first, as most pairs share too few of those; the whole sets of the pairs left decide."""
@@ -315,11 +329,11 @@ def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(nodes.join(moved.withColumnRenamed("grp", "to"), "node", "left").withColumn("grp", F.coalesce("to", "grp")).drop("to"))
 
 
-def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def components(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, bags: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text; others are ignored).
 
-    A text's set are its distinct runs of k words `[^\\x20\\x09-\\x0D]+`, A-Z in lower case; of a text with fewer words,
-    the whole sequence. Texts are linked when their sets' intersection is percent in a hundred of their union
+    A text's set are its distinct runs of n_words words `[^\\x20\\x09-\\x0D]+`, A-Z in lower case; of a text with fewer words,
+    the whole sequence; with bags, repetitions count as well. Texts are linked when their sets' intersection is percent in a hundred of their union
     or more; component_id is the smallest doc_id reachable, itself included. Null, empty and blank texts
     have no n-gram and are linked with nothing: each row is its own component. Repeated rows give repeated results; a null doc_id gets its
     component's, null if there's no other; no rows give no rows.
@@ -328,6 +342,7 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
     every set is compared, by its prefix, with the matrix of tokens and groups. A group of one is compared at once; others must
     hold enough of the set in their union, and only those that do are opened: first at the member that shares most of the
     prefix, then, where that one isn't linked either way by now, at every member that may be linked."""
+    k = Grams(n_words, bags)
     sig = materialise(signatures(docs, k, percent))
     reps = materialise(sig.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min("n").alias("n")))
     keys = sig.select(F.col("row").alias("node"), "common", "keys").join(reps.select("node"), "node")

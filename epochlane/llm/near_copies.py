@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epochlane.llm import simhash
+from epochlane.llm import jaccard, simhash
 from epochlane.operators.graph import connected_components
 from epochlane.operators.skew import join_spread
 from epochlane.llm.workers import tidy
@@ -67,12 +67,13 @@ def _with_node(docs: DataFrame) -> DataFrame:
     return docs.withColumn("node", F.md5(F.coalesce("text", F.lit(""))))
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(src, dst), src < dst: pairs of nodes that share a band or have fingerprints within two bits.
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(src, dst), src < dst: pairs of nodes that share a band or have fingerprints within two bits; and the nodes of crowded cells.
 
     nodes: a written table (node, fp, bands), each node once. Cells of up to CELL_MOST nodes give
     all their pairs. In fuller ones every node meets the least one, and in MEETING_BANDS of the
-    bands also the few that a hash deals to the same part, so the number of pairs is linear."""
+    bands also the few that a hash deals to the same part, so the number of pairs is linear; the other links between
+    nodes of such cells are left to an exact join."""
     cells = nodes.select("node", F.posexplode("bands").alias("band", "cell"))
     full = materialise(cells.groupBy("band", "cell").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"))
     crowd = materialise(cells.join(full, ["band", "cell"]))
@@ -86,13 +87,18 @@ def candidates(nodes: DataFrame) -> DataFrame:
     same = nodes.join(of_fp, "fp").select(F.col("least").alias("src"), F.col("node").alias("dst"))
     ends = (of_fp.select(F.col("fp").alias(x), F.col("least").alias(f"n_{x}")) for x in ("src", "dst"))
     links = materialise(simhash.links(of_fp)).join(next(ends), "src").join(next(ends), "dst").select(F.least("n_src", "n_dst").alias("src"), F.greatest("n_src", "n_dst").alias("dst"))
-    return pairs.union(stars).union(same).union(links).where("src < dst").distinct()
+    return pairs.union(stars).union(same).union(links).where("src < dst").distinct(), crowd.where(~few).select("node").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """The pairs (src, dst) whose whole texts are similar to at least `least`."""
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, text), written: the texts of ids (node), each once."""
+    return materialise(_with_node(docs).select("node", "text").join(ids.distinct(), "node", "left_semi").dropDuplicates(["node"]))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """The pairs (src, dst) whose whole texts are similar to at least `least`; texts: (node, text), each node once."""
     ids = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
-    texts = _with_node(docs).select("node", "text").join(ids, "node", "left_semi").dropDuplicates(["node"])
+    texts = texts.join(ids, "node", "left_semi")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,10 +122,20 @@ def components(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> Dat
     component_id: the smallest doc_id reachable over links, itself included. Texts are linked
     when their shingle hashes, as sets or as bags, have a Jaccard similarity of `least` or more;
     every link is checked on the whole texts. Null and empty texts are alike; rows with a null
-    doc_id come back with their text's component; repeated rows give repeated results."""
+    doc_id come back with their text's component; repeated rows give repeated results. Texts of crowded cells, where
+    not all pairs are candidates, are joined exactly, as sets and as bags, so no link between them is lost."""
     of_doc = materialise(signatures(docs, words))
     nodes = materialise(of_doc.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    found = materialise(verified(materialise(candidates(nodes.drop("least"))), docs, words, least))
+    pairs, crowded = (materialise(x) for x in candidates(nodes.drop("least")))
+    texts = texts_of(docs, pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).union(crowded))
+    found = materialise(verified(pairs, texts, words, least))
+    many = texts.join(crowded, "node", "left_semi").select(F.col("node").alias("doc_id"), "text")
+    if not crowded.isEmpty():
+        many = materialise(many)
+        for bags in (False, True):
+            exact = jaccard.components(many, words, round(100 * least), bags)
+            found = found.union(exact.where("doc_id <> component_id").select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst")))
+        found = materialise(found)
     comps = connected_components(found)
     named = materialise(nodes.select("node", "least").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -58,7 +58,7 @@ def test_hashes_are_of_words_not_of_their_places():
     for h, a, b in zip(jaccard.word_hashes(run).tolist(), run.first, run.end, strict=True):
         assert of.setdefault(run.data[a:b], h) == h
     assert len(set(of.values())) == len(of) and run.words_of_text().tolist() == [5, 0, 0, 5, 2, 1]
-    found = list(jaccard._sets(pa.array(texts, pa.string()), 4))
+    found = list(jaccard._sets(pa.array(texts, pa.string()), jaccard.Grams(4)))
     assert [len(x) for x in found] == [len(plain_set(t)) for t in texts] and all(np.all(np.diff(x.astype(object)) > 0) for x in found if len(x) > 1)
 
 

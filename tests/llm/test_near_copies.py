@@ -64,3 +64,30 @@ def test_the_stage_joins_near_copies_of_many_bits(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert jaccard(texts[0], texts[1]) >= 0.8 > jaccard(texts[0], texts[2])
     assert sorted(r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()) == [0, 2]
+
+
+def test_links_of_crowded_cells_that_avoid_the_least_one(spark, monkeypatch):
+    """A cell of 200 texts: each is linked with its neighbours in a chain alone, and bags count too."""
+    random.seed(9)
+    words = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(200):
+        texts.append(" ".join(words))
+        words = words[6:] + [f"n{i}x{j}" for j in range(6)]
+    rows = list(enumerate(texts, 1))
+    random.shuffle(rows)
+    assert jaccard(texts[0], texts[1]) >= 0.8 > jaccard(texts[0], texts[2])
+    monkeypatch.setattr(near_copies, "bands", lambda found: list(range(near_copies.BANDS)))  # all in one cell of each band
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and len(set(got.values())) == 1
+
+
+def test_bags_count_repetitions():
+    import pyarrow as pa
+
+    from epochlane.llm import jaccard as join
+
+    texts = pa.array(["a b a b a b c", "a b c d", "x"], pa.string())
+    sets, bags = (list(join._sets(texts, join.Grams(2, b))) for b in (False, True))
+    assert [len(x) for x in sets] == [3, 3, 1] and [len(x) for x in bags] == [6, 3, 1]
+    assert set(sets[0].tolist()) <= set(bags[0].tolist()) and sets[1].tolist() == bags[1].tolist()
