@@ -120,12 +120,25 @@ def ess(draws: DataFrame) -> DataFrame:
     return draws.select(*CONFIG).distinct().join(out, CONFIG, "left")
 
 
+#: Log-likelihoods in one stretch of this length are summed as they are: no exponential in it overflows.
+STRETCH = 64.0
+
+
 def waic(ll: DataFrame) -> DataFrame:
-    """elpd_waic = lppd - p_waic from (config_id, window_id, draw, ll)."""
-    top = F.max("ll").over(Window.partitionBy(*CONFIG, "window_id"))
-    at = ll.withColumns({"_t": top}).withColumn("_e", F.exp(F.col("ll") - F.col("_t")))
-    per = at.groupBy(*CONFIG, "window_id").agg((F.max("_t") + F.log(F.avg("_e"))).alias("lppd"), F.var_samp("ll").alias("p"))
-    return per.groupBy(*CONFIG).agg(F.sum("lppd").alias("lppd"), F.sum("p").alias("p_waic"), (F.sum("lppd") - F.sum("p")).alias("elpd_waic"))
+    """elpd_waic = lppd - p_waic from (config_id, window_id, draw, ll).
+
+    Draws are summed where they are, by stretches of log-likelihood, so that a few rows an event leave a task: the mean of
+    exponentials and the variance follow from counts, means and variances of stretches."""
+    n, m, e = F.col("n"), F.col("m"), F.col("_e")
+    event = [*CONFIG, "window_id"]
+    per = ll.withColumn("_e", F.floor(F.col("ll") / STRETCH)).groupBy(*event, "_e").agg(F.sum(F.exp(F.col("ll") - STRETCH * e)).alias("s"), F.count("*").alias("n"), F.avg("ll").alias("m"), F.var_pop("ll").alias("v"))
+    w = Window.partitionBy(*event)
+    per = per.withColumns({"_top": F.max("_e").over(w), "_mean": F.sum(n * m).over(w) / F.sum("n").over(w)})
+    off = m - F.col("_mean")
+    each = per.groupBy(*event).agg(
+        (F.log(F.sum(F.col("s") * F.exp(STRETCH * (e - F.col("_top")))) / F.sum("n")) + STRETCH * F.max("_top")).alias("lppd"),
+        (F.sum(n * (F.col("v") + off * off)) / F.nullif(F.sum("n") - 1, F.lit(0))).alias("p"))
+    return each.groupBy(*CONFIG).agg(F.sum("lppd").alias("lppd"), F.sum("p").alias("p_waic"), (F.sum("lppd") - F.sum("p")).alias("elpd_waic"))
 
 
 def psis_loo(ll: DataFrame, keys: list[str] = CONFIG) -> DataFrame:
