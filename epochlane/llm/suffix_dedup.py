@@ -175,7 +175,7 @@ def parts(pieces: DataFrame) -> DataFrame:
 
 
 def undecided(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What is repeated for sure, (h, p, s, e) as bytes of a piece, and what a sort must decide, (h, p, s, piece).
+    """What is repeated for sure, (h, p, s, e) as bytes of a piece, and what a sort must decide, (h, p, s, piece, key); both written.
 
     Stretches that are equal as a whole are repeated. One whose core no other stretch at its
     distance has holds no repeated string. The others, one of each kind, are left to the sort with
@@ -188,6 +188,8 @@ def undecided(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = "substring(piece, cast(s as int) + 1, cast(top - s as int))"
     right = f"substring(piece, cast(top as int) + {LENGTH - PART + 2}, cast(s + n - 1 - top as int) + {PART - 1})"
     some = pieces.join(open_, ["h", "p"]).select("h", "p", "s", F.expr(f"concat({left}, core, {right})").alias("piece"))
+    sure, some = materialise(sure), materialise(some.withColumn("key", F.substring(F.unhex(F.sha2("piece", 256)), 1, 16)))
+    discard(rows, each)
     return sure, some
 
 
@@ -386,11 +388,10 @@ def repeated_starts(pieces: DataFrame, n: int, length: int = LENGTH) -> DataFram
     return found.where("hit").select("pos").union(across).distinct()
 
 
-def repeated_in(pieces: DataFrame, length: int) -> DataFrame:
-    """(h, p, s, e): the repeated bytes of pieces (h, p, s, piece), which start at s of a run, by the suffix sort.
+def repeated_in(keyed: DataFrame, length: int) -> DataFrame:
+    """(h, p, s, e): the repeated bytes of keyed (h, p, s, piece, key: a digest of piece), which start at s of a run, by the suffix sort.
 
     length: the bytes of a piece that stand for a string of LENGTH bytes."""
-    keyed = materialise(pieces.withColumn("key", F.substring(F.unhex(F.sha2("piece", 256)), 1, 16)))
     distinct = keyed.groupBy("key").agg(F.count("*").alias("n"), F.first("piece").alias("piece"))
     distinct = materialise(rank_column(distinct, [F.col("key")], "rid"))
     total = distinct.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()[0]
@@ -422,9 +423,9 @@ def repeats(keyed: DataFrame) -> DataFrame:
     texts = materialise(keyed.groupBy(*T).agg(F.count("*").alias("n"), F.min("doc_id").alias("one_id")))
     pieces = materialise(cut_runs(keyed, texts, found.where("several")))
     sure, short = undecided(pieces)
+    discard(pieces)
     whole = found.where("many").select("h", "p", F.lit(0).cast("long").alias("s"), (F.col("n") + LENGTH - 1).alias("e"))
     spans = materialise(sure.union(repeated_in(short, SHORT)).union(whole).groupBy("h", "p").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
-    discard(pieces)
     # spans has each run once; a run that very many texts hold is split by the adaptive join
     at = rows.join(spans, ["h", "p"]).select(*T, F.explode(F.transform("spans", lambda x: F.struct((x["s"] + F.col("a")).alias("a"), (x["e"] + F.col("a")).alias("b")))).alias("span"))
     of_text = at.groupBy(*T).agg(F.collect_set("span").alias("spans"))
