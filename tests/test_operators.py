@@ -269,7 +269,7 @@ def test_rhat_of_equal_chains_is_near_one(spark):
     random.seed(3)
     df = spark.createDataFrame([("c", ch, i, random.gauss(0, 1)) for ch in range(2) for i in range(50)], "config_id string, chain int, draw int, value double")
     assert 0.9 < posterior.split_rhat(df).first()["rhat"] < 1.2
-    assert 20 < posterior.ess(df).first()["ess"] <= 100
+    assert 20 < posterior.ess(df).first()["ess_bulk"] <= 200
 
 
 def test_trend_and_anomaly_need_days_before(spark):
