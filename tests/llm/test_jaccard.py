@@ -67,7 +67,7 @@ def test_join_of_hard_rows(spark, docs, empty):
     assert jaccard.components(empty).count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_join_at_the_edge_of_the_limit(spark, seed):
     """Near copies whose similarity is about the limit, chains of them, common passages, short texts and subsets."""
     rnd, rows = random.Random(seed), []
