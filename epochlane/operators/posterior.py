@@ -9,17 +9,17 @@ from epochlane.functions.special import normal_quantile
 from epochlane.session import materialise
 
 CONFIG = ["config_id"]
-#: Draws of one block of with_draws(), about.
-DRAWS_PER_BLOCK = 25_000
+#: Draws of one block of with_draws(), about, and the least number of blocks.
+DRAWS_PER_BLOCK, LEAST_BLOCKS = 25_000, 32
 
 
 def with_draws(values: DataFrame, draws: DataFrame) -> DataFrame:
     """Every row of values with every draw: the table of likelihoods to evaluate.
 
-    Draws are cut into blocks by hash, eight at least, each row of values repeated per block, so
-    rows and draws meet by block and no side is sent whole."""
-    blocks = max(8, -(-draws.count() // DRAWS_PER_BLOCK))
-    cut = draws.withColumn("_block", F.pmod(F.xxhash64(*draws.columns), F.lit(blocks)))
+    Draws are cut into blocks by hash, LEAST_BLOCKS at least, each row of values repeated per block, so
+    rows and draws meet by block and no side is sent whole. The blocks stay as many tasks however few bytes they are."""
+    blocks = max(LEAST_BLOCKS, -(-draws.count() // DRAWS_PER_BLOCK))
+    cut = draws.withColumn("_block", F.pmod(F.xxhash64(*draws.columns), F.lit(blocks))).repartition(blocks, "_block")
     return values.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(cut, "_block").drop("_block")
 
 
@@ -124,9 +124,11 @@ def ess(draws: DataFrame) -> DataFrame:
 STRETCH = 64.0
 
 
-def waic(ll: DataFrame) -> DataFrame:
+def waic(ll: DataFrame, times: DataFrame | None = None) -> DataFrame:
     """elpd_waic = lppd - p_waic from (config_id, window_id, draw, ll).
 
+    times: (window_id, times), how many events with the same likelihoods a window stands for; without it each is one.
+
     Draws are summed where they are, by stretches of log-likelihood, so that a few rows an event leave a task: the mean of
     exponentials and the variance follow from counts, means and variances of stretches."""
     n, m, e = F.col("n"), F.col("m"), F.col("_e")
@@ -138,6 +140,8 @@ def waic(ll: DataFrame) -> DataFrame:
     each = per.groupBy(*event).agg(
         (F.log(F.sum(F.col("s") * F.exp(STRETCH * (e - F.col("_top")))) / F.sum("n")) + STRETCH * F.max("_top")).alias("lppd"),
         (F.sum(n * (F.col("v") + off * off)) / F.nullif(F.sum("n") - 1, F.lit(0))).alias("p"))
+    if times is not None:
+        each = each.join(times, "window_id").withColumns({c: F.col(c) * F.col("times") for c in ("lppd", "p")})
     return each.groupBy(*CONFIG).agg(F.sum("lppd").alias("lppd"), F.sum("p").alias("p_waic"), (F.sum("lppd") - F.sum("p")).alias("elpd_waic"))
 
 
@@ -146,10 +150,12 @@ def psis_loo(ll: DataFrame, keys: list[str] = CONFIG) -> DataFrame:
 
     ll: (keys, window_id, draw, ll). The tail, the largest min(0.2 S, 3 sqrt S) ratios of S draws, is fitted with a
     generalised Pareto by probability-weighted moments; with under five there, or where moments give none, nothing is smoothed and
-    pareto_k is null. All steps are windows over the draws of one event, which share one sort."""
+    pareto_k is null. All steps are windows over the draws of one event, which share one sort; rows this short compress so
+    well that Spark would put them into a few tasks, so they keep all partitions of a shuffle."""
     event = Window.partitionBy(*keys, "window_id")
     w = F.col("w")
-    at = ll.withColumn("w", -F.col("ll") - F.max(-F.col("ll")).over(event))
+    parts = int(ll.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = ll.repartition(parts, *keys, "window_id").withColumn("w", -F.col("ll") - F.max(-F.col("ll")).over(event))
     at = at.withColumns({"r": F.row_number().over(event.orderBy("w", "draw")), "S": F.count("*").over(event)})
     at = at.withColumn("m", F.floor(F.least(0.2 * F.col("S"), 3 * F.sqrt("S")))).withColumn("j", F.col("r") - F.col("S") + F.col("m"))
     at = at.withColumn("cut", F.max(F.when(F.col("j") == 0, F.exp(w))).over(event)).withColumn("x", F.when(F.col("j") > 0, F.exp(w) - F.col("cut")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from epochlane.functions import special
 from epochlane.operators import density, features, posterior, predictive, refit, search
-from epochlane.plans.base import with_profiles
+from epochlane.plans.base import alike, with_profiles
 from epochlane.plans.profiling import PERIOD_SQL, PM1_SQL, _periods
 from epochlane.plans.registry import query
 from epochlane.plans.searching import _pointwise, _r, _with_unit, score_sql, skew_sql
@@ -176,7 +176,9 @@ LL_DRAWS_SQL = {
 
 @query("psis_loo", with_profiles("param_draws", s=PM1_SQL, p=PERIOD_SQL, **LL_DRAWS_SQL, **psis_sql("lld", "config_id", "i")) + "SELECT config_id, window_id, round(elpd, 4) AS elpd, round(pareto_k, 4) AS pareto_k, coalesce(pareto_k > 0.7, false) AS influential FROM iloo")
 def psis_loo(spark, d):
-    return _r(posterior.psis_loo(_pointwise(spark, d)), "elpd", "pareto_k", n=4)
+    """Windows with the same days have the same likelihoods, so one of each is fitted and its row is that of all."""
+    found = _r(posterior.psis_loo(_pointwise(spark, d)), "elpd", "pareto_k", n=4).withColumnRenamed("window_id", "first_id")
+    return found.join(alike(spark, d), "first_id").select("config_id", "window_id", "elpd", "pareto_k", "influential")
 
 
 REFITS, REFIT_DRAWS, REFIT_OVER = 3, 100, 0.2
