@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochlane.session import materialise
+
 MIN_SIGMA = 1e-3
 
 
@@ -87,10 +89,11 @@ def loo_exact(values: DataFrame, keys: list[str], tau: int) -> DataFrame:
 def drop_worst(values: DataFrame, keys: list[str], tau: int, rounds: int) -> DataFrame:
     """(keys, round, window_id, elpd): the window of the least leave-one-out density, dropped round by round.
 
-    Each round scores all keys at once; the number of rounds is the caller's."""
-    history, left = None, values
+    Densities equal to nine places are ties, of which the smaller id goes; elpd is the least density itself. Each round scores all keys at once; the number of rounds is the caller's."""
+    history, left = None, materialise(values)
     for r in range(rounds):
-        worst = loo_exact(left, keys, tau).groupBy(*keys).agg(F.min_by(F.struct("window_id", "elpd"), F.struct("elpd", "window_id")).alias("w")).select(*keys, F.lit(r).alias("round"), "w.window_id", "w.elpd")
+        worst = loo_exact(left, keys, tau).groupBy(*keys).agg(F.min_by("window_id", F.struct(F.round("elpd", 9), F.col("window_id"))).alias("window_id"), F.min("elpd").alias("elpd"))
+        worst = materialise(worst.select(*keys, F.lit(r).alias("round"), "window_id", "elpd"))
         history = worst if history is None else history.unionByName(worst)
         left = left.join(history.select(*keys, "window_id"), [*keys, "window_id"], "left_anti")
     return history
