@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from epochlane.operators import catalog, export, profiles, windows
-from epochlane.plans.base import N_DAYS, N_POINTS, profile, rows, window_days, window_profile, with_profiles
+from epochlane.plans.base import N_DAYS, N_POINTS, alike, profile, rows, window_days, window_profile, with_profiles
 from epochlane.plans.registry import query
 from epochlane.session import shared_dir
 from epochlane.sources import signals
@@ -173,8 +173,10 @@ def profile_sliding_incl(spark, d):
     FROM window_day w JOIN hypno h ON w.subject_id = h.subject_id AND w.day = h.day""") + """SELECT e.window_id, i AS point_idx, round(100.0 * count(*) FILTER (WHERE stage = 2) / count(*), 6) AS pct
     FROM e, (SELECT unnest(range(60))::INT AS i) WHERE e >= i * 100 AND e < i * 100 + 100 AND i * 100 + 100 < n GROUP BY 1, 2""")
 def profile_concat(spark, d):
-    e = profiles.concatenated(window_days(spark, d), view(spark, d, "hypno"))
-    return profiles.sliding(e, 100, 100, keys=["window_id"]).withColumn("pct", r6("pct"))
+    """Windows with the same days have the same points, so one of each is concatenated and its points are those of all."""
+    e = profiles.concatenated(window_days(spark, d, firsts=True), view(spark, d, "hypno"))
+    points = profiles.sliding(e, 100, 100, keys=["window_id"]).withColumnRenamed("window_id", "first_id")
+    return points.join(alike(spark, d), "first_id").select("window_id", "point_idx", r6("pct").alias("pct"))
 
 
 @query("profile_combine", with_profiles() + """SELECT window_id, point_idx, round(coalesce(avg(pct), 0), 6) AS average, round(coalesce(max(pct), 0), 6) AS max, round(coalesce(stddev_pop(pct), 0), 6) AS std,
