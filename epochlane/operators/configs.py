@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from epochlane.operators.skew import dealt
+
 
 def canonical(parts: dict[str, Column]) -> Column:
     """JSON text of the parts with sorted keys; nulls are left out."""
@@ -112,8 +114,9 @@ def resolved(items: DataFrame, g_prior: str = "none") -> DataFrame:
 def shared_chunks(features: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n_chunks, valid): how many chunks a configuration's metrics have; valid if that's one number.
 
-    features: (keys, metric, chunk_idx). The shape shift, which has one less, counts only where there is no other metric."""
-    width = features.groupBy(*keys, "metric").agg(F.countDistinct("chunk_idx").alias("w"))
+    features: (keys, metric, chunk_idx). The shape shift, which has one less, counts only where there is no other metric.
+    Rows are dealt by keys first, so no task holds the distinct chunks of more than its share of configurations."""
+    width = dealt(features.select(*keys, "metric", "chunk_idx"), *keys).groupBy(*keys, "metric").agg(F.countDistinct("chunk_idx").alias("w"))
     other = F.when(F.col("metric") != "shape_shift", F.col("w"))
     shift = F.when(F.col("metric") == "shape_shift", F.col("w"))
     at = width.groupBy(*keys).agg(F.max(other).alias("_o"), F.min(other).alias("_p"), F.max(shift).alias("_s"), F.min(shift).alias("_t"))

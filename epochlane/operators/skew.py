@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from epochlane.session import materialise
 
 RUNS = 128
+#: Rows of one task of dealt(), about.
+ROWS_PER_TASK = 1_000_000
+
+
+def dealt(df: DataFrame, *keys: str, rows: int = ROWS_PER_TASK) -> DataFrame:
+    """df dealt by keys over as many tasks as its rows need, a shuffle's partitions at least.
+
+    Spark sizes tasks by compressed bytes, and repetitive rows compress to next to nothing."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+    return df.repartition(parts, *keys)
 
 
 def join_spread(rows: DataFrame, small: DataFrame, keys: list[str], by: str, runs: int = RUNS) -> DataFrame:

@@ -43,3 +43,28 @@ def test_windows_with_the_same_days_are_concatenated_once(spark, monkeypatch, tm
     got = windowing.profile_concat(spark, DATA)
     assert seen[0] == copies.select("subject_id", "event_date", "direction").distinct().count()
     assert got.where("window_id >= 1000000").count() * 2 == got.count()
+
+
+def test_rows_are_dealt_over_tasks_by_their_number(spark):
+    from pyspark.sql import functions as F
+
+    from epochlane.operators.skew import dealt
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = spark.range(4000).select((F.col("id") % 500).alias("k"))
+    assert dealt(df, "k").rdd.getNumPartitions() == parts
+    assert dealt(df, "k", rows=100).rdd.getNumPartitions() == 40
+
+
+def test_groups_are_worked_out_once(spark, monkeypatch):
+    from epochlane.operators import features
+    from epochlane.plans import profiling
+
+    seen, plain = [], features.chunks
+    monkeypatch.setattr(features, "chunks", lambda r, k: seen.append(r.select("window_id").distinct().count()) or plain(r, k))
+    t = view(spark, DATA, "trigger")
+    more = t.unionByName(t.selectExpr("trigger_id + 1000000 AS trigger_id", "subject_id", "event_date", "direction"))
+    monkeypatch.setattr("epochlane.plans.base.view", lambda s, d, name: more if name == "trigger" else view(s, d, name))
+    got = profiling._groups(spark, DATA)
+    assert seen[0] == t.select("subject_id", "event_date", "direction").distinct().count()
+    assert got.where("window_id >= 1000000").count() * 2 == got.count() > 0
