@@ -21,24 +21,29 @@ PRIOR = (0.0, 1.0, 2.0, 0.1)
 TAIL = 2 * math.pi
 
 
-def _sums(threshold: float = THRESHOLD) -> dict[str, Column]:
-    """The sums of one chunk. n, s, q, c: count and powers of y; of the unit value x, clipped to
+def _sums(times: Column, threshold: float = THRESHOLD) -> dict[str, Column]:
+    """The sums of one chunk, each row counted `times`. n, s, q, c: count and powers of y; of the unit value x, clipped to
     (EPS, 1 - EPS), count, sum, squares, logs of x and of 1 - x over all (a), positive (p) and low (l) ones."""
     y, u = F.col("y"), F.col("u")
     x = F.least(F.greatest(u, F.lit(EPS)), F.lit(1 - EPS))
-    out = {"n": F.count(y).cast("double"), "s": F.sum(y), "q": F.sum(y * y), "c": F.sum(y * y * y), "aG": F.sum(F.when(u.isNotNull(), F.log(x) * F.log(x)))}
+    out = {"n": F.sum(F.when(y.isNotNull(), times)), "s": F.sum(times * y), "q": F.sum(times * y * y), "c": F.sum(times * y * y * y), "aG": F.sum(F.when(u.isNotNull(), times * F.log(x) * F.log(x)))}
     for part, cond in (("a", u.isNotNull()), ("p", u > EPS), ("l", u < threshold)):
-        of = lambda v, cond=cond: F.sum(F.when(cond, v))
+        of = lambda v, cond=cond: F.sum(F.when(cond, times * v))
         out |= {f"{part}n": of(F.lit(1.0)), f"{part}s": of(x), f"{part}q": of(x * x), f"{part}L": of(F.log(x)), f"{part}M": of(F.log(1 - x))}
     return {k: F.coalesce(v, F.lit(0.0)) for k, v in out.items()}
 
 
+def _times(values: DataFrame) -> Column:
+    """How many equal rows a row of values stands for: its column times, or one."""
+    return F.col("times").cast("double") if "times" in values.columns else F.lit(1.0)
+
+
 def regime_sums(values: DataFrame, keys: list[str], low: int, high: int) -> DataFrame:
     """(keys, tau, regime, sums): for every tau the sums before it (regime 1) and from it on (2).
 
-    values: (keys, window_id, chunk_idx, y, u). One pass over the values; the rest are prefix
-    sums over one row a chunk."""
-    sums = _sums()
+    values: (keys, window_id, chunk_idx, y, u), and times if rows stand for several. One pass over the
+    values; the rest are prefix sums over one row a chunk."""
+    sums = _sums(_times(values))
     per = values.groupBy(*keys, "chunk_idx").agg(*[v.alias(k) for k, v in sums.items()])
     w, whole = Window.partitionBy(*keys).orderBy("chunk_idx"), Window.partitionBy(*keys)
     before = F.struct(F.lit(1).alias("regime"), *[(F.sum(k).over(w) - F.col(k)).alias(k) for k in sums])
@@ -127,7 +132,7 @@ def tau_scores(values: DataFrame, keys: list[str], kinds: list[str], low: int, h
     """(keys, likelihood, tau, ll): fitted log-likelihood of a split at tau, for each kind of likelihood.
 
     values: (keys, window_id, chunk_idx, y, u); y is the feature, u the same on the unit interval,
-    both null where there is none. Most kinds follow from sums that are read once for all; the
+    both null where there is none; a column times says how many equal rows one stands for. Most kinds follow from sums that are read once for all; the
     student-t and the skew-normal meet each value once a tau."""
     sums = regime_sums(values, keys, low, high)
     closed = {k: v for k, v in closed_forms().items() if k in kinds}
@@ -142,7 +147,7 @@ def tau_scores(values: DataFrame, keys: list[str], kinds: list[str], low: int, h
     if each:
         params = sums.where("n > 0").select(*keys, "tau", "regime", *[v.alias(k) for k, v in moments().items()])
         at = values.where("y is not null").withColumn("tau", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("regime", regime(F.col("chunk_idx"), F.col("tau")))
-        parts.append(at.join(params, [*keys, "tau", "regime"]).select(*keys, "tau", stack(each).alias("_")))
+        parts.append(at.join(params, [*keys, "tau", "regime"]).select(*keys, "tau", stack({k: _times(values) * v for k, v in each.items()}).alias("_")))
     out = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
     return out.select(*keys, "tau", "_.likelihood", "_.ll").groupBy(*keys, "likelihood", "tau").agg(F.sum("ll").alias("ll"))
 

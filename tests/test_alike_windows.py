@@ -36,3 +36,15 @@ def test_draws_of_events_keep_the_partitions_of_a_shuffle(spark):
     found = posterior.psis_loo(_ll(spark, range(40)))
     used = found.select(F.spark_partition_id().alias("p")).distinct().count()
     assert used > 1
+
+
+def test_scores_count_rows_a_row_stands_for(spark):
+    from epochlane.operators import search
+
+    y = F.sin(F.col("id") * 1.3)
+    one = spark.range(24).select(F.lit("a").alias("grp"), (F.col("id") % 3).alias("window_id"), F.floor(F.col("id") / 3).cast("int").alias("chunk_idx"), y.alias("y"), ((y + 1) / 2).alias("u"))
+    twice = one.unionByName(one.where("window_id = 2").withColumn("window_id", F.lit(9).cast("long")))
+    kinds = ["normal", "beta", "interval_inflated_beta", "student_t", "skew_normal"]
+    of = lambda v: {(r.likelihood, r.tau): r.ll for r in search.tau_scores(v, ["grp"], kinds, 2, 8).collect()}
+    got, want = of(one.withColumn("times", F.when(F.col("window_id") == 2, 2).otherwise(1))), of(twice)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
