@@ -63,10 +63,14 @@ def word_hashes(run: words.Run) -> np.ndarray:
 
 
 class Grams(NamedTuple):
-    """Runs of so many words; as bags, a repeated one counts each time: its repetitions are n-grams of their own."""
+    """Runs of so many words; as bags, a repeated one counts each time: its repetitions are n-grams of their own.
+
+    With both, a text counts as a set and, where that differs, as a bag. A set and a bag are only as similar as both texts' sets
+    or less, so they may meet."""
 
     words: int
     bags: bool = False
+    both: bool = False
 
 
 def shingles(run: words.Run, grams: Grams) -> list[np.ndarray]:
@@ -94,6 +98,15 @@ def _sets(texts: pa.Array, k: Grams) -> Iterator[np.ndarray]:
         yield from shingles(run, k)
 
 
+def _forms(texts: pa.Array, k: Grams) -> Iterator[list[np.ndarray]]:
+    """Each text's n-grams, of k.both first as a set and then, if a run of words repeats, as a bag."""
+    if not k.both:
+        yield from ([found] for found in _sets(texts, k))
+        return
+    for one, bag in zip(_sets(texts, Grams(k.words)), _sets(texts, Grams(k.words, True)), strict=True):
+        yield [one] if len(one) == len(bag) else [one, bag]
+
+
 def _digest(found: np.ndarray) -> bytes:
     return hashlib.md5(found.tobytes()).digest()
 
@@ -110,7 +123,7 @@ def classes(docs: DataFrame, k: Grams) -> np.ndarray:
         total = np.zeros(size, np.uint32)
         for batch in batches:
             for run in words.runs(batch.column("text"), words.NOT_BLANK):
-                at, n = np.unique(np.concatenate(shingles(run, k) or [np.zeros(0, np.uint64)]) & _U(size - 1), return_counts=True)
+                at, n = np.unique(np.concatenate(shingles(run, k._replace(bags=k.bags or k.both)) or [np.zeros(0, np.uint64)]) & _U(size - 1), return_counts=True)
                 total[at.astype(np.int64)] += n.astype(np.uint32)
         for part, x in enumerate(np.minimum(total, top).astype(np.uint16).reshape(parts, WIDTH)):
             if x.any():
@@ -135,29 +148,34 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def signatures(docs: DataFrame, k: Grams, percent: int) -> DataFrame:
-    """(row, doc_id, digest, n, common, keys, prefix) of every row: the size and digest of its set, how many in a thousand of
+    """(row, doc_id, digest, twin, n, common, keys, prefix) of every row: the size and digest of its set, how many in a thousand of
     its n-grams are of common classes, keys by which similar sets meet, and so many of its n-grams, rare classes first,
-    that linked sets share one of them."""
+    that linked sets share one of them. A text's bag, if k asks for both, is a row after its set's, which has its digest as twin."""
     sent = docs.sparkSession.sparkContext.broadcast(classes(docs, k))  # MOST_COUNTERS bytes at most
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = sent.value
         for batch in batches:
-            digests, sizes, common, keys, prefixes = [], [], [], [], []
-            for found in _sets(batch.column("text"), k):
-                n = len(found)
-                digests.append(_digest(found))
-                sizes.append(n)
-                keys.append(_keys(found).view(np.int64) if n else np.zeros(0, np.int64))
-                own = rank[(found & _U(len(rank) - 1)).astype(np.int64)]
-                common.append(1000 * int(np.count_nonzero(own)) // max(n, 1))
-                in_order = found[np.argsort(own, kind="stable")]
-                prefixes.append(in_order[: n - least_overlap(n, percent) + 1].view(np.int64))
-            yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "doc_id": batch.column("doc_id"), "digest": pa.array(digests, pa.binary()), "n": pa.array(sizes, pa.int64()), "common": pa.array(common, pa.int32()), "keys": _lists(keys), "prefix": _lists(prefixes)})
+            at, turn, digests, twins, sizes, common, keys, prefixes = [], [], [], [], [], [], [], []
+            for i, forms in enumerate(_forms(batch.column("text"), k)):
+                for j, found in enumerate(forms):
+                    n = len(found)
+                    at.append(i)
+                    turn.append(j)
+                    digests.append(_digest(found))
+                    twins.append(_digest(forms[1]) if forms[1:] and not j else None)
+                    sizes.append(n)
+                    keys.append(_keys(found).view(np.int64) if n else np.zeros(0, np.int64))
+                    own = rank[(found & _U(len(rank) - 1)).astype(np.int64)]
+                    common.append(1000 * int(np.count_nonzero(own)) // max(n, 1))
+                    in_order = found[np.argsort(own, kind="stable")]
+                    prefixes.append(in_order[: n - least_overlap(n, percent) + 1].view(np.int64))
+            row = batch.column("row").to_numpy()[at] * (1 + k.both) + np.array(turn, np.int64)
+            yield pa.RecordBatch.from_pydict({"row": pa.array(row, pa.int64()), "doc_id": batch.column("doc_id").take(pa.array(at, pa.int64())), "digest": pa.array(digests, pa.binary()), "twin": pa.array(twins, pa.binary()), "n": pa.array(sizes, pa.int64()), "common": pa.array(common, pa.int32()), "keys": _lists(keys), "prefix": _lists(prefixes)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return rows.mapInArrow(tidy(sign), f"row long, doc_id {kind}, digest binary, n long, common int, keys array<long>, prefix array<long>")
+    return rows.mapInArrow(tidy(sign), f"row long, doc_id {kind}, digest binary, twin binary, n long, common int, keys array<long>, prefix array<long>")
 
 
 def _keys(found: np.ndarray) -> np.ndarray:
@@ -197,7 +215,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: Grams, kind: type = np.uint64
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(_sets(batch.column("text").filter(pa.array(_on(sent.value, batch.column("at").to_numpy()))), k))
+            found = [f for forms in _forms(batch.column("text").filter(pa.array(_on(sent.value, batch.column("at").to_numpy()))), k) for f in forms]
             cut = [np.sort(f.astype(kind)).tobytes() for f in found]
             yield pa.RecordBatch.from_pydict({"digest": pa.array([_digest(f) for f in found], pa.binary()), "h": pa.array(cut, pa.binary())})
 
@@ -280,44 +298,56 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (a + b) / (100 + percent))
 
 
-def _may_link(a: Column, b: Column, left: Column, percent: int) -> Column:
-    """Whether a set of a n-grams may be linked with one of b, not larger, if they share `left` at most."""
-    return (b <= a) & (100 * b >= percent * a) & (left >= _needed(a, b, percent))
+def _near(a: Column, b: Column, percent: int) -> Column:
+    """Whether sets of a and b n-grams are not too different in size to be linked."""
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b))
+
 
+def matrix_of(shared: DataFrame) -> DataFrame:
+    """(token, grp, left, low, high): a row for each token and group: the least and greatest size of its members that have the
+    token, and the most n-grams that one of them has from there on."""
+    left = F.col("n") - F.col("pos")
+    return shared.groupBy("token", "grp").agg(F.max(left).alias("left"), F.min("n").alias("low"), F.max("n").alias("high"))
 
-def _indexed(shared: DataFrame, percent: int) -> DataFrame:
-    """Rows of shared in the shorter prefix that is enough to be met by linked sets that aren't smaller."""
-    return shared.where(F.col("pos") < F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)) + 1)
 
+def qualifying(matrix: DataFrame, percent: int) -> DataFrame:
+    """(grp, to), grp < to: pairs of groups that may hold linked sets.
 
-def qualifying(shared: DataFrame, percent: int) -> DataFrame:
-    """(node, grp): nodes and groups other than their own that may hold a linked set that isn't larger.
+    Linked sets first meet at a token of both prefixes, and share no more than either has left there. A group counts
+    once at a token, however many of its members have it."""
+    a = matrix
+    b = matrix.select("token", *[F.col(c).alias(t) for c, t in (("grp", "to"), ("left", "left_to"), ("low", "low_to"), ("high", "high_to"))])
+    sizes = (100 * F.col("high") >= percent * F.col("low_to")) & (100 * F.col("high_to") >= percent * F.col("low"))
+    met = a.join(b, "token").where((F.col("grp") < F.col("to")) & sizes & (F.least("left", "left_to") >= _needed(F.col("low"), F.col("low_to"), percent)))
+    return met.select("grp", "to").distinct()
 
-    The matrix has a row for each token and group: the sizes of its members that have the token, and the most
-    n-grams that one of them has from there on. Linked sets first meet at a token of both prefixes, and share
-    no more than either has left there."""
+
+def asking(pairs: DataFrame, shared: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
+    """(node, grp): of pairs (few, many) of groups, the nodes of few that may be linked with a member of many."""
+    to = matrix.select("token", F.col("grp").alias("many"), F.col("left").alias("left_to"), "low", "high")
     n, left = F.col("n"), F.col("n") - F.col("pos")
-    matrix = _indexed(shared, percent).groupBy("token", F.col("grp").alias("to")).agg(F.max(left).alias("left"), F.min("n").alias("low"), F.max("n").alias("high"))
-    met = shared.join(matrix, "token").where((F.col("grp") != F.col("to")) & (F.col("low") <= n) & (100 * F.col("high") >= percent * n))
-    return met.where(F.least(left, F.col("left")) >= _needed(n, F.col("low"), percent)).select("node", F.col("to").alias("grp")).distinct()
+    met = shared.join(pairs, F.col("grp") == F.col("few")).join(to, ["token", "many"])
+    met = met.where((100 * F.col("high") >= percent * n) & (100 * n >= percent * F.col("low")) & (F.least(left, F.col("left_to")) >= _needed(n, F.col("low"), percent)))
+    return met.select("node", F.col("many").alias("grp")).distinct()
 
 
 def bounded(found: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those rows of found (node, grp) where the union of the group's sets holds enough of the node's set to be linked
-    with a member. sets: the whole sets of found's nodes and of all members of its groups."""
+    """(node, grp, size): those rows of found (node, grp) where the union of the group's sets of one size holds enough of the
+    node's set to be linked with one of them. sets: the whole sets of found's nodes and of all members of its groups."""
     tokens = F.explode(F.sequence(F.lit(1), F.length("h"), F.lit(8)))
     each = sets.where(F.length("h") > 0).select("node", "h", tokens.alias("i")).select("node", F.substring("h", F.col("i"), F.lit(8)).alias("token"))
-    union = nodes.select("node", "grp").join(found.select("grp").distinct(), "grp").join(each, "node").select("grp", "token").distinct()
-    held = found.join(each, "node").join(union, ["grp", "token"]).groupBy("node", "grp").agg(F.count("*").alias("common"))
-    return held.join(nodes.select("node", "n"), "node").where(100 * F.col("common") >= percent * F.col("n")).select("node", "grp")
+    union = nodes.select("node", "grp", F.col("n").alias("size")).join(found.select("grp").distinct(), "grp").join(each, "node").select("grp", "size", "token").distinct()
+    held = found.join(each, "node").join(union, ["grp", "token"]).groupBy("node", "grp", "size").agg(F.count("*").alias("common"))
+    n, size = F.col("n"), F.col("size")
+    return held.join(nodes.select("node", "n"), "node").where(_near(n, size, percent) & (F.col("common") >= _needed(n, size, percent))).select("node", "grp", "size")
 
 
 def opened(found: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """(src, dst, grp, hits): found's nodes with the members of its groups that they may be linked with."""
-    of = shared.join(found.select("node", F.col("grp").alias("to")), "node").select("token", F.col("to").alias("grp"), F.col("node").alias("src"), F.col("n").alias("a"), F.col("pos").alias("i"))
-    member = _indexed(shared, percent).select("token", "grp", F.col("node").alias("dst"), F.col("n").alias("b"), F.col("pos").alias("j"))
+    """(src, dst, grp, hits): found's nodes (node, grp, size) with the members of that size of its groups that they may be linked with."""
+    of = shared.join(found.select("node", F.col("grp").alias("to"), F.col("size").alias("b")), "node").select("token", F.col("to").alias("grp"), "b", F.col("node").alias("src"), F.col("n").alias("a"), F.col("pos").alias("i"))
+    member = shared.select("token", "grp", F.col("node").alias("dst"), F.col("n").alias("b"), F.col("pos").alias("j"))
     a, b = F.col("a"), F.col("b")
-    met = of.join(member, ["token", "grp"]).where(_may_link(a, b, F.least(a - F.col("i"), b - F.col("j")), percent))
+    met = of.join(member, ["token", "grp", "b"]).where(F.least(a - F.col("i"), b - F.col("j")) >= _needed(a, b, percent))
     return met.groupBy("src", "dst", "grp").agg(F.count("*").alias("hits"))
 
 
@@ -329,31 +359,51 @@ def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(nodes.join(moved.withColumnRenamed("grp", "to"), "node", "left").withColumn("grp", F.coalesce("to", "grp")).drop("to"))
 
 
-def components(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, bags: bool = False) -> DataFrame:
+def _known(sig: DataFrame, reps: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(src, dst): the nodes of both forms of a text, and those of the texts that known (src, dst) links by doc_id."""
+    ends = reps.select("digest", "node")
+    at = materialise(sig.where("n > 0").select("doc_id", "digest", "twin").join(ends, "digest").select("doc_id", "node", "twin"))
+    out = at.where("twin is not null").join(ends.withColumnRenamed("node", "dst"), F.col("twin") == F.col("digest")).select(F.col("node").alias("src"), "dst")
+    if known is None:
+        return out
+    a, b = (at.select(F.col("doc_id").alias(x), F.col("node").alias(f"n_{x}")) for x in ("src", "dst"))
+    return out.union(known.select("src", "dst").join(a, "src").join(b, "dst").select("n_src", "n_dst"))
+
+
+def components(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, bags: bool = False, both: bool = False, known: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text; others are ignored).
 
     A text's set are its distinct runs of n_words words `[^\\x20\\x09-\\x0D]+`, A-Z in lower case; of a text with fewer words,
-    the whole sequence; with bags, repetitions count as well. Texts are linked when their sets' intersection is percent in a hundred of their union
+    the whole sequence; with bags, repetitions count as well; with both, texts are linked by their sets or by their bags. Texts are linked when their sets' intersection is percent in a hundred of their union
     or more; component_id is the smallest doc_id reachable, itself included. Null, empty and blank texts
     have no n-gram and are linked with nothing: each row is its own component. Repeated rows give repeated results; a null doc_id gets its
-    component's, null if there's no other; no rows give no rows.
+    component's, null if there's no other; no rows give no rows. known: (src, dst), links of doc_ids that are there
+already: their texts are in one group from the start.
 
     Equal sets count once. Sets that share keys meet leaders, and the components of the links found are the groups. Then
-    every set is compared, by its prefix, with the matrix of tokens and groups. A group of one is compared at once; others must
-    hold enough of the set in their union, and only those that do are opened: first at the member that shares most of the
+    groups are compared with groups by the matrix of tokens and groups. Two of one member are compared at once; of others the
+    members of the smaller one are asked for, and the larger one must hold enough of such a set in the union of its sets of
+    one size. Only those that do are opened: first at the member that shares most of the
     prefix, then, where that one isn't linked either way by now, at every member that may be linked."""
-    k = Grams(n_words, bags)
+    k = Grams(n_words, bags, both)
     sig = materialise(signatures(docs, k, percent))
     reps = materialise(sig.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min("n").alias("n")))
     keys = sig.select(F.col("row").alias("node"), "common", "keys").join(reps.select("node"), "node")
     pairs = materialise(first_pairs(keys))
-    nodes = _joined(reps.withColumn("grp", F.col("node")), linked(docs, reps, pairs, k, percent))
+    first = linked(docs, reps, pairs, k, percent)
+    if both or known is not None:
+        first = first.union(_known(sig, reps, known))
+    nodes = _joined(reps.withColumn("grp", F.col("node")), first)
 
     shared = shared_tokens(sig, nodes)
-    size = nodes.groupBy("grp").agg(F.count("*").alias("members"), F.min("node").alias("only"))
-    found = materialise(qualifying(shared, percent).join(size, "grp"))
-    alone = found.where("members = 1").select(F.col("node").alias("src"), F.col("only").alias("dst"))
-    several = found.where("members > 1").select("node", "grp")
+    size = materialise(nodes.groupBy("grp").agg(F.count("*").alias("members"), F.min("node").alias("only")))
+    matrix = materialise(matrix_of(shared))
+    of_grp = lambda g, m, o: size.select(F.col("grp").alias(g), F.col("members").alias(m), F.col("only").alias(o))
+    found = materialise(qualifying(matrix, percent).join(of_grp("grp", "members", "only"), "grp").join(of_grp("to", "members_to", "only_to"), "to"))
+    alone = found.where("members = 1 and members_to = 1").select(F.col("only").alias("src"), F.col("only_to").alias("dst"))
+    fewer = F.col("members") <= F.col("members_to")
+    unlike = found.where("members > 1 or members_to > 1").select(F.when(fewer, F.col("grp")).otherwise(F.col("to")).alias("few"), F.when(fewer, F.col("to")).otherwise(F.col("grp")).alias("many"))
+    several = materialise(asking(unlike, shared, matrix, percent))
     asked = several.select("node").union(nodes.join(several.select("grp").distinct(), "grp", "left_semi").select("node")).distinct()
     held = materialise(bounded(several, nodes, sets_of(docs, nodes.join(asked, "node"), k), percent))
     inside = materialise(opened(held, shared, percent))
@@ -366,6 +416,8 @@ def components(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, ba
 
     ids = materialise(nodes.groupBy("grp").agg(F.min("least").alias("component_id")))
     of_digest = materialise(join_spread(nodes.select("node", "grp", "digest"), ids, ["grp"], "node").select("digest", "component_id"))
+    if both:
+        sig = sig.where("row % 2 = 0")  # a bag is in its set's component
     some = join_spread(sig.where("n > 0").select("row", "doc_id", "digest", "n"), of_digest, ["digest"], "row")
     none = sig.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return some.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").union(none)

@@ -123,7 +123,8 @@ def components(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> Dat
     when their shingle hashes, as sets or as bags, have a Jaccard similarity of `least` or more;
     every link is checked on the whole texts. Null and empty texts are alike; rows with a null
     doc_id come back with their text's component; repeated rows give repeated results. Texts of crowded cells, where
-    not all pairs are candidates, are joined exactly, as sets and as bags, so no link between them is lost."""
+    not all pairs are candidates, are joined exactly, as sets and as bags at once, so no link between them is lost; the links
+    that were found before put them into groups there."""
     of_doc = materialise(signatures(docs, words))
     nodes = materialise(of_doc.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     pairs, crowded = (materialise(x) for x in candidates(nodes.drop("least")))
@@ -131,11 +132,8 @@ def components(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> Dat
     found = materialise(verified(pairs, texts, words, least))
     many = texts.join(crowded, "node", "left_semi").select(F.col("node").alias("doc_id"), "text")
     if not crowded.isEmpty():
-        many = materialise(many)
-        for bags in (False, True):
-            exact = jaccard.components(many, words, round(100 * least), bags)
-            found = found.union(exact.where("doc_id <> component_id").select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst")))
-        found = materialise(found)
+        exact = jaccard.components(materialise(many), words, round(100 * least), both=True, known=found)
+        found = materialise(found.union(exact.where("doc_id <> component_id").select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst"))))
     comps = connected_components(found)
     named = materialise(nodes.select("node", "least").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))

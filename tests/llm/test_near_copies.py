@@ -91,3 +91,28 @@ def test_bags_count_repetitions():
     sets, bags = (list(join._sets(texts, join.Grams(2, b))) for b in (False, True))
     assert [len(x) for x in sets] == [3, 3, 1] and [len(x) for x in bags] == [6, 3, 1]
     assert set(sets[0].tolist()) <= set(bags[0].tolist()) and sets[1].tolist() == bags[1].tolist()
+
+
+def test_sets_and_bags_are_joined_at_once(spark):
+    """Texts that only their sets or only their bags link; a third one hangs on the other's bag."""
+    from epochlane.llm import jaccard as join
+
+    many = [f"w{i}" for i in range(20)]
+    again = many * 3
+    texts = {"a": " ".join(many), "b": " ".join(again), "c": " ".join([*again, "x", "y"]), "d": " ".join(f"v{i}" for i in range(20))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    each = [{r["doc_id"]: r["component_id"] for r in join.components(docs, 2, 80, **how).collect()} for how in ({}, {"bags": True}, {"both": True})]
+    assert each == [{"a": "a", "b": "a", "c": "a", "d": "d"}, {"a": "a", "b": "b", "c": "b", "d": "d"}, {"a": "a", "b": "a", "c": "a", "d": "d"}]
+    known = spark.createDataFrame([("d", "b")], "src string, dst string")
+    assert {r["component_id"] for r in join.components(docs, 2, 80, both=True, known=known).collect()} == {"a"}
+
+
+def test_a_group_meets_single_texts_once_a_token(spark):
+    """Many copies and single texts share tokens: the rows of their pairs grow with the groups, not with the copies."""
+    from epochlane.llm import jaccard as join
+
+    rows = [(t, g, n, 100, 0) for t in range(5) for g, nodes in ((0, range(300)), (1000, [1000]), (1001, [1001])) for n in nodes]
+    shared = spark.createDataFrame(rows, "token long, grp long, node long, n long, pos int")
+    matrix = join.matrix_of(shared)
+    assert matrix.count() == 15
+    assert sorted(map(tuple, join.qualifying(matrix, 80).collect())) == [(0, 1000), (0, 1001), (1000, 1001)]
