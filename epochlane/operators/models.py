@@ -87,13 +87,53 @@ METRICS = {
 }
 
 
+#: The same distances of rows of a to rows of b, one by one.
+ROW_METRICS = {
+    "euclidean": lambda a, b: np.sqrt(((a - b) ** 2).sum(1)),
+    "manhattan": lambda a, b: np.abs(a - b).sum(1),
+    "chebyshev": lambda a, b: np.abs(a - b).max(1),
+    "cosine": lambda a, b: 1 - (a * b).sum(1) / (np.maximum(np.linalg.norm(a, axis=1), 1e-12) * np.maximum(np.linalg.norm(b, axis=1), 1e-12)),
+}
+#: Blocks of a side of knn() while they have MOST_ROWS or fewer, and the rows of either side whose distances are in memory at a time.
+SIDE, MOST_ROWS, TILE = 8, 100_000, (512, 4096)
+
+
+def n_blocks(rows: int, rows_per_block: int) -> int:
+    """The number of blocks of so many rows: SIDE at most, so that what is sent grows with the rows, unless blocks get too large."""
+    return max(1, min(-(-rows // rows_per_block), SIDE), -(-rows // max(rows_per_block, MOST_ROWS)))
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, k: int, metric: str, parted: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, distance) of each row's k nearest rows of y; of equally near ones the first.
+
+    Tiles of distances give candidates, a little more than k; their distances are taken again one by one, so equal rows tie."""
+    found = []
+    for i in range(0, len(x), TILE[0]):
+        best = None
+        for j in range(0, len(y), TILE[1]):
+            dist = METRICS[metric](x[i : i + TILE[0]], y[j : j + TILE[1]])
+            if parted:
+                dist[parted[0][i : i + TILE[0], None] == parted[1][j : j + TILE[1]]] = np.inf
+            kth = np.partition(dist, min(k, dist.shape[1]) - 1, axis=1)[:, min(k, dist.shape[1]) - 1]
+            at = np.nonzero((dist <= (kth + 1e-6 * (1 + np.abs(kth)))[:, None]) & np.isfinite(dist))
+            rows = at[0] + i, at[1] + j, ROW_METRICS[metric](x[at[0] + i], y[at[1] + j])
+            row, other, d = rows if best is None else (np.concatenate(p) for p in zip(best, rows, strict=True))
+            order = np.lexsort((other, d, row))
+            row, other, d = row[order], other[order], d[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            best = row[place < k], other[place < k], d[place < k]
+        found.append(best)
+    return tuple(np.concatenate(p) for p in zip(*found, strict=True))
+
+
 def knn(train: DataFrame, test: DataFrame, k: int, metric: str = "euclidean", weights: str = "uniform", rows_per_block: int = 2000, apart: str | None = None) -> DataFrame:
     """(id, pred): the label with most (or, by 1 / distance, heaviest) votes of the k nearest train rows.
 
     train: id, v (array), label; test: id, v. Rows with the same value of column `apart` in both, a
     fold for instance, are no neighbours. Ties in distance go to the smaller id, in votes to the
-    smaller label. Blocks of test rows meet blocks of train rows; each pair sends k candidates a row."""
-    n, m = (max(1, -(-df.count() // rows_per_block)) for df in (train, test))
+    smaller label. Blocks of test rows meet blocks of train rows; each pair sends k candidates a row. The work is that of all
+    pairs; what is sent, n_blocks() copies of a row, isn't."""
+    n, m = (n_blocks(df.count(), rows_per_block) for df in (train, test))
     block = lambda df, col, size: df.withColumn(col, F.pmod(F.xxhash64("id"), F.lit(size)).cast("int"))
     extra = [apart] if apart else []
     a = block(test, "tb", m).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(*[F.col(c).alias(c) for c in ("tb", "rb", "id", "v", *extra)])
@@ -104,12 +144,8 @@ def knn(train: DataFrame, test: DataFrame, k: int, metric: str = "euclidean", we
             return pd.DataFrame({"id": [], "other": [], "label": [], "dist": []}).astype({"id": "int64", "other": "int64", "label": "int32", "dist": "float64"})
         right = right.sort_values("id")
         x, y = (np.array(s.tolist(), float) for s in (left["v"], right["v"]))
-        dist = METRICS[metric](x, y)
-        if apart:
-            dist[left[apart].to_numpy()[:, None] == right[apart].to_numpy()] = np.inf
-        best = np.argsort(dist, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"id": np.repeat(left["id"].to_numpy(), best.shape[1]), "other": right["id"].to_numpy()[best].reshape(-1), "label": right["label"].to_numpy()[best].reshape(-1), "dist": np.take_along_axis(dist, best, 1).reshape(-1)})
-        return out[np.isfinite(out["dist"])]
+        row, other, dist = _nearest(x, y, k, metric, (left[apart].to_numpy(), right[apart].to_numpy()) if apart else None)
+        return pd.DataFrame({"id": left["id"].to_numpy()[row], "other": right["id"].to_numpy()[other], "label": right["label"].to_numpy()[other], "dist": dist})
 
     found = a.groupBy("tb", "rb").cogroup(b.groupBy("tb", "rb")).applyInPandas(near, "id long, other long, label int, dist double")
     top = found.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy("dist", "other"))).where(F.col("_k") <= k)

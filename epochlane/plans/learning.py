@@ -202,6 +202,7 @@ def _vecs(spark, d):
 def knn(spark, d):
     """Each row's label by its five nearest rows of the other folds."""
     f = _vecs(spark, d).select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.col("target").alias("label"), F.col("fold").cast("int").alias("fold"))
+    f = materialise(f)
     return models.knn(f, f, 5, apart="fold").join(f.select("id", "fold"), "id").select("id", "fold", "pred")
 
 
