@@ -44,10 +44,11 @@ def tau_posterior(weights: DataFrame, keys: list[str]) -> DataFrame:
 def tau_profile(values: DataFrame, keys: list[str], tau_low: int, tau_high: int) -> DataFrame:
     """(keys, tau, ll, p): normal profile log-likelihood of a split at each tau.
 
-    values: (keys, window_id, chunk_idx, value). n, sum and sum of squares per chunk, then prefix sums:
+    values: (keys, window_id, chunk_idx, value), and times if a row counts more than once. n, sum and sum of squares per chunk, then prefix sums:
     each regime's mean and deviation are closed forms, and the data are read once for all taus."""
     v = F.col("value")
-    per = values.where(v.isNotNull()).groupBy(*keys, "chunk_idx").agg(F.count("*").cast("double").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
+    times = F.col("times").cast("double") if "times" in values.columns else F.lit(1.0)
+    per = values.where(v.isNotNull()).groupBy(*keys, "chunk_idx").agg(F.sum(times).alias("n"), F.sum(v * times).alias("s"), F.sum(v * v * times).alias("q"))
     w, whole = Window.partitionBy(*keys).orderBy("chunk_idx"), Window.partitionBy(*keys)
     at = per.select(*keys, "chunk_idx", *[(F.sum(c).over(w) - F.col(c)).alias(f"{c}1") for c in "nsq"], *[F.sum(c).over(whole).alias(f"{c}t") for c in "nsq"])
     at = at.where(F.col("chunk_idx").between(tau_low - 1, tau_high - 1))

@@ -18,8 +18,8 @@ PROFILED = ["normal", "student_t", "skew_normal", "lognormal", "gamma", "beta",
 LONG_SQL = "SELECT window_id, day_idx AS c, grp, metric, y, CASE WHEN metric = 'mean' THEN (y + 1) / 2 ELSE y / 2 END AS u FROM (SELECT window_id, day_idx, grp, unnest(['mean', 'range']) AS metric, unnest([mean, range]) AS y FROM p) x"
 
 
-def _long(spark, d):
-    return _with_unit(features.long_features(_periods(spark, d), ["mean", "range"], ["window_id", "day_idx", "grp"]))
+def _long(spark, d, firsts=False):
+    return _with_unit(features.long_features(_periods(spark, d, firsts), ["mean", "range"], ["window_id", "day_idx", "grp"]))
 
 
 def uniform_sql(*keys: str) -> str:
@@ -205,8 +205,8 @@ def refit_sql() -> dict[str, str]:
 @query("refit_history", with_profiles(s=PM1_SQL, p=PERIOD_SQL, **refit_sql()) + "SELECT grp, metric, attempt, n_events, round(elpd, 3) AS elpd, k_max, n_over, worst, removed FROM (" + " UNION ALL ".join(f"SELECT * FROM n{r}_h" for r in range(REFITS + 1)) + ")")
 def refit_history(spark, d):
     """Fits of both metrics of every part of the day, again without the most influential event while one is over the threshold."""
-    v = _long(spark, d).select(*KEYS, "window_id", "chunk_idx", F.col("y").alias("value"))
-    return _r(refit.refit(v, KEYS, 2, 8, REFIT_DRAWS, REFITS, REFIT_OVER, SEED), "elpd", n=3)
+    v = _long(spark, d, firsts=True).select(*KEYS, "window_id", "chunk_idx", F.col("y").alias("value"))
+    return _r(refit.refit(v, KEYS, 2, 8, REFIT_DRAWS, REFITS, REFIT_OVER, SEED, alike(spark, d)), "elpd", n=3)
 
 
 # --- priors

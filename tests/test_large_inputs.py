@@ -23,3 +23,23 @@ def test_nearest_rows_over_tiles(monkeypatch, metric):
 
 def test_blocks_of_neighbours_are_few():
     assert [models.n_blocks(n, 2000) for n in (0, 2000, 2001, 100_000, 600_000, 1_600_000)] == [1, 1, 2, 8, 8, 16]
+
+
+def test_refits_count_events_of_the_same_values_once(spark):
+    """Events alike are sent once and give the history of all of them, each removed on its own."""
+    import inspect
+    import random
+
+    from epochlane.operators import refit
+
+    assert "same" in inspect.signature(refit.refit).parameters
+    random.seed(5)
+    first = {w: [(c, random.gauss(c > 3, 0.3) + 4 * (w == 3)) for c in range(8)] for w in range(1, 8)}
+    ids = [(w + 10 * i, w) for w in first for i in range(3 if w == 3 else 2)]
+    make = lambda rows: spark.createDataFrame(rows, "grp string, window_id long, chunk_idx int, value double")
+    every = make([("a", i, c, v) for i, w in ids for c, v in first[w]])
+    once = make([("a", w, c, v) for w in first for c, v in first[w]])
+    same = spark.createDataFrame(ids, "window_id long, first_id long")
+    rows = lambda df: [tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.orderBy("attempt").collect()]
+    want = rows(refit.refit(every, ["grp"], 2, 8, 60, threshold=0.2))
+    assert rows(refit.refit(once, ["grp"], 2, 8, 60, threshold=0.2, same=same)) == want and len(want) > 1
