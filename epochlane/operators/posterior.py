@@ -50,8 +50,9 @@ def bfmi(draws: DataFrame) -> DataFrame:
     return at.groupBy(*CONFIG, "chain").agg((F.avg("_s") / F.nullif(F.var_pop("value"), F.lit(0.0))).alias("bfmi"))
 
 
-#: Lags that one pass over the draws takes.
-LAGS = 32
+#: Lags that the first pass over the draws takes, and the most of a later one: each takes twice as many as the one before, as
+#: most series end after a few lags.
+FIRST_LAGS, LAGS = 4, 32
 
 
 def _half_chains(draws: DataFrame) -> DataFrame:
@@ -82,17 +83,17 @@ def ess(draws: DataFrame) -> DataFrame:
 
     Autocorrelations come from both the variance inside and between half chains, in pairs of lags up to the first
     negative pair, each at most the one before. Bulk: of normal scores; tail: the lesser of those of the two tails' marks.
-    A pass over the draws takes LAGS lags; only series whose pairs are all positive so far take part in the next.
+    A pass over the draws takes FIRST_LAGS lags at first and up to LAGS later; only series whose pairs are all positive so far take part in the next.
     Configurations with fewer than four draws a half chain, or constant ones, have null."""
     keys = [*CONFIG, "kind"]
     chain = Window.partitionBy(*keys, "half")
-    at = materialise(_series(draws).where("n >= 4").withColumn("x", F.col("x") - F.avg("x").over(chain)).withColumn("_m", F.lit(0.0)))
-    means = _series(draws).where("n >= 4").groupBy(*keys, "half").agg(F.avg("x").alias("m"), F.max("n").alias("n"))
+    at = materialise(_series(draws).where("n >= 4").withColumn("m", F.avg("x").over(chain)).withColumn("x", F.col("x") - F.col("m")))
+    means = at.groupBy(*keys, "half").agg(F.max("m").alias("m"), F.max("n").alias("n"))
     between = materialise(means.groupBy(*keys).agg(F.var_samp("m").alias("between"), F.count("*").alias("halves"), F.max("n").alias("n")))
-    pairs, first = None, 0
+    pairs, first, lags_now = None, 0, FIRST_LAGS
     while True:
         order = chain.orderBy("pos")
-        steps = range(first, first + LAGS)
+        steps = range(first, first + lags_now)
         led = at.select(*keys, "half", "n", "x", *[F.lead("x", t).over(order).alias(f"x{t}") if t else F.col("x").alias("x0") for t in steps])
         per = led.groupBy(*keys, "half").agg(F.max("n").alias("n"), *[(F.sum(F.col("x") * F.col(f"x{t}")) / F.max("n")).alias(f"c{t}") for t in steps])
         lags = F.array(*[F.struct(F.lit(t).alias("lag"), F.coalesce(f"c{t}", F.lit(0.0)).alias("c")) for t in steps])
@@ -106,10 +107,10 @@ def ess(draws: DataFrame) -> DataFrame:
         rho = pairs.join(zero, keys).where("c0 > 1e-12").withColumn("rho", F.when(F.col("lag") == 0, 1.0).otherwise(1 - (within - F.col("c")) / total))
         two = materialise(rho.groupBy(*keys, "halves", "n", F.floor(F.col("lag") / 2).alias("k")).agg(F.sum("rho").alias("p"), F.count("*").alias("_both")).where("_both = 2"))
         stop = two.groupBy(*keys).agg(F.min(F.when(F.round("p", 9) < 0, F.col("k"))).alias("stop"), F.max("k").alias("last"), F.max("n").alias("n"))
-        more = stop.where(f"stop is null and 2 * last + 3 < n and last >= {(first + LAGS) // 2 - 1}").select(*keys)
+        more = stop.where(f"stop is null and 2 * last + 3 < n and last >= {(first + lags_now) // 2 - 1}").select(*keys)
         if more.isEmpty():
             break
-        at, first = materialise(at.join(more, keys, "left_semi")), first + LAGS
+        at, first, lags_now = materialise(at.join(more, keys, "left_semi")), first + lags_now, min(2 * lags_now, LAGS)
     kept = two.join(stop.select(*keys, "stop"), keys).where("stop is null or k < stop")
     least = F.min("p").over(Window.partitionBy(*keys).orderBy("k"))
     sums = kept.withColumn("p", least).groupBy(*keys, "halves", "n").agg((2 * F.sum("p") - 1).alias("tau"))

@@ -43,3 +43,23 @@ def test_refits_count_events_of_the_same_values_once(spark):
     rows = lambda df: [tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.orderBy("attempt").collect()]
     want = rows(refit.refit(every, ["grp"], 2, 8, 60, threshold=0.2))
     assert rows(refit.refit(once, ["grp"], 2, 8, 60, threshold=0.2, same=same)) == want and len(want) > 1
+
+
+def test_most_series_take_few_lags(spark, monkeypatch):
+    """The first pass takes a few lags, later ones more, and the result doesn't depend on how many."""
+    import random
+
+    from epochlane.operators import posterior
+
+    random.seed(2)
+    rows, x = [], 0.0
+    for chain in range(2):
+        for draw in range(120):
+            x = 0.95 * x + random.gauss(0, 1)
+            rows += [("slow", chain, draw, x), ("fast", chain, draw, random.gauss(0, 1))]
+    draws = spark.createDataFrame(rows, "config_id string, chain int, draw int, value double")
+    assert posterior.FIRST_LAGS < posterior.LAGS
+    found = lambda: {r["config_id"]: (r["n"], round(r["ess_bulk"], 6), round(r["ess_tail"], 6)) for r in posterior.ess(draws).collect()}
+    few = found()
+    monkeypatch.setattr(posterior, "FIRST_LAGS", 32)
+    assert few == found() and few["slow"][1] < few["fast"][1]
