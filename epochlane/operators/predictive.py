@@ -67,19 +67,27 @@ def quantile_tables(params: DataFrame, keys: list[str]) -> DataFrame:
     return params.join(tables, at, "left")
 
 
-def _looked_up(table: Column, u: Column) -> Column:
-    at = u * STEPS
-    i = F.least(F.floor(at), F.lit(STEPS - 1)).cast("int")
-    return F.get(table, i) + (at - i) * (F.get(table, i + 1) - F.get(table, i))
+def _sums_drawn(threshold: float = search.THRESHOLD) -> tuple[Column, Column]:
+    """Sum and sum of squares of a cell's values of the likelihood in column likelihood with parameters _p, by the inverse of
+    its distribution: each is a line over the cell, but the lognormal's, whose sums are there."""
+    kind, p, n = F.col("likelihood"), F.col("_p"), F.col("n")
 
+    def line(at: Column, step: Column, s: str) -> tuple[Column, Column]:
+        return at * n + step * F.col(s), at * at * n + 2 * at * step * F.col(s) + step * step * F.col(f"{s}_sq")
 
-def _drawn(kind: Column, p: Column, u: Column, threshold: float = search.THRESHOLD) -> Column:
-    """A value of the likelihood `kind` with parameters p by the inverse of its distribution at u."""
-    share, table = p["share"], p["table"]
-    low = F.when(u < share, threshold + (1 - threshold) * u / share).otherwise(_looked_up(table, (u - share) / (1 - share)))
-    return (
-        F.when(kind == "normal", p["a"] + p["b"] * normal_quantile(u)).when(kind == "student_t", p["a"] + p["b"] * t4_quantile(u)).when(kind == "lognormal", F.exp(p["a"] + p["b"] * normal_quantile(u)))
-        .when(kind == "interval_inflated_beta", low).otherwise(_looked_up(table, u)))
+    def table(place: str, s: str) -> tuple[Column, Column]:
+        low = F.get(p["table"], F.col(place))
+        return line(low, F.get(p["table"], F.col(place) + 1) - low, s)
+
+    high = line(F.lit(threshold), F.lit(1 - threshold), "g")
+    forms = (("normal", line(p["a"], p["b"], "z")), ("student_t", line(p["a"], p["b"], "t")), ("lognormal", (F.col("e"), F.col("e_sq"))))
+    out = []
+    for j in (0, 1):
+        of = F.when((kind == "interval_inflated_beta") & (F.col("k") < 0), high[j]).when(kind == "interval_inflated_beta", table("k", "g")[j])
+        for name, x in forms:
+            of = of.when(kind == name, x[j])
+        out.append(of.otherwise(table("i", "f")[j]))
+    return out[0], out[1]
 
 
 def models(values: DataFrame, keys: list[str], kinds: list[str], draws: int, low: int, high: int, seed: int) -> DataFrame:
@@ -99,16 +107,29 @@ def replicates(values: DataFrame, keys: list[str], kinds: list[str], draws: int,
 
     values: (keys, window_id, chunk_idx, y, u). Every value that is there is drawn anew from the fitted
     likelihood of its side of the draw's tau; its random number is a hash of seed, draw, window and chunk, so
-    results don't depend on how rows are partitioned. Models, one row a draw and likelihood, meet the values where
-    they are if Spark finds them small."""
+    results don't depend on how rows are partitioned. It is taken once for all keys and kinds. Values are summed by the cell, of
+    STEPS of probability, in which their numbers lie, so models meet cells, whose number doesn't grow with the data."""
     fitted = models(values, keys, kinds, draws, low, high, seed)
-    there = values.where("y is not null").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    there = there.withColumn("_u", hashed_uniform(F.lit(seed), F.col("draw"), F.col("window_id"), F.col("chunk_idx")))
-    met = there.join(fitted, [*keys, "draw"])
+    first = lambda kind, c: F.max(F.when(F.col("likelihood") == kind, F.col(c))).alias(c.replace(".", "_") + f"_{kind[0]}")
+    own = materialise(fitted.groupBy(*keys, "draw").agg(*[first("lognormal", c) for c in ("tau", "p1.a", "p2.a", "p1.b", "p2.b")], *[first("interval_inflated_beta", c) for c in ("tau", "p1.share", "p2.share")]))
+    there = values.where("y is not null").groupBy("window_id", "chunk_idx").agg(F.collect_list(F.struct(*keys, "y", "u")).alias("of"))
+    there = there.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_u", hashed_uniform(F.lit(seed), F.col("draw"), F.col("window_id"), F.col("chunk_idx")))
+    there = there.withColumns({"z": normal_quantile(F.col("_u")), "t": t4_quantile(F.col("_u"))})
+    met = there.select("chunk_idx", "draw", "_u", "z", "t", F.explode("of").alias("_")).select("chunk_idx", "draw", "_u", "z", "t", "_.*").join(own, [*keys, "draw"])
+    side = lambda tau, c: F.when(regime(F.col("chunk_idx"), F.col(f"tau_{tau}")) == 1, F.col(f"p1_{c}_{tau}")).otherwise(F.col(f"p2_{c}_{tau}"))
+    met = met.withColumns({"_s": F.coalesce(side("i", "share"), F.lit(0.0)), "e": F.exp(side("l", "a") + side("l", "b") * F.col("z"))})
+    cell = lambda x: F.least(F.floor(x * STEPS), F.lit(STEPS - 1)).cast("int")
+    met = met.withColumn("_v", (F.col("_u") - F.col("_s")) / (1 - F.col("_s"))).withColumns({"i": cell(F.col("_u")), "k": F.when(F.col("_u") < F.col("_s"), -1).otherwise(cell(F.col("_v")))})
+    met = met.withColumns({"f": F.col("_u") * STEPS - F.col("i"), "g": F.when(F.col("k") < 0, F.col("_u") / F.col("_s")).otherwise(F.col("_v") * STEPS - F.col("k"))})
+    squares = [F.sum(F.col(c) * F.col(c)).alias(f"{c}_sq") for c in "ztefg"]
+    cells = materialise(met.groupBy(*keys, "draw", "chunk_idx", "i", "k").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in "yuztefg"], *squares))
     p = F.when(regime(F.col("chunk_idx"), F.col("tau")) == 1, F.col("p1")).otherwise(F.col("p2"))
+    drawn, square = _sums_drawn()
     seen = F.when(F.col("likelihood").isin(*UNIT), F.col("u")).otherwise(F.col("y"))
-    at = met.withColumn("_p", p).select(*keys, "likelihood", "draw", "tau", seen.alias("seen"), _drawn(F.col("likelihood"), F.col("_p"), F.col("_u")).alias("drawn"))
-    return at.groupBy(*keys, "likelihood", "draw", "tau").agg(F.count("*").alias("n"), F.avg("seen").alias("observed"), F.avg("drawn").alias("mean"), F.stddev_pop("drawn").alias("sd"))
+    at = cells.join(fitted, [*keys, "draw"]).withColumn("_p", p).select(*keys, "likelihood", "draw", "tau", "n", seen.alias("seen"), drawn.alias("drawn"), square.alias("square"))
+    at = at.groupBy(*keys, "likelihood", "draw", "tau").agg(F.sum("n").alias("n"), (F.sum("seen") / F.sum("n")).alias("observed"), F.sum("drawn").alias("drawn"), F.sum("square").alias("square"), F.sum(F.when(F.col("drawn").isNotNull(), F.col("n"))).alias("_n"))
+    mean = F.col("drawn") / F.col("_n")
+    return at.select(*keys, "likelihood", "draw", "tau", "n", "observed", mean.alias("mean"), F.sqrt(F.greatest(F.col("square") / F.col("_n") - mean * mean, F.lit(0.0))).alias("sd"))
 
 
 def predictive_means(found: DataFrame, keys: list[str]) -> DataFrame:

@@ -63,3 +63,24 @@ def test_most_series_take_few_lags(spark, monkeypatch):
     few = found()
     monkeypatch.setattr(posterior, "FIRST_LAGS", 32)
     assert few == found() and few["slow"][1] < few["fast"][1]
+
+
+def test_models_meet_cells_of_replicated_values(spark, monkeypatch):
+    """Ten times the windows make no more cells once each cell has a value."""
+    import random
+
+    from epochlane.operators import predictive
+
+    random.seed(6)
+    monkeypatch.setattr(predictive, "STEPS", 4)
+    written, keep = [], predictive.materialise
+    monkeypatch.setattr(predictive, "materialise", lambda df: written.append(keep(df)) or written[-1])
+    sizes = []
+    for windows in (150, 1500):
+        written.clear()
+        rows = [("a", w, c, y, (y + 1) / 2) for w in range(windows) for c in range(4) for y in [random.uniform(-0.9, 0.9)]]
+        values = spark.createDataFrame(rows, "grp string, window_id long, chunk_idx int, y double, u double")
+        got = predictive.replicates(values, ["grp"], ["normal", "beta", "interval_inflated_beta"], 2, 2, 3).collect()
+        assert {r["n"] for r in got} == {4 * windows} and len(got) == 6
+        sizes += [df.count() for df in written if "k" in df.columns]
+    assert len(sizes) == 2 and sizes[1] <= 1.5 * sizes[0] < 4 * 150
