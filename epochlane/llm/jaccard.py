@@ -29,6 +29,8 @@ BITS = 1 << 24
 #: Keys by which similar documents meet at first, to be put into groups, and how often a document must meet a leader to be compared with it.
 KEYS, MEETINGS = 6, 3
 SHORT = 64
+#: N-grams of a part of a group, about, when its members meet those of another one: a task holds two parts.
+CELL = 1 << 12
 
 _U = np.uint64
 _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
@@ -206,8 +208,9 @@ def _on(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (bits[place >> 6] >> (place & 63).astype(np.uint64) & _U(1)).astype(bool)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, k: Grams, kind: type = np.uint64) -> DataFrame:
-    """(node, h), written: the whole sets of wanted (node, digest, least), where least is the doc_id of a text that has it.
+def sets_of(docs: DataFrame, wanted: DataFrame, k: Grams, kind: type = np.uint64, more: tuple[str, ...] = ()) -> DataFrame:
+    """(node, h), written: the whole sets of wanted (node, digest, least), where least is the doc_id of a text that has it,
+    with more of its columns.
 
     h: the n-grams' hashes in ascending order as bytes, cut to numbers of `kind`. Other texts stay where they are."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
@@ -220,7 +223,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: Grams, kind: type = np.uint64
             yield pa.RecordBatch.from_pydict({"digest": pa.array([_digest(f) for f in found], pa.binary()), "h": pa.array(cut, pa.binary())})
 
     rows = docs.select(place("doc_id").alias("at"), "text").mapInArrow(tidy(read), "digest binary, h binary")
-    return materialise(rows.dropDuplicates(["digest"]).join(wanted.select("node", "digest"), "digest").select("node", "h"))
+    return materialise(rows.dropDuplicates(["digest"]).join(wanted.select("node", "digest", *more), "digest").select("node", "h", *more))
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -257,8 +260,9 @@ def linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: Grams, percen
     for kind in (np.uint16, np.uint64):
         ends = few.select(F.col("src").alias("node")).union(few.select("dst")).distinct()
         sets = sets_of(docs, nodes.select("node", "digest", "least").join(ends, "node"), k, kind)
-        few = compared(few, sets, percent, kind)
-        discard(sets)
+        after = compared(few, sets, percent, kind)
+        discard(sets, *([few] if few is not pairs else []))
+        few = after
     return few
 
 
@@ -331,24 +335,64 @@ def asking(pairs: DataFrame, shared: DataFrame, matrix: DataFrame, percent: int)
     return met.select("node", F.col("many").alias("grp")).distinct()
 
 
-def bounded(found: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, grp, size): those rows of found (node, grp) where the union of the group's sets of one size holds enough of the
-    node's set to be linked with one of them. sets: the whole sets of found's nodes and of all members of its groups."""
-    tokens = F.explode(F.sequence(F.lit(1), F.length("h"), F.lit(8)))
-    each = sets.where(F.length("h") > 0).select("node", "h", tokens.alias("i")).select("node", F.substring("h", F.col("i"), F.lit(8)).alias("token"))
-    union = nodes.select("node", "grp", F.col("n").alias("size")).join(found.select("grp").distinct(), "grp").join(each, "node").select("grp", "size", "token").distinct()
-    held = found.join(each, "node").join(union, ["grp", "token"]).groupBy("node", "grp", "size").agg(F.count("*").alias("common"))
-    n, size = F.col("n"), F.col("size")
-    return held.join(nodes.select("node", "n"), "node").where(_near(n, size, percent) & (F.col("common") >= _needed(n, size, percent))).select("node", "grp", "size")
-
-
-def opened(found: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """(src, dst, grp, hits): found's nodes (node, grp, size) with the members of that size of its groups that they may be linked with."""
-    of = shared.join(found.select("node", F.col("grp").alias("to"), F.col("size").alias("b")), "node").select("token", F.col("to").alias("grp"), "b", F.col("node").alias("src"), F.col("n").alias("a"), F.col("pos").alias("i"))
-    member = shared.select("token", "grp", F.col("node").alias("dst"), F.col("n").alias("b"), F.col("pos").alias("j"))
-    a, b = F.col("a"), F.col("b")
-    met = of.join(member, ["token", "grp", "b"]).where(F.least(a - F.col("i"), b - F.col("j")) >= _needed(a, b, percent))
-    return met.groupBy("src", "dst", "grp").agg(F.count("*").alias("hits"))
+def _tokens(sets: DataFrame) -> DataFrame:
+    """sets with a row for each n-gram, token, of h."""
+    at = F.explode(F.sequence(F.lit(1), F.length("h"), F.lit(8)))
+    rest = [c for c in sets.columns if c != "h"]
+    return sets.where(F.length("h") > 0).select(*rest, "h", at.alias("i")).select(*rest, F.substring("h", F.col("i"), F.lit(8)).alias("token"))
+
+
+def held(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, grp), written: those rows of found (node, grp) where the union of the group's sets holds enough of the node's set to be linked with one of them.
+
+    sets: (node, grp, n, h), the whole sets of found's nodes and of all members of its groups."""
+    members = sets.join(found.select("grp").distinct(), "grp", "left_semi")
+    union = _tokens(members.select("grp", "h")).distinct()
+    low = members.groupBy("grp").agg(F.min("n").alias("low"))
+    mine = _tokens(found.select("node", "grp").join(low, "grp").join(sets.select("node", "n", "h"), "node"))
+    n = F.col("n")
+    need = _needed(n, F.greatest("low", F.ceil(F.lit(percent) * n / 100)), percent)
+    common = mine.join(union, ["grp", "token"]).groupBy("node", "grp", "n", "low").agg(F.count("*").alias("common"))
+    return materialise(common.where(F.col("common") >= need).select("node", "grp"))
+
+
+def met_in_cells(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(src, dst), written: nodes of found (node, grp) with members of the group that they are linked with, one of each cell.
+
+    sets: as held() takes them. Nodes and members of a group are dealt into parts of about CELL n-grams; each part of the one meets each
+    of the other in a cell, which is all that a task holds. The members are linked with each other by other ways, so one says as much as all."""
+    asking_ = found.select(F.col("grp").alias("to"), "node").join(sets.select("node", "n", "h"), "node").withColumnRenamed("to", "grp")
+    members = sets.join(found.select("grp").distinct(), "grp", "left_semi")
+    parts = lambda df, c: df.groupBy("grp").agg(F.ceil(F.sum("n") / CELL).alias(c))
+    of_grp = materialise(parts(asking_, "rows").join(parts(members, "cols"), "grp"))
+    dealt = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).alias(c[0])
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).alias(c[0])
+    a = join_spread(asking_, of_grp, ["grp"], "node").select("grp", dealt("rows"), every("cols"), F.lit(True).alias("asks"), "node", "h")
+    b = join_spread(members.select("grp", "node", "h"), of_grp, ["grp"], "node").select("grp", every("rows"), dealt("cols"), F.lit(False).alias("asks"), "node", "h")
+
+    def meet(rows: pa.Table) -> pa.Table:
+        ask, node = rows["asks"].to_numpy(), rows["node"].to_numpy()
+        each = [np.frombuffer(h.as_buffer(), np.uint64) for h in rows["h"]]
+        here = np.flatnonzero(~ask)
+        size = np.array([len(each[i]) for i in here], np.int64)
+        token, owner = np.concatenate([each[i] for i in here] or [np.zeros(0, np.uint64)]), np.repeat(np.arange(len(here)), size)
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        src, dst = [], []
+        for i in np.flatnonzero(ask).tolist():
+            first, n = np.searchsorted(token, each[i], "left"), np.searchsorted(token, each[i], "right")
+            n -= first
+            at = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(here))
+            on = np.flatnonzero(100 * common >= percent * (len(each[i]) + size - common))
+            if len(on):
+                src.append(node[i])
+                dst.append(node[here[on[0]]])
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+    out = materialise(a.unionByName(b).groupBy("grp", "r", "c").applyInArrow(meet, "src long, dst long"))
+    discard(of_grp)
+    return out
 
 
 def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -356,7 +400,9 @@ def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
     comps = connected_components(links.join(nodes.select(F.col("node").alias("src"), F.col("grp").alias("x")), "src").join(nodes.select(F.col("node").alias("dst"), F.col("grp").alias("y")), "dst").select(F.col("x").alias("src"), F.col("y").alias("dst")))
     of_group = materialise(comps.select(F.col("node").alias("grp"), "component").where("grp <> component"))
     moved = join_spread(nodes, of_group, ["grp"], "node").select("node", F.col("component").alias("grp"))
-    return materialise(nodes.join(moved.withColumnRenamed("grp", "to"), "node", "left").withColumn("grp", F.coalesce("to", "grp")).drop("to"))
+    out = materialise(nodes.join(moved.withColumnRenamed("grp", "to"), "node", "left").withColumn("grp", F.coalesce("to", "grp")).drop("to"))
+    discard(of_group)
+    return out
 
 
 def _known(sig: DataFrame, reps: DataFrame, known: DataFrame | None) -> DataFrame:
@@ -382,42 +428,50 @@ already: their texts are in one group from the start.
 
     Equal sets count once. Sets that share keys meet leaders, and the components of the links found are the groups. Then
     groups are compared with groups by the matrix of tokens and groups. Two of one member are compared at once; of others the
-    members of the smaller one are asked for, and the larger one must hold enough of such a set in the union of its sets of
-    one size. Only those that do are opened: first at the member that shares most of the
-    prefix, then, where that one isn't linked either way by now, at every member that may be linked."""
+    members of the smaller one are asked for. Each is compared with the larger one's member of the most common n-grams first. Those that are in another
+    group still, and whose sets the union of the larger group holds well enough, meet all its members in cells of bounded size."""
     k = Grams(n_words, bags, both)
-    sig = materialise(signatures(docs, k, percent))
-    reps = materialise(sig.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min("n").alias("n")))
+    sig = whole = materialise(signatures(docs, k, percent))
+    reps = materialise(sig.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.first("common").alias("common")))
     keys = sig.select(F.col("row").alias("node"), "common", "keys").join(reps.select("node"), "node")
     pairs = materialise(first_pairs(keys))
-    first = linked(docs, reps, pairs, k, percent)
+    first = links = linked(docs, reps, pairs, k, percent)
     if both or known is not None:
-        first = first.union(_known(sig, reps, known))
-    nodes = _joined(reps.withColumn("grp", F.col("node")), first)
-
+        links = first.union(_known(sig, reps, known))
+    nodes = _joined(reps.withColumn("grp", F.col("node")), links)
     shared = shared_tokens(sig, nodes)
-    size = materialise(nodes.groupBy("grp").agg(F.count("*").alias("members"), F.min("node").alias("only")))
+    if both:
+        sig = sig.where("row % 2 = 0")  # a bag is in its set's component
+    rows = materialise(sig.select("row", "doc_id", "digest", "n"))
+    discard(whole, pairs, first, reps)
+
+    size = materialise(nodes.groupBy("grp").agg(F.count("*").alias("members"), F.min("node").alias("only"), F.max_by("node", F.struct("common", "node")).alias("lead")))
     matrix = materialise(matrix_of(shared))
     of_grp = lambda g, m, o: size.select(F.col("grp").alias(g), F.col("members").alias(m), F.col("only").alias(o))
     found = materialise(qualifying(matrix, percent).join(of_grp("grp", "members", "only"), "grp").join(of_grp("to", "members_to", "only_to"), "to"))
     alone = found.where("members = 1 and members_to = 1").select(F.col("only").alias("src"), F.col("only_to").alias("dst"))
     fewer = F.col("members") <= F.col("members_to")
     unlike = found.where("members > 1 or members_to > 1").select(F.when(fewer, F.col("grp")).otherwise(F.col("to")).alias("few"), F.when(fewer, F.col("to")).otherwise(F.col("grp")).alias("many"))
-    several = materialise(asking(unlike, shared, matrix, percent))
-    asked = several.select("node").union(nodes.join(several.select("grp").distinct(), "grp", "left_semi").select("node")).distinct()
-    held = materialise(bounded(several, nodes, sets_of(docs, nodes.join(asked, "node"), k), percent))
-    inside = materialise(opened(held, shared, percent))
-    best = inside.groupBy("src", "grp").agg(F.max_by("dst", F.struct("hits", "dst")).alias("dst")).select("src", "dst")
-    nodes = _joined(nodes, linked(docs, nodes, materialise(alone.union(best)), k, percent))
-    of = lambda c, x: nodes.select(F.col("node").alias(c), F.col("grp").alias(x))
-    rest = materialise(inside.select("src", "dst").join(of("src", "x"), "src").join(of("dst", "y"), "dst").where("x <> y").select("src", "dst"))
-    if not rest.isEmpty():
-        nodes = _joined(nodes, linked(docs, nodes, rest, k, percent))
-
-    ids = materialise(nodes.groupBy("grp").agg(F.min("least").alias("component_id")))
-    of_digest = materialise(join_spread(nodes.select("node", "grp", "digest"), ids, ["grp"], "node").select("digest", "component_id"))
-    if both:
-        sig = sig.where("row % 2 = 0")  # a bag is in its set's component
-    some = join_spread(sig.where("n > 0").select("row", "doc_id", "digest", "n"), of_digest, ["digest"], "row")
-    none = sig.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    several = materialise(asking(unlike, shared, matrix, percent).join(size.select("grp", "lead"), "grp"))
+    discard(shared, matrix)
+    tried = materialise(alone.union(several.select(F.col("node").alias("src"), F.col("lead").alias("dst"))))
+    after = _joined(nodes, first := linked(docs, nodes, tried, k, percent))
+    discard(size, found, tried, first)
+    of = lambda c, x: after.select(F.col("node").alias(c), F.col("grp").alias(x))
+    asked = materialise(several.join(of("node", "x"), "node").join(of("lead", "y"), "lead").where("x <> y").select("node", "grp"))
+    if not asked.isEmpty():
+        ends = asked.select("node").union(nodes.join(asked.select("grp").distinct(), "grp", "left_semi").select("node")).distinct()
+        sets = sets_of(docs, nodes.join(ends, "node"), k, more=("grp", "n"))
+        may = held(asked, sets, percent)
+        found = met_in_cells(may, sets, percent)
+        discard(sets, may)
+        before, after = after, _joined(after, found)
+        discard(before, found)
+    discard(nodes, several, asked)
+
+    ids = materialise(after.groupBy("grp").agg(F.min("least").alias("component_id")))
+    of_digest = materialise(join_spread(after.select("node", "grp", "digest"), ids, ["grp"], "node").select("digest", "component_id"))
+    discard(after, ids)
+    some = join_spread(rows.where("n > 0"), of_digest, ["digest"], "row")
+    none = rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return some.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").union(none)

@@ -14,7 +14,7 @@ from epochlane.llm import jaccard, simhash
 from epochlane.operators.graph import connected_components
 from epochlane.operators.skew import join_spread
 from epochlane.llm.workers import tidy
-from epochlane.session import materialise
+from epochlane.session import discard, materialise
 
 WORDS = 5
 LEAST = 0.8
@@ -68,7 +68,7 @@ def _with_node(docs: DataFrame) -> DataFrame:
 
 
 def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(src, dst), src < dst: pairs of nodes that share a band or have fingerprints within two bits; and the nodes of crowded cells.
+    """(src, dst), src < dst, written: pairs of nodes that share a band or have fingerprints within two bits; and the nodes of crowded cells, written.
 
     nodes: a written table (node, fp, bands), each node once. Cells of up to CELL_MOST nodes give
     all their pairs. In fuller ones every node meets the least one, and in MEETING_BANDS of the
@@ -86,8 +86,11 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     of_fp = materialise(nodes.groupBy("fp").agg(F.min("node").alias("least")))
     same = nodes.join(of_fp, "fp").select(F.col("least").alias("src"), F.col("node").alias("dst"))
     ends = (of_fp.select(F.col("fp").alias(x), F.col("least").alias(f"n_{x}")) for x in ("src", "dst"))
-    links = materialise(simhash.links(of_fp)).join(next(ends), "src").join(next(ends), "dst").select(F.least("n_src", "n_dst").alias("src"), F.greatest("n_src", "n_dst").alias("dst"))
-    return pairs.union(stars).union(same).union(links).where("src < dst").distinct(), crowd.where(~few).select("node").distinct()
+    of_links = materialise(simhash.links(of_fp))
+    links = of_links.join(next(ends), "src").join(next(ends), "dst").select(F.least("n_src", "n_dst").alias("src"), F.greatest("n_src", "n_dst").alias("dst"))
+    found = materialise(pairs.union(stars).union(same).union(links).where("src < dst").distinct()), materialise(crowd.where(~few).select("node").distinct())
+    discard(full, crowd, of_fp, of_links)
+    return found
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -96,7 +99,7 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """The pairs (src, dst) whose whole texts are similar to at least `least`; texts: (node, text), each node once."""
+    """The pairs (src, dst), written, whose whole texts are similar to at least `least`; texts: (node, text), each node once."""
     ids = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
     texts = texts.join(ids, "node", "left_semi")
 
@@ -113,7 +116,9 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, least: floa
     sets = materialise(texts.mapInArrow(tidy(hashes), "node string, h binary"))
     at = pairs.join(sets.select(F.col("node").alias("dst"), F.col("h").alias("b")), "dst")
     both = join_spread(at, sets.select(F.col("node").alias("src"), F.col("h").alias("a")), ["src"], "dst")
-    return both.select("src", "dst", "a", "b").mapInArrow(tidy(check), "src string, dst string")
+    found = materialise(both.select("src", "dst", "a", "b").mapInArrow(tidy(check), "src string, dst string"))
+    discard(sets)
+    return found
 
 
 def components(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
@@ -127,15 +132,18 @@ def components(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> Dat
     that were found before put them into groups there."""
     of_doc = materialise(signatures(docs, words))
     nodes = materialise(of_doc.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    pairs, crowded = (materialise(x) for x in candidates(nodes.drop("least")))
+    discard(of_doc)
+    pairs, crowded = candidates(nodes.drop("least"))
     texts = texts_of(docs, pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).union(crowded))
-    found = materialise(verified(pairs, texts, words, least))
-    many = texts.join(crowded, "node", "left_semi").select(F.col("node").alias("doc_id"), "text")
+    found = verified(pairs, texts, words, least)
+    discard(pairs)
     if not crowded.isEmpty():
-        exact = jaccard.components(materialise(many), words, round(100 * least), both=True, known=found)
+        many = materialise(texts.join(crowded, "node", "left_semi").select(F.col("node").alias("doc_id"), "text"))
+        discard(texts)
+        exact = jaccard.components(many, words, round(100 * least), both=True, known=found)
         found = materialise(found.union(exact.where("doc_id <> component_id").select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst"))))
     comps = connected_components(found)
     named = materialise(nodes.select("node", "least").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = materialise(named.join(ids, "component").select("node", "component_id"))
-    return of_doc.select("doc_id", "node").join(of_node, "node").select("doc_id", "component_id")
+    return _with_node(docs).select("doc_id", "node").join(of_node, "node").select("doc_id", "component_id")

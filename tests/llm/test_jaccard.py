@@ -99,3 +99,36 @@ def test_join_of_a_whole_table(spark):
     d = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     assert sorted(map(tuple, queries.op13_jaccard(spark, d).collect()), key=str) == plain(rows)
+
+
+def test_a_large_group_meets_what_is_nearly_linked_in_cells(spark, monkeypatch):
+    """Texts just under the limit from all of a group, and some linked with few of its members, aren't compared pair by pair."""
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    member = lambda i: " ".join([*base[:-2], f"m{i}", f"m{i}y"])
+    rows = [(i, member(i)) for i in range(150)]
+    for i in range(150, 190):
+        near = base[:]
+        near[3 + i % 40] = f"n{i}"
+        rows.append((i, " ".join([*near[:-2], f"m{i % 7}" if i % 2 else f"q{i}", f"m{i % 7}y" if i % 4 == 1 else f"r{i}"])))
+    rnd.shuffle(rows)
+    monkeypatch.setattr(jaccard, "CELL", 1 << 9)
+    sent, compared = [], jaccard.compared
+    monkeypatch.setattr(jaccard, "compared", lambda pairs, *more: sent.append(pairs.count()) or compared(pairs, *more))
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert max(sent) < 1000
+
+
+def test_cells_find_a_link_for_every_node_that_has_one(spark, monkeypatch):
+    rnd = np.random.RandomState(3)
+    sets = {i: np.unique(rnd.choice(60, 40, False)).astype(np.uint64) for i in range(60)}
+    rows = [(i, 1 if i < 40 else i, len(x), x.tobytes()) for i, x in sets.items()]
+    table = spark.createDataFrame([(i, g, n, bytearray(h)) for i, g, n, h in rows], "node long, grp long, n long, h binary")
+    found = spark.createDataFrame([(i, 1) for i in range(40, 60)], "node long, grp long")
+    share = lambda a, b: len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b]))
+    want = {i for i in range(40, 60) if any(share(i, j) >= 0.6 for j in range(40))}
+    assert want and len(want) < 20
+    for cell in (1 << 12, 128):
+        monkeypatch.setattr(jaccard, "CELL", cell)
+        got = jaccard.met_in_cells(found, table, 60).collect()
+        assert {r["src"] for r in got} == want and all(r["dst"] < 40 and share(r["src"], r["dst"]) >= 0.6 for r in got)

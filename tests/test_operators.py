@@ -280,3 +280,11 @@ def test_trend_and_anomaly_need_days_before(spark):
 def test_matrix_fills(spark):
     got = export.matrix(rows_of(spark, [1, None]), 3, 0.0).first()
     assert (got["p0"], got["p1"], got["p2"]) == (1.0, 0.0, 0.0)
+
+
+def test_links_that_are_stars_take_no_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "materialise", lambda df: written.append(1) or materialise(df))
+    star = spark.createDataFrame([(1, b) for b in range(2, 30)] + [(40, 41)], "src long, dst long")
+    got = {r["node"]: r["component"] for r in graph.connected_components(star).collect()}
+    assert got == {b: 1 for b in range(1, 30)} | {40: 40, 41: 40} and len(written) == 1
