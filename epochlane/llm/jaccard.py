@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,11 @@ WORDS, PERCENT = 4, 85
 #: Counters a document of the table by which n-grams are ordered, rare ones first, their least and greatest number, and those
 #: of a row of it. The table decides how fast, never what is found.
 COUNTERS, LEAST_COUNTERS, MOST_COUNTERS, WIDTH = 16, 1 << 16, 1 << 26, 1 << 12
-#: Bits of the maps that let rows pass which a join needs; more entries let more rows pass than needed.
-BITS = 1 << 24
+#: Bits of the maps that let rows pass which a join needs; more entries let more rows pass than needed. Of the map of n-grams, bits a
+#: node and their most.
+BITS, BITS_A_NODE, MOST_BITS = 1 << 24, 256, 1 << 27
+#: Of an n-gram's bits the first, PARTS at most, name the part in which it meets its like, one for about NODES texts; the next 32, its cut, stand for it there.
+PARTS, NODES = 12, 1 << 12
 #: Keys by which similar documents meet at first, to be put into groups, and how often a document must meet a leader to be compared with it.
 KEYS, MEETINGS = 6, 3
 SHORT = 64
@@ -113,11 +117,21 @@ def _digest(found: np.ndarray) -> bytes:
     return hashlib.md5(found.tobytes()).digest()
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers that are small for their kind, their bytes of equal weight together and compressed: Spark's own codec finds no such bits."""
+    return pa.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(packed: pa.Scalar, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(packed.as_buffer(), n * size, "zstd"), np.uint8).reshape(size, n).T.copy().view(kind).reshape(-1)
+
+
 def classes(docs: DataFrame, k: Grams) -> np.ndarray:
     """A number from 0 to 255 for each class of n-grams, higher for classes that occur more often.
 
     There are about COUNTERS classes a document, MOST_COUNTERS at most, so that a common n-gram stands out at every size. A
-    task sends its counters in rows of WIDTH, which are added up in two steps; the driver gets the sums."""
+    task sends its counters, packed, in rows of WIDTH, which are added up in two steps; the driver gets the sums."""
     size = 1 << min(max(COUNTERS * docs.count() - 1, LEAST_COUNTERS - 1).bit_length(), MOST_COUNTERS.bit_length() - 1)
     parts, top = size // WIDTH, np.iinfo(np.uint16).max
 
@@ -129,17 +143,17 @@ def classes(docs: DataFrame, k: Grams) -> np.ndarray:
                 total[at.astype(np.int64)] += n.astype(np.uint32)
         for part, x in enumerate(np.minimum(total, top).astype(np.uint16).reshape(parts, WIDTH)):
             if x.any():
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([x.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([_packed(x)], pa.binary())})
 
     def add(key: tuple, rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.uint16).astype(np.int64) for x in rows["n"])
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([np.minimum(total, top).astype(np.uint16).tobytes()], pa.binary())})
+        total = sum(_unpacked(x, WIDTH, np.uint16).astype(np.int64) for x in rows["n"])
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([_packed(np.minimum(total, top).astype(np.uint16))], pa.binary())})
 
     sent = docs.select("text").mapInArrow(tidy(count), "part int, n binary").withColumn("salt", F.spark_partition_id() % 8)
     once = sent.groupBy("part", "salt").applyInArrow(add, "part int, n binary")
     total = np.zeros((parts, WIDTH), np.uint16)
     for r in once.groupBy("part").applyInArrow(add, "part int, n binary").toLocalIterator():
-        total[r["part"]] = np.frombuffer(r["n"], np.uint16)
+        total[r["part"]] = _unpacked(pa.scalar(bytes(r["n"])), WIDTH, np.uint16)
     flat = total.reshape(-1).astype(np.float32)
     return np.clip(np.floor(2 * np.log2(np.maximum(flat / max(1.0, float(flat.mean())), 1))), 0, 255).astype(np.uint8)
 
@@ -195,11 +209,11 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64), pa.int64()))
 
 
-def bit_map(df: DataFrame, place: Column) -> np.ndarray:
-    """BITS bits, in words of 64: those at a place that a row of df has. The driver gets BITS / 64 rows at most."""
+def bit_map(df: DataFrame, place: Column, bits: int = BITS) -> np.ndarray:
+    """So many bits, in words of 64: those at a place that a row of df has. The driver gets bits / 64 rows at most."""
     bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
     found = df.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit).alias("w")).toArrow()
-    out = np.zeros(BITS // 64, np.uint64)
+    out = np.zeros(bits // 64, np.uint64)
     out[found["at"].to_numpy()] = found["w"].to_numpy().view(np.uint64)
     return out
 
@@ -208,13 +222,16 @@ def _on(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (bits[place >> 6] >> (place & 63).astype(np.uint64) & _U(1)).astype(bool)
 
 
+def _place(c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(BITS))
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, k: Grams, kind: type = np.uint64, more: tuple[str, ...] = ()) -> DataFrame:
     """(node, h), written: the whole sets of wanted (node, digest, least), where least is the doc_id of a text that has it,
     with more of its columns.
 
     h: the n-grams' hashes in ascending order as bytes, cut to numbers of `kind`. Other texts stay where they are."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
-    sent = docs.sparkSession.sparkContext.broadcast(bit_map(wanted, place("least")))  # BITS bits
+    sent = docs.sparkSession.sparkContext.broadcast(bit_map(wanted, _place("least")))  # BITS bits
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +239,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: Grams, kind: type = np.uint64
             cut = [np.sort(f.astype(kind)).tobytes() for f in found]
             yield pa.RecordBatch.from_pydict({"digest": pa.array([_digest(f) for f in found], pa.binary()), "h": pa.array(cut, pa.binary())})
 
-    rows = docs.select(place("doc_id").alias("at"), "text").mapInArrow(tidy(read), "digest binary, h binary")
+    rows = docs.select(_place("doc_id").alias("at"), "text").mapInArrow(tidy(read), "digest binary, h binary")
     return materialise(rows.dropDuplicates(["digest"]).join(wanted.select("node", "digest", *more), "digest").select("node", "h", *more))
 
 
@@ -273,28 +290,74 @@ def first_pairs(keys: DataFrame) -> DataFrame:
     linked with most others. The other has the least hash."""
     cells = keys.select("node", "common", F.explode("keys").alias("key"))
     h = F.xxhash64("node")
-    lead = cells.groupBy("key").agg(F.max_by("node", F.struct("common", h)).alias("x"), F.min_by("node", h).alias("y"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = join_spread(cells, materialise(lead), ["key"], "node")
+    lead = materialise(cells.groupBy("key").agg(F.max_by("node", F.struct("common", h)).alias("x"), F.min_by("node", h).alias("y"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    sent = keys.sparkSession.sparkContext.broadcast(bit_map(lead, F.col("key").bitwiseAND(F.lit(BITS - 1))))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, row = pc.list_flatten(batch.column("keys")), pc.list_parent_indices(batch.column("keys"))
+            on = pa.array(_on(sent.value, key.to_numpy() & (BITS - 1)))
+            yield pa.RecordBatch.from_pydict({"node": batch.column("node").take(row.filter(on)), "key": key.filter(on)})
+
+    few = keys.select("node", "keys").mapInArrow(tidy(keep), "node long, key long")  # most keys are one node's alone
+    met = join_spread(few, lead, ["key"], "node")
     met = met.select("node", F.explode(F.array("x", "y")).alias("lead")).where("node <> lead").select(F.greatest("node", "lead").alias("src"), F.least("node", "lead").alias("dst"))
     return met.groupBy("src", "dst").agg(F.count("*").alias("n")).where(F.col("n") >= MEETINGS).select("src", "dst")
 
 
+def _prefixes(batch: pa.RecordBatch, nodes: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows of a batch (row, at, prefix) that are on the map of nodes: the rows, and of each n-gram the hash, whose it is, and its place in the prefix."""
+    batch = batch.filter(pa.array(_on(nodes, batch.column("at").to_numpy())))
+    prefix = batch.column("prefix")
+    tokens, of, first = pc.list_flatten(prefix).to_numpy(), pc.list_parent_indices(prefix).to_numpy(), prefix.offsets.to_numpy()
+    return batch.column("row"), tokens.view(np.uint64), of, np.arange(len(tokens)) - (first[:-1] - first[0])[of]
+
+
+def _repeated(rows: DataFrame, nodes: Broadcast, parts: int, bits: int) -> DataFrame:
+    """(place): the last bits of the cuts of n-grams that two of rows (row, at, prefix) on the map of nodes have.
+
+    A task sends a part its n-grams' cuts in ascending order, each twice at most, as packed differences: a few bytes an n-gram."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = np.sort(_prefixes(batch, nodes.value)[1])
+            cut, part = (t >> _U(32 - parts)).astype(np.uint32), (t >> _U(32) >> _U(32 - parts)).astype(np.int64)
+            third = np.zeros(len(t), bool)
+            third[2:] = (cut[2:] == cut[:-2]) & (part[2:] == part[:-2])
+            cut, part = cut[~third], part[~third]
+            names, first = np.unique(part, return_index=True)
+            each = np.split(cut, first[1:]) if len(names) else []
+            packed = [_packed(np.diff(x, prepend=np.uint32(0))) for x in each]
+            yield pa.RecordBatch.from_pydict({"part": pa.array(names, pa.int32()), "n": pa.array([len(x) for x in each], pa.int32()), "cuts": pa.array(packed, pa.binary())})
+
+    def meet(sent: pa.Table) -> pa.Table:
+        each = [np.cumsum(_unpacked(x, n.as_py(), np.uint32), dtype=np.uint32) for x, n in zip(sent["cuts"], sent["n"], strict=True)]
+        cut = np.sort(np.concatenate(each))
+        return pa.table({"place": pa.array(np.unique(cut[1:][cut[1:] == cut[:-1]] & np.uint32(bits - 1)), pa.int64())})
+
+    return rows.mapInArrow(tidy(send), "part int, n int, cuts binary").groupBy("part").applyInArrow(meet, "place long")
+
+
 def shared_tokens(sig: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(token, node, grp, n, pos), written: n-grams of prefixes that occur in more than one row, by their place in the prefix.
+    """(token, node, grp, n, pos), written: n-grams of prefixes that occur in more than one node, by their place in the prefix.
 
     Most n-grams of a prefix are in one text alone: those that aren't set a bit of a map each, and only rows on it are joined."""
-    many = sig.select("row", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("row").alias("x"), F.max("row").alias("y")).where("x <> y")
-    sent = sig.sparkSession.sparkContext.broadcast(bit_map(many, F.shiftrightunsigned("token", 20).bitwiseAND(F.lit(BITS - 1))))
+    count = max(1, nodes.count())
+    bits = min(max(1 << (BITS_A_NODE * count - 1).bit_length(), BITS), MOST_BITS)
+    broadcast = sig.sparkSession.sparkContext.broadcast
+    of_nodes = broadcast(bit_map(nodes, _place("node")))  # equal sets count once
+    rows = sig.select("row", _place("row").alias("at"), "prefix")
+    parts = min((count // NODES).bit_length(), PARTS)
+    sent = broadcast(bit_map(_repeated(rows, of_nodes, parts, bits), F.col("place"), bits))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefix = batch.column("prefix")
-            tokens, row, first = pc.list_flatten(prefix).to_numpy(), pc.list_parent_indices(prefix).to_numpy(), prefix.offsets.to_numpy()
-            on = np.flatnonzero(_on(sent.value, (tokens.view(np.uint64) >> _U(20) & _U(BITS - 1)).astype(np.int64)))
-            yield pa.RecordBatch.from_pydict({"node": batch.column("row").take(pa.array(row[on])), "pos": pa.array(on - (first[:-1] - first[0])[row[on]], pa.int32()), "token": pa.array(tokens[on])})
+            node, tokens, of, pos = _prefixes(batch, of_nodes.value)
+            on = np.flatnonzero(_on(sent.value, (tokens >> _U(32 - parts) & _U(bits - 1)).astype(np.int64)))
+            yield pa.RecordBatch.from_pydict({"node": node.take(pa.array(of[on])), "pos": pa.array(pos[on], pa.int32()), "token": pa.array(tokens[on].view(np.int64))})
 
-    rows = sig.select("row", "prefix").mapInArrow(tidy(keep), "node long, pos int, token long")
-    return materialise(rows.join(nodes.select("node", "grp", "n"), "node").select("token", "node", "grp", "n", "pos"))
+    found = rows.mapInArrow(tidy(keep), "node long, pos int, token long")
+    return materialise(found.join(nodes.select("node", "grp", "n"), "node").select("token", "node", "grp", "n", "pos"))
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -319,16 +382,15 @@ def qualifying(matrix: DataFrame, percent: int) -> DataFrame:
 
     Linked sets first meet at a token of both prefixes, and share no more than either has left there. A group counts
     once at a token, however many of its members have it."""
-    a = matrix
-    b = matrix.select("token", *[F.col(c).alias(t) for c, t in (("grp", "to"), ("left", "left_to"), ("low", "low_to"), ("high", "high_to"))])
-    sizes = (100 * F.col("high") >= percent * F.col("low_to")) & (100 * F.col("high_to") >= percent * F.col("low"))
-    met = a.join(b, "token").where((F.col("grp") < F.col("to")) & sizes & (F.least("left", "left_to") >= _needed(F.col("low"), F.col("low_to"), percent)))
-    return met.select("grp", "to").distinct()
+    a, b = ({c: F.col(f"{x}.{c}") for c in matrix.columns} for x in "ab")  # not renamed before they meet, so the matrix is dealt once for both
+    sizes = (100 * a["high"] >= percent * b["low"]) & (100 * b["high"] >= percent * a["low"])
+    on = (a["token"] == b["token"]) & (a["grp"] < b["grp"]) & sizes & (F.least(a["left"], b["left"]) >= _needed(a["low"], b["low"], percent))
+    return matrix.alias("a").join(matrix.alias("b"), on).select(a["grp"], b["grp"].alias("to")).distinct()
 
 
 def asking(pairs: DataFrame, shared: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
     """(node, grp): of pairs (few, many) of groups, the nodes of few that may be linked with a member of many."""
-    to = matrix.select("token", F.col("grp").alias("many"), F.col("left").alias("left_to"), "low", "high")
+    to = matrix.withColumnRenamed("grp", "many").join(pairs, "many", "left_semi").select("token", "many", F.col("left").alias("left_to"), "low", "high")
     n, left = F.col("n"), F.col("n") - F.col("pos")
     met = shared.join(pairs, F.col("grp") == F.col("few")).join(to, ["token", "many"])
     met = met.where((100 * F.col("high") >= percent * n) & (100 * n >= percent * F.col("low")) & (F.least(left, F.col("left_to")) >= _needed(n, F.col("low"), percent)))
@@ -432,13 +494,12 @@ already: their texts are in one group from the start.
     group still, and whose sets the union of the larger group holds well enough, meet all its members in cells of bounded size."""
     k = Grams(n_words, bags, both)
     sig = whole = materialise(signatures(docs, k, percent))
-    reps = materialise(sig.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.first("common").alias("common")))
-    keys = sig.select(F.col("row").alias("node"), "common", "keys").join(reps.select("node"), "node")
-    pairs = materialise(first_pairs(keys))
+    reps = materialise(sig.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.first("common").alias("common"), F.first("keys").alias("keys")))
+    pairs = materialise(first_pairs(reps.select("node", "common", "keys")))
     first = links = linked(docs, reps, pairs, k, percent)
     if both or known is not None:
         links = first.union(_known(sig, reps, known))
-    nodes = _joined(reps.withColumn("grp", F.col("node")), links)
+    nodes = _joined(reps.drop("keys").withColumn("grp", F.col("node")), links)
     shared = shared_tokens(sig, nodes)
     if both:
         sig = sig.where("row % 2 = 0")  # a bag is in its set's component
@@ -451,9 +512,9 @@ already: their texts are in one group from the start.
     found = materialise(qualifying(matrix, percent).join(of_grp("grp", "members", "only"), "grp").join(of_grp("to", "members_to", "only_to"), "to"))
     alone = found.where("members = 1 and members_to = 1").select(F.col("only").alias("src"), F.col("only_to").alias("dst"))
     fewer = F.col("members") <= F.col("members_to")
-    unlike = found.where("members > 1 or members_to > 1").select(F.when(fewer, F.col("grp")).otherwise(F.col("to")).alias("few"), F.when(fewer, F.col("to")).otherwise(F.col("grp")).alias("many"))
+    unlike = materialise(found.where("members > 1 or members_to > 1").select(F.when(fewer, F.col("grp")).otherwise(F.col("to")).alias("few"), F.when(fewer, F.col("to")).otherwise(F.col("grp")).alias("many")))
     several = materialise(asking(unlike, shared, matrix, percent).join(size.select("grp", "lead"), "grp"))
-    discard(shared, matrix)
+    discard(shared, matrix, unlike)
     tried = materialise(alone.union(several.select(F.col("node").alias("src"), F.col("lead").alias("dst"))))
     after = _joined(nodes, first := linked(docs, nodes, tried, k, percent))
     discard(size, found, tried, first)

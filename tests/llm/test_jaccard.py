@@ -132,3 +132,52 @@ def test_cells_find_a_link_for_every_node_that_has_one(spark, monkeypatch):
         monkeypatch.setattr(jaccard, "CELL", cell)
         got = jaccard.met_in_cells(found, table, 60).collect()
         assert {r["src"] for r in got} == want and all(r["dst"] < 40 and share(r["src"], r["dst"]) >= 0.6 for r in got)
+
+
+def test_shared_tokens_are_of_several_sets(spark):
+    """N-grams that only copies of one text have aren't shared; all others that two prefixes have are, by any number of parts."""
+    rnd = random.Random(6)
+    rows = [" ".join(f"t{i}w{rnd.randrange(999)}" for _ in range(50)) for i in range(30)] * 3
+    rows += [edited([f"b{i}" for i in range(40)], 1 + i % 3, rnd, f"e{i}") for i in range(12)] + ["a b", "", None]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    sig = jaccard.signatures(docs, jaccard.Grams(4), 85).cache()
+    of = {r["row"]: r for r in sig.collect()}
+    nodes = sig.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("n").alias("n")).withColumn("grp", F.col("node"))
+    least = {r["node"] for r in nodes.collect()}
+    at = {}
+    for row in least:
+        for pos, token in enumerate(of[row]["prefix"]):
+            at.setdefault(token, []).append((row, pos))
+    want = sorted((t, r, r, of[r]["n"], p) for t, found in at.items() if len(found) > 1 for r, p in found)
+    assert want and len(least) == 43
+    for each in (jaccard.NODES, 4):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(jaccard, "NODES", each)
+            assert sorted(map(tuple, jaccard.shared_tokens(sig, nodes).collect())) == want
+
+
+def test_counters_and_cuts_are_sent_in_few_bits():
+    rnd = np.random.RandomState(7)
+    count, cut = rnd.poisson(0.6, jaccard.WIDTH).astype(np.uint16), np.diff(np.sort(rnd.randint(0, 1 << 32, 9999, np.uint64).astype(np.uint32)), prepend=np.uint32(0))
+    count[5] = 65535
+    for x, most in ((count, 0.2), (cut, 0.8), (cut[:0], 0)):
+        packed = jaccard._packed(x)
+        assert np.array_equal(jaccard._unpacked(pa.scalar(packed), len(x), x.dtype.type), x) and len(packed) <= max(32, most * x.nbytes)
+
+
+def test_the_matrix_is_dealt_once_to_meet_itself(spark):
+    rnd = random.Random(8)
+    cells = [(t, g, rnd.randrange(1, 30), 20 + g % 9, 22 + g % 9) for t in range(40) for g in rnd.sample(range(30), 4)]
+    matrix = jaccard.materialise(spark.createDataFrame(cells, "token long, grp long, left int, low long, high long"))
+    got = jaccard.qualifying(matrix, 40)
+    need = lambda a, b: -(-40 * (a + b) // 140)
+    want = {(g, h) for t, g, x, a, b in cells for s, h, y, c, d in cells if t == s and g < h and 100 * b >= 40 * c and 100 * d >= 40 * a and min(x, y) >= need(a, c)}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(map(tuple, found)) == sorted(want)
+    assert ["ReusedExchange" in x for x in plan.splitlines() if "Exchange hashpartitioning(token" in x].count(False) == 1
