@@ -16,7 +16,7 @@ def ran(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["profile_sliding"])
+@pytest.mark.parametrize("name", ["profile_sliding", "profile_sliding_incl"])
 def test_points_are_not_broadcast(spark, name):
     """A table made from the days' lengths is taken for as small as those, however many points it has."""
     plan = ran(QUERIES[name](spark, DATA))
